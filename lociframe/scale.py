@@ -136,15 +136,23 @@ def position(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], na
     return OrderedGroups(df, by, order, split, limit).position(name).frame()
 
 
+# Largest k for which Spark itself cuts rows per map task (its windowGroupLimitThreshold default).
+MAP_SIDE_K = 1000
+
+
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], k: int,
-          name: str = "position") -> DataFrame:
-    """First ``k`` rows of every group.
+          name: str = "position", salts: int = 256) -> DataFrame:
+    """First ``k`` rows of every group, without sorting a hot group in one task.
 
-    The filter on the window's own rank lets Spark cut each map task's rows to ``k`` per group
-    before the shuffle, so a hot group sends k rows per task only.
+    The filter on the window's own rank lets Spark keep only k rows per group and map task before
+    the shuffle. Beyond Spark's threshold for that rule, salted sub-groups are cut to k first.
     """
-    window = W.partitionBy(*by).orderBy(*[F.col(o) if isinstance(o, str) else o for o in order])
-    ranked = df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
+    sort = [F.col(o) if isinstance(o, str) else o for o in order]
+    if k > MAP_SIDE_K:
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c not in by]), F.lit(salts))
+        inner = W.partitionBy(*by, "_salt").orderBy(*sort)
+        df = df.withColumn("_salt", salt).withColumn(name, F.row_number().over(inner)).where(F.col(name) <= k).drop("_salt", name)
+    ranked = df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*sort))).where(F.col(name) <= k)
     return ranked.withColumn(name, F.col(name).cast("bigint"))
 
 
