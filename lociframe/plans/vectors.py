@@ -1,2 +1,119 @@
-QUERIES = {}
-ORACLES = {}
+"""Embedding queries; label 0 is the control, ``after`` is a moved copy of each vector."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.columns import fixed
+from ..functions.vectors import subtract
+from ..operators import embeddings as op
+from . import bindings as b
+from .bindings import with_views
+
+
+def _moved(spark, folder):
+    """Vectors of the control stay, all others shrink and shift by their label."""
+    moved = F.transform("embedding", lambda x: x * 0.8 + F.col("label") * 0.02)
+    return b.embeddings(spark, folder).withColumn("after", F.when(F.col("label") == 0, F.col("embedding")).otherwise(moved))
+
+
+def group_centroids(spark, folder):
+    done = op.group_centroids(b.embeddings(spark, folder))
+    return done.select("label", "n_cells", F.posexplode("centroid").alias("pos", "v")).select(
+        "label", "n_cells", F.col("pos").cast("bigint").alias("pos"), fixed("v").alias("v"))
+
+
+def nearest_centroid(spark, folder):
+    df = _moved(spark, folder)
+    centroids = op.group_centroids(df)
+    done = op.nearest_centroid(df, centroids)
+    done = op.nearest_centroid(done, centroids, vector="after", prefix="after")
+    return done.select("cell_id", "nearest_label", fixed("nearest_distance").alias("nearest_distance"),
+                       "after_label", (F.col("nearest_label") != F.col("after_label")).alias("changed"),
+                       fixed(F.aggregate("nearest_distances", F.lit(0.0), lambda a, s: a + s["distance"])).alias("total_distance"))
+
+
+def displacement(spark, folder):
+    return _moved(spark, folder).select("cell_id", fixed(op.displacement("embedding", "after")).alias("displacement"))
+
+
+def away_from_centroid(spark, folder):
+    df = _moved(spark, folder)
+    done = op.away_from_centroid(df, op.group_centroids(df))
+    return done.select("label", "n_cells", fixed("away").alias("away"), fixed("displacement").alias("displacement"))
+
+
+def centroid_effect(spark, folder):
+    return op.centroid_effect(op.group_centroids(b.embeddings(spark, folder)), 0).withColumn("effect", fixed("effect"))
+
+
+def _directions(spark, folder):
+    df = _moved(spark, folder)
+    shifted = df.select("label", subtract("after", "embedding").alias("embedding")).where("label <> 0")
+    predicted = op.group_centroids(shifted).withColumnRenamed("centroid", "shift")
+    centroids = op.group_centroids(df)
+    control = centroids.where("label = 0").select("centroid").scalar()
+    actual = centroids.where("label <> 0").withColumn("_c", control).withColumn("shift", subtract("centroid", "_c"))
+    return op.direction_cosine(predicted, actual)
+
+
+def direction_cosine(spark, folder):
+    return _directions(spark, folder).select("label", fixed("cosine").alias("cosine"), fixed("magnitude_ratio").alias("magnitude_ratio"))
+
+
+def direction_null(spark, folder):
+    done = op.direction_null(_directions(spark, folder), 500)
+    return done.select("label", fixed("null_p").alias("null_p"))
+
+
+def knn_idw(spark, folder):
+    df = _moved(spark, folder)
+    refs = df.select(F.col("cell_id").alias("ref_id"), F.col("embedding").alias("vector"),
+                     F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
+    queries = df.select(F.col("cell_id").alias("query_id"), F.col("after").alias("vector"))
+    return op.knn_idw(queries, refs).select("query_id", "exact", fixed("x").alias("x"), fixed("y").alias("y"))
+
+
+def kmeans_groups(spark, folder):
+    done = op.kmeans_groups(b.embeddings(spark, folder), 8)
+    return done.groupBy("computed_group").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+QUERIES = {f.__name__: f for f in (
+    group_centroids, nearest_centroid, displacement, away_from_centroid, centroid_effect, direction_cosine, direction_null,
+    knn_idw, kmeans_groups)}
+
+MOVED = """mv AS (SELECT cell_id, label, embedding, CASE WHEN label = 0 THEN embedding ELSE list_transform(embedding, lambda x: x * 0.8 + 0.02 * label) END AS after FROM vecs),
+  flat AS (SELECT cell_id, label, unnest(range(0, len(embedding))) AS pos, unnest(embedding) AS x, unnest(after) AS y FROM mv),
+  cen AS (SELECT label, pos, avg(x) AS m, avg(y - x) AS shift, count(*) AS n FROM flat GROUP BY 1, 2),
+  cvec AS (SELECT label, list(m ORDER BY pos) AS c, list(shift ORDER BY pos) AS s, max(n) AS n FROM cen GROUP BY 1),
+  dirs AS (SELECT a.label, a.s AS p, list_transform(list_zip(a.c, z.c), lambda q: q[1] - q[2]) AS a FROM cvec a, cvec z WHERE z.label = 0 AND a.label <> 0),
+  cosv AS (SELECT label, a, list_inner_product(p, a) / (sqrt(list_inner_product(p, p)) * sqrt(list_inner_product(a, a)) + 1e-12) AS cosine,
+    sqrt(list_inner_product(p, p)) / (sqrt(list_inner_product(a, a)) + 1e-12) AS ratio FROM dirs)"""
+
+ORACLES = {
+    "group_centroids": with_views("vecs", f"WITH {MOVED} SELECT label, n AS n_cells, pos, round(m, 6) AS v FROM cen"),
+    "nearest_centroid": with_views("vecs", f"""WITH {MOVED}, d AS (SELECT cell_id, v.label, list_distance(embedding, c) AS d0, list_distance(after, c) AS d1
+          FROM mv JOIN cvec v ON true),
+        b AS (SELECT cell_id, arg_min(label, (d0, label)) AS nearest_label, min(d0) AS nearest_distance, arg_min(label, (d1, label)) AS after_label, sum(d0) AS t FROM d GROUP BY 1)
+        SELECT cell_id, nearest_label, round(nearest_distance, 6) AS nearest_distance, after_label, nearest_label <> after_label AS changed,
+          round(t, 6) AS total_distance FROM b"""),
+    "displacement": with_views("vecs", f"WITH {MOVED} SELECT cell_id, round(list_distance(embedding, after), 6) AS displacement FROM mv"),
+    "away_from_centroid": with_views("vecs", f"""WITH {MOVED} SELECT label, count(*) AS n_cells, round(avg(list_distance(after, c) - list_distance(embedding, c)), 6) AS away,
+        round(avg(list_distance(embedding, after)), 6) AS displacement FROM mv JOIN cvec USING (label) GROUP BY 1"""),
+    "centroid_effect": with_views("vecs", f"""WITH {MOVED} SELECT a.label, a.n AS n_cells, round(list_distance(a.c, z.c), 6) AS effect
+        FROM cvec a, cvec z WHERE z.label = 0 AND a.label <> 0"""),
+    "direction_cosine": with_views("vecs", f"WITH {MOVED} SELECT label, round(cosine, 6) AS cosine, round(ratio, 6) AS magnitude_ratio FROM cosv"),
+    "direction_null": with_views("vecs", f"""WITH {MOVED}, rnd AS (SELECT rep, pos,
+          sqrt(-2 * ln((('0x' || md5('0:' || rep || ':' || pos || ':a')[1:12])::BIGINT + 1) / 281474976710656))
+          * cos(2 * pi() * ((('0x' || md5('0:' || rep || ':' || pos || ':b')[1:12])::BIGINT + 1) / 281474976710656)) AS g
+          FROM (SELECT unnest(range(0, 500)) AS rep), (SELECT DISTINCT pos FROM flat)),
+        act AS (SELECT label, cosine, unnest(range(0, len(a))) AS pos, unnest(a) AS a FROM cosv),
+        nul AS (SELECT label, cosine, rep, sum(g * a) / (sqrt(sum(g * g)) * sqrt(sum(a * a)) + 1e-12) AS v FROM act JOIN rnd USING (pos) GROUP BY 1, 2, 3)
+        SELECT label, round(avg((v >= cosine)::INT), 6) AS null_p FROM nul GROUP BY 1"""),
+    "knn_idw": with_views("vecs", f"""WITH {MOVED}, d AS (SELECT q.cell_id AS query_id, r.embedding[1] AS x, r.embedding[2] AS y, list_distance(q.after, r.embedding) AS d,
+          row_number() OVER (PARTITION BY q.cell_id ORDER BY list_distance(q.after, r.embedding), r.cell_id) AS k FROM mv q, mv r),
+        t AS (SELECT * FROM d WHERE k <= 15)
+        SELECT query_id, min(d) < 1e-12 AS exact, round(CASE WHEN min(d) < 1e-12 THEN max(x) FILTER (k = 1) ELSE sum(x / nullif(d * d, 0)) / sum(1 / nullif(d * d, 0)) END, 6) AS x,
+          round(CASE WHEN min(d) < 1e-12 THEN max(y) FILTER (k = 1) ELSE sum(y / nullif(d * d, 0)) / sum(1 / nullif(d * d, 0)) END, 6) AS y FROM t GROUP BY 1"""),
+}
