@@ -60,3 +60,9 @@ def chrom_rank(c: Column | str) -> Column:
 
 def fixed(c: Column | str, digits: int = 6) -> Column:
     return F.round(column(c), digits)
+
+
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation aggregate; NULL instead of an error when a side is constant."""
+    spread = F.stddev_pop(column(x)) * F.stddev_pop(column(y))
+    return F.try_divide(F.covar_pop(column(x), column(y)), F.nullif(spread, F.lit(0.0)))

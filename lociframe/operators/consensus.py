@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DOSAGE_COLUMNS, Consensus, Evidence, OrganPenalty
-from ..functions.columns import finite
+from ..functions.columns import correlation, finite
 from ..scale import average_rank, descending_rank, is_hot, null_safe_join, position, with_group_stats
 from .evidence import SCORED_CODES, dosage_conflict, evidence_status
 
@@ -171,7 +171,7 @@ def rank_agreement(df: DataFrame, x: str, y: str, by: Sequence[str] = CASE, spli
         split = is_hot(df, by)
     ranked = average_rank(average_rank(df, by, x, "_rx", split), by, y, "_ry", split)
     spread = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return (ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("_corr"), spread.alias("_ok"))
+    return (ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation("_rx", "_ry").alias("_corr"), spread.alias("_ok"))
             .withColumn("spearman", F.when(F.col("_ok"), F.col("_corr"))).drop("_corr", "_ok"))
 
 

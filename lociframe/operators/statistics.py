@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import correlation
 from ..scale import average_rank, exact_quantiles, position, top_k
 
 
@@ -19,7 +20,7 @@ def score_quantiles(df: DataFrame, value: str, limit: int | None = None) -> Data
 # ---------------------------------------------------------------- correlation
 def _guarded_corr(df: DataFrame, x: str, y: str, name: str) -> DataFrame:
     spread = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return df.agg(F.count(F.lit(1)).alias("n"), F.when(spread, F.corr(x, y)).alias(name))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.when(spread, correlation(x, y)).alias(name))
 
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -171,7 +172,7 @@ def shuffled_spearman(df: DataFrame, key: str, x: str, y: str, n_rep: int = 200,
     reps = ranked.select(key, f"_r_{y}").withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
     mixed = position(reps.withColumn("_h", _shuffle_key("_rep", key, seed)), ["_rep"], ["_h", key], "_at", limit=limit)
     null = mixed.join(ranked.select("_at", F.col(f"_r_{x}").alias("_x")), "_at").groupBy("_rep").agg(
-        F.corr("_x", f"_r_{y}").alias("_c"))
+        correlation("_x", f"_r_{y}").alias("_c"))
     return null.agg(F.count(F.lit(1)).alias("n_rep"), F.avg("_c").alias("null_mean"), F.stddev_pop("_c").alias("null_sd"))
 
 

@@ -56,11 +56,11 @@ def require_small(df: DataFrame, what: str, limit: int | None = None) -> DataFra
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join on columns where NULL groups with NULL, keeping only the left key columns."""
-    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
+    renamed = right.select(*[F.col(c).alias(f"__right_{c}") if c in on else F.col(c) for c in right.columns])
     condition = F.lit(True)
     for c in on:
-        condition = condition & left[c].eqNullSafe(renamed[f"_r_{c}"])
-    return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in on])
+        condition = condition & left[c].eqNullSafe(renamed[f"__right_{c}"])
+    return left.join(renamed, condition, how).drop(*[f"__right_{c}" for c in on])
 
 
 def with_group_stats(df: DataFrame, by: Sequence[str], aggregates: dict[str, Column], split: bool) -> DataFrame:
