@@ -112,7 +112,7 @@ def merge_blocks(df: DataFrame, by: Sequence[str], start: str = "start", end: st
     blocks = (OrderedGroups(df.select(*by, start, end), by, [start, end], split)
               .running("_reach", F.col(end), how="max", inclusive=False))
     opens = F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + 1), 1).otherwise(0)
-    numbered = blocks.running("_block", opens).frame()
+    numbered = blocks.running("_block", opens, peers=True).frame()
     return (numbered.groupBy(*by, "_block").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_block"))
 
 

@@ -52,7 +52,7 @@ FEATURES = """base AS (SELECT o_custkey AS gene_id, l_orderkey AS transcript_id,
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
   flagged AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY transcript_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1
       THEN 1 ELSE 0 END AS opens FROM base),
-  numbered AS (SELECT *, sum(opens) OVER (PARTITION BY transcript_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS block FROM flagged),
+  numbered AS (SELECT *, sum(opens) OVER (PARTITION BY transcript_id ORDER BY s, e) AS block FROM flagged),
   blocks AS (SELECT gene_id, transcript_id, block, min(s) AS s, max(e) AS e FROM numbered GROUP BY ALL),
   tx AS (SELECT gene_id, transcript_id, any_value(plus) AS plus, any_value(pr) AS pr, bool_or(f = 'N' AND st = 'O') AS has_cds,
       bool_or(f = 'R') AS has_stop, min(s) FILTER ((f = 'N' AND st = 'O') OR f = 'R') AS cs,

@@ -95,12 +95,19 @@ class OrderedGroups:
             df = checkpoint(placed.withColumn("_piece", F.spark_partition_id()))
         self.df = df
 
-    def running(self, name: str, value: Column, how: str = "sum", inclusive: bool = True) -> "OrderedGroups":
-        """Add a running sum or max of ``value``; NULL before the first row when exclusive."""
+    def running(self, name: str, value: Column, how: str = "sum", inclusive: bool = True,
+                peers: bool = False) -> "OrderedGroups":
+        """Add a running sum or max of ``value``; NULL before the first row when exclusive.
+
+        ``peers=True`` gives rows with equal order keys the same (inclusive) value, so a result
+        that depends on an earlier running column does not depend on how ties are arranged.
+        """
         fold = {"sum": F.sum, "max": F.max}[how]
         last = W.currentRow if inclusive else -1
         keys = self.by + (["_piece"] if self.split else [])
-        window = W.partitionBy(*keys).orderBy(*self.order).rowsBetween(W.unboundedPreceding, last)
+        ordered = W.partitionBy(*keys).orderBy(*self.order)
+        frame = ordered.rangeBetween if peers else ordered.rowsBetween
+        window = frame(W.unboundedPreceding, last)
         if not self.split:
             self.df = self.df.withColumn(name, fold(value).over(window))
             return self
