@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scale import checkpoint
 from .intervals import merge_blocks
 
 KEY = ("gene_id", "transcript_id")
@@ -64,7 +65,7 @@ def utr3_lengths(features: DataFrame, transcripts: DataFrame, key: Sequence[str]
 def transcript_design(features: DataFrame, candidates: DataFrame, split: bool | None = None) -> DataFrame:
     """Add transcript_id, transcript_choice, utr3_bp and utr3_status to candidates (one row each)."""
     wanted = features.join(candidates.select("gene_id").distinct(), "gene_id", "left_semi")
-    transcripts = transcript_summary(wanted)
+    transcripts = checkpoint(transcript_summary(wanted))  # one row per transcript, read three times below
     chosen = choose_transcript(transcripts)
     picked = chosen.where("transcript_id IS NOT NULL").select(*KEY)
     # Only the chosen transcript's exons are merged.

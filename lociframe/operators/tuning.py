@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Consensus
-from ..scale import is_hot, position
+from ..scale import checkpoint, is_hot, position
 from .consensus import CASE, adjusted
 
 
@@ -83,6 +83,7 @@ def loo_folds(ranks: DataFrame, top_n: int = 10, by: Sequence[str] = CASE) -> Da
 
 def loo_tune(ranks: DataFrame, top_n: int = 10, by: Sequence[str] = CASE) -> DataFrame:
     """Per case: leave-one-out hit rate, the final weight combination and its recall."""
+    ranks = checkpoint(ranks)  # read by every fold and by the final choice
     rate = loo_folds(ranks, top_n, by).groupBy(*by).agg(F.avg(F.col("in_top_n").cast("double")).alias("loo_hit_rate"))
     recall = ranks.groupBy(*by, "grid_id", "l1").agg(F.avg((F.col("rank") <= top_n).cast("double")).alias("_recall"),
                                                      F.count(F.lit(1)).alias("_n"))

@@ -15,14 +15,15 @@ def _features(spark, folder):
             .when(F.col("o_orderpriority") == "2-HIGH", F.array(F.lit("Ensembl_canonical")))
             .when(F.col("o_orderpriority") == "5-LOW", F.array(F.lit("cds_end_NF"))).otherwise(F.array(F.lit("basic"))))
     start = (F.col("l_linenumber") * 40).cast("bigint")
-    base = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
-        F.col("o_custkey").alias("gene_id"), F.col("l_orderkey").alias("transcript_id"), start.alias("start"),
-        (start + F.col("l_quantity").cast("bigint")).alias("end"),
-        F.when(F.col("o_orderstatus") == "F", "+").otherwise("-").alias("strand"), tags.alias("tags"), "l_returnflag", "l_linestatus")
-    exon = base.withColumn("feature", F.lit("exon"))
-    cds = base.where("l_returnflag = 'N' AND l_linestatus = 'O'").withColumn("feature", F.lit("CDS"))
-    stop = base.where("l_returnflag = 'R'").withColumn("feature", F.lit("stop_codon")).withColumn("end", F.col("start") + 2)
-    return exon.unionByName(cds).unionByName(stop).drop("l_returnflag", "l_linestatus")
+    stop = start + F.col("l_quantity").cast("bigint")
+    block = lambda name, end: F.struct(F.lit(name).alias("feature"), start.alias("start"), end.alias("end"))
+    is_cds = (F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "O")
+    # One pass over the lines: each gives an exon and, by its flags, a CDS or a stop codon.
+    rows = F.array_compact(F.array(block("exon", stop), F.when(is_cds, block("CDS", stop)),
+                                   F.when(F.col("l_returnflag") == "R", block("stop_codon", start + 2))))
+    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
+        F.col("o_custkey").alias("gene_id"), F.col("l_orderkey").alias("transcript_id"),
+        F.when(F.col("o_orderstatus") == "F", "+").otherwise("-").alias("strand"), tags.alias("tags"), F.inline(rows))
 
 
 def merge_exon_blocks(spark, folder):

@@ -110,12 +110,12 @@ def _snapshot(spark, folder):
     """Nested association text per user of ``events``: one association per event type."""
     events = b.table(spark, folder, "events")
     per_type = events.groupBy(F.col("user_id").alias("gene_id"), "event_type").agg(
-        F.max("value").alias("value"), F.count(F.lit(1)).alias("n"))
+        F.max("value").alias("value"), F.count(F.lit(1)).alias("n")).where("value >= 150")
     entry = F.struct(F.struct(F.col("event_type").alias("id"), F.upper("event_type").alias("name")).alias("disease"),
                      (F.col("value") / (F.col("value") + F.col("n"))).alias("score"),
                      F.array(F.struct(F.lit("events").alias("id"), F.col("value").alias("score"))).alias("datasourceScores"))
-    record = F.struct(F.when(F.col("top") < 30, "query_failed").otherwise("ok").alias("status"),
-                      F.when(F.col("top") < 30, "timeout").alias("error"),
+    record = F.struct(F.when(F.col("top") < 200, "query_failed").otherwise("ok").alias("status"),
+                      F.when(F.col("top") < 200, "timeout").alias("error"),
                       F.col("list").alias("associations"), F.col("list").alias("background"))
     listed = per_type.groupBy("gene_id").agg(F.max("value").alias("top"), F.array_sort(F.collect_list(entry)).alias("list"))
     return listed.select("gene_id", F.to_json(record).alias("json"))
@@ -212,13 +212,13 @@ ORACLES = {
         j AS (SELECT k AS gene_id, n.hgnc_id IN (SELECT hgnc_id FROM o) AS a, n.hgnc_id IN (SELECT hgnc_id FROM m) AS b FROM nomen n)
         SELECT gene_id, a OR b AS recessive, CASE WHEN a AND b THEN 'OMIM;ClinVar' WHEN a THEN 'OMIM' WHEN b THEN 'ClinVar' ELSE '' END
           AS recessive_source, 'records_checked' AS recessive_assessment FROM j""",
-    "association_status": """WITH per AS (SELECT user_id, event_type, max(value) AS v, count(*) AS n FROM events GROUP BY ALL),
+    "association_status": """WITH per AS (SELECT user_id, event_type, max(value) AS v, count(*) AS n FROM events GROUP BY ALL HAVING max(value) >= 150),
         g AS (SELECT user_id, max(v) AS top, max(v / (v + n)) FILTER (event_type = 'purchase') AS score,
           count(*) FILTER (event_type = 'click') AS np, count(*) FILTER (event_type NOT IN ('purchase', 'click')) AS nb FROM per GROUP BY 1)
-        SELECT p_partkey AS gene_id, CASE WHEN top IS NULL THEN 'missing_record' WHEN top < 30 THEN 'query_failed'
+        SELECT p_partkey AS gene_id, CASE WHEN top IS NULL THEN 'missing_record' WHEN top < 200 THEN 'query_failed'
             WHEN score IS NULL THEN 'no_record' ELSE 'available' END AS ot_status,
-          CASE WHEN top >= 30 THEN round(score, 6) END AS ot_disease_score, CASE WHEN top >= 30 THEN np END AS n_phenotypes,
-          CASE WHEN top >= 30 THEN nb END AS n_background, CASE WHEN top < 30 THEN 'timeout' ELSE '' END AS ot_error
+          CASE WHEN top >= 200 THEN round(score, 6) END AS ot_disease_score, CASE WHEN top >= 200 THEN np END AS n_phenotypes,
+          CASE WHEN top >= 200 THEN nb END AS n_background, CASE WHEN top < 200 THEN 'timeout' ELSE '' END AS ot_error
         FROM part LEFT JOIN g ON user_id = p_partkey""",
     "viability_annotation": """SELECT p_partkey AS gene_id, CASE WHEN s_suppkey IS NULL THEN 'not_supplied' WHEN s_acctbal < 0 THEN 'lethal'
           WHEN s_acctbal < 5000 THEN 'subviable' ELSE 'viable' END AS impc_viability, 'MGI:' || s_suppkey AS impc_mouse_gene_id
