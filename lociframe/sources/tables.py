@@ -21,10 +21,23 @@ GTF_COLUMNS = ("seqname", "source", "feature", "start", "end", "score", "strand"
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one text file with their 0-based number (byte-order mark removed)."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿|\r$", "").alias("value"))
-    schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("line", T.LongType())])
-    return spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda p: (p[0][0], p[1])), schema)
+    """Lines of one text file with their 0-based number (byte-order mark removed).
+
+    The number is the position inside the scan partition plus the sizes of the earlier partitions;
+    only one count per partition reaches the driver.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    sizes = {r["_part"]: r["count"] for r in lines.groupBy("_part").count().collect()}
+    offsets, total = [], 0
+    for part in range(max(sizes, default=-1) + 1):
+        offsets.append(F.lit(total).cast("bigint"))
+        total += sizes.get(part, 0)
+    if not offsets:
+        return lines.select("value", F.col("_at").alias("line"))
+    local = F.col("_at") - F.shiftleft(F.col("_part").cast("bigint"), 33)
+    return lines.select(F.regexp_replace("value", "^\ufeff|\r$", "").alias("value"),
+                        (local + F.array(*offsets)[F.col("_part")]).alias("line"))
 
 
 def _spread(df: DataFrame, partitions: int | None) -> DataFrame:

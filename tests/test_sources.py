@@ -208,3 +208,16 @@ def test_sinks_refuse_existing_output(spark, tmp_path):
     sinks.write_evidence(ranked, str(tmp_path / "evidence"))
     assert tables.read_evidence(spark, str(tmp_path / "evidence")).count() == 2
     sinks.write_candidates(ranked, str(tmp_path / "candidates"))
+
+
+def test_line_numbers_across_scan_partitions(spark, tmp_path):
+    path = write(tmp_path / "long.txt", "".join(f"line{i}\n" for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        lines = tables.numbered_lines(spark, path)
+        assert lines.select(F.spark_partition_id()).distinct().count() > 1
+        assert all(r["value"] == f"line{r['line']}" for r in lines.collect())
+        assert lines.agg(F.countDistinct("line")).first()[0] == 5000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
