@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import checkpoint
+from ..scale import GROUP_ROWS, checkpoint
 from .intervals import merge_blocks
 
 KEY = ("gene_id", "transcript_id")
@@ -24,7 +24,7 @@ def transcript_summary(features: DataFrame, key: Sequence[str] = KEY) -> DataFra
     return features.groupBy(*key).agg(
         F.min("strand").alias("strand"), tag("MANE_Select").alias("is_mane"), tag("Ensembl_canonical").alias("is_canonical"),
         tag("cds_end_NF").alias("cds_end_missing"), F.bool_or(F.col("feature") == "exon").alias("has_exon"),
-        F.bool_or(F.col("feature") == "CDS").alias("has_cds"), F.bool_or(F.col("feature") == "stop_codon").alias("has_stop"),
+        F.count_if(F.col("feature") == "exon").alias("n_exons"), F.bool_or(F.col("feature") == "CDS").alias("has_cds"), F.bool_or(F.col("feature") == "stop_codon").alias("has_stop"),
         F.min(F.when(coding, F.col("start"))).alias("coding_start"), F.max(F.when(coding, F.col("end"))).alias("coding_end"))
 
 
@@ -66,6 +66,8 @@ def transcript_design(features: DataFrame, candidates: DataFrame, split: bool |
     """Add transcript_id, transcript_choice, utr3_bp and utr3_status to candidates (one row each)."""
     wanted = features.join(candidates.select("gene_id").distinct(), "gene_id", "left_semi")
     transcripts = checkpoint(transcript_summary(wanted))  # one row per transcript, read three times below
+    if split is None:  # the exon counts are at hand, so the exon rows need not be counted again
+        split = (transcripts.agg(F.max("n_exons").alias("n")).first()["n"] or 0) > GROUP_ROWS
     chosen = choose_transcript(transcripts)
     picked = chosen.where("transcript_id IS NOT NULL").select(*KEY)
     # Only the chosen transcript's exons are merged.
