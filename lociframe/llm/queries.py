@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentence_pieces
+from . import sentence_pieces, simhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,8 +20,13 @@ def op4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return sentence_pieces.digests(sentence_pieces.encode_documents(table(spark, folder, "documents"), piece_model()))
 
 
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.digests(simhash.near_duplicates(table(spark, folder, "documents")))
+
+
 QUERIES = {
     "op4_pieces": op4_pieces,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLES: dict[str, str] = {}
