@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentence_pieces, simhash
+from ..scale import shared_folder
+from . import archives, sentence_pieces, simhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,13 +23,33 @@ def op4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return sentence_pieces.digests(sentence_pieces.encode_documents(table(spark, folder, "documents"), piece_model()))
 
 
+def op5_archives(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    target = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    archives.write_archives(archives.plan_records(pages), target)
+    return archives.digests(archives.read_archives(spark.read.parquet(target)), pages.schema["page_id"].dataType.simpleString())
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(table(spark, folder, "documents")))
 
 
 QUERIES = {
     "op4_pieces": op4_pieces,
+    "op5_archives": op5_archives,
     "op9_simhash": op9_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+# Base32 of a SHA-1: five hexadecimal digits at a time are four symbols.
+ARCHIVES = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages),
+    d AS (SELECT digest, max(page_id) AS newest FROM p GROUP BY digest)
+    SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+      list_aggregate(list_transform(range(0, 32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(p.digest, 5 * (k // 4) + 1, 5))::BIGINT >> (15 - 5 * (k % 4))::BIGINT) & 31)::BIGINT + 1, 1)), 'string_agg', '') AS payload_digest,
+      CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id <> newest THEN newest END AS refers_to, 'verified' AS status
+    FROM p JOIN d USING (digest)"""
+
+ORACLES: dict[str, str] = {
+    "op5_archives": ARCHIVES,
+}
