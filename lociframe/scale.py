@@ -21,16 +21,22 @@ GROUP_ROWS = 2_000_000
 SMALL_ROWS = 100_000
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder configured for the session."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where a local session has none."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder configured for the session."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
