@@ -44,7 +44,7 @@ QUERIES = {
 ARCHIVES = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages),
     d AS (SELECT digest, max(page_id) AS newest FROM p GROUP BY digest)
     SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
-      list_aggregate(list_transform(range(0, 32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
         ((('0x' || substr(p.digest, 5 * (k // 4) + 1, 5))::BIGINT >> (15 - 5 * (k % 4))::BIGINT) & 31)::BIGINT + 1, 1)), 'string_agg', '') AS payload_digest,
       CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
       CASE WHEN page_id <> newest THEN newest END AS refers_to, 'verified' AS status
