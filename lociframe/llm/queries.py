@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ..scale import shared_folder
-from . import archives, sentence_pieces, simhash
+from . import archives, quality, sentence_pieces, simhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op5_archives(spark: SparkSession, folder: str) -> DataFrame:
     return archives.digests(archives.read_archives(spark.read.parquet(target)), pages.schema["page_id"].dataType.simpleString())
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.judge(docs, quality.fit(docs, table(spark, folder, "labels")))
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(table(spark, folder, "documents")))
 
@@ -37,6 +42,7 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op4_pieces": op4_pieces,
     "op5_archives": op5_archives,
+    "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
 }
 
