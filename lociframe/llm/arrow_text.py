@@ -50,8 +50,9 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    inside = ~SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> Words:
+    """Runs of bytes outside the table ``apart``, cut at the ends of rows."""
+    inside = ~apart[data]
     edge = np.ones(len(data) + 1, bool)
     np.not_equal(inside[1:], inside[:-1], out=edge[1:len(data)])
     edge[offsets] = True

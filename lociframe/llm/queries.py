@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ..scale import shared_folder
-from . import archives, quality, sentence_pieces, simhash
+from . import archives, licenses, quality, sentence_pieces, simhash, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return sentence_pieces.digests(sentence_pieces.encode_documents(table(spark, folder, "documents"), piece_model()))
 
@@ -39,11 +43,17 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(table(spark, folder, "documents")))
 
 
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, folder, "documents"), piece_model())
+
+
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op4_pieces": op4_pieces,
     "op5_archives": op5_archives,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
+    "op10_token_counts": op10_token_counts,
 }
 
 # Base32 of a SHA-1: five hexadecimal digits at a time are four symbols.
