@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..scale import shared_folder
-from . import archives, licenses, quality, sentence_pieces, simhash, token_counts
+from . import archives, language_model, licenses, quality, sentence_pieces, simhash, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,6 +24,11 @@ def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
 
+def op3_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return language_model.score(table(spark, folder, "documents"), held_out)
+
+
 def op4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return sentence_pieces.digests(sentence_pieces.encode_documents(table(spark, folder, "documents"), piece_model()))
 
@@ -49,6 +55,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_licenses": op1_licenses,
+    "op3_language_model": op3_language_model,
     "op4_pieces": op4_pieces,
     "op5_archives": op5_archives,
     "op8_quality": op8_quality,
