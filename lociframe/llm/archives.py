@@ -85,11 +85,12 @@ def read_segment(content: bytes) -> Iterator[dict]:
         unpacker, framing, begun, found = zlib.decompressobj(31), Framing(), at, []
         try:
             while not unpacker.eof:
-                if at >= len(view):
-                    raise ValueError("member is cut off")
                 block = view[at:at + BLOCK]
                 data = unpacker.decompress(block, BLOCK)
-                at += len(block) - len(unpacker.unconsumed_tail) - len(unpacker.unused_data)
+                # Only one of the two holds what is left of the block.
+                at += len(block) - len(unpacker.unused_data if unpacker.eof else unpacker.unconsumed_tail)
+                if not (block or data or unpacker.eof):
+                    raise ValueError("member is cut off")
                 found += framing.feed(data)
             if framing.buffer or framing.fields is not None:
                 raise ValueError("record is cut off")

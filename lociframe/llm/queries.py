@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scale import shared_folder
-from . import archives, language_model, licenses, quality, sentence_pieces, simhash, token_counts
+from . import archives, decontamination, language_model, licenses, quality, sentence_pieces, simhash, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op5_archives(spark: SparkSession, folder: str) -> DataFrame:
     return archives.digests(archives.read_archives(spark.read.parquet(target)), pages.schema["page_id"].dataType.simpleString())
 
 
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("row_key")
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality.judge(docs, quality.fit(docs, table(spark, folder, "labels")))
@@ -58,6 +62,7 @@ QUERIES = {
     "op3_language_model": op3_language_model,
     "op4_pieces": op4_pieces,
     "op5_archives": op5_archives,
+    "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
