@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scale import shared_folder
-from . import archives, decontamination, language_model, licenses, line_dedup, quality, sentence_pieces, simhash, token_counts
+from . import archives, decontamination, language_model, licenses, line_dedup, quality, repeats, sentence_pieces, simhash, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
 
+def op2_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.digests(repeats.remove_repeats(table(spark, folder, "documents")))
+
+
 def op3_language_model(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     return language_model.score(table(spark, folder, "documents"), held_out)
@@ -63,6 +67,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_licenses": op1_licenses,
+    "op2_repeats": op2_repeats,
     "op3_language_model": op3_language_model,
     "op4_pieces": op4_pieces,
     "op5_archives": op5_archives,

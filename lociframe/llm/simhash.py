@@ -99,14 +99,16 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp), fp the 64 bits as a signed long. NULL texts are empty; ids pass through, NULL and repeated ones too."""
+    """(id, row_key, fp), fp the 64 bits as a signed long. NULL texts are empty; ids pass through, NULL and repeated ones too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in arrow_text.pieces(batch, "text"):
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fingerprints_of(data, offsets).view(np.int64))], names=["id", "fp"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(fingerprints_of(data, offsets).view(np.int64))],
+                                                 names=["id", "row_key", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, row_key bigint, fp bigint")
 
 
 _position = np.arange(256, dtype=np.uint64)
@@ -225,7 +227,7 @@ def links(distinct: DataFrame, bits: int = THRESHOLD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = THRESHOLD) -> DataFrame:
-    """One row per document: id, fp and component_id, the smallest id reachable over links (its own included).
+    """One row per document: id, row_key, fp, root (a fingerprint that names the class) and component_id, the smallest id reachable over links.
 
     Equal fingerprints are one class before any comparison, so thousands of copies cost one row. Documents without words have
     fingerprint zero and are linked like any other. NULL ids keep their row and never become a component_id.
@@ -235,9 +237,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links(classes, bits))
     rooted = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = rooted.join(best.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
+    by_class = rooted.join(best.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "root", "component_id")
     return (marked.join(by_class, F.col("fp") == F.col("f"))
-            .select(F.col("id").alias(id_col), "fp", "component_id"))
+            .select(F.col("id").alias(id_col), "row_key", "fp", "root", "component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = THRESHOLD) -> DataFrame:
+    """One document of each class, that of the smallest id, with all its columns; of equal rows one."""
+    first = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("i"), "row_key")).alias("m")
+    chosen = near_duplicates(docs, id_col, text_col, bits).groupBy("root").agg(first).select(F.col("m.row_key").alias("__chosen"))
+    rows = docs.withColumn("__key", F.xxhash64(id_col, text_col)).join(chosen, F.col("__key") == F.col("__chosen"), "left_semi")
+    return rows.dropDuplicates(["__key"]).drop("__key")
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
