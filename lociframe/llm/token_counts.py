@@ -20,7 +20,7 @@ from .sentence_pieces import MARK, Vocabulary
 UNIT = 1 << 20  # scores are whole numbers of this fraction, so that ties are exact
 UNCOVERED = 10  # natural-log units an uncovered byte scores below the rarest piece
 # A worker starts a new trie beyond so many nodes; results do not depend on it.
-TRIE_NODES = 4_000_000
+TRIE_NODES = 1_200_000
 _PACK = 60  # a segmentation is packed as pieces << 60 plus its negated score
 
 
@@ -42,7 +42,7 @@ class Trie:
         self.clear()
 
     def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
+        self.child: dict[int, int] = {}  # node << 21 | character
         self.best = [0]  # packed so that less is better: score first, then pieces
         self.ends.clear()
 
@@ -55,7 +55,7 @@ class Trie:
         child, best = self.child, self.best
         node, path = 0, [0]
         for at, c in enumerate(token, 1):
-            key = (node, c)
+            key = node << 21 | ord(c)
             node = child.get(key, -1)
             if node < 0:
                 found, least = None, None
