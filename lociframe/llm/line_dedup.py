@@ -48,37 +48,21 @@ def letters_differ(a: Column, b: Column) -> Column:
     return total
 
 
-def _segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
+def _segment(length: Column, number: Column, edits: int) -> tuple[Column, Column]:
     """(first character from 1, size) of a segment; the last segments take the remainder."""
     size = F.floor(length / (edits + 1)).cast("int")
     plain = F.lit(edits + 1) - length % (edits + 1)  # segments of the smaller size
-    start = F.lit(number) * size + F.greatest(F.lit(number) - plain, F.lit(0)) + 1
-    return start.cast("int"), (size + F.when(F.lit(number) >= plain, 1).otherwise(0)).cast("int")
+    return (number * size + F.greatest(number - plain, F.lit(0)) + 1).cast("int"), (size + (number >= plain).cast("int")).cast("int")
 
 
-def _key(length: Column, number: int, text: Column) -> Column:
-    return F.xxhash64(length, F.lit(number), text)
+def _index_places(edits: int) -> list[tuple[int, int, int]]:
+    return [(0, number, 0) for number in range(edits + 1)]
 
 
-def _index_keys(line: Column, length: Column, edits: int) -> Column:
-    keys = []
-    for number in range(edits + 1):
-        start, size = _segment(length, number, edits)
-        keys.append(F.struct(_key(length, number, F.substr(line, start, size)).alias("key"), F.lit(0).alias("shorter")))
-    return F.array(*keys)
-
-
-def _probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """Places a segment can have after at most ``edits`` edits, given the edits needed on either side of it."""
-    keys = []
-    for shorter in range(edits + 1):
-        other = length - shorter
-        for number in range(edits + 1):
-            start, size = _segment(other, number, edits)
-            for move in range(max(-number, shorter - (edits - number)), min(number, shorter + (edits - number)) + 1):
-                inside = (start + move >= 1) & (start + move + size - 1 <= length) & (other > edits)
-                keys.append(F.when(inside, F.struct(_key(other, number, F.substr(line, start + move, size)).alias("key"), F.lit(shorter).alias("shorter"))))
-    return F.filter(F.array(*keys), lambda k: k.isNotNull())
+def _probe_places(edits: int) -> list[tuple[int, int, int]]:
+    """(characters by which the other line is shorter, its segment, shift) that at most ``edits`` edits on both sides allow."""
+    return [(shorter, number, move) for shorter in range(edits + 1) for number in range(edits + 1)
+            for move in range(max(-number, shorter - (edits - number)), min(number, shorter + (edits - number)) + 1)]
 
 
 def _let(value: Column, body) -> Column:
@@ -151,25 +135,30 @@ def _pick(rows: DataFrame, ids: DataFrame, key: str, n: int) -> DataFrame:
 
 def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b): ids of linked distinct lines, each pair once. ``lines`` has columns line and line_id, repeats allowed."""
-    texts = lines.where(F.length("line") >= max(EXACT_BELOW - 1, edits + 1)).where(F.col("line").rlike(WORD)).select("line_id", "line")
-    counted = texts.groupBy("line_id").agg(F.count("*").alias("n"))
+    texts = lines.where(F.length("line") >= max(EXACT_BELOW - 1, edits + 1)).where(F.col("line").rlike(WORD)).select(
+        "line_id", "line", F.length("line").alias("n"), letter_counts(F.col("line")).alias("letters"))
+    counted = texts.groupBy("line_id").agg(F.count("*").alias("times"))
     total = texts.count()
-    hot = checkpoint(counted.where(F.col("n") > max(total * HOT_SHARE, 1)).select(F.col("line_id").alias("picked")))
+    hot = checkpoint(counted.where(F.col("times") > max(total * HOT_SHARE, 1)).select(F.col("line_id").alias("picked")))
     # At most 1 / HOT_SHARE ids; hot lines are made distinct before they are cut, the others behind the shuffle on the key.
     rare = texts.join(F.broadcast(hot), F.col("line_id") == F.col("picked"), "left_anti")
     once = texts.join(F.broadcast(hot), F.col("line_id") == F.col("picked"), "left_semi").dropDuplicates(["line_id"])
 
-    def keyed(keys) -> DataFrame:
-        both = rare.union(once)
-        n = F.length("line")
-        out = both.select("line_id", letter_counts(F.col("line")).alias("letters"), F.explode(keys(F.col("line"), n, edits)).alias("k"))
-        out = out.select("k.key", "k.shorter", "line_id", "letters")
+    def keyed(places: list[tuple[int, int, int]]) -> DataFrame:
+        listed = F.array(*[F.struct(F.lit(s).alias("shorter"), F.lit(k).alias("number"), F.lit(m).alias("move")) for s, k, m in places])
+        out = rare.union(once).select("line_id", "line", "n", "letters", F.inline(listed))
+        other = F.col("n") - F.col("shorter")
+        start, size = _segment(other, F.col("number"), edits)
+        out = out.withColumns({"other": other, "start": start + F.col("move"), "size": size})
+        out = out.where((F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.col("n")) & (F.col("other") > edits))
+        out = out.select(F.xxhash64("other", "number", F.substr("line", "start", "size")).alias("key"), "shorter", "line_id", "letters",
+                         allowed_edits(F.col("n")).alias("most"))
         return out.repartition("key").dropDuplicates(["key", "shorter", "line_id"])
 
-    index = keyed(_index_keys).select(F.col("key").alias("k"), F.col("line_id").alias("a"), F.col("letters").alias("la"))
-    probes = keyed(_probe_keys).select("key", "shorter", F.col("line_id").alias("b"), F.col("letters").alias("lb"))
+    index = keyed(_index_places(edits)).select(F.col("key").alias("k"), F.col("line_id").alias("a"), F.col("letters").alias("la"))
+    probes = keyed(_probe_places(edits)).select("key", "shorter", F.col("line_id").alias("b"), F.col("letters").alias("lb"), "most")
     near = (F.col("key") == F.col("k")) & F.when(F.col("shorter") > 0, F.col("a") != F.col("b")).otherwise(F.col("a") < F.col("b")) & (
-        letters_differ(F.col("la"), F.col("lb")) <= 2 * edits)
+        letters_differ(F.col("la"), F.col("lb")) <= 2 * F.least(F.col("most"), F.lit(edits)))
     pairs = checkpoint(index.join(probes, near).select("a", "b").distinct())
     ids = pairs.select(F.explode(F.array("a", "b")).alias("picked")).distinct()
     found = _pick(texts, ids, "line_id", ids.count()).dropDuplicates(["line_id"])
