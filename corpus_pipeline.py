@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lociframe.llm import decontamination, line_dedup, quality, sentence_pieces, simhash
 from lociframe.llm.queries import piece_model, table
@@ -20,7 +21,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_lines(docs)
+    return line_dedup.remove_lines(docs).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
