@@ -30,7 +30,9 @@ GRAM = 16
 GRAMS = LEAST - GRAM + 1  # in a window
 BUCKET_BITS = 10
 FILTER_BITS = 29  # 64 MB
-FLUSH_BYTES = 12 << 20
+# Text a task reads between two rounds of output; memory is a small multiple of it.
+FLUSH_BYTES = 6 << 20
+SLICE_BYTES = 1 << 20
 # Longer texts are read in stretches that overlap by LEAST - 1 bytes.
 STRETCH = 32 << 20
 _PLACE = np.uint64(27)
@@ -73,7 +75,7 @@ class Runs:
 
 def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, row offsets, ids, row keys, place of the first byte in its text) of bounded slices."""
-    for rows, data, offsets in arrow_text.pieces(batch, "text"):
+    for rows, data, offsets in arrow_text.pieces(batch, "text", SLICE_BYTES):
         ids = pc.fill_null(rows["id"].cast(pa.int64()), int(UNORDERED)).to_numpy()
         keys = rows["row_key"].to_numpy()
         if len(data) <= STRETCH:
@@ -172,18 +174,16 @@ def contexts(rows: DataFrame, bits: np.ndarray, bucket_bits: int, filter_bits: i
             high = np.maximum.reduceat(before[order], np.flatnonzero(new)) if len(first) else before
             kept_before = np.where(low == high, low, 256).astype("<i2")
             by_piece, by_place = _cut(bucket[first], bucket_bits), _cut(bucket[order], bucket_bits)
-            # Contexts follow each other bucket by bucket.
-            at = np.repeat(starts[first] - np.concatenate([[0], np.cumsum(lengths[first])[:-1]]), lengths[first]) + np.arange(lengths[first].sum())
-            text, ends = texts[at], np.concatenate([[0], np.cumsum(lengths[first])])
             pack = zstandard.ZstdCompressor(level=3).compress
             out = []
             for b in np.flatnonzero(by_piece[1:] > by_piece[:-1]).tolist():
                 p, q = by_piece[b], by_piece[b + 1]
                 s, e = by_place[b], by_place[b + 1]
                 o = order[s:e]
-                out.append({"bucket": b, "text": pack(text[ends[p]:ends[q]].tobytes()), "lengths": lengths[first[p:q]].astype("<i4").tobytes(),
+                text = b"".join(texts[starts[i]:starts[i] + lengths[i]].tobytes() for i in first[p:q].tolist())
+                out.append({"bucket": b, "text": pack(text), "lengths": lengths[first[p:q]].astype("<i4").tobytes(),
                             "before": kept_before[p:q].tobytes(), "n_places": n_places[p:q].astype("<i4").tobytes(),
-                            "ids": ids[o].tobytes(), "keys": keys[o].tobytes(), "places": places[o].tobytes()})
+                            "ids": pack(ids[o].tobytes()), "keys": keys[o].tobytes(), "places": pack(places[o].astype("<i4").tobytes())})
             return pa.RecordBatch.from_pylist(out, pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in
                                               ("text", "lengths", "before", "n_places", "ids", "keys", "places")]]))
 
@@ -220,12 +220,13 @@ class Bucket:
         def column(name: str, kind: str) -> np.ndarray:
             return np.frombuffer(b"".join(table[name].to_pylist()), kind)
         unpack = zstandard.ZstdDecompressor().decompress
-        self.text = np.frombuffer(b"".join(map(unpack, table["text"].to_pylist())), np.uint8)
+        unpacked = lambda name, kind: np.frombuffer(b"".join(map(unpack, table[name].to_pylist())), kind)
+        self.text = unpacked("text", np.uint8)
         self.length = column("lengths", "<i4").astype(np.int64)
         self.begin = np.cumsum(self.length) - self.length
         self.before = column("before", "<i2")
         n_places = column("n_places", "<i4")
-        self.ids, self.keys, self.places = column("ids", "<i8"), column("keys", "<i8"), column("places", "<i8")
+        self.ids, self.keys, self.places = unpacked("ids", "<i8"), column("keys", "<i8"), unpacked("places", "<i4").astype(np.int64)
         self.context_of = np.repeat(np.arange(len(self.length)), n_places)
         self.least_id = np.minimum.reduceat(self.ids, np.cumsum(n_places) - n_places)
         self.n_places = n_places
@@ -372,7 +373,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                .groupBy("covered_key").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, len(b), 512)):
             out = []
             for text, spans in zip(batch["text"], batch["spans"].to_pylist(), strict=True):
                 data, end, removed, n_spans, kept = text.as_py(), 0, 0, 0, []
