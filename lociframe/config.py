@@ -55,7 +55,6 @@ class OrganPenalty:
 class Tuning:
     grid: tuple[float, ...] = (0, 1, 2, 3)
     top_n: int = 10
-    max_combinations: int = 20_000
 
     def __post_init__(self):
         for value in self.grid:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import column
-from ..scale import require_small, top_k
+from ..scale import paired, top_k
 
 CELL = ("cell_id",)
 PER = 10_000
@@ -63,9 +63,14 @@ def library_size(counts: DataFrame, cells: DataFrame, supplied: str | None = Non
 
 
 def lognorm(counts: DataFrame, libraries: DataFrame, target: float = PER, by: Sequence[str] = CELL) -> DataFrame:
-    """Add ``value`` = log1p(count / library * target); absent rows stay zero because log1p(0) = 0."""
-    size = libraries.where("library > 0").select(*by, "library")
-    return counts.join(size, list(by)).withColumn("value", F.log1p(F.col("count") / F.col("library") * F.lit(float(target))))
+    """Add ``value`` = log1p(count / library * target); absent rows stay zero because log1p(0) = 0.
+
+    Counts of a cell without a positive library stop the run with a named violation.
+    """
+    size = libraries.select(*by, "library")
+    bad = F.raise_error(F.concat(F.lit("invalid_library: cell "), F.concat_ws("/", *[F.col(c).cast("string") for c in by]))).cast("double")
+    joined = counts.join(size, list(by), "left").withColumn("library", F.when(F.col("library") > 0, F.col("library").cast("double")).otherwise(bad))
+    return joined.withColumn("value", F.log1p(F.col("count") / F.col("library") * F.lit(float(target))))
 
 
 # ---------------------------------------------------------------- gene level
@@ -108,13 +113,12 @@ def expression_by_group(expr: DataFrame, cells: DataFrame, genes: DataFrame, gro
                         min_cells: int = 5, value: str = "value") -> DataFrame:
     """Every gene in every group of at least ``min_cells`` cells: mean and percentage expressing.
 
-    The list of groups is small and checked, so zero pairs come from an explode, not a cross join.
+    The result is the dense gene x group table: zero pairs come from a join in blocks of groups.
     """
-    sizes = require_small(group_sizes(cells, group, min_cells), "cell groups", 10_000)
-    listed = sizes.agg(F.collect_list(F.struct(F.col(group), F.col("n_cells")))).scalar()
+    sizes = group_sizes(cells, group, min_cells)
     sums = expr.join(cells.select("cell_id", group), "cell_id").groupBy("gene_id", group).agg(
         F.sum(value).alias("_s"), F.count_if(F.col(value) > 0).alias("_p"))
-    grid = genes.select("gene_id", F.explode(listed).alias("_g")).select("gene_id", f"_g.{group}", "_g.n_cells")
+    grid = paired(genes.select("gene_id"), sizes, [group])
     return grid.join(sums, ["gene_id", group], "left").select(
         "gene_id", group, "n_cells", (F.coalesce("_s", F.lit(0.0)) / F.col("n_cells")).alias("mean"),
         (F.coalesce("_p", F.lit(0)) / F.col("n_cells") * 100).alias("pct_expressing"))
@@ -131,7 +135,11 @@ def group_gene_means(expr: DataFrame, cells: DataFrame, group: str = "cell_type"
 def _two_groups(counts: DataFrame, cells: DataFrame, patient: str, reference: str) -> tuple[DataFrame, Column, Column]:
     if patient == reference:
         raise ValueError("patient and reference must be different groups")
-    sizes = cells.agg(F.count_if(F.col("group") == patient).alias("p"), F.count_if(F.col("group") == reference).alias("r"))
+    def present(name: str) -> Column:
+        n = F.count_if(F.col("group") == name)
+        return F.when(n > 0, n).otherwise(F.raise_error(F.lit(f"empty_group: no cell of group {name}")).cast("bigint"))
+
+    sizes = cells.agg(present(patient).alias("p"), present(reference).alias("r"))
     n_patient, n_reference = sizes.select("p").scalar(), sizes.select("r").scalar()
     grouped = counts.join(cells.select("cell_id", "group"), "cell_id").where(F.col("group").isin(patient, reference))
     return grouped, n_patient, n_reference
@@ -174,12 +182,15 @@ def compensation(counts: DataFrame, cells: DataFrame, libraries: DataFrame, want
                  reference: str = "reference", min_detection: float = 0.01) -> DataFrame:
     """Patient to reference ratio of library-normalised counts per 10,000 and its class.
 
-    The class is taken before rounding; rounding is half-even to four digits.
+    The class is taken before rounding; rounding is half-even to four digits. A cell of either group whose library is missing,
+    not positive or smaller than its row sum stops the run with a named violation; drop such cells first, from counts and cells.
     """
-    rated = (counts.join(wanted.select("gene_id"), "gene_id", "left_semi")
-             .join(libraries.where("library_status = 'ok'").select("cell_id", "library"), "cell_id")
+    bad = F.raise_error(F.concat(F.lit("invalid_library: cell "), F.col("cell_id").cast("string"), F.lit(" is "),
+                                 F.coalesce("library_status", F.lit("missing")))).cast("string")
+    sound = F.when(F.coalesce(F.col("library_status") == "ok", F.lit(False)) | ~F.col("group").isin(patient, reference), F.col("group")).otherwise(bad)
+    usable = cells.join(libraries.select("cell_id", "library_status"), "cell_id", "left").withColumn("group", sound).drop("library_status")
+    rated = (counts.join(wanted.select("gene_id"), "gene_id", "left_semi").join(libraries.select("cell_id", "library"), "cell_id")
              .withColumn("_v", F.col("count") / F.col("library") * PER))
-    usable = keep_cells(cells, libraries.where("library_status = 'ok'"))
     grouped, n_p, n_r = _two_groups(rated, usable, patient, reference)
     is_p = F.col("group") == patient
     sums = grouped.groupBy("gene_id").agg(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DOSAGE_COLUMNS, Consensus, Evidence, OrganPenalty
 from ..functions.columns import correlation, finite
-from ..scale import average_rank, descending_rank, is_hot, null_safe_join, position, with_group_stats
+from ..scale import average_rank, descending_rank, null_safe_join, position, with_group_stats
 from .evidence import SCORED_CODES, dosage_conflict, evidence_status
 
 CASE = ("case_id",)
@@ -24,14 +24,12 @@ def usable(spec: Evidence) -> Column:
 
 
 def normalize_evidence(df: DataFrame, specs: Sequence[Evidence], method: str = "raw", by: Sequence[str] = CASE,
-                       split: bool | None = None) -> DataFrame:
+                       split: bool = False) -> DataFrame:
     """Add ``norm_<column>`` in [0, 1] per case, 1 = most driver-like, NULL preserved.
 
     raw and zscore give the same values because the z-scores are min-max rescaled. Constant
     columns become 0.5. Ordinal columns are clipped to their scale and ignore the direction.
     """
-    if split is None:
-        split = is_hot(df, by)
     df = df.withColumns({f"_v_{s.column}": usable(s) for s in specs})
     if method == "rank":
         for s in specs:
@@ -83,7 +81,7 @@ def organ_penalty(df: DataFrame, penalty: OrganPenalty) -> Column:
     return F.greatest(term, F.lit(float(penalty.cap)))
 
 
-def adjusted(df: DataFrame, cfg: Consensus, by: Sequence[str] = CASE, split: bool | None = None) -> DataFrame:
+def adjusted(df: DataFrame, cfg: Consensus, by: Sequence[str] = CASE, split: bool = False) -> DataFrame:
     """Normalised evidence plus ``adj_<column>`` (missing = 0, penalties and factor applied) and the penalty."""
     specs = [s for s in cfg.evidence if s.column in df.columns]
     df = normalize_evidence(df, specs, cfg.normalize, by, split).withColumn("_recessive", recessive_flag(df))
@@ -101,7 +99,7 @@ def adjusted(df: DataFrame, cfg: Consensus, by: Sequence[str] = CASE, split: boo
     return df.withColumns(columns).withColumn("hpa_penalty", organ_penalty(df, cfg.penalty)).drop("_recessive")
 
 
-def consensus_score(df: DataFrame, cfg: Consensus, by: Sequence[str] = CASE, split: bool | None = None) -> DataFrame:
+def consensus_score(df: DataFrame, cfg: Consensus, by: Sequence[str] = CASE, split: bool = False) -> DataFrame:
     """Add norm_*, contrib_*, hpa_penalty, consensus_score, evidence_status and dosage_conflict."""
     specs = [s for s in cfg.evidence if s.column in df.columns]
     scored = adjusted(df, cfg, by, split)
@@ -125,10 +123,8 @@ def score_order() -> list[Column]:
     return [F.desc("consensus_score"), F.asc_nulls_last("hgnc_id")]
 
 
-def consensus_rank(df: DataFrame, cfg: Consensus, by: Sequence[str] = CASE, split: bool | None = None) -> DataFrame:
+def consensus_rank(df: DataFrame, cfg: Consensus, by: Sequence[str] = CASE, split: bool = False) -> DataFrame:
     """Score every candidate and number them 1..n per case; all candidates are kept."""
-    if split is None:
-        split = is_hot(df, by)
     return position(consensus_score(df, cfg, by, split), by, score_order(), "rank", split)
 
 
@@ -141,13 +137,11 @@ def evidence_gate(scored: DataFrame, cfg: Consensus, by: Sequence[str] = CASE) -
             .withColumn("rejected", F.col("missing_rate") > cfg.max_missing_rate))
 
 
-def borda(scored: DataFrame, cfg: Consensus, by: Sequence[str] = CASE, split: bool | None = None) -> DataFrame:
+def borda(scored: DataFrame, cfg: Consensus, by: Sequence[str] = CASE, split: bool = False) -> DataFrame:
     """Weighted Borda points and competition rank; the organ penalty does not enter.
 
     A missing value earns (n-1)/2 points (or none); a column no candidate of the case has earns nothing.
     """
-    if split is None:
-        split = is_hot(scored, by)
     specs = [s for s in cfg.evidence if f"norm_{s.column}" in scored.columns]
     df = scored
     for s in specs:
@@ -165,10 +159,8 @@ def borda(scored: DataFrame, cfg: Consensus, by: Sequence[str] = CASE, split: bo
     return df.drop("_n", *stats, *[f"_r_{s.column}" for s in specs])
 
 
-def rank_agreement(df: DataFrame, x: str, y: str, by: Sequence[str] = CASE, split: bool | None = None) -> DataFrame:
+def rank_agreement(df: DataFrame, x: str, y: str, by: Sequence[str] = CASE, split: bool = False) -> DataFrame:
     """Spearman correlation of two columns per group; NULL when one side is constant."""
-    if split is None:
-        split = is_hot(df, by)
     ranked = average_rank(average_rank(df, by, x, "_rx", split), by, y, "_ry", split)
     spread = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
     return (ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation("_rx", "_ry").alias("_corr"), spread.alias("_ok"))
@@ -200,8 +192,13 @@ def validation_panel(checked: DataFrame, hi: str = "clinGen_hi_score", pli: str
     return checked.where("in_candidates").withColumn("target_ok", strong & ~F.col("dosage_conflict"))
 
 
-def validation_pass(panel: DataFrame, by: Sequence[str] = CASE) -> DataFrame:
-    return panel.groupBy(*by).agg(F.count(F.lit(1)).alias("n_controls"), F.bool_or("target_ok").alias("passed"))
+def validation_pass(panel: DataFrame, by: Sequence[str] = CASE, cases: DataFrame | None = None) -> DataFrame:
+    """Per case: controls in the panel and whether any has support; of ``cases``, those without a present control have failed."""
+    found = panel.groupBy(*by).agg(F.count(F.lit(1)).alias("n_controls"), F.bool_or("target_ok").alias("passed"))
+    if cases is None:
+        return found
+    return null_safe_join(cases.select(*by).distinct(), found, list(by)).withColumns(
+        {"n_controls": F.coalesce("n_controls", F.lit(0).cast("bigint")), "passed": F.coalesce("passed", F.lit(False))})
 
 
 def sparse_evidence_warnings(ranked: DataFrame, by: Sequence[str] = CASE, dosage: str = "norm_clinGen_hi_score",

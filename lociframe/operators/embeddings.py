@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import cosine, l2, norm, subtract
-from ..scale import require_small, top_k
+from ..scale import top_k
 
 
 def group_centroids(vectors: DataFrame, by: Sequence[str] = ("label",), vector: str = "embedding") -> DataFrame:
@@ -23,10 +23,9 @@ def group_centroids(vectors: DataFrame, by: Sequence[str] = ("label",), vector:
     return whole.join(sizes, list(by))
 
 
-def centroid_list(centroids: DataFrame, label: str = "label", limit: int = 10_000) -> Column:
-    """All centroids as one literal array; their number is checked first."""
-    small = require_small(centroids, "centroids", limit)
-    return small.agg(F.array_sort(F.collect_list(F.struct(F.col(label), F.col("centroid"))))).scalar()
+def centroid_list(centroids: DataFrame, label: str = "label") -> Column:
+    """All centroids as one array. Every result row lists the distance to each label, so a row is as wide as this array anyway."""
+    return centroids.agg(F.array_sort(F.collect_list(F.struct(F.col(label), F.col("centroid"))))).scalar()
 
 
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, label: str = "label", vector: str = "embedding",

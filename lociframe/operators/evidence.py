@@ -73,23 +73,33 @@ def constraint_transcript(constraint: DataFrame) -> DataFrame:
 
 def constraint_mask(df: DataFrame, metrics: Mapping[str, str] | None = None,
                     flags: Sequence[str] = ("constraint_flags", "gene_flags")) -> DataFrame:
-    """Metrics of flagged rows move to ``*_raw`` only; status says whether they were scored."""
+    """Metrics of flagged rows move to ``*_raw`` only; status says whether they were scored.
+
+    A metric that is no number, negative or (pLI) above one is not scored either: status ``invalid_metric``.
+    """
     metrics = metrics or {"gnomad_pLI": "pli", "gnomad_LOEUF": "loeuf"}
     flagged = F.lit(False)
     for name in flags:
         flagged = flagged | ~F.trim(F.coalesce(F.col(name), F.lit(""))).isin(*NO_FLAG)
-    df = df.withColumn("_flagged", flagged)
+    broken = F.lit(False)
+    for target, source in metrics.items():
+        text = F.trim(F.col(source).cast("string"))
+        given = text.isNotNull() & ~F.lower(text).isin("", "na", "nan", "null", "none")
+        limit = 1.0 if target.lower().endswith("pli") else float("inf")
+        broken = broken | (given & ~F.coalesce(number(source).between(0.0, limit), F.lit(False)))
+    df = df.withColumn("_flagged", flagged).withColumn("_broken", broken)
     for target, source in metrics.items():
         df = df.withColumn(f"{target}_raw", number(source))
-        df = df.withColumn(target, F.when(~F.col("_flagged"), F.col(f"{target}_raw")))
-    status = F.when(F.col("_flagged"), "quality_flagged_not_scored").otherwise("available")
-    return df.withColumn("gnomad_status", status).drop("_flagged")
+        df = df.withColumn(target, F.when(~F.col("_flagged") & ~F.col("_broken"), F.col(f"{target}_raw")))
+    status = F.when(F.col("_broken"), "invalid_metric").when(F.col("_flagged"), "quality_flagged_not_scored").otherwise("available")
+    return df.withColumn("gnomad_status", status).drop("_flagged", "_broken")
 
 
 def join_constraint(candidates: DataFrame, constraint: DataFrame) -> DataFrame:
-    """Choose, mask and left-join constraint records by gene id."""
-    chosen = constraint_transcript(constraint).where("choice_status = 'single'")
-    ready = constraint_mask(chosen).select(
+    """Choose, mask and left-join constraint records by gene id; a gene with several chosen rows has status ``ambiguous_transcript``."""
+    masked = constraint_mask(constraint_transcript(constraint))
+    masked = masked.withColumn("gnomad_status", F.when(F.col("choice_status") == "ambiguous", "ambiguous_transcript").otherwise(F.col("gnomad_status")))
+    ready = masked.select(
         "gene_id", F.col("transcript").alias("gnomad_transcript_id"), F.col("transcript_choice").alias(
             "gnomad_transcript_choice"), "gnomad_pLI_raw", "gnomad_LOEUF_raw", "gnomad_pLI", "gnomad_LOEUF", "gnomad_status")
     joined = join_evidence(candidates, ready, "gene_id")
@@ -123,7 +133,7 @@ def panel_coverage(panels: DataFrame, long: DataFrame, candidates: DataFrame, ke
     measured zero counts as expression data, a missing record does not.
     """
     asked = panels.select("id", F.posexplode("tissues").alias("_at", "tissue"))
-    known = long.select("tissue").distinct().withColumn("_known", F.lit(True))
+    known = long.where("ntpm IS NOT NULL").select("tissue").distinct().withColumn("_known", F.lit(True))
     entry = F.struct("_at", "tissue")
     status = asked.join(known, "tissue", "left").groupBy("id").agg(
         F.count_if(F.col("_known")).alias("_found"), F.count(F.lit(1)).alias("_asked"),
@@ -199,7 +209,8 @@ def association_annotation(candidates: DataFrame, records: DataFrame, disease_id
     good = F.col("record.status") == "ok"
     rows = F.coalesce(F.col("record.associations"), F.array().cast(f"ARRAY<{ASSOCIATION}>"))
     direct = F.filter(rows, lambda r: r["disease"]["id"] == disease_id)
-    score = F.when(good & (F.size(direct) == 1), direct[0]["score"])
+    only = F.get(direct, F.lit(0))["score"]
+    score = F.when(good & (F.size(direct) == 1) & only.between(0, 1), only)
     status = (F.when(F.col("record").isNull(), "missing_record").when(~good, "query_failed")
               .when(F.size(direct) == 0, "no_record").when(F.size(direct) > 1, "duplicate_association")
               .when(~F.coalesce(direct[0]["score"].between(0, 1), F.lit(False)), "invalid_score")
@@ -210,7 +221,7 @@ def association_annotation(candidates: DataFrame, records: DataFrame, disease_id
     return (joined.withColumn("ot_status", status).withColumn("ot_disease_score", score)
             .withColumn("ot_datasource_scores", F.when(good & (F.size(direct) == 1), direct[0]["datasourceScores"]))
             .withColumn("ot_phenotype_evidence", F.when(good, wanted))
-            .withColumn("ot_other_background", F.when(good, F.slice(background, 1, 10)))
+            .withColumn("ot_other_background", F.when(good, background))
             .withColumn("ot_error", F.coalesce(F.col("record.error"), F.lit("")))
             .withColumn("ot_url", F.concat(F.lit("https://platform.opentargets.org/target/"), F.col(key).cast("string"),
                                            F.lit("/associations"))).drop("record"))

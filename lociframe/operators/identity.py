@@ -27,14 +27,16 @@ def build_alias_map(nomenclature: DataFrame, alias_columns: Sequence[str] = ("pr
     """
     table = (nomenclature.withColumn("hgnc_id", blank_to_null("hgnc_id")).withColumn("symbol", blank_to_null("symbol"))
              .where("hgnc_id IS NOT NULL AND symbol IS NOT NULL"))
-    approved = _unique_ids(table.select(alias_key("symbol").alias("alias"), "hgnc_id"))
+    symbols = table.select(alias_key("symbol").alias("alias"), "hgnc_id")
+    approved = _unique_ids(symbols)
     present = [c for c in alias_columns if c in table.columns]
     if not present:
         return approved.withColumn("kind", F.lit("approved"))
     words = F.flatten(F.array_compact(F.array(*[F.split(unquote(c), "[,;|]") for c in present])))
     aliases = (table.select("hgnc_id", F.explode(words).alias("alias"))
                .select("hgnc_id", alias_key("alias").alias("alias")).where("alias <> ''"))
-    unique = _unique_ids(aliases).join(approved, "alias", "left_anti")
+    # An approved symbol shields its key from aliases even where several ids share it and it resolves to none.
+    unique = _unique_ids(aliases).join(symbols.select("alias").distinct(), "alias", "left_anti")
     return (approved.withColumn("kind", F.lit("approved"))
             .unionByName(unique.withColumn("kind", F.lit("alias"))))
 

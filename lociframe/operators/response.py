@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import require_small, top_k
+from ..scale import paired, top_k
 from .cells import expression_by_group, group_gene_means, group_sizes, hvg
 
 
@@ -28,15 +28,14 @@ def covariance_columns(expr: DataFrame, space: DataFrame, targets: DataFrame, va
     Each cell carries its few target values as one short list, so the expansion per cell is
     non-zeros x targets and is summed map-side; gene pairs that never co-occur follow from the means.
     """
-    wanted = require_small(targets.select("gene_id").distinct(), "target genes", 2_000)
-    listed = (wanted.join(space.select("gene_id", "mean"), "gene_id")
-              .agg(F.collect_list(F.struct(F.col("gene_id").alias("target_id"), F.col("mean").alias("_tm")))).scalar())
+    wanted = targets.select("gene_id").distinct()
+    listed = wanted.join(space.select("gene_id", "mean"), "gene_id").select(F.col("gene_id").alias("target_id"), F.col("mean").alias("_tm"))
     inside = expr.join(space.select("gene_id"), "gene_id", "left_semi").select("cell_id", "gene_id", F.col(value).alias("_x"))
     per_cell = inside.join(wanted, "gene_id", "left_semi").groupBy("cell_id").agg(
         F.collect_list(F.struct(F.col("gene_id").alias("target_id"), F.col("_x").alias("_y"))).alias("_t"))
     products = (inside.join(per_cell, "cell_id").select("gene_id", "_x", F.inline("_t"))
                 .groupBy("gene_id", "target_id").agg(F.sum(F.col("_x") * F.col("_y")).alias("_xy")))
-    grid = space.select("gene_id", "n_cells", "mean", "ridge", F.inline(listed))
+    grid = paired(space.select("gene_id", "n_cells", "mean", "ridge"), listed, ["target_id"])
     joined = grid.join(products, ["gene_id", "target_id"], "left")
     n = F.col("n_cells")
     cov = (F.coalesce("_xy", F.lit(0.0)) - n * F.col("mean") * F.col("_tm")) / F.greatest(n - 1, F.lit(1))
@@ -104,15 +103,14 @@ def group_response(response: DataFrame, expr: DataFrame, cells: DataFrame, space
     so only non-zero group means are joined.
     """
     inside = expr.join(space.select("gene_id"), "gene_id", "left_semi")
-    sizes = require_small(group_sizes(cells, group, min_cells), "cell groups", 10_000)
+    sizes = group_sizes(cells, group, min_cells)
     n_groups = sizes.agg(F.count(F.lit(1)).alias("n")).scalar()
     means = group_gene_means(inside, cells, group, min_cells, value)
     overall = means.groupBy("gene_id").agg((F.sum("mean") / n_groups).alias("_all"))
     weights = means.join(overall, "gene_id").select(
         group, "gene_id", F.greatest(F.col("mean") - F.col("_all"), F.lit(0.0)).alias("w"))
-    listed = sizes.agg(F.collect_list(F.struct(F.col(group), F.col("n_cells")))).scalar()
     sides = response.groupBy("pert_id").agg(F.sum(F.col("delta") * F.col("delta")).alias("_dd"))
-    grid = sides.select("pert_id", "_dd", F.inline(listed))
+    grid = paired(sides, sizes, [group])
     norms = weights.groupBy(group).agg(F.sum(F.col("w") * F.col("w")).alias("_ww"))
     pairs = weights.where("w > 0").join(response.select("pert_id", "gene_id", F.abs("delta").alias("_d")), "gene_id").select(
         "pert_id", group, "gene_id", (F.col("w") * F.col("_d")).alias("_wd"))

@@ -29,7 +29,7 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def _ranked(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:
     from ..scale import is_hot
-    split = is_hot(df, [], limit)
+    split = limit is not None and is_hot(df, [], limit)
     for c in columns:
         df = average_rank(df, [], c, f"_r_{c}", split)
     return df

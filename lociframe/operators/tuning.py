@@ -3,22 +3,52 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Consensus
-from ..scale import checkpoint, is_hot, position
+from ..scale import checkpoint, null_safe_join, position
 from .consensus import CASE, adjusted
 
 
-def weight_grid(cfg: Consensus) -> list[list[float]]:
-    """All weight combinations except all-zero, in grid order; the size is checked, never cut."""
+def weight_grid(cfg: Consensus) -> Column:
+    """Array of the grid's raw positions without the all-zero one; any size, no combination is listed on the driver."""
     size = len(cfg.tuning.grid) ** len(cfg.evidence)
-    if size > cfg.tuning.max_combinations:
-        raise ValueError(f"{size} weight combinations exceed {cfg.tuning.max_combinations}; shorten the grid")
-    return [[float(x) for x in w] for w in product(cfg.tuning.grid, repeat=len(cfg.evidence)) if any(x > 0 for x in w)]
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint"))
+    empty = _empty_position(cfg)
+    return every if empty is None else F.filter(every, lambda g: g != empty)
+
+
+def _empty_position(cfg: Consensus) -> int | None:
+    """Position of the combination without a positive weight."""
+    nothing = [i for i, x in enumerate(cfg.tuning.grid) if x <= 0]
+    if len(nothing) > 1:
+        raise ValueError("the grid has several weights that are not positive")
+    if not nothing:
+        return None
+    return sum(nothing[0] * len(cfg.tuning.grid) ** k for k in range(len(cfg.evidence)))
+
+
+def grid_weights(position: Column, cfg: Consensus) -> list[Column]:
+    """Weights of a raw grid position: its digits in base of the grid's size, first evidence first."""
+    base, n = len(cfg.tuning.grid), len(cfg.evidence)
+    listed = F.array(*[F.lit(float(x)) for x in cfg.tuning.grid])
+    return [F.get(listed, (F.floor(position / F.lit(base ** (n - 1 - i))) % base).cast("int")) for i in range(n)]
+
+
+def grid_id(position: Column, cfg: Consensus) -> Column:
+    """Number of a combination when the all-zero one is not counted."""
+    empty = _empty_position(cfg)
+    return (position if empty is None else position - (position > empty).cast("bigint")).cast("int")
+
+
+def decode_weights(tuned: DataFrame, cfg: Consensus, name: str = "final_grid_id", into: str = "weights") -> DataFrame:
+    """Add the array of weights that a grid id stands for; NULL stays NULL."""
+    empty = _empty_position(cfg)
+    position = F.col(name).cast("bigint")
+    if empty is not None:
+        position = position + (position >= empty).cast("bigint")
+    return tuned.withColumn(into, F.when(F.col(name).isNotNull(), F.array(*grid_weights(position, cfg))))
 
 
 def _weighted(values: Sequence[Column], weights: Column, penalty: Column) -> Column:
@@ -29,18 +59,15 @@ def _weighted(values: Sequence[Column], weights: Column, penalty: Column) -> Col
 
 
 def control_ranks(panel: DataFrame, controls: DataFrame, cfg: Consensus, by: Sequence[str] = CASE,
-                  split: bool | None = None) -> DataFrame:
+                  split: bool = False) -> DataFrame:
     """Rank of every present control under every weight combination.
 
     A rank is one plus the number of better candidates, so this is a plain count with map-side
-    combine: no sort per combination, and a large case is summed by many tasks.
+    combine: no sort per combination, and a large case is summed by many tasks. Candidates that share a control's
+    symbol are ranked one by one; the best of them stands for the control.
     Returns by, control, grid_id, l1 (distance to default weights), rank.
     """
     specs = list(cfg.evidence)
-    grid = weight_grid(cfg)
-    entries = F.array(*[F.struct(
-        F.lit(i).alias("grid_id"), F.array(*[F.lit(x) for x in w]).alias("w"),
-        F.lit(float(sum(abs(a - b) for a, b in zip(w, cfg.weights)))).alias("l1")) for i, w in enumerate(grid)])
     matrix = adjusted(panel, cfg, by, split).select(
         *by, "hgnc_id", F.upper(F.trim("symbol")).alias("_symbol"), F.col("hpa_penalty").alias("_pen"),
         *[F.col(f"adj_{s.column}").alias(f"_a{i}") for i, s in enumerate(specs)])
@@ -48,13 +75,18 @@ def control_ranks(panel: DataFrame, controls: DataFrame, cfg: Consensus, by: Seq
     targets = matrix.join(wanted, "_symbol", "left_semi").select(
         *by, F.col("_symbol").alias("control"), F.col("hgnc_id").alias("_cid"), F.col("_pen").alias("_cpen"),
         *[F.col(f"_a{i}").alias(f"_c{i}") for i in range(len(specs))])
-    paired = matrix.drop("_symbol").join(targets, list(by)).withColumn("_g", F.explode(entries))
-    mine = _weighted([F.col(f"_a{i}") for i in range(len(specs))], F.col("_g.w"), F.col("_pen"))
-    theirs = _weighted([F.col(f"_c{i}") for i in range(len(specs))], F.col("_g.w"), F.col("_cpen"))
+    paired = matrix.drop("_symbol").join(targets, list(by)).withColumn("_g", F.explode(weight_grid(cfg)))
+    paired = paired.withColumn("_w", F.array(*grid_weights(F.col("_g"), cfg)))
+    mine = _weighted([F.col(f"_a{i}") for i in range(len(specs))], F.col("_w"), F.col("_pen"))
+    theirs = _weighted([F.col(f"_c{i}") for i in range(len(specs))], F.col("_w"), F.col("_cpen"))
     earlier = F.coalesce(F.col("hgnc_id"), F.lit("~")) < F.coalesce(F.col("_cid"), F.lit("~"))
     better = (mine > theirs) | ((mine == theirs) & earlier)
-    return paired.groupBy(*by, "control", F.col("_g.grid_id").alias("grid_id"), F.col("_g.l1").alias("l1")).agg(
-        (F.count_if(better) + 1).alias("rank"))
+    each = paired.groupBy(*by, "control", "_cid", "_g").agg((F.count_if(better) + 1).alias("rank"))
+    best = each.groupBy(*by, "control", "_g").agg(F.min("rank").alias("rank"))
+    far = F.lit(0.0)
+    for weight, default in zip(grid_weights(F.col("_g"), cfg), cfg.weights, strict=True):
+        far = far + F.abs(weight - F.lit(float(default)))
+    return best.select(*by, "control", grid_id(F.col("_g"), cfg).alias("grid_id"), far.alias("l1"), "rank")
 
 
 def grid_recall(ranks: DataFrame, top_n: int = 10, by: Sequence[str] = CASE) -> DataFrame:
@@ -81,8 +113,11 @@ def loo_folds(ranks: DataFrame, top_n: int = 10, by: Sequence[str] = CASE) -> Da
                        (F.col("_b.rank") <= top_n).alias("in_top_n"))
 
 
-def loo_tune(ranks: DataFrame, top_n: int = 10, by: Sequence[str] = CASE) -> DataFrame:
-    """Per case: leave-one-out hit rate, the final weight combination and its recall."""
+def loo_tune(ranks: DataFrame, top_n: int = 10, by: Sequence[str] = CASE, cases: DataFrame | None = None) -> DataFrame:
+    """Per case: leave-one-out hit rate, the final weight combination and its recall.
+
+    ``cases`` lists all cases: those without a present control are reported as skipped instead of being absent.
+    """
     ranks = checkpoint(ranks)  # read by every fold and by the final choice
     rate = loo_folds(ranks, top_n, by).groupBy(*by).agg(F.avg(F.col("in_top_n").cast("double")).alias("loo_hit_rate"))
     recall = ranks.groupBy(*by, "grid_id", "l1").agg(F.avg((F.col("rank") <= top_n).cast("double")).alias("_recall"),
@@ -90,6 +125,9 @@ def loo_tune(ranks: DataFrame, top_n: int = 10, by: Sequence[str] = CASE) -> Dat
     final = recall.groupBy(*by).agg(F.max(F.struct(
         F.col("_recall").alias("recall"), (-F.col("l1")).alias("near"), (-F.col("grid_id")).alias("early"))).alias("_f"),
         F.max("_n").alias("n_controls"))
+    if cases is not None:
+        final = null_safe_join(cases.select(*by).distinct(), final, list(by))
+    final = final.withColumn("n_controls", F.coalesce("n_controls", F.lit(0).cast("bigint")))
     note = F.when(F.col("n_controls") < 3, "need >=3 positive controls present in candidates; tuning skipped")
     kept = lambda c: F.when(F.col("n_controls") >= 3, c)
     return final.join(rate, list(by), "left").select(
@@ -109,10 +147,8 @@ def sensitivity_scenarios(cfg: Consensus) -> list[tuple[str, int, list[float]]]:
     return scenarios
 
 
-def weight_sensitivity(panel: DataFrame, cfg: Consensus, by: Sequence[str] = CASE, split: bool | None = None) -> DataFrame:
+def weight_sensitivity(panel: DataFrame, cfg: Consensus, by: Sequence[str] = CASE, split: bool = False) -> DataFrame:
     """Per (case, evidence, delta): largest rank shift and number of genes that enter the top three."""
-    if split is None:
-        split = is_hot(panel, by)
     entries = [("", 0, cfg.weights), *sensitivity_scenarios(cfg)]
     scenario = F.array(*[F.struct(F.lit(i).alias("scenario"), F.array(*[F.lit(x) for x in w]).alias("w"))
                          for i, (_, _, w) in enumerate(entries)])

@@ -71,7 +71,9 @@ def low_expression_flag(spark, folder):
 def compensation_class(spark, folder):
     counts, cells = b.counts(spark, folder), b.cells(spark, folder)
     wanted = b.cell_genes(spark, folder).select("gene_id")
-    return op.compensation(counts, cells, op.library_size(counts, cells), wanted)
+    libraries = op.library_size(counts, cells)
+    usable = op.keep_cells(cells, libraries.where("library_status = 'ok'"))
+    return op.compensation(counts, usable, libraries, wanted)
 
 
 def expression_by_group(spark, folder):

@@ -126,7 +126,7 @@ def loo_folds(spark, folder):
 
 
 def loo_tune(spark, folder):
-    done = tune.loo_tune(_ranks(spark, folder), 10)
+    done = tune.loo_tune(_ranks(spark, folder), 10, cases=b.cases(spark, folder))
     return done.select("case_id", "n_controls", "final_grid_id", fixed("final_recall").alias("final_recall"),
                        fixed("loo_hit_rate").alias("loo_hit_rate"), "note")
 
@@ -160,7 +160,7 @@ def validation_panel(spark, folder):
 
 
 def validation_pass(spark, folder):
-    return op.validation_pass(op.validation_panel(_checked(spark, folder)))
+    return op.validation_pass(op.validation_panel(_checked(spark, folder)), cases=b.cases(spark, folder))
 
 
 def sparse_evidence_warnings(spark, folder):
@@ -278,9 +278,9 @@ ORACLES = {
     "loo_tune": with_views("normed controls", f"""WITH {FOLDS}, rate AS (SELECT case_id, avg((rnk <= 10)::INT) AS r FROM folds WHERE pick = 1 GROUP BY 1),
         fin AS (SELECT case_id, grid_id, n, hits, row_number() OVER (PARTITION BY case_id ORDER BY hits DESC, l1, grid_id) AS pick
           FROM tot JOIN grid USING (grid_id))
-        SELECT case_id, n AS n_controls, CASE WHEN n >= 3 THEN grid_id END AS final_grid_id, CASE WHEN n >= 3 THEN round(hits / n, 6) END AS final_recall,
-          round(r, 6) AS loo_hit_rate, CASE WHEN n < 3 THEN 'need >=3 positive controls present in candidates; tuning skipped' END AS note
-        FROM fin LEFT JOIN rate USING (case_id) WHERE pick = 1"""),
+        SELECT case_id, coalesce(n, 0) AS n_controls, CASE WHEN n >= 3 THEN grid_id END AS final_grid_id, CASE WHEN n >= 3 THEN round(hits / n, 6) END AS final_recall,
+          round(r, 6) AS loo_hit_rate, CASE WHEN coalesce(n, 0) < 3 THEN 'need >=3 positive controls present in candidates; tuning skipped' END AS note
+        FROM cases LEFT JOIN (SELECT * FROM fin WHERE pick = 1) USING (case_id) LEFT JOIN rate USING (case_id)"""),
     "weight_sensitivity": with_views("normed", f"WITH {SENS} SELECT * FROM sens"),
     "weight_robustness": with_views("normed", f"""WITH {SENS}, g AS (SELECT case_id, count(*) AS n_perturbations, max(max_rank_shift) AS max_rank_shift,
           count(*) FILTER (top3_genes_changed > 0) AS n_causing_top3_change FROM sens GROUP BY 1)
@@ -291,8 +291,8 @@ ORACLES = {
     "control_summary": with_views("ranked controls", f"""WITH {CHECKED} SELECT case_id, count(*) AS controls_total, count(rank) AS controls_present,
         count(*) FILTER (rank <= 10) AS controls_top10 FROM chk GROUP BY 1"""),
     "validation_panel": with_views("ranked controls", f"WITH {CHECKED} SELECT * FROM vp"),
-    "validation_pass": with_views("ranked controls", f"""WITH {CHECKED} SELECT case_id, count(*) AS n_controls, bool_or(target_ok) AS passed
-        FROM vp GROUP BY 1"""),
+    "validation_pass": with_views("ranked controls", f"""WITH {CHECKED} SELECT case_id, count(vp.control) AS n_controls, coalesce(bool_or(target_ok), false) AS passed
+        FROM cases LEFT JOIN vp USING (case_id) GROUP BY 1"""),
     "sparse_evidence_warnings": with_views("ranked", """WITH g AS (SELECT case_id, count(*) AS n_genes, avg((n_hi IS NOT NULL)::INT) AS cov,
           max(score) FILTER (rnk = 1) - max(score) FILTER (rnk = 3) AS gap, stddev_samp(score) AS sd FROM ranked GROUP BY 1)
         SELECT case_id, n_genes, round(cov, 6) AS dosage_coverage, round(gap, 6) AS top3_gap, round(sd, 6) AS score_sd,

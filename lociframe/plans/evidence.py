@@ -15,8 +15,9 @@ ORGANS = {"organ one": ["AF", "AO"], "organ two": ["NF", "NO", "absent"], "RO":
 
 
 def curation_codes(spark, folder):
-    codes = b.evidence(spark, folder).where("clinGen_hi_score IS NULL OR clinGen_hi_score <> 2").select(
-        "gene_id", F.col("clinGen_hi_score").cast("string").alias("code"))
+    # One code in thirteen is none of the known ones, and some genes have no record at all.
+    code = F.when(F.col("gene_id") % 13 == 5, "7").otherwise(F.col("clinGen_hi_score").cast("string"))
+    codes = b.evidence(spark, folder).where("gene_id % 9 <> 4").select("gene_id", code.alias("code"))
     done = op.join_curation(b.genes(spark, folder).select("gene_id"), op.curation_codes(codes, "code", "hi"), "hi", "gene_id")
     return done.select("gene_id", "hi_raw", "hi_score", "hi_status", op.dosage_conflict("hi_raw").alias("dosage_conflict"))
 
@@ -179,15 +180,18 @@ TAGS = """recs AS (SELECT CASE WHEN o_orderstatus = 'P' THEN 'PHENO' ELSE CASE o
 ORACLES = {
     "curation_codes": with_views("evidence", """SELECT p_partkey AS gene_id, hi AS hi_raw,
         CASE WHEN hi IN (0, 1, 2, 3) THEN hi END AS hi_score, CASE WHEN e.gene_id IS NULL THEN 'not_curated' WHEN hi = 0 THEN 'no_evidence'
-          WHEN hi = 1 THEN 'little_evidence' WHEN hi = 3 THEN 'sufficient_evidence' WHEN hi = 30 THEN 'recessive_association'
+          WHEN hi = 7 THEN 'unexpected_category' WHEN hi = 1 THEN 'little_evidence' WHEN hi = 2 THEN 'emerging_evidence' WHEN hi = 3 THEN 'sufficient_evidence' WHEN hi = 30 THEN 'recessive_association'
           WHEN hi = 40 THEN 'dosage_unlikely' ELSE 'not_evaluated' END AS hi_status, coalesce(hi = 40, false) AS dosage_conflict
-        FROM part LEFT JOIN (SELECT * FROM evidence WHERE hi IS NULL OR hi <> 2) e ON p_partkey = e.gene_id"""),
+        FROM part LEFT JOIN (SELECT gene_id, CASE WHEN gene_id % 13 = 5 THEN 7 ELSE hi END AS hi FROM evidence WHERE gene_id % 9 <> 4) e
+        ON p_partkey = e.gene_id"""),
     "constraint_transcript_pick": f"""WITH {PICKED} SELECT gene_id, CASE lvl WHEN 1 THEN 'MANE_Select' ELSE 'canonical' END AS transcript_choice,
         CASE WHEN n = 1 THEN 'single' ELSE 'ambiguous' END AS choice_status, CASE WHEN n = 1 THEN transcript END AS transcript FROM picked""",
     "constraint_mask": f"""WITH {PICKED} SELECT p_partkey AS gene_id, round(pli, 6) AS pli_raw, round(loeuf, 6) AS loeuf_raw,
         CASE WHEN NOT flagged THEN round(pli, 6) END AS pli, CASE WHEN NOT flagged THEN round(loeuf, 6) END AS loeuf,
-        CASE WHEN flagged IS NULL THEN 'no_selected_transcript_record' WHEN flagged THEN 'quality_flagged_not_scored'
-          ELSE 'available' END AS gnomad_status FROM part LEFT JOIN (SELECT * FROM picked WHERE n = 1) ON p_partkey = gene_id""",
+        CASE WHEN n IS NULL THEN 'no_selected_transcript_record' WHEN n > 1 THEN 'ambiguous_transcript' WHEN flagged THEN 'quality_flagged_not_scored'
+          ELSE 'available' END AS gnomad_status FROM part LEFT JOIN
+        (SELECT gene_id, n, CASE WHEN n = 1 THEN pli END AS pli, CASE WHEN n = 1 THEN loeuf END AS loeuf, CASE WHEN n = 1 THEN flagged END AS flagged
+          FROM picked) ON p_partkey = gene_id""",
     "tissue_pivot": with_views("tissue_long", "SELECT gene_id, " + ", ".join(
         f"max(ntpm) FILTER (tissue = '{t}') AS \"{t}\"" for t in TISSUES) + " FROM tissue_long GROUP BY gene_id"),
     "organ_rollup": with_views("tissue_long", """SELECT gene_id, max(ntpm) FILTER (tissue IN ('AF', 'AO')) AS hpa_organ_one_expr,

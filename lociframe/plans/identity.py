@@ -95,7 +95,7 @@ ALIAS = """nomen AS (SELECT p_partkey AS k, 'HGNC:' || p_partkey AS hgnc_id, low
     UNION ALL SELECT hgnc_id, unnest(string_split(lower(p_name), ' ')) FROM nomen),
   approved AS (SELECT symbol AS alias, min(hgnc_id) AS hgnc_id FROM nomen GROUP BY 1 HAVING count(DISTINCT hgnc_id) = 1),
   amap AS (SELECT alias, hgnc_id, 'approved' AS kind FROM approved UNION ALL
-    SELECT alias, min(hgnc_id), 'alias' FROM words WHERE alias NOT IN (SELECT alias FROM approved)
+    SELECT alias, min(hgnc_id), 'alias' FROM words WHERE alias NOT IN (SELECT symbol FROM nomen)
     GROUP BY alias HAVING count(DISTINCT hgnc_id) = 1)"""
 
 MAPPED = f"""WITH {ALIAS}, rows AS (SELECT l_partkey AS k, CASE l_returnflag WHEN 'A' THEN 's' || l_partkey

@@ -1,4 +1,4 @@
-"""Response queries: the five most variable genes are perturbed one by one and together."""
+"""Response queries: every twentieth gene is perturbed, one by one and together."""
 
 from __future__ import annotations
 
@@ -12,7 +12,9 @@ from . import bindings as b
 from .bindings import with_views
 from .cells import MOMENTS, expression
 
-SPACE = 60
+# Size of the fitted space; all genes where there are fewer. One gene in twenty is perturbed.
+SPACE = 5000
+EVERY = 20
 
 
 def _fit(spark, folder):
@@ -20,7 +22,7 @@ def _fit(spark, folder):
     expr = checkpoint(expression(spark, folder))
     moments = checkpoint(cell_op.gene_moments(expr, b.cells(spark, folder), b.cell_genes(spark, folder)))
     space = op.fit_space(moments, SPACE)
-    targets = cell_op.hvg(moments, 5).select("gene_id")
+    targets = moments.join(space.select("gene_id"), "gene_id", "left_semi").where(F.col("gene_id") % EVERY == 1).select("gene_id")
     return expr, space, targets
 
 
@@ -80,7 +82,7 @@ def group_response(spark, folder):
 
 def group_response_top500(spark, folder):
     response, _, expr, space = _response(spark, folder)
-    done = op.group_response_top_expressed(response, expr, b.cells(spark, folder), space, 20)
+    done = op.group_response_top_expressed(response, expr, b.cells(spark, folder), space, 500)
     return done.select("pert_id", "cell_type", "n_cells", fixed("response").alias("response"))
 
 
@@ -95,7 +97,7 @@ QUERIES = {f.__name__: f for f in (
     group_response, group_response_top500, target_group_mean)}
 
 FIT = MOMENTS + f""", space AS (SELECT * FROM mom ORDER BY variance DESC, gene_id LIMIT {SPACE}),
-  ridge AS (SELECT 0.1 * avg(variance) AS r FROM space), tg AS (SELECT gene_id AS t, mean AS tm FROM mom ORDER BY variance DESC, gene_id LIMIT 5),
+  ridge AS (SELECT 0.1 * avg(variance) AS r FROM space), tg AS (SELECT gene_id AS t, mean AS tm FROM space WHERE gene_id % {EVERY} = 1),
   inx AS (SELECT * FROM expr WHERE gene_id IN (SELECT gene_id FROM space)),
   prod AS (SELECT a.gene_id, b.gene_id AS t, sum(a.x * b.x) AS xy FROM inx a JOIN inx b ON a.cell_id = b.cell_id AND b.gene_id IN (SELECT t FROM tg) GROUP BY 1, 2),
   cov AS (SELECT s.gene_id, tg.t, (coalesce(xy, 0) - n_cells * mean * tm) / (n_cells - 1) + CASE WHEN s.gene_id = tg.t THEN r ELSE 0 END AS cov
@@ -129,6 +131,6 @@ ORACLES = {
         THEN sum(w * d) / (sqrt(sum(w * w)) * sqrt(sum(d * d))) ELSE 0 END, 6) AS response,
         string_agg(gene_id::VARCHAR, ',' ORDER BY k) FILTER (k <= 3 AND w > 0) AS drivers FROM wd GROUP BY 1, 2, 3"""),
     "group_response_top500": with_views(NEED, f"""WITH {GROUPS}, hi AS (SELECT *, row_number() OVER (PARTITION BY cell_type ORDER BY m DESC, gene_id) AS k FROM gm)
-        SELECT pert_id, cell_type, n_cells, round(avg(abs(delta)), 6) AS response FROM hi JOIN full_r USING (gene_id) WHERE k <= 20 GROUP BY 1, 2, 3"""),
+        SELECT pert_id, cell_type, n_cells, round(avg(abs(delta)), 6) AS response FROM hi JOIN full_r USING (gene_id) WHERE k <= 500 GROUP BY 1, 2, 3"""),
     "target_group_mean": with_views(NEED, f"""WITH {GROUPS} SELECT pert_id, t AS gene_id, cell_type, round(m, 6) AS target_expr FROM pert JOIN gm ON gm.gene_id = pert.t"""),
 }

@@ -93,12 +93,12 @@ def diff_expression(spark, folder):
 
 def permutation_test(spark, folder):
     pool = _features(spark, folder).withColumn("marker", F.col("effect") > 1000)
-    done = op.permutation_test(pool, "gene_id", "expr", "marker", 100)
+    done = op.permutation_test(pool, "gene_id", "expr", "marker", 200)
     return done.select(*[fixed(c).alias(c) for c in done.columns])
 
 
 def shuffled_spearman(spark, folder):
-    done = op.shuffled_spearman(_features(spark, folder), "gene_id", "attr", "effect", 20)
+    done = op.shuffled_spearman(_features(spark, folder), "gene_id", "attr", "effect", 200)
     return done.withColumn("null_mean", fixed("null_mean")).withColumn("null_sd", fixed("null_sd"))
 
 
@@ -174,12 +174,12 @@ ORACLES = {
         FROM de GROUP BY 1, 2"""),
     "diff_expression": with_views("counts cell_genes", f"WITH {COND} SELECT perturbed, gene_id, round(diff, 6) AS diff FROM de"),
     "permutation_test": f"""WITH {FEATURES}, m AS (SELECT count(*) AS m, avg(expr) AS v FROM feat WHERE effect > 1000),
-        d AS (SELECT rep, expr, row_number() OVER (PARTITION BY rep ORDER BY md5('0:' || rep || ':' || gene_id), gene_id) AS k FROM feat, (SELECT unnest(range(0, 100)) AS rep)),
+        d AS (SELECT rep, expr, row_number() OVER (PARTITION BY rep ORDER BY md5('0:' || rep || ':' || gene_id), gene_id) AS k FROM feat, (SELECT unnest(range(0, 200)) AS rep)),
         n AS (SELECT rep, avg(expr) AS v FROM d WHERE k <= (SELECT m FROM m) GROUP BY 1)
         SELECT round((SELECT v FROM m), 6) AS observed, round(avg(v), 6) AS null_mean, round(stddev_pop(v), 6) AS null_sd,
           round(avg((v >= (SELECT v FROM m))::INT), 6) AS p_value FROM n""",
     "shuffled_spearman": f"""WITH {RANKS}, base AS (SELECT *, row_number() OVER (ORDER BY gene_id) AS pos FROM rk),
-        d AS (SELECT rep, re, row_number() OVER (PARTITION BY rep ORDER BY md5('0:' || rep || ':' || gene_id), gene_id) AS pos FROM rk, (SELECT unnest(range(0, 20)) AS rep)),
+        d AS (SELECT rep, re, row_number() OVER (PARTITION BY rep ORDER BY md5('0:' || rep || ':' || gene_id), gene_id) AS pos FROM rk, (SELECT unnest(range(0, 200)) AS rep)),
         c AS (SELECT rep, corr(b.ra, d.re) AS c FROM d JOIN base b USING (pos) GROUP BY 1)
         SELECT count(*) AS n_rep, round(avg(c), 6) AS null_mean, round(stddev_pop(c), 6) AS null_sd FROM c""",
     "mean_abs_attribution": with_views("vecs", f"""WITH {ATTR} SELECT feature, round(sum(abs(value)) / (SELECT count(*) FROM vecs WHERE label = 0), 6) AS mean_abs

@@ -62,7 +62,7 @@ def direction_cosine(spark, folder):
 
 
 def direction_null(spark, folder):
-    done = op.direction_null(_directions(spark, folder), 500)
+    done = op.direction_null(_directions(spark, folder), 2000)
     return done.select("label", fixed("null_p").alias("null_p"))
 
 
@@ -107,7 +107,7 @@ ORACLES = {
     "direction_null": with_views("vecs", f"""WITH {MOVED}, rnd AS (SELECT rep, pos,
           sqrt(-2 * ln((('0x' || md5('0:' || rep || ':' || pos || ':a')[1:12])::BIGINT + 1) / 281474976710656))
           * cos(2 * pi() * ((('0x' || md5('0:' || rep || ':' || pos || ':b')[1:12])::BIGINT + 1) / 281474976710656)) AS g
-          FROM (SELECT unnest(range(0, 500)) AS rep), (SELECT DISTINCT pos FROM flat)),
+          FROM (SELECT unnest(range(0, 2000)) AS rep), (SELECT DISTINCT pos FROM flat)),
         act AS (SELECT label, cosine, unnest(range(0, len(a))) AS pos, unnest(a) AS a FROM cosv),
         nul AS (SELECT label, cosine, rep, sum(g * a) / (sqrt(sum(g * g)) * sqrt(sum(a * a)) + 1e-12) AS v FROM act JOIN rnd USING (pos) GROUP BY 1, 2, 3)
         SELECT label, round(avg((v >= cosine)::INT), 6) AS null_p FROM nul GROUP BY 1"""),

@@ -17,8 +17,6 @@ from pyspark.sql import Window as W
 
 # Rows of one group that a single window task may sort (it spills beyond executor memory).
 GROUP_ROWS = 2_000_000
-# Rows that may travel to every task or be folded into one literal.
-SMALL_ROWS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,12 +50,15 @@ def is_hot(df: DataFrame, by: Sequence[str], limit: int | None = None) -> bool:
     return largest_group(df, by) > (GROUP_ROWS if limit is None else limit)
 
 
-def require_small(df: DataFrame, what: str, limit: int | None = None) -> DataFrame:
-    """Fail before a table that is folded into a literal outgrows its bound."""
-    bound = SMALL_ROWS if limit is None else limit
-    if df.limit(bound + 1).count() > bound:
-        raise ValueError(f"{what}: more than {bound} rows; use a joined table instead")
-    return df
+def paired(left: DataFrame, right: DataFrame, keys: Sequence[str], blocks: int = 64) -> DataFrame:
+    """Every left row with every right row where the result itself is that dense table.
+
+    Right rows are dealt into blocks by their keys and each left row visits every block, so neither side becomes a
+    literal or passes through one task.
+    """
+    dealt = right.withColumn("__block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
+    visits = left.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return visits.join(dealt, "__block").drop("__block")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
@@ -88,14 +89,15 @@ class OrderedGroups:
     """Running totals and positions inside groups, without one task per hot group.
 
     ``order`` must be a total order inside a group (ties give any of the equal rows).
-    ``split=None`` measures the largest group; pass a known answer to skip the count.
+    ``split=True`` spreads a group over many tasks, ``split=False`` (the default) uses one window per group; measure once per run with
+    ``is_hot`` and pass the answer. Only a given ``limit`` without ``split`` measures here. The rows are the same either way.
     """
 
     def __init__(self, df: DataFrame, by: Sequence[str], order: Sequence[Column | str],
                  split: bool | None = None, limit: int | None = None):
         self.by = list(by)
         self.order = [F.col(o) if isinstance(o, str) else o for o in order]
-        self.split = is_hot(df, by, limit) if split is None else split
+        self.split = limit is not None and is_hot(df, by, limit) if split is None else split
         if self.split:
             placed = df.repartitionByRange(*[F.col(c) for c in self.by], *self.order)
             df = checkpoint(placed.withColumn("_piece", F.spark_partition_id()))
@@ -173,7 +175,7 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, name: str,
                  split: bool | None = None, limit: int | None = None) -> DataFrame:
     """Ascending rank where ties share their mean rank; NULL stays NULL and is not counted."""
     if split is None:
-        split = is_hot(df, by, limit)
+        split = limit is not None and is_hot(df, by, limit)
     if not split:
         ordered = W.partitionBy(*by).orderBy(F.asc_nulls_last(value))
         peers = W.partitionBy(*by, value)
@@ -190,7 +192,7 @@ def descending_rank(df: DataFrame, by: Sequence[str], value: str, name: str,
                     split: bool | None = None, limit: int | None = None) -> DataFrame:
     """Competition rank, largest value first (ties share the lowest rank)."""
     if split is None:
-        split = is_hot(df, by, limit)
+        split = limit is not None and is_hot(df, by, limit)
     if not split:
         return df.withColumn(name, F.rank().over(W.partitionBy(*by).orderBy(F.desc(value))).cast("bigint"))
     counted = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_peers"))
@@ -200,10 +202,13 @@ def descending_rank(df: DataFrame, by: Sequence[str], value: str, name: str,
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], limit: int | None = None) -> DataFrame:
-    """One row, columns q0..qn: exact quantiles with linear interpolation, NULL ignored."""
+    """One row, columns q0..qn: exact quantiles with linear interpolation, NULL ignored.
+
+    With a ``limit`` the rows are counted, and beyond it quantiles come from positions over many tasks instead of one value map.
+    """
     present = df.where(F.col(value).isNotNull()).select(value)
     bound = GROUP_ROWS if limit is None else limit
-    total = present.count()
+    total = present.count() if limit is not None else 0
     if total <= bound:
         return present.agg(*[F.percentile(value, F.lit(p)).alias(f"q{i}") for i, p in enumerate(probabilities)])
     counted = present.groupBy(value).agg(F.count(F.lit(1)).alias("_peers"))

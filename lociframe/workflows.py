@@ -39,7 +39,7 @@ def build_candidates(annotation: DataFrame, nomenclature: DataFrame, *, interval
         raise ValueError("provide exactly one of intervals or labels")
     approved = nomenclature.where(F.col("status") == "Approved").select(
         "hgnc_id", "symbol", blank_to_null("ensembl_gene_id").alias("gene_id"))
-    check(approved, [unique("hgnc_id"), unique("symbol"), unique("gene_id")], "hgnc_id")
+    check(approved, [unique("hgnc_id"), unique("symbol")], "hgnc_id")
     check(annotation, [unique("gene_id")], "gene_id")
     if intervals is not None:
         found = genes_in_intervals(annotation, intervals, bin_width).withColumn("input_symbol", F.col("gene_name"))
@@ -51,6 +51,11 @@ def build_candidates(annotation: DataFrame, nomenclature: DataFrame, *, interval
         found = resolved.withColumnRenamed("label", "input_symbol").join(approved.drop("gene_id"), "hgnc_id", "left")
         found = found.withColumns({"interval_overlap": F.lit("not_provided"), "input_type": F.lit("gene_list")})
     found = checkpoint(found)
+    # One Ensembl id on several approved records stops only the cases that select it.
+    shared = approved.where("gene_id IS NOT NULL").groupBy("gene_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    doubled = found.select("gene_id").distinct().join(shared, "gene_id").orderBy("gene_id").limit(10).collect()
+    if doubled:
+        raise ValueError(f"gene_id on several approved records: {[r['gene_id'] for r in doubled]}")
     bad = found.where("status <> 'ok'").orderBy("case_id", "input_symbol").limit(10).collect()
     if bad:
         raise ValueError("; ".join(f"{r['case_id']}/{r['input_symbol']}: {r['status']}" for r in bad))
@@ -111,7 +116,7 @@ class CopyNumberRun:
 def copy_number(counts: DataFrame, cells: DataFrame, genes: DataFrame, annotation: DataFrame, window_size: int = 100,
                 step: int = 10, min_genes: int = 200, max_mito_pct: float = 20.0, downsample: int | None = None,
                 z_threshold: float = 1.5, min_windows: int = 3, max_segment_mb: float | None = 10,
-                known: DataFrame | None = None, include_auto: bool = True, bin_width: int = 1 << 20) -> CopyNumberRun:
+                known: DataFrame | None = None, include_auto: bool = False, bin_width: int = 1 << 20) -> CopyNumberRun:
     """Counts to windowed signal, deletion segments and candidate genes."""
     metrics = cell_op.cell_metrics(counts, genes, cells)
     kept = cell_op.cell_qc(metrics, min_genes, max_mito_pct).where("keep")

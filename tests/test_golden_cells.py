@@ -150,7 +150,7 @@ def test_planted_deletion_is_recovered(spark):
     gene_table = spark.createDataFrame([(g, g) for g in genes], GENES)
     annotation = spark.createDataFrame([(g, g, "chr1" if j < 100 else "chr2", 1000 * j, 1000 * j + 900) for j, g in enumerate(genes)],
                                        "gene_id string, gene_name string, chrom string, start bigint, end bigint")
-    run = workflows.copy_number(long(spark, base, genes, names), cells, gene_table, annotation, 25, 5, min_genes=10, bin_width=1 << 14)
+    run = workflows.copy_number(long(spark, base, genes, names), cells, gene_table, annotation, 25, 5, min_genes=10, include_auto=True, bin_width=1 << 14)
     assert run.windows.count() == 16 + 36
     hits = run.segments.where("chrom = 'chr2' AND start <= 209000 AND end >= 160000").collect()
     assert len(hits) == 1 and run.segments.count() == 1

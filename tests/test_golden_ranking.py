@@ -135,11 +135,17 @@ def test_few_controls_skip_tuning(spark):
     assert done["final_grid_id"] is None and "skipped" in done["note"]
 
 
-def test_weight_grid_size_is_checked_not_cut():
-    cfg = Consensus(tuple(Evidence(f"c{i}", 1) for i in range(8)))
-    with pytest.raises(ValueError):
-        tuning.weight_grid(cfg)
-    assert len(tuning.weight_grid(SCREENING)) == 63
+def test_weight_grid_has_no_size_limit(spark):
+    from pyspark.sql import functions as F
+    wide = Consensus(tuple(Evidence(f"c{i}", 1) for i in range(8)))
+    n = spark.range(1).select(F.size(tuning.weight_grid(wide)).alias("n")).first()["n"]
+    assert n == 4 ** 8 - 1
+    ids = spark.range(1).select(F.explode(tuning.weight_grid(SCREENING)).alias("g"))
+    rows = ids.select(tuning.grid_id(F.col("g"), SCREENING).alias("grid_id"), F.array(*tuning.grid_weights(F.col("g"), SCREENING)).alias("w")).collect()
+    assert [r["grid_id"] for r in rows] == list(range(63))
+    assert rows[0]["w"] == [0.0, 0.0, 1.0] and rows[-1]["w"] == [3.0, 3.0, 3.0]
+    decoded = tuning.decode_weights(ids.select(tuning.grid_id(F.col("g"), SCREENING).alias("final_grid_id")), SCREENING)
+    assert [r["weights"] for r in decoded.orderBy("final_grid_id").collect()] == [r["w"] for r in rows]
 
 
 def test_budget(spark):
@@ -238,3 +244,55 @@ def test_controls_and_warnings(spark):
     assert op.validation_pass(op.validation_panel(checked)).collect()[0]["passed"]
     bare = op.consensus_rank(panel(spark, [(f"H{i}", f"G{i}", None, i / 30, None) for i in range(25)]), SCREENING)
     assert op.sparse_evidence_warnings(bare).collect()[0]["warnings"] == ["low_dosage_coverage", "similar_top_scores", "no_dosage_coverage"]
+
+
+# ---------------------------------------------------------------- rules that bad rows exercise
+def test_shared_approved_symbol_shields_its_key(spark):
+    from lociframe.operators import identity
+    table = spark.createDataFrame([("H1", "FOO", None), ("H2", "FOO", None), ("H3", "BAR", "FOO")], "hgnc_id string, symbol string, alias_symbol string")
+    found = {r["alias"]: r["hgnc_id"] for r in identity.build_alias_map(table, ["alias_symbol"]).collect()}
+    assert found == {"bar": "H3"}
+
+
+def test_invalid_metrics_are_not_scored(spark):
+    from lociframe.operators import evidence
+    rows = [("a", "0.5", "0.3"), ("b", "1.7", "0.3"), ("c", "0.5", "-3"), ("d", "oops", "0.3"), ("e", None, "0.3")]
+    df = spark.createDataFrame([(*r, None, None) for r in rows], "g string, pli string, loeuf string, constraint_flags string, gene_flags string")
+    got = {r["g"]: (r["gnomad_status"], r["gnomad_pLI"], r["gnomad_LOEUF"]) for r in evidence.constraint_mask(df).collect()}
+    assert got["a"] == ("available", 0.5, 0.3) and got["e"] == ("available", None, 0.3)
+    assert all(got[g] == ("invalid_metric", None, None) for g in "bcd")
+
+
+def test_ambiguous_transcripts_are_named(spark):
+    from lociframe.operators import evidence
+    rows = [("g1", "t1", "true", None), ("g1", "t2", "true", None), ("g2", "t3", "true", None)]
+    table = spark.createDataFrame([(*r, "0.4", "0.6", None, None) for r in rows], "gene_id string, transcript string, mane_select string, "
+                                  "canonical string, `lof.pLI` string, `lof.oe_ci.upper` string, constraint_flags string, gene_flags string")
+    wanted = spark.createDataFrame([("g1",), ("g2",), ("g3",)], "gene_id string")
+    got = {r["gene_id"]: (r["gnomad_status"], r["gnomad_pLI"]) for r in evidence.join_constraint(wanted, table).collect()}
+    assert got == {"g1": ("ambiguous_transcript", None), "g2": ("available", 0.4), "g3": ("no_selected_transcript_record", None)}
+
+
+def test_cases_without_controls_stay(spark):
+    from lociframe.operators import consensus
+    cases = spark.createDataFrame([(1,), (2,)], "case_id int")
+    panel = spark.createDataFrame([(1, "A", True)], "case_id int, control string, target_ok boolean")
+    got = {r["case_id"]: (r["n_controls"], r["passed"]) for r in consensus.validation_pass(panel, cases=cases).collect()}
+    assert got == {1: (1, True), 2: (0, False)}
+    ranks = spark.createDataFrame([(1, "A", 0, 1.0, 3), (1, "A", 1, 0.0, 2)], "case_id int, control string, grid_id int, l1 double, rank long")
+    tuned = {r["case_id"]: (r["n_controls"], r["final_grid_id"], r["note"] is not None) for r in tuning.loo_tune(ranks, cases=cases).collect()}
+    assert tuned == {1: (1, None, True), 2: (0, None, True)}
+
+
+def test_plans_build_without_reading_the_candidates(spark):
+    """Only schema reads may run before an action."""
+    from lociframe.plans import registry
+    queries = registry.queries()
+    tracker = spark.sparkContext.statusTracker()
+    for name in ("consensus_score_rank", "borda_rank", "budget_select", "auroc"):
+        group = f"build-{name}"
+        spark.sparkContext.setJobGroup(group, name)
+        queries[name](spark, "/root/testdata/sf0.001")
+        jobs = len(tracker.getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert jobs <= 6, (name, jobs)  # one footer read for each table
