@@ -75,11 +75,12 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[arrow_text.Words,
 
 
 def windows(found: arrow_text.Words, hashes: np.ndarray, slot: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of the windows inside one row of which at least half the words are literal."""
+    """(first word, hash) of the windows inside one row with at least two literal words (short windows: half their words)."""
     keys = arrow_text.sliding(hashes, width)
     slots = np.concatenate([[0], np.cumsum(slot)])
     ok = arrow_text.run_starts(found.first, width)
-    ok &= 2 * (slots[width:] - slots[:-width])[:len(ok)] <= width if len(ok) else ok
+    if len(ok):
+        ok &= (slots[width:] - slots[:-width])[:len(ok)] <= max(width // 2, width - 2)
     at = np.flatnonzero(ok)
     return at, keys[at] + np.uint64(width)
 

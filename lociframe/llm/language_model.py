@@ -268,8 +268,9 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         count = np.zeros(len(token), np.int64)
         if len(have) and len(token):
             keys, n = np.frombuffer(have["uni"][0].as_py(), np.uint64), np.frombuffer(have["uni_n"][0].as_py(), np.int64)
-            at = np.minimum(np.searchsorted(keys, token), len(keys) - 1)
-            count = np.where(keys[at] == token, n[at], 0)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, token), len(keys) - 1)
+                count = np.where(keys[at] == token, n[at], 0)
         times = asked["times"].to_numpy()
         base = times * np.log10((count + 0.5) / (n_tokens + 0.5 * (n_types + 1)))
         rows, at = np.unique(key, return_inverse=True)

@@ -133,23 +133,34 @@ def scan_slice(index: Index, data: np.ndarray, offsets: np.ndarray, least: float
         words = hashes[found.first[row]:found.first[row + 1]]
         start = found.start[found.first[row]:found.first[row + 1]] - offsets[row]
         end = found.end[found.first[row]:found.first[row + 1]] - offsets[row]
-        slack = BAND + len(index.words[t]) // 8
-        diagonal = place - at
-        # A long chain of near diagonals is several copies: each stretch of slack is aligned on its own.
-        for base in np.unique((diagonal - diagonal[0]) // slack):
-            d = diagonal[(diagonal - diagonal[0]) // slack == base]
-            pairs = align(index.words[t], words, int(d.min()) - slack, int(d.max()) + slack)
-            coverage = len(pairs) / len(index.words[t])
-            if coverage < least:
-                continue
-            spans: list[list[int]] = []
-            for k, (_, w) in enumerate(pairs):
-                if k and w == pairs[k - 1][1] + 1:
-                    spans[-1][1] = int(end[w])
-                else:
-                    spans.append([int(start[w]), int(end[w])])
-            out.append((row, index.names[t], coverage, len(pairs), len(index.words[t]), spans[0][0], spans[-1][1],
-                        [{"byte_start": a, "byte_end": b} for a, b in spans]))
+        size = len(index.words[t])
+        slack = BAND + size // 8
+        order = np.argsort(place, kind="stable")
+        place, at = place[order], at[order]
+        floor = 0  # words behind the last reported match
+        while len(place):
+            # Hits near the first one's diagonal and within one template's length of it are aligned together.
+            diagonal = place - at
+            near = (np.abs(diagonal - diagonal[0]) <= slack) & (place <= place[0] + size + slack)
+            pairs = align(index.words[t], words[floor:], int(diagonal[near].min()) - slack - floor, int(diagonal[near].max()) + slack - floor)
+            pairs = [(i, w + floor) for i, w in pairs]
+            coverage = len(pairs) / size
+            left = np.ones(len(place), bool)
+            left[0] = False
+            if coverage >= least:
+                floor = pairs[-1][1] + 1
+                left &= place >= floor
+                spans: list[list[int]] = []
+                for k, (_, w) in enumerate(pairs):
+                    if k and w == pairs[k - 1][1] + 1:
+                        spans[-1][1] = int(end[w])
+                    else:
+                        spans.append([int(start[w]), int(end[w])])
+                out.append((row, index.names[t], coverage, len(pairs), size, spans[0][0], spans[-1][1],
+                            [{"byte_start": x, "byte_end": y} for x, y in spans]))
+            else:
+                left &= ~near
+            place, at = place[left], at[left]
     # One row for each place: of matches of one template that overlap, the fullest and then the first.
     out.sort(key=lambda r: (r[0], r[1], -r[2], r[5], r[6]))
     kept: list[tuple] = []
