@@ -194,9 +194,11 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
     """One row for each distinct (id, text) row: n_lines, n_removed, n_near (removed, and linked to an earlier different line) and n_links."""
     lines = line_verdicts(docs, id_col, text_col, edits)
+    n_lines = (F.max("line_no") + 1).cast("bigint")
+    each = lambda total: (total * n_lines / F.count("*")).cast("bigint")  # equal rows count once
     return lines.groupBy("id", "row_key").agg(
-        F.count("*").alias("n_lines"), F.sum((~F.col("kept")).cast("bigint")).alias("n_removed"),
-        F.sum(F.col("near").cast("bigint")).alias("n_near"), F.sum("links").alias("n_links")).drop("row_key").withColumnRenamed("id", id_col)
+        n_lines.alias("n_lines"), each(F.sum((~F.col("kept")).cast("bigint"))).alias("n_removed"),
+        each(F.sum(F.col("near").cast("bigint"))).alias("n_near"), each(F.sum("links")).alias("n_links")).drop("row_key").withColumnRenamed("id", id_col)
 
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
