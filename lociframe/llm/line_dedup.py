@@ -19,11 +19,11 @@ from ..scale import checkpoint
 
 EDITS = 2
 EXACT_BELOW = 5
-# A line that makes up more than this share of all lines is hot; there are at most as many hot lines as its inverse.
-HOT_SHARE = 1e-4
+# So many of the most frequent lines are made distinct before the shuffle; any other line is less than this share of all lines.
+HOT_LINES = 10_000
 # Sides of up to this many ids (8 bytes each) are broadcast; larger ones are shuffled.
 BROADCAST_IDS = 500_000
-LETTERS = "etaonisr"
+LETTERS = "etaonisrhldu"
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -32,19 +32,19 @@ def allowed_edits(longer: Column) -> Column:
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of eight letters, modulo 16, packed into an int: one edit changes them by two at most."""
-    n = F.length(line)
-    out = F.lit(0)
+    """Counts of twelve letters, modulo 32, packed into a long: one edit changes them by two at most."""
+    n = F.octet_length(line)
+    out = F.lit(0).cast("bigint")
     for k, letter in enumerate(LETTERS):
-        out = out.bitwiseOR(F.shiftleft((n - F.length(F.replace(line, F.lit(letter), F.lit("")))) % 16, 4 * k))
+        out = out.bitwiseOR(F.shiftleft(((n - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))) % 32).cast("bigint"), 5 * k))
     return out
 
 
 def letters_differ(a: Column, b: Column) -> Column:
     total = F.lit(0)
     for k in range(len(LETTERS)):
-        d = F.abs(F.shiftrightunsigned(a, 4 * k).bitwiseAND(15) - F.shiftrightunsigned(b, 4 * k).bitwiseAND(15))
-        total = total + F.least(d, 16 - d)
+        d = F.abs(F.shiftrightunsigned(a, 5 * k).bitwiseAND(F.lit(31).cast("bigint")) - F.shiftrightunsigned(b, 5 * k).bitwiseAND(F.lit(31).cast("bigint")))
+        total = total + F.least(d, 32 - d)
     return total
 
 
@@ -135,18 +135,17 @@ def _pick(rows: DataFrame, ids: DataFrame, key: str, n: int) -> DataFrame:
 
 def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b): ids of linked distinct lines, each pair once. ``lines`` has columns line and line_id, repeats allowed."""
-    texts = lines.where(F.length("line") >= max(EXACT_BELOW - 1, edits + 1)).where(F.col("line").rlike(WORD)).select(
-        "line_id", "line", F.length("line").alias("n"), letter_counts(F.col("line")).alias("letters"))
-    counted = texts.groupBy("line_id").agg(F.count("*").alias("times"))
-    total = texts.count()
-    hot = checkpoint(counted.where(F.col("times") > max(total * HOT_SHARE, 1)).select(F.col("line_id").alias("picked")))
-    # At most 1 / HOT_SHARE ids; hot lines are made distinct before they are cut, the others behind the shuffle on the key.
+    texts = lines.where(F.length("line") >= max(EXACT_BELOW - 1, edits + 1)).where(F.col("line").rlike(WORD)).select("line_id", "line")
+    counted = texts.groupBy("line_id").agg(F.count("*").alias("times")).where("times > 1")
+    hot = checkpoint(counted.orderBy(F.desc("times"), "line_id").limit(HOT_LINES).select(F.col("line_id").alias("picked")))
+    # At most HOT_LINES ids; hot lines are made distinct before they are cut, the others behind the shuffle on the key.
     rare = texts.join(F.broadcast(hot), F.col("line_id") == F.col("picked"), "left_anti")
-    once = texts.join(F.broadcast(hot), F.col("line_id") == F.col("picked"), "left_semi").dropDuplicates(["line_id"])
+    once = checkpoint(texts.join(F.broadcast(hot), F.col("line_id") == F.col("picked"), "left_semi").dropDuplicates(["line_id"]))
 
     def keyed(places: list[tuple[int, int, int]]) -> DataFrame:
         listed = F.array(*[F.struct(F.lit(s).alias("shorter"), F.lit(k).alias("number"), F.lit(m).alias("move")) for s, k, m in places])
-        out = rare.union(once).select("line_id", "line", "n", "letters", F.inline(listed))
+        both = rare.union(once).select("line_id", "line", F.length("line").alias("n"), letter_counts(F.col("line")).alias("letters"))
+        out = both.select("line_id", "line", "n", "letters", F.inline(listed))
         other = F.col("n") - F.col("shorter")
         start, size = _segment(other, F.col("number"), edits)
         out = out.withColumns({"other": other, "start": start + F.col("move"), "size": size})
