@@ -135,6 +135,26 @@ def loo_tune(ranks: DataFrame, top_n: int = 10, by: Sequence[str] = CASE, cases:
         kept(F.col("_f.recall")).alias("final_recall"), "loo_hit_rate", note.alias("note"))
 
 
+def tuned_rank(panel: DataFrame, tuned: DataFrame, cfg: Consensus, by: Sequence[str] = CASE, split: bool = False) -> DataFrame:
+    """Rank every case with the weights chosen for it; a case whose tuning was skipped keeps the default weights.
+
+    ``tuned`` is the result of ``loo_tune``. Adds weights, tuned (were they chosen?), tuned_score and tuned_rank.
+    """
+    chosen = decode_weights(tuned, cfg, into="_w").select(*by, "_w")
+    joined = null_safe_join(adjusted(panel, cfg, by, split), chosen, list(by))
+    default = F.array(*[F.lit(float(w)) for w in cfg.weights])
+    joined = joined.withColumn("tuned", F.col("_w").isNotNull()).withColumn("weights", F.coalesce("_w", default)).drop("_w")
+    score = _weighted([F.col(f"adj_{s.column}") for s in cfg.evidence], F.col("weights"), F.col("hpa_penalty"))
+    order = [F.desc("tuned_score"), F.asc_nulls_last("hgnc_id"), F.asc("symbol")]
+    return position(joined.withColumn("tuned_score", score), list(by), order, "tuned_rank", split)
+
+
+def missing_controls(ranks: DataFrame, cases: DataFrame, controls: DataFrame, by: Sequence[str] = CASE) -> DataFrame:
+    """(case, control) pairs that were asked for in ``controls`` (by, symbol) and are not among a case's candidates."""
+    asked = controls.select(*by, F.upper(F.trim("symbol")).alias("control")).distinct().join(cases.select(*by).distinct(), list(by), "left_semi")
+    return asked.join(ranks.select(*by, "control").distinct(), [*by, "control"], "left_anti")
+
+
 def sensitivity_scenarios(cfg: Consensus) -> list[tuple[str, int, list[float]]]:
     """Each weight moved by one (never below zero), without scenarios that change nothing."""
     scenarios = []

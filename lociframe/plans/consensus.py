@@ -131,6 +131,12 @@ def loo_tune(spark, folder):
                        fixed("loo_hit_rate").alias("loo_hit_rate"), "note")
 
 
+def tuned_rank(spark, folder):
+    tuned = tune.loo_tune(_ranks(spark, folder), 10, cases=b.cases(spark, folder))
+    done = tune.tuned_rank(_plain(spark, folder), tuned, SCREENING)
+    return done.select("case_id", "gene_id", "tuned", fixed("tuned_score").alias("tuned_score"), "tuned_rank")
+
+
 def weight_sensitivity(spark, folder):
     return tune.weight_sensitivity(_plain(spark, folder), SCREENING)
 
@@ -173,7 +179,7 @@ def sparse_evidence_warnings(spark, folder):
 QUERIES = {f.__name__: f for f in (
     normalize_raw, normalize_zscore, normalize_rank, normalize_ordinal, consensus_score_rank, consensus_penalty,
     evidence_status_gate, borda_rank, rank_agreement, budget_select, evidence_notes, run_summary, summary_projection,
-    weight_grid_recall, loo_folds, loo_tune, weight_sensitivity, weight_robustness, control_check, control_summary,
+    weight_grid_recall, loo_folds, loo_tune, tuned_rank, weight_sensitivity, weight_robustness, control_check, control_summary,
     validation_panel, validation_pass, sparse_evidence_warnings)}
 
 NORMS = """SELECT case_id, gene_id, round(n_hi, 6) AS "norm_clinGen_hi_score", round(n_loeuf, 6) AS "norm_gnomad_LOEUF",
@@ -281,6 +287,12 @@ ORACLES = {
         SELECT case_id, coalesce(n, 0) AS n_controls, CASE WHEN n >= 3 THEN grid_id END AS final_grid_id, CASE WHEN n >= 3 THEN round(hits / n, 6) END AS final_recall,
           round(r, 6) AS loo_hit_rate, CASE WHEN coalesce(n, 0) < 3 THEN 'need >=3 positive controls present in candidates; tuning skipped' END AS note
         FROM cases LEFT JOIN (SELECT * FROM fin WHERE pick = 1) USING (case_id) LEFT JOIN rate USING (case_id)"""),
+    "tuned_rank": with_views("normed controls", f"""WITH {GRID}, fin AS (SELECT case_id, grid_id, n, row_number() OVER (PARTITION BY case_id ORDER BY hits DESC, l1, grid_id) AS pick
+          FROM tot JOIN grid USING (grid_id)),
+        w AS (SELECT case_id, a, b, c FROM fin JOIN grid USING (grid_id) WHERE pick = 1 AND n >= 3),
+        s AS (SELECT o.case_id, o.gene_id, o.hgnc_id, w.a IS NOT NULL AS tuned, coalesce(n_hi, 0) * coalesce(w.a, 3) + coalesce(n_loeuf, 0) * coalesce(w.b, 2)
+          + coalesce(n_pli, 0) * coalesce(w.c, 2) AS score FROM normed o LEFT JOIN w USING (case_id))
+        SELECT case_id, gene_id, tuned, round(score, 6) AS tuned_score, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, hgnc_id) AS tuned_rank FROM s"""),
     "weight_sensitivity": with_views("normed", f"WITH {SENS} SELECT * FROM sens"),
     "weight_robustness": with_views("normed", f"""WITH {SENS}, g AS (SELECT case_id, count(*) AS n_perturbations, max(max_rank_shift) AS max_rank_shift,
           count(*) FILTER (top3_genes_changed > 0) AS n_causing_top3_change FROM sens GROUP BY 1)
