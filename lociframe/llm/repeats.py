@@ -70,7 +70,8 @@ class Runs:
         stop = np.append(start[1:], n)
         ok = valid[start]
         self.start, self.stop = start[ok], stop[ok]
-        self.hash = h[anchor[self.start]]
+        # Anchors have small hashes by choice; mixed again they spread evenly over buckets and filter slices.
+        self.hash = arrow_text.mix(h[anchor[self.start]])
 
 
 def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -230,11 +231,21 @@ class Bucket:
         self.context_of = np.repeat(np.arange(len(self.length)), n_places)
         self.least_id = np.minimum.reduceat(self.ids, np.cumsum(n_places) - n_places)
         self.n_places = n_places
-        # Suffixes that begin a window.
+        # Suffixes that begin a window. Only those whose window stands twice in the bucket can share an interval; the others
+        # are repeats only where their whole context is, and need no place in the array.
         windows = self.length - LEAST + 1
         self.first = np.cumsum(windows) - windows
-        self.owner = np.repeat(np.arange(len(windows)), windows)
-        self.at = self.begin[self.owner] + np.arange(windows.sum()) - self.first[self.owner]
+        owner = np.repeat(np.arange(len(windows)), windows)
+        at = self.begin[owner] + np.arange(windows.sum()) - self.first[owner]
+        self.least = self.least_id[owner].copy()
+        prints = arrow_text.span_hashes(self.text, at, at + LEAST)
+        ranked = np.argsort(prints)
+        same = prints[ranked][1:] == prints[ranked][:-1]
+        twice = np.zeros(len(at), bool)
+        twice[ranked[1:][same]] = True
+        twice[ranked[:-1][same]] = True
+        self.suffix = np.flatnonzero(twice)
+        self.owner, self.at = owner[twice], at[twice]
         self.size = self.begin[self.owner] + self.length[self.owner] - self.at
         self._sort()
         self._scan()
@@ -255,50 +266,55 @@ class Bucket:
         same[:1] = False
         for word in words:
             word = word[self.order]
-            differ = np.append(np.uint64(0), word[1:] ^ word[:-1])
-            bits = differ.copy()
+            bits = np.append(np.uint64(0), word[1:] ^ word[:-1])[:len(word)]
+            equal = bits == 0
             for shift in (1, 2, 4, 8, 16, 32):
                 bits |= bits >> np.uint64(shift)
             common += np.where(same, (64 - np.bitwise_count(bits).astype(np.int64)) // 8, 0)
-            same &= differ == 0
+            same &= equal
         size = self.size[self.order]
-        self.common = np.minimum(common, np.minimum(size, np.append(0, size[:-1])))
+        self.common = np.minimum(common, np.minimum(size, np.append(0, size[:-1])[:len(size)]))
 
     def _scan(self) -> None:
         """Stack scan of the common prefixes of at least LEAST bytes.
 
-        ``groups``: (length, low, high, follows different bytes) of every interval, ranks low..high of the suffix array; inner ones first.
-        ``least``: for each suffix the smallest id of a document in which its first LEAST bytes begin.
+        ``groups``: (length, low, high) of every interval, ranks low..high of the suffix array, inner ones first. ``least``: for each
+        window the smallest id of a document it begins in, from the outermost interval around it.
         """
-        owner = self.owner[self.order]
-        start = self.at[self.order] > self.begin[owner]
-        follows = np.where(start, self.text[np.maximum(self.at[self.order] - 1, 0)], self.before[owner]).tolist()
-        least = self.least_id[owner].copy()
-        self.groups: list[tuple[int, int, int, bool]] = []
-        linked = np.flatnonzero(self.common >= LEAST)
-        cut = np.flatnonzero(np.diff(linked) > 1) + 1 if len(linked) else []
-        common = self.common
-        for run in np.split(linked, cut) if len(linked) else []:
-            low, high = int(run[0]) - 1, int(run[-1])
-            stack: list[list[int]] = []  # [length, low, byte followed by all or 256]
-            for rank, depth in zip(range(low + 1, high + 2), [*common[run].tolist(), 0], strict=True):
-                left, byte = rank - 1, follows[rank - 1]
-                while stack and stack[-1][0] > depth:
-                    length, left, seen = stack.pop()
-                    byte = seen if seen == byte else 256
-                    self.groups.append((length, left, rank - 1, byte == 256))
-                    if stack and stack[-1][0] >= depth:
-                        stack[-1][2] = byte if stack[-1][2] == byte else 256
-                        byte = stack[-1][2]
-                if depth >= LEAST:
-                    if not stack or stack[-1][0] < depth:
-                        stack.append([depth, left, byte])
-                    elif stack[-1][2] != byte:
-                        stack[-1][2] = 256
-            # The last interval that closes spans the run: all its suffixes share LEAST bytes.
-            least[low:high + 1] = least[low:high + 1].min()
-        self.least = np.empty(len(least), np.int64)
-        self.least[self.order] = least
+        common = np.where(self.common >= LEAST, self.common, 0)
+        change = np.flatnonzero(np.append(common, 0) != np.append(0, common))
+        groups: list[tuple[int, int, int]] = []
+        lengths, lows = [0], [0]
+        outer: list[tuple[int, int]] = []
+        for rank, depth in zip(change.tolist(), np.append(common, 0)[change].tolist(), strict=True):
+            low = rank - 1
+            while lengths[-1] > depth:
+                length, low = lengths.pop(), lows.pop()
+                groups.append((length, low, rank - 1))
+                if lengths[-1] == 0 and depth == 0:
+                    outer.append((low, rank))
+            if lengths[-1] < depth:
+                lengths.append(depth)
+                lows.append(low)
+        self.groups = groups
+        if outer:
+            least = self.least_id[self.owner[self.order]]
+            bounds = np.array(outer)
+            smallest = np.minimum.reduceat(np.append(least, least[-1]), bounds.ravel())[::2]
+            inside = np.repeat(bounds[:, 0] - np.concatenate([[0], np.cumsum(bounds[:, 1] - bounds[:, 0])[:-1]]), bounds[:, 1] - bounds[:, 0])
+            inside = inside + np.arange(len(inside))
+            self.least[self.suffix[self.order[inside]]] = np.repeat(smallest, bounds[:, 1] - bounds[:, 0])
+
+    def diverse(self) -> list[tuple[int, int, int]]:
+        """The groups whose members follow different bytes, or begin a text somewhere."""
+        if not self.groups:
+            return []
+        owner, at = self.owner[self.order], self.at[self.order]
+        follows = np.where(at > self.begin[owner], self.text[np.maximum(at - 1, 0)], self.before[owner])
+        changes = np.concatenate([[0, 0], np.cumsum(follows[1:] != follows[:-1])])
+        _, low, high = np.array(self.groups).T
+        keep = (changes[high + 1] > changes[low + 1]) | (follows[low] == 256)
+        return [g for g, k in zip(self.groups, keep.tolist(), strict=True) if k]
 
     def covered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row key, first byte, end) of the bytes of each place that an earlier document has too."""
@@ -332,21 +348,19 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def groups(table: pa.Table) -> pa.Table:
         b = Bucket(table)
         first_place = np.cumsum(b.n_places) - b.n_places
-        found = list(b.groups)
+        # (length, byte of the text, contexts and the place in them) of intervals, and of whole contexts that stand at several places.
+        found = [(length, b.order[low:high + 1].tolist()) for length, low, high in b.diverse()]
+        found = [(length, [(int(b.owner[x]), int(b.at[x] - b.begin[b.owner[x]])) for x in members]) for length, members in found]
+        alone = np.flatnonzero((b.n_places > 1) & (b.before == 256)).tolist()
+        covered = {tuple(sorted(m)) for _, m in found}
+        found += [(int(b.length[o]), [(o, 0)]) for o in alone if ((o, 0),) not in covered]
         out = []
-        inner = {(low, high) for _, low, high, _ in found}
-        for rank in np.flatnonzero((b.n_places[b.owner[b.order]] > 1) & (b.at[b.order] == b.begin[b.owner[b.order]])).tolist():
-            if (rank, rank) not in inner:
-                found.append((int(b.size[b.order[rank]]), rank, rank, bool(b.before[b.owner[b.order[rank]]] == 256)))
-        for length, low, high, diverse in found:
-            if not diverse:
-                continue
+        for length, suffixes in found:
             members = []
-            for suffix in b.order[low:high + 1].tolist():
-                o = b.owner[suffix]
+            for o, shift in suffixes:
                 for p in range(first_place[o], first_place[o] + b.n_places[o]):
-                    members.append({"row_key": int(b.keys[p]), "id": None if b.ids[p] == UNORDERED else int(b.ids[p]), "start": int(b.places[p] + b.at[suffix] - b.begin[o])})
-            at = b.at[b.order[low]]
+                    members.append({"row_key": int(b.keys[p]), "id": None if b.ids[p] == UNORDERED else int(b.ids[p]), "start": int(b.places[p] + shift)})
+            at = b.begin[suffixes[0][0]] + suffixes[0][1]
             passage = b.text[at:at + length].tobytes()
             out.append({"group_id": hashlib.sha1(passage).hexdigest(), "length": length, "passage": passage, "occurrences": members})
         kind = pa.list_(pa.struct([("row_key", pa.int64()), ("id", pa.int64()), ("start", pa.int64())]))
