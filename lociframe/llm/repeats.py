@@ -3,7 +3,7 @@
 Every window of ``LEAST`` bytes has one anchor: its 16-byte gram of least hash, so equal windows have equal anchors wherever
 they stand. A first pass finds which anchors occur in several documents and keeps them in a Bloom filter of fixed
 size (a false hit costs time only). A second pass sends the context of such anchors - the windows that chose it, about 67 bytes -
-to the task of the anchor's hash bucket. There the suffixes that begin a window are sorted, common prefixes of neighbours are
+to the task of the anchor's hash bucket. There the suffixes that begin a window which stands there twice are sorted, common prefixes of neighbours are
 measured, and a stack scan builds the interval tree of common prefixes: an interval whose members follow different bytes is a
 maximal repeat inside its context, with all its occurrences. A repeat longer than a context shows up at each of its anchors; the
 merged spans are the whole passage.
