@@ -23,8 +23,12 @@ EXACT_BELOW = 5
 HOT_LINES = 10_000
 # Sides of up to this many ids (8 bytes each) are broadcast; larger ones are shuffled.
 BROADCAST_IDS = 500_000
-LETTERS = "etaonisrhldu"
-WORD = r"[^\x20\x09-\x0D]"
+LETTERS = "etaonisrhl"
+SPACES = " \t\n\v\f\r"
+
+
+def has_word(line: str) -> Column:
+    return F.btrim(F.col(line), F.lit(SPACES)) != ""
 
 
 def allowed_edits(longer: Column) -> Column:
@@ -32,7 +36,7 @@ def allowed_edits(longer: Column) -> Column:
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of twelve letters, modulo 32, packed into a long: one edit changes them by two at most."""
+    """Counts of ten letters, modulo 32, packed into a long: one edit changes them by two at most."""
     n = F.octet_length(line)
     out = F.lit(0).cast("bigint")
     for k, letter in enumerate(LETTERS):
@@ -135,7 +139,7 @@ def _pick(rows: DataFrame, ids: DataFrame, key: str, n: int) -> DataFrame:
 
 def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b): ids of linked distinct lines, each pair once. ``lines`` has columns line and line_id, repeats allowed."""
-    texts = lines.where(F.length("line") >= max(EXACT_BELOW - 1, edits + 1)).where(F.col("line").rlike(WORD)).select("line_id", "line")
+    texts = lines.where(F.length("line") >= max(EXACT_BELOW - 1, edits + 1)).where(has_word("line")).select("line_id", "line")
     counted = texts.groupBy("line_id").agg(F.count("*").alias("times")).where("times > 1")
     hot = checkpoint(counted.orderBy(F.desc("times"), "line_id").limit(HOT_LINES).select(F.col("line_id").alias("picked")))
     # At most HOT_LINES ids; hot lines are made distinct before they are cut, the others behind the shuffle on the key.
@@ -173,7 +177,7 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = _lines(docs, id_col, text_col)
     links = checkpoint(line_links(lines, edits))
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key", "line_no")
-    worded = F.col("line").rlike(WORD)
+    worded = has_word("line")
     first = lines.where(worded).groupBy("line_id").agg(F.min(place).alias("first"))
     ids = links.select(F.explode(F.array("a", "b")).alias("picked")).distinct()
     linked = _pick(first, ids, "line_id", ids.count())
