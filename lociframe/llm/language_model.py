@@ -2,18 +2,20 @@
 
 Counting covers every training document: tasks count their own unigrams and bigrams, buckets of hashes merge them. A
 bucket also fills one slice of the filter: a count is put in as the levels 1..q of its logarithm, so a lookup probes level
-after level until one is missing. The filter has a fixed size, so it can be broadcast whatever the corpus; a slice that would be
-fuller than ``MOST_FULL`` leaves out its lowest bigram levels (these bigrams are scored by backing off).
+after level until one is missing. A slice is as large as its inserts ask for (at most ``MOST_FULL``), so every count is in it
+whatever the corpus; slices stay rows by bucket and are never gathered.
+
+Texts are scored in pieces of about 2 MB. A piece asks each bucket once for its distinct unigrams and bigrams; filter levels and exact
+unigram counts come back by a join on the bucket.
 
 P(w | h) = (c(h w) + k P(w)) / (c(h) + k), P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), all c as read from the filter. Of the
 candidates in ``PRIORS``, k is the one under which the training documents, each left out of its own counts, are likeliest.
-
-The exact unigram base score next to it needs exact counts: those of the most frequent tokens of each bucket are
-broadcast (a fixed number), all others are joined.
+The unigram base score next to it uses the exact counts.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,10 +29,9 @@ from ..scale import checkpoint
 from . import arrow_text
 
 BUCKET_BITS = 10
-FILTER_BITS = 29  # 64 MB
+FILTER_BITS = 29  # least size of all slices, 64 MB; a slice with more inserts is larger
 PROBES = 3
 MOST_FULL = 0.35
-FREQUENT = 1024  # tokens of a bucket whose exact counts are broadcast: 2^20 in all
 FLUSH_TOKENS = 2_000_000
 PRIORS = (1.0, 10.0, 100.0, 1e3, 1e4, 1e6)
 STEPS = 2  # levels for each doubling of a count
@@ -58,6 +59,8 @@ COUNT_OF = _decoded()
 def _bits(hashes: np.ndarray, level: np.ndarray | int, slice_bits: int) -> list[np.ndarray]:
     x = arrow_text.mix(hashes + np.asarray(level, np.uint64) * _GOLD)
     mask = np.uint64((1 << slice_bits) - 1)
+    if slice_bits > 21:  # three probes no longer fit one hash
+        return [(arrow_text.mix(x + np.uint64(k)) & mask).astype(np.int64) for k in range(PROBES)]
     return [((x >> np.uint64(shift)) & mask).astype(np.int64) for shift in (0, 21, 42)[:PROBES]]
 
 
@@ -69,7 +72,7 @@ class Filter:
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         slice_bits = self.filter_bits - self.bucket_bits
-        base = (hashes >> np.uint64(64 - self.bucket_bits)).astype(np.int64) << slice_bits
+        base = (hashes >> np.uint64(64 - self.bucket_bits)).astype(np.int64) << slice_bits if self.bucket_bits else np.zeros(len(hashes), np.int64)
         out, live, level = np.zeros(len(hashes), np.int64), np.arange(len(hashes)), 1
         while len(live):
             there = np.ones(len(live), bool)
@@ -82,10 +85,26 @@ class Filter:
         return np.minimum(out, len(COUNT_OF) - 1)
 
 
+def room_of(slice_bits: int) -> int:
+    """Inserts that make a slice ``MOST_FULL``."""
+    return int(-np.log(1 - MOST_FULL) / PROBES * (1 << slice_bits))
+
+
+def slice_bits_for(unigrams: np.ndarray, bigrams: np.ndarray, least: int) -> int:
+    """Size of the slice that holds all levels of these counts."""
+    inserts = sum(int(level_of(n).sum()) for n in (unigrams, bigrams))
+    while room_of(least) < inserts:
+        least += 1
+    return least
+
+
 def fill_slice(unigrams: tuple[np.ndarray, np.ndarray], bigrams: tuple[np.ndarray, np.ndarray], slice_bits: int) -> np.ndarray:
-    """Bits of one slice: all unigrams, then bigrams of the highest levels first as long as a whole level fits."""
+    """Bits of one slice: all unigrams, then bigrams of the highest levels first as long as a whole level fits.
+
+    All levels fit the size that ``slice_bits_for`` gives.
+    """
     keys, levels = unigrams[0], level_of(unigrams[1])
-    room = int(-np.log(1 - MOST_FULL) / PROBES * (1 << slice_bits)) - int(levels.sum())
+    room = room_of(slice_bits) - int(levels.sum())
     if len(bigrams[0]):
         of_bigram = level_of(bigrams[1])
         need = np.bincount(of_bigram, weights=of_bigram)[::-1].cumsum()[::-1]  # inserts when levels from q on are kept
@@ -166,73 +185,114 @@ def count_grams(training: DataFrame, bucket_bits: int = BUCKET_BITS, filter_bits
             return np.concatenate([np.frombuffer(x, kind) for x in rows[name].to_pylist()])
         unigrams = _merge(column("uni", np.uint64), column("uni_n", np.uint32).astype(np.int64))
         bigrams = _merge(column("bi", np.uint64), column("bi_n", np.uint32).astype(np.int64))
-        top = np.sort(np.argsort(-unigrams[1], kind="stable")[:FREQUENT])
+        size = slice_bits_for(unigrams[1], bigrams[1], filter_bits - bucket_bits)
         return pa.table({"bucket": rows["bucket"][:1].cast(pa.int32()), "uni": [unigrams[0].tobytes()], "uni_n": [unigrams[1].tobytes()],
-                         "frequent": [unigrams[0][top].tobytes()], "frequent_n": [unigrams[1][top].tobytes()],
-                         "bits": [fill_slice(unigrams, bigrams, filter_bits - bucket_bits).tobytes()],
+                         "bits": [fill_slice(unigrams, bigrams, size).tobytes()],
                          "n_tokens": [int(unigrams[1].sum())], "n_types": [len(unigrams[0])]})
 
     shuffled = training.select("text").mapInArrow(count, "bucket int, uni binary, uni_n binary, bi binary, bi_n binary")
     return shuffled.groupBy("bucket").applyInArrow(
-        merge, "bucket int, uni binary, uni_n binary, frequent binary, frequent_n binary, bits binary, n_tokens bigint, n_types bigint")
+        merge, "bucket int, uni binary, uni_n binary, bits binary, n_tokens bigint, n_types bigint")
+
+
+def _pieces_of(rows: DataFrame, kind: str) -> DataFrame:
+    """One row for each slice of texts: ids and bounds of its rows, its distinct tokens in order, and the number of each token among them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in arrow_text.pieces(batch, "text"):
+                tokens, _, bounds = tokens_of(data, offsets)
+                kinds, which = np.unique(tokens, return_inverse=True)
+                whole = pa.array([0, len(part)], pa.int32())
+                values = [pa.ListArray.from_arrays(whole, part["id"]), pa.ListArray.from_arrays(whole, part["held_out"]),
+                          pa.ListArray.from_arrays(whole, pa.array(np.diff(bounds)))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([uuid.uuid4().hex]), *values, pa.array([kinds.tobytes()], pa.binary()),
+                     pa.array([which.astype(_number_type(len(kinds))).tobytes()], pa.binary())],
+                    names=["piece", "ids", "held_out", "n_tokens", "kinds", "which"])
+
+    return rows.mapInArrow(run, f"piece string, ids array<{kind}>, held_out array<boolean>, n_tokens array<bigint>, kinds binary, which binary")
+
+
+def _number_type(n: int) -> type:
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
+def _grams(kinds: bytes, which: bytes, n_tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct tokens, number of each token, is it the first of its row, distinct bigrams, number of each bigram) of a piece."""
+    kinds = np.frombuffer(kinds, np.uint64)
+    which = np.frombuffer(which, _number_type(len(kinds))).astype(np.int64)
+    opens = np.zeros(len(which), bool)
+    opens[np.cumsum(n_tokens) - n_tokens] = True
+    tokens = kinds[which]
+    before = np.where(opens, BEGIN, np.append(BEGIN, tokens[:-1]))
+    pairs, which_pair = np.unique(bigram_hashes(before, tokens), return_inverse=True)
+    return kinds, which, opens, pairs, which_pair
+
+
+def _asked(pieces: DataFrame, bucket_bits: int) -> DataFrame:
+    """Rows (piece, bucket) with the distinct unigrams and bigrams of a piece in that bucket."""
+    buckets = 1 << bucket_bits
+    edges = (np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - bucket_bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                kinds, _, _, pairs, _ = _grams(batch["kinds"][i].as_py(), batch["which"][i].as_py(), batch["n_tokens"][i].values.to_numpy())
+                columns = [_blobs(x, np.concatenate([[0], np.searchsorted(x, edges), [len(x)]])) for x in (kinds, pairs)]
+                rows = pa.RecordBatch.from_arrays([pa.repeat(batch["piece"][i], buckets), pa.array(np.arange(buckets, dtype=np.int32)), *columns],
+                                                  names=["piece", "bucket", "uni", "bi"])
+                yield rows.filter(pc.greater(pc.add(pc.binary_length(rows["uni"]), pc.binary_length(rows["bi"])), 0))
+
+    return pieces.select("piece", "n_tokens", "kinds", "which").mapInArrow(run, "piece string, bucket int, uni binary, bi binary")
+
+
+def _answer(asked: pa.Table, have: pa.Table) -> pa.Table:
+    """Filter levels of what pieces ask one bucket, and exact counts of the unigrams."""
+    uni, bi = ([np.frombuffer(x, np.uint64) for x in asked[name].to_pylist()] for name in ("uni", "bi"))
+    out = []
+    for parts in (uni, bi):
+        hashes = np.concatenate([*parts, np.zeros(0, np.uint64)])
+        levels, exact = np.zeros(len(hashes), np.uint8), np.zeros(len(hashes), np.int64)
+        if len(have):
+            bits = np.frombuffer(have["bits"][0].as_py(), np.uint8)
+            levels = Filter(bits, 0, (len(bits) * 8).bit_length() - 1).levels(hashes).astype(np.uint8)
+            keys, n = np.frombuffer(have["uni"][0].as_py(), np.uint64), np.frombuffer(have["uni_n"][0].as_py(), np.int64)
+            if parts is uni and len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                exact = np.where(keys[at] == hashes, n[at], 0)
+        bounds = np.cumsum([0, *map(len, parts)])
+        out += [_blobs(levels, bounds), _blobs(exact, bounds)]
+    return pa.table([asked["piece"], asked["bucket"], out[1], out[0], out[2]], names=["piece", "bucket", "exact", "uni", "bi"])
 
 
 @dataclass
-class Model:
-    filter: Filter
-    frequent: np.ndarray
-    frequent_n: np.ndarray
+class Totals:
     n_tokens: int
     n_types: int
 
     def log_unigram(self, count: np.ndarray, less: int = 0) -> np.ndarray:
         return np.log10((count + 0.5) / (self.n_tokens - less + 0.5 * (self.n_types + 1)))
 
-    def score_rows(self, data: np.ndarray, offsets: np.ndarray) -> dict:
-        tokens, before, bounds = tokens_of(data, offsets)
-        kinds, which = np.unique(tokens, return_inverse=True)
-        pairs, which_pair = np.unique(bigram_hashes(before, tokens), return_inverse=True)
-        uni = COUNT_OF[self.filter.levels(kinds)]
-        begins = COUNT_OF[self.filter.levels(np.array([END]))][0]  # as many texts begin as end
-        c_word = uni[which]
-        c_before = np.where(before == BEGIN, begins, np.append(0, c_word[:-1]))
-        c_pair = np.minimum(COUNT_OF[self.filter.levels(pairs)][which_pair], np.minimum(c_before, c_word))
+    def score_piece(self, piece: pa.Table, answers: pa.Table) -> dict:
+        """Columns of the rows of one piece. Distinct grams are in the order of their hashes, so buckets in order give their answers."""
+        n_tokens = piece["n_tokens"][0].values.to_numpy()
+        starts = np.cumsum(n_tokens) - n_tokens
+        kinds, which, opens, _, which_pair = _grams(piece["kinds"][0].as_py(), piece["which"][0].as_py(), n_tokens)
+        answers = answers.sort_by("bucket")
+        exact, uni, bi = (np.frombuffer(b"".join(answers[name].to_pylist()), kind) for name, kind in (("exact", np.int64), ("uni", np.uint8), ("bi", np.uint8)))
+        count = COUNT_OF[uni]
+        begins = count[np.searchsorted(kinds, END)]  # as many texts begin as end
+        c_word = count[which]
+        c_before = np.where(opens, begins, np.append(0, c_word[:-1]))
+        c_pair = np.minimum(COUNT_OF[bi][which_pair], np.minimum(c_before, c_word))
         p, p_out = 10.0 ** self.log_unigram(c_word), 10.0 ** self.log_unigram(np.maximum(c_word - 1, 0), 1 if self.n_tokens else 0)
         scores, left_out = [], []
         for k in PRIORS:
-            scores.append(np.add.reduceat(np.log10((c_pair + k * p) / (c_before + k)), bounds[:-1]))
-            left_out.append(np.add.reduceat(np.log10((np.maximum(c_pair - 1, 0) + k * p_out) / (np.maximum(c_before - 1, 0) + k)), bounds[:-1]))
-        at = np.minimum(np.searchsorted(self.frequent, kinds), max(len(self.frequent) - 1, 0))
-        known = self.frequent[at] == kinds if len(self.frequent) else np.zeros(len(kinds), bool)
-        exact = np.where(known, self.frequent_n[at] if len(self.frequent) else 0, 0)
-        base = np.add.reduceat(np.where(known, self.log_unigram(exact), 0.0)[which], bounds[:-1])
-        n_known = np.add.reduceat(known[which].astype(np.int64), bounds[:-1])
-        # Tokens left for the join: once for each row, with how often they occur in it.
-        rare = np.flatnonzero(~known[which])
-        row = np.searchsorted(bounds, rare, "right") - 1
-        key, n = np.unique(row * np.int64(len(kinds) + 1) + which[rare], return_counts=True)
-        row, kind = key // (len(kinds) + 1), key % (len(kinds) + 1)
-        cut = np.searchsorted(row, np.arange(len(bounds))).astype(np.int32)
-        listed = lambda values, item: pa.ListArray.from_arrays(pa.array(cut), pa.array(values, item))
-        return {"n_tokens": pa.array(np.diff(bounds)), "n_known": pa.array(n_known), "base": pa.array(base),
-                "scores": pa.FixedSizeListArray.from_arrays(pa.array(np.stack(scores, 1).ravel()), len(PRIORS)).cast(pa.list_(pa.float64())),
-                "left_out": pa.FixedSizeListArray.from_arrays(pa.array(np.stack(left_out, 1).ravel()), len(PRIORS)).cast(pa.list_(pa.float64())),
-                "rare": listed(kinds[kind].view(np.int64), pa.int64()), "rare_n": listed(n, pa.int64())}
-
-
-def load_model(counted: DataFrame, bucket_bits: int = BUCKET_BITS, filter_bits: int = FILTER_BITS) -> Model:
-    """Slices and frequent tokens gathered on the driver; their size does not depend on the corpus."""
-    slice_bytes = (1 << (filter_bits - bucket_bits)) // 8
-    bits = np.zeros(slice_bytes << bucket_bits, np.uint8)
-    frequent, frequent_n, n_tokens, n_types = [], [], 0, 0
-    for r in counted.select("bucket", "bits", "frequent", "frequent_n", "n_tokens", "n_types").toLocalIterator():
-        bits[r["bucket"] * slice_bytes:(r["bucket"] + 1) * slice_bytes] = np.frombuffer(r["bits"], np.uint8)
-        frequent.append(np.frombuffer(r["frequent"], np.uint64))
-        frequent_n.append(np.frombuffer(r["frequent_n"], np.int64))
-        n_tokens, n_types = n_tokens + r["n_tokens"], n_types + r["n_types"]
-    keys = np.concatenate(frequent) if frequent else np.zeros(0, np.uint64)
-    order = np.argsort(keys)
-    return Model(Filter(bits, bucket_bits, filter_bits), keys[order], (np.concatenate(frequent_n) if frequent else np.zeros(0, np.int64))[order], n_tokens, n_types)
+            scores.append(np.add.reduceat(np.log10((c_pair + k * p) / (c_before + k)), starts))
+            left_out.append(np.add.reduceat(np.log10((np.maximum(c_pair - 1, 0) + k * p_out) / (np.maximum(c_before - 1, 0) + k)), starts))
+        listed = lambda values: pa.FixedSizeListArray.from_arrays(pa.array(np.stack(values, 1).ravel()), len(PRIORS)).cast(pa.list_(pa.float64()))
+        return {"n_tokens": pa.array(n_tokens), "n_known": pa.array(np.add.reduceat((exact > 0)[which].astype(np.int64), starts)),
+                "base": pa.array(np.add.reduceat(self.log_unigram(exact)[which], starts)), "scores": listed(scores), "left_out": listed(left_out)}
 
 
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", bucket_bits: int = BUCKET_BITS,
@@ -240,51 +300,26 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     """Train on the rows for which the Column ``held_out`` is not true and score all rows.
 
     Columns: the id, held_out, n_tokens, n_known, train_tokens, base_score and score. A NULL text is empty and has its end token
-    only; a NULL ``held_out`` trains. Without training rows every probability of the base is one.
+    only; a NULL ``held_out`` trains. Without training rows every probability of the base is one. ``filter_bits`` is the least size of
+    the filter; it grows with its inserts.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text.alias("text"))
-    rows = rows.withColumn("row_key", F.xxhash64("id", "text"))
     counted = checkpoint(count_grams(rows.where("not held_out"), bucket_bits, filter_bits))
-    model = load_model(counted, bucket_bits, filter_bits)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sums = counted.agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_types").alias("n_types")).first()
+    totals = Totals(sums["n_tokens"] or 0, sums["n_types"] or 0)
+    kind = docs.schema[id_col].dataType.simpleString()
+    pieces = checkpoint(_pieces_of(rows, kind))
+    answers = _asked(pieces, bucket_bits).groupBy("bucket").cogroup(counted.select("bucket", "uni", "uni_n", "bits").groupBy("bucket")).applyInArrow(
+        _answer, "piece string, bucket int, exact binary, uni binary, bi binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in arrow_text.pieces(batch, "text"):
-                found = shared.value.score_rows(data, offsets)
-                yield pa.RecordBatch.from_arrays([part["id"], part["held_out"], part["row_key"], *found.values()], names=["id", "held_out", "row_key", *found])
+    def run(piece: pa.Table, found: pa.Table) -> pa.Table:
+        columns = totals.score_piece(piece, found)
+        return pa.table([piece["ids"][0].values, piece["held_out"][0].values, *columns.values()], names=["id", "held_out", *columns])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = checkpoint(rows.mapInArrow(run, f"id {kind}, held_out boolean, row_key bigint, n_tokens bigint, n_known bigint, base double, "
-                                             "scores array<double>, left_out array<double>, rare array<bigint>, rare_n array<bigint>"))
+    scored = checkpoint(pieces.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(
+        run, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, scores array<double>, left_out array<double>"))
     likely = scored.where("not held_out").agg(*[F.sum(F.get("left_out", F.lit(i))) for i in range(len(PRIORS))]).first()
     best = max(range(len(PRIORS)), key=lambda i: (likely[i] is not None, likely[i] or 0.0))
-    n_tokens, n_types = model.n_tokens, model.n_types
-
-    def look_up(asked: pa.Table, have: pa.Table) -> pa.Table:
-        token = asked["token"].to_numpy().view(np.uint64)
-        key = asked["row_key"].to_numpy()
-        count = np.zeros(len(token), np.int64)
-        if len(have) and len(token):
-            keys, n = np.frombuffer(have["uni"][0].as_py(), np.uint64), np.frombuffer(have["uni_n"][0].as_py(), np.int64)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, token), len(keys) - 1)
-                count = np.where(keys[at] == token, n[at], 0)
-        times = asked["times"].to_numpy()
-        base = times * np.log10((count + 0.5) / (n_tokens + 0.5 * (n_types + 1)))
-        rows, at = np.unique(key, return_inverse=True)
-        return pa.table({"row_key": rows, "more_base": np.bincount(at, base, len(rows)),
-                         "more_known": np.bincount(at, times * (count > 0), len(rows)).astype(np.int64)})
-
-    # Equal rows ask once.
-    asked = scored.select("row_key", "rare", "rare_n").dropDuplicates(["row_key"]).select("row_key", F.explode(F.arrays_zip("rare", "rare_n")).alias("t")).select(
-        "row_key", F.col("t.rare").alias("token"), F.col("t.rare_n").alias("times"))
-    asked = asked.withColumn("bucket", F.shiftrightunsigned("token", 64 - bucket_bits).cast("int"))
-    answers = (asked.groupBy("bucket").cogroup(counted.select("bucket", "uni", "uni_n").groupBy("bucket"))
-               .applyInArrow(look_up, "row_key bigint, more_base double, more_known bigint")
-               .groupBy(F.col("row_key").alias("k")).agg(F.sum("more_base").alias("more_base"), F.sum("more_known").alias("more_known")))
-    return scored.join(answers, F.col("row_key") == F.col("k"), "left").select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(n_tokens).cast("bigint").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        F.get("scores", F.lit(best)).alias("score"))
+    return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(totals.n_tokens).cast("bigint").alias("train_tokens"),
+                         F.col("base").alias("base_score"), F.get("scores", F.lit(best)).alias("score"))

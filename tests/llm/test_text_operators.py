@@ -221,6 +221,40 @@ def test_filter_levels_are_never_too_low():
     assert (got[2000:] < want[2000:]).any()
 
 
+def test_language_model_keeps_every_level(docs):
+    """Scores equal those of exact counts read by level, and a filter far too small at first grows until no bigram is left out."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"v{rng.integers(300)}" for _ in range(80))) for i in range(80)]
+    held = F.col("doc_id") % 5 == 1
+    got = {r["doc_id"]: r["score"] for r in language_model.score(docs(rows), held, bucket_bits=4, filter_bits=24).collect()}
+    tokens = {i: [*t.split(), None] for i, t in rows}
+    uni = Counter(w for i, ws in tokens.items() if i % 5 != 1 for w in ws)
+    bi = Counter(p for i, ws in tokens.items() if i % 5 != 1 for p in zip(["^", *ws], ws))
+    n, v = sum(uni.values()), len(uni)
+    read = lambda c: language_model.COUNT_OF[language_model.level_of(np.array([c]))[0]] if c else 0.0
+
+    def plain(ws, k):
+        total = 0.0
+        for h, w in zip(["^", *ws], ws):
+            c_h, c_w = read(uni[None if h == "^" else h]), read(uni[w])
+            c = min(read(bi[h, w]), c_h, c_w)
+            total += np.log10((c + k * (c_w + 0.5) / (n + 0.5 * (v + 1))) / (c_h + k))
+        return total
+
+    errors = {k: max(abs(got[i] - plain(ws, k)) for i, ws in tokens.items()) for k in language_model.PRIORS}
+    assert min(errors.values()) < 1e-6
+    slices = {r["bucket"]: np.frombuffer(r["bits"], np.uint8) for r in language_model.count_grams(docs(rows).where(~held), 4, 8).collect()}
+    data = "\n".join(t for i, t in rows if i % 5 != 1).encode()
+    ends = np.cumsum([0, *(len(t) + 1 for i, t in rows if i % 5 != 1)])
+    ends[-1] -= 1
+    found, before, _ = language_model.tokens_of(np.frombuffer(data, np.uint8), ends)
+    keys, counts = np.unique(language_model.bigram_hashes(before, found), return_counts=True)
+    for bucket, bits in slices.items():
+        inside = keys >> np.uint64(60) == bucket
+        levels = language_model.Filter(bits, 0, (len(bits) * 8).bit_length() - 1).levels(keys[inside])
+        assert inside.any() and (levels >= language_model.level_of(counts[inside])).all()
+
+
 def test_archives_round_trip(spark, tmp_path):
     rows = [(1, "u1", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u3", None), (4, "u4", ""), (5, "u 5\r\n", "é" * 90_000), (6, "u6", "WARC/1.1\r\n\r\n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("id", "digest", "payload", "d")})
