@@ -8,6 +8,7 @@ A document is a leak of an item when its copies cover at least four fifths of th
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,6 +112,47 @@ def _window_rows(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, wi
     return out
 
 
+def _item_rows(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    """Template and slot values of every item with words. The template has the canonical words and which slots are equal."""
+    found, hashes, literal, slot = canonical(data, offsets)
+    values = np.where(slot, literal, np.uint64(0))
+    templates = []
+    for k in range(len(rows)):
+        inside = slice(found.first[k], found.first[k + 1])
+        _, first, which = np.unique(values[inside], return_index=True, return_inverse=True)
+        equal = np.where(slot[inside], first[which] + 1, 0).astype(np.uint64)
+        templates.append(hashlib.blake2b(hashes[inside].tobytes() + equal.tobytes(), digest_size=16).hexdigest())
+    listed = pa.ListArray.from_arrays(pa.array(found.first.astype(np.int32)), pa.array(values.view(np.int64)))
+    out = pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(templates, pa.string()), listed], names=["id", "row_key", "template", "values"])
+    return out.filter(pa.array(np.diff(found.first) > 0))
+
+
+def _all_items(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    kind = table.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in arrow_text.pieces(batch, "text"):
+                yield _item_rows(rows, data, offsets)
+
+    rows = table.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, row_key bigint, template string, values array<bigint>")
+
+
+def _members_of(copies: DataFrame, members: DataFrame) -> DataFrame:
+    """Copies with the column verbatim: do their slots have the values of one member of the class?
+
+    A class and the slots that some copy covers are asked once; each member then has one key, so copies are not paired with members.
+    """
+    key = lambda pairs: F.xxhash64(F.sort_array(pairs))
+    keyed = copies.withColumn("covered", F.sort_array(F.transform("pairs", lambda p: p["a"]))).withColumn("key", key(F.col("pairs")))
+    asked = keyed.where(F.exists("pairs", lambda p: p["a"] != p["b"])).select(F.col("template").alias("t"), F.col("covered").alias("c")).distinct()
+    have = asked.join(members, F.col("t") == F.col("template")).select(
+        "t", "c", key(F.filter("member", lambda p: F.array_contains("c", p["a"]))).alias("k")).distinct()
+    same = (F.col("template") == F.col("t")) & (F.col("covered") == F.col("c")) & (F.col("key") == F.col("k"))
+    return keyed.join(have, same, "left").withColumn("verbatim", F.col("k").isNotNull() | ~F.exists("pairs", lambda p: p["a"] != p["b"])).drop("t", "c", "k")
+
+
 def _all_windows(table: DataFrame, id_col: str, text_col: str, widths: list[int] | None, wanted: np.ndarray | None) -> DataFrame:
     kind = table.schema[id_col].dataType.simpleString()
     shared = table.sparkSession.sparkContext.broadcast(wanted)
@@ -128,15 +170,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
           item_text: str = "text", least: float = LEAST_COVERAGE) -> DataFrame:
     """One row for each document and item it leaks: the id, row_key, item_id, coverage, n_words of the item, n_slots and kind.
 
-    ``kind`` is 'verbatim' when every slot has the item's own value, else 'reparameterised'. Items of one template are one class:
-    item_id is the smallest of the class. NULL and empty texts match nothing; equal rows of documents give one row; an item of fewer
-    than five words is one window of its length. Either table may be empty.
+    ``kind`` is 'verbatim' when every slot has the value of one item, else 'reparameterised'. Items of one template, with the same slots
+    equal, are one class: item_id is the smallest of the class. NULL and empty texts match nothing; equal rows of documents give one
+    row; an item of fewer than five words is one window of its length. Either table may be empty.
     """
-    items = _all_windows(benchmark.where(F.col(item_text).isNotNull()), item_id, item_text, None, None)
-    template = items.groupBy("id", "row_key").agg(F.xxhash64(F.sort_array(F.collect_list(F.struct("place", "window")))).alias("template"))
-    least_id = template.groupBy("template").agg(F.min(F.struct("id", "row_key")).alias("m")).select("m.*")
-    items = checkpoint(items.join(least_id.select(F.col("id").alias("mid"), F.col("row_key").alias("mkey")),
-                                  F.col("id").eqNullSafe(F.col("mid")) & (F.col("row_key") == F.col("mkey"))).select("id", "window", "place", "width", "n_words", "slots"))
+    benchmark = benchmark.where(F.col(item_text).isNotNull())
+    heads = checkpoint(_all_items(benchmark, item_id, item_text))
+    classes = heads.groupBy("template").agg(F.min(F.struct("id", "row_key", "values")).alias("m")).select(
+        "template", F.col("m.id").alias("item"), F.col("m.values").alias("own"))
+    zipped = F.arrays_zip(F.col("own").alias("a"), F.col("values").alias("b"))
+    members = checkpoint(heads.join(classes, "template").select("template", F.array_distinct(F.filter(zipped, lambda p: p["a"] != 0)).alias("member")).distinct())
+    items = _all_windows(benchmark, item_id, item_text, None, None).join(
+        heads.select(F.col("id").alias("hid"), F.col("row_key").alias("hkey"), "template").distinct(),
+        F.col("id").eqNullSafe(F.col("hid")) & (F.col("row_key") == F.col("hkey")))
+    items = checkpoint(items.select("template", "window", "place", "width", "n_words").distinct().join(classes, "template").select(
+        "template", F.col("item").alias("id"), "window", "place", "width", "n_words", F.slice("own", F.col("place").cast("int") + 1, F.col("width").cast("int")).alias("slots")))
     size = items.count()
     wanted = None
     if size <= FILTER_WINDOWS:
@@ -144,21 +192,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         wanted.sort()
     widths = [r[0] for r in items.select("width").distinct().orderBy("width").collect()]
     found = _all_windows(docs.where(F.col(text_col).isNotNull()), id_col, text_col, widths or [WIDTH], wanted)
-    right = items.select(F.col("id").alias("item"), F.col("window").alias("w"), F.col("place").alias("item_place"), F.col("n_words").alias("item_words"),
+    right = items.select("template", F.col("id").alias("item"), F.col("window").alias("w"), F.col("place").alias("item_place"), F.col("n_words").alias("item_words"),
                          F.col("slots").alias("item_slots"))
     hits = found.join(F.broadcast(right) if wanted is not None else right, F.col("window") == F.col("w"))
     pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda p: p["a"] != 0)
     # A copy has one row for each window of its item at most.
-    copies = (hits.groupBy("id", "row_key", "item", "item_words", (F.col("place") - F.col("item_place")).alias("diagonal"))
+    copies = (hits.groupBy("id", "row_key", "template", "item", "item_words", (F.col("place") - F.col("item_place")).alias("diagonal"))
               .agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("item_place", F.col("item_place") + F.col("width") - 1)))).alias("places"),
                    F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs")))
     copies = copies.where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs"))
-    whole = copies.groupBy("id", "row_key", "item", "item_words").agg(
+    whole = _members_of(copies, members).groupBy("id", "row_key", "template", "item", "item_words").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.max(F.size("pairs")).alias("n_slots"),
-        F.max(F.exists("pairs", lambda p: p["a"] != p["b"])).alias("changed"))
+        F.min("verbatim").alias("verbatim"))
     return whole.where(F.col("n") >= F.col("item_words") * F.lit(least)).select(
         F.col("id").alias(id_col), "row_key", F.col("item").alias("item_id"), (F.col("n") / F.col("item_words")).alias("coverage"),
-        F.col("item_words").alias("n_words"), F.col("n_slots").cast("bigint").alias("n_slots"), F.when(F.col("changed"), "reparameterised").otherwise("verbatim").alias("kind"))
+        F.col("item_words").alias("n_words"), F.col("n_slots").cast("bigint").alias("n_slots"), F.when(F.col("verbatim"), "verbatim").otherwise("reparameterised").alias("kind"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -293,6 +293,16 @@ def test_leaks(docs, spark, awkward):
     assert mixed != item
 
 
+def test_leaks_of_every_item_of_a_template(docs, spark):
+    text = lambda n, a, b: f"{n} has {a} red apples and {b} green pears in the box"
+    items = [(1, "So " + text("Tom", 2, 2)), (2, "So " + text("Tom", 3, 5)), (3, "So " + text("Ann", 7, 8))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"Read this. {t} today.") for i, t in items] + [(4, "Read this. So " + text("Ann", 3, 8))]
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontamination.leaks(docs(rows), bench).collect()}
+    assert got[1, 1] == got[2, 2] == got[3, 2] == "verbatim" and got[4, 2] == "reparameterised"
+    assert (2, 1) not in got and (3, 1) not in got and got[1, 2] == "reparameterised"
+
+
 def test_repeats_against_plain_search(docs, awkward):
     rng = np.random.default_rng(4)
     shared = "".join(rng.choice(list("abcde "), 300))
