@@ -1,8 +1,8 @@
 """Find benchmark items in documents, also with other numbers, names and units.
 
 Numbers, names (words with one capital inside a sentence) and units behind a number become typed placeholders. Windows of five
-canonical words of the items are hash-joined with those of the documents. Hits of one document and item on one diagonal are
-one copy; it counts when every slot value of the item stands for one and the same value in the document throughout.
+canonical words of the items are hash-joined with those of the documents, and so are windows of the lower-cased words themselves, which find
+number-rich stretches and copies in other case. Hits of one document and item on one diagonal are one copy; it counts when every slot value of the item stands for one and the same value in the document throughout.
 A document is a leak of an item when its copies cover at least four fifths of the item's words.
 """
 
@@ -75,15 +75,18 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[arrow_text.Words,
     return found, out, literal, number | name | unit
 
 
-def windows(found: arrow_text.Words, hashes: np.ndarray, slot: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of the windows inside one row with at least two literal words (short windows: half their words)."""
-    keys = arrow_text.sliding(hashes, width)
+def windows(found: arrow_text.Words, hashes: np.ndarray, literal: np.ndarray, slot: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the windows inside one row: canonical ones with at least two literal words (short windows: half their
+    words), and all windows with slots by their own words too. Windows without slots have one hash in both forms."""
+    inside = arrow_text.run_starts(found.first, width)
+    if not len(inside):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     slots = np.concatenate([[0], np.cumsum(slot)])
-    ok = arrow_text.run_starts(found.first, width)
-    if len(ok):
-        ok &= (slots[width:] - slots[:-width])[:len(ok)] <= max(width // 2, width - 2)
-    at = np.flatnonzero(ok)
-    return at, keys[at] + np.uint64(width)
+    n_slots = (slots[width:] - slots[:-width])[:len(inside)]
+    general = np.flatnonzero(inside & (n_slots <= max(width // 2, width - 2)))
+    own = np.flatnonzero(inside & (n_slots > 0))
+    keys = np.concatenate([arrow_text.sliding(hashes, width)[general], arrow_text.sliding(literal, width)[own]])
+    return np.concatenate([general, own]), keys + np.uint64(width)
 
 
 def _window_rows(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, widths: list[int] | None, wanted: np.ndarray | None) -> list[pa.RecordBatch]:
@@ -92,7 +95,7 @@ def _window_rows(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, wi
     n_words = np.diff(found.first)
     out = []
     for width in widths or range(1, WIDTH + 1):
-        at, key = windows(found, hashes, slot, width)
+        at, key = windows(found, hashes, literal, slot, width)
         if widths is None and len(at):
             ok = n_words[np.searchsorted(found.first, at, "right") - 1]
             ok = ok == width if width < WIDTH else ok >= WIDTH
@@ -104,11 +107,11 @@ def _window_rows(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, wi
             continue
         row = np.searchsorted(found.first, at, "right") - 1
         inside = at[:, None] + np.arange(width)
-        values = np.where(slot[inside], literal[inside], np.uint64(0)).view(np.int64)
+        values = literal[inside].view(np.int64)
         listed = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), width).cast(pa.list_(pa.int64()))
         out.append(pa.RecordBatch.from_arrays(
             [rows.column(0).take(pa.array(row)), rows.column(1).take(pa.array(row)), pa.array(key.view(np.int64)), pa.array(at - found.first[row]),
-             pa.array(np.full(len(at), width)), pa.array(n_words[row]), listed], names=["id", "row_key", "window", "place", "width", "n_words", "slots"]))
+             pa.array(np.full(len(at), width)), pa.array(n_words[row]), listed], names=["id", "row_key", "window", "place", "width", "n_words", "words"]))
     return out
 
 
@@ -163,7 +166,7 @@ def _all_windows(table: DataFrame, id_col: str, text_col: str, widths: list[int]
                 yield from _window_rows(rows, data, offsets, widths, shared.value)
 
     rows = table.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, row_key bigint, window bigint, place bigint, width bigint, n_words bigint, slots array<bigint>")
+    return rows.mapInArrow(run, f"id {kind}, row_key bigint, window bigint, place bigint, width bigint, n_words bigint, words array<bigint>")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
@@ -195,8 +198,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     right = items.select("template", F.col("id").alias("item"), F.col("window").alias("w"), F.col("place").alias("item_place"), F.col("n_words").alias("item_words"),
                          F.col("slots").alias("item_slots"))
     hits = found.join(F.broadcast(right) if wanted is not None else right, F.col("window") == F.col("w"))
-    pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda p: p["a"] != 0)
-    # A copy has one row for each window of its item at most.
+    pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("words").alias("b")), lambda p: p["a"] != 0)
+    # A copy has two rows for each window of its item at most.
     copies = (hits.groupBy("id", "row_key", "template", "item", "item_words", (F.col("place") - F.col("item_place")).alias("diagonal"))
               .agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("item_place", F.col("item_place") + F.col("width") - 1)))).alias("places"),
                    F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs")))

@@ -303,6 +303,17 @@ def test_leaks_of_every_item_of_a_template(docs, spark):
     assert (2, 1) not in got and (3, 1) not in got and got[1, 2] == "reparameterised"
 
 
+def test_leaks_of_slot_rich_items_and_other_case(docs, spark):
+    items = [(1, "Compute 3 + 4 + 5 + 6 + 7."), (2, "Anna has 5 kg and Bert 3 kg 4 g 2 mg"), (3, "Compute 8 + 4 + 5 + 6 + 9."),
+             (4, "When Tom and Ann met Bob near Rome with Eve they sang")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"x {t} y") for i, t in items] + [(10 + i, f"x {t.upper()} y") for i, t in items] + [(20 + i, f"x {t.lower()} y") for i, t in items]
+    rows += [(30, "Compute 1 + 2 + 9 + 8 times 7."), (31, "3 4 5 6 and 7")]
+    out = decontamination.leaks(docs(rows), bench).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["kind"], r["coverage"]) for r in out}
+    assert got == {(k + i, 1 if i == 3 else i): ("verbatim", 1.0) for k in (0, 10, 20) for i, _ in items}
+
+
 def test_repeats_against_plain_search(docs, awkward):
     rng = np.random.default_rng(4)
     shared = "".join(rng.choice(list("abcde "), 300))
