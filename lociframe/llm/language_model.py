@@ -1,13 +1,10 @@
 """Score texts with a bigram model whose counts live in a log-frequency Bloom filter.
 
-Counting covers every training document: tasks count their own unigrams and bigrams, buckets of hashes merge them. A
-bucket also fills one slice of the filter: a count is put in as the levels 1..q of its logarithm, so a lookup probes level
+Texts are handled in pieces of about 8 MB. A piece sends each bucket of hashes its distinct unigrams and bigrams once, with how often they
+stand in its training texts. The bucket merges the counts of all pieces and answers each piece in its turn. It also fills one slice of the filter: a count is put in as the levels 1..q of its logarithm, so a lookup probes level
 after level until one is missing. A slice is as large as its inserts ask for (at most ``MOST_FULL``), so every count is in it
 whatever the corpus; slices stay rows by bucket and are never gathered.
 
-Texts are scored in pieces of about 2 MB. A piece asks each bucket once for its distinct unigrams and bigrams; filter levels and exact
-unigram counts come back by a join on the bucket.
-
 P(w | h) = (c(h w) + k P(w)) / (c(h) + k), P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), all c as read from the filter. Of the
 candidates in ``PRIORS``, k is the one under which the training documents, each left out of its own counts, are likeliest.
 The unigram base score next to it uses the exact counts.
@@ -22,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +30,7 @@ BUCKET_BITS = 10
 FILTER_BITS = 29  # least size of all slices, 64 MB; a slice with more inserts is larger
 PROBES = 3
 MOST_FULL = 0.35
-FLUSH_TOKENS = 2_000_000
+PIECE_BYTES = 8 << 20
 PRIORS = (1.0, 10.0, 100.0, 1e3, 1e4, 1e6)
 STEPS = 2  # levels for each doubling of a count
 END = np.uint64(0xA5A5F00DCAFE0001)
@@ -151,55 +149,29 @@ def _merge(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def count_grams(training: DataFrame, bucket_bits: int = BUCKET_BITS, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """One row for each bucket of hashes: exact unigram counts, the filter slice and totals. ``training`` has a column text."""
-    buckets = 1 << bucket_bits
-    edges = (np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - bucket_bits))
+    """One row for each bucket of hashes with its filter slice. ``training`` has a column text."""
+    rows = training.select(F.lit(0).alias("id"), F.lit(False).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+    def merge(rows: pa.Table) -> pa.Table:
+        return pa.table({"bucket": rows["bucket"][:1], "bits": [_merged(rows, filter_bits - bucket_bits)[2].tobytes()]})
 
-        def flush() -> pa.RecordBatch:
-            columns = []
-            for grams in (np.concatenate([t for t, _ in held]), np.concatenate([g for _, g in held])):
-                keys, n = np.unique(grams, return_counts=True)
-                bounds = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-                columns += [_blobs(keys, bounds), _blobs(n.astype(np.uint32), bounds)]
-            held.clear()
-            rows = pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), *columns], names=["bucket", "uni", "uni_n", "bi", "bi_n"])
-            return rows.filter(pc.greater(pc.add(pc.binary_length(rows["uni"]), pc.binary_length(rows["bi"])), 0))
+    return _asked(_pieces_of(rows, "int"), bucket_bits).groupBy("bucket").applyInArrow(merge, "bucket int, bits binary")
 
-        total = 0
-        for batch in batches:
-            for _, data, offsets in arrow_text.pieces(batch, "text"):
-                tokens, before, _ = tokens_of(data, offsets)
-                held.append((tokens, bigram_hashes(before, tokens)))
-                total += len(tokens)
-                if total >= FLUSH_TOKENS:
-                    yield flush()
-                    total = 0
-        if total:
-            yield flush()
 
-    def merge(rows: pa.Table) -> pa.Table:
-        def column(name: str, kind: type) -> np.ndarray:
-            return np.concatenate([np.frombuffer(x, kind) for x in rows[name].to_pylist()])
-        unigrams = _merge(column("uni", np.uint64), column("uni_n", np.uint32).astype(np.int64))
-        bigrams = _merge(column("bi", np.uint64), column("bi_n", np.uint32).astype(np.int64))
-        size = slice_bits_for(unigrams[1], bigrams[1], filter_bits - bucket_bits)
-        return pa.table({"bucket": rows["bucket"][:1].cast(pa.int32()), "uni": [unigrams[0].tobytes()], "uni_n": [unigrams[1].tobytes()],
-                         "bits": [fill_slice(unigrams, bigrams, size).tobytes()],
-                         "n_tokens": [int(unigrams[1].sum())], "n_types": [len(unigrams[0])]})
-
-    shuffled = training.select("text").mapInArrow(count, "bucket int, uni binary, uni_n binary, bi binary, bi_n binary")
-    return shuffled.groupBy("bucket").applyInArrow(
-        merge, "bucket int, uni binary, uni_n binary, bits binary, n_tokens bigint, n_types bigint")
+def _merged(rows: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct training unigrams, their counts, filter slice) of one bucket."""
+    counts = []
+    for name in ("uni", "bi"):
+        keys, n = (np.concatenate([np.frombuffer(x, kind) for x in rows[column].to_pylist()]) for column, kind in ((name, np.uint64), (name + "_n", np.uint32)))
+        counts.append(_merge(keys[n > 0], n[n > 0].astype(np.int64)))
+    return *counts[0], fill_slice(*counts, slice_bits_for(counts[0][1], counts[1][1], least))
 
 
 def _pieces_of(rows: DataFrame, kind: str) -> DataFrame:
     """One row for each slice of texts: ids and bounds of its rows, its distinct tokens in order, and the number of each token among them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in arrow_text.pieces(batch, "text"):
+            for part, data, offsets in arrow_text.pieces(batch, "text", PIECE_BYTES):
                 tokens, _, bounds = tokens_of(data, offsets)
                 kinds, which = np.unique(tokens, return_inverse=True)
                 whole = pa.array([0, len(part)], pa.int32())
@@ -207,20 +179,31 @@ def _pieces_of(rows: DataFrame, kind: str) -> DataFrame:
                           pa.ListArray.from_arrays(whole, pa.array(np.diff(bounds)))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([uuid.uuid4().hex]), *values, pa.array([kinds.tobytes()], pa.binary()),
-                     pa.array([which.astype(_number_type(len(kinds))).tobytes()], pa.binary())],
+                     pa.array([_packed(which, len(kinds))], pa.binary())],
                     names=["piece", "ids", "held_out", "n_tokens", "kinds", "which"])
 
     return rows.mapInArrow(run, f"piece string, ids array<{kind}>, held_out array<boolean>, n_tokens array<bigint>, kinds binary, which binary")
 
 
-def _number_type(n: int) -> type:
-    return np.uint16 if n <= 1 << 16 else np.uint32
+def _packed(which: np.ndarray, n_kinds: int) -> bytes:
+    """Numbers as ranks by frequency, bytes of one weight together, so that they compress."""
+    rank = np.empty(n_kinds, np.uint32)
+    rank[np.argsort(-np.bincount(which, minlength=n_kinds), kind="stable")] = np.arange(n_kinds, dtype=np.uint32)
+    planes = rank[which].view(np.uint8).reshape(-1, 4).T
+    order = np.argsort(rank).astype(np.uint32).view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes() + np.ascontiguousarray(order).tobytes())
+
+
+def _unpacked(packed: bytes, n_kinds: int) -> np.ndarray:
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    numbers = lambda part: np.ascontiguousarray(part.reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+    return numbers(data[len(data) - 4 * n_kinds:])[numbers(data[:len(data) - 4 * n_kinds])]
 
 
 def _grams(kinds: bytes, which: bytes, n_tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct tokens, number of each token, is it the first of its row, distinct bigrams, number of each bigram) of a piece."""
     kinds = np.frombuffer(kinds, np.uint64)
-    which = np.frombuffer(which, _number_type(len(kinds))).astype(np.int64)
+    which = _unpacked(which, len(kinds))
     opens = np.zeros(len(which), bool)
     opens[np.cumsum(n_tokens) - n_tokens] = True
     tokens = kinds[which]
@@ -230,39 +213,43 @@ def _grams(kinds: bytes, which: bytes, n_tokens: np.ndarray) -> tuple[np.ndarray
 
 
 def _asked(pieces: DataFrame, bucket_bits: int) -> DataFrame:
-    """Rows (piece, bucket) with the distinct unigrams and bigrams of a piece in that bucket."""
+    """Rows (piece, bucket) with the distinct unigrams and bigrams of a piece in that bucket and their counts in its training texts."""
     buckets = 1 << bucket_bits
     edges = (np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - bucket_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                kinds, _, _, pairs, _ = _grams(batch["kinds"][i].as_py(), batch["which"][i].as_py(), batch["n_tokens"][i].values.to_numpy())
-                columns = [_blobs(x, np.concatenate([[0], np.searchsorted(x, edges), [len(x)]])) for x in (kinds, pairs)]
+                n_tokens = batch["n_tokens"][i].values.to_numpy()
+                kinds, which, _, pairs, which_pair = _grams(batch["kinds"][i].as_py(), batch["which"][i].as_py(), n_tokens)
+                trains = np.repeat(~batch["held_out"][i].values.to_numpy(zero_copy_only=False), n_tokens)
+                columns = []
+                for keys, numbers in ((kinds, which), (pairs, which_pair)):
+                    bounds = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+                    columns += [_blobs(keys, bounds), _blobs(np.bincount(numbers[trains], minlength=len(keys)).astype(np.uint32), bounds)]
                 rows = pa.RecordBatch.from_arrays([pa.repeat(batch["piece"][i], buckets), pa.array(np.arange(buckets, dtype=np.int32)), *columns],
-                                                  names=["piece", "bucket", "uni", "bi"])
+                                                  names=["piece", "bucket", "uni", "uni_n", "bi", "bi_n"])
                 yield rows.filter(pc.greater(pc.add(pc.binary_length(rows["uni"]), pc.binary_length(rows["bi"])), 0))
 
-    return pieces.select("piece", "n_tokens", "kinds", "which").mapInArrow(run, "piece string, bucket int, uni binary, bi binary")
+    return pieces.select("piece", "held_out", "n_tokens", "kinds", "which").mapInArrow(
+        run, "piece string, bucket int, uni binary, uni_n binary, bi binary, bi_n binary")
 
 
-def _answer(asked: pa.Table, have: pa.Table) -> pa.Table:
-    """Filter levels of what pieces ask one bucket, and exact counts of the unigrams."""
+def _answer(asked: pa.Table, least: int) -> pa.Table:
+    """Filter levels of what pieces ask one bucket and exact counts of the unigrams; totals of the bucket stand in its first row."""
+    keys, n, bits = _merged(asked, least)
+    held = Filter(bits, 0, (len(bits) * 8).bit_length() - 1)
     uni, bi = ([np.frombuffer(x, np.uint64) for x in asked[name].to_pylist()] for name in ("uni", "bi"))
-    out = []
-    for parts in (uni, bi):
-        hashes = np.concatenate([*parts, np.zeros(0, np.uint64)])
-        levels, exact = np.zeros(len(hashes), np.uint8), np.zeros(len(hashes), np.int64)
-        if len(have):
-            bits = np.frombuffer(have["bits"][0].as_py(), np.uint8)
-            levels = Filter(bits, 0, (len(bits) * 8).bit_length() - 1).levels(hashes).astype(np.uint8)
-            keys, n = np.frombuffer(have["uni"][0].as_py(), np.uint64), np.frombuffer(have["uni_n"][0].as_py(), np.int64)
-            if parts is uni and len(keys):
-                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                exact = np.where(keys[at] == hashes, n[at], 0)
-        bounds = np.cumsum([0, *map(len, parts)])
-        out += [_blobs(levels, bounds), _blobs(exact, bounds)]
-    return pa.table([asked["piece"], asked["bucket"], out[1], out[0], out[2]], names=["piece", "bucket", "exact", "uni", "bi"])
+    hashes = np.concatenate(uni)
+    exact = np.zeros(len(hashes), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        exact = np.where(keys[at] == hashes, n[at], 0)
+    uni_bounds, bi_bounds = (np.cumsum([0, *map(len, parts)]) for parts in (uni, bi))
+    first = np.arange(len(asked)) == 0
+    return pa.table([asked["piece"], asked["bucket"], _blobs(exact, uni_bounds), _blobs(held.levels(hashes).astype(np.uint8), uni_bounds),
+                     _blobs(held.levels(np.concatenate(bi)).astype(np.uint8), bi_bounds), pa.array(first * int(n.sum())), pa.array(first * len(keys))],
+                    names=["piece", "bucket", "exact", "uni", "bi", "n_tokens", "n_types"])
 
 
 @dataclass
@@ -305,13 +292,13 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text.alias("text"))
-    counted = checkpoint(count_grams(rows.where("not held_out"), bucket_bits, filter_bits))
-    sums = counted.agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_types").alias("n_types")).first()
-    totals = Totals(sums["n_tokens"] or 0, sums["n_types"] or 0)
     kind = docs.schema[id_col].dataType.simpleString()
     pieces = checkpoint(_pieces_of(rows, kind))
-    answers = _asked(pieces, bucket_bits).groupBy("bucket").cogroup(counted.select("bucket", "uni", "uni_n", "bits").groupBy("bucket")).applyInArrow(
-        _answer, "piece string, bucket int, exact binary, uni binary, bi binary")
+    answers = checkpoint(_asked(pieces, bucket_bits).groupBy("bucket").applyInArrow(
+        lambda asked: _answer(asked, filter_bits - bucket_bits), "piece string, bucket int, exact binary, uni binary, bi binary, n_tokens bigint, n_types bigint"))
+    sums = answers.agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_types").alias("n_types")).first()
+    totals = Totals(sums["n_tokens"] or 0, sums["n_types"] or 0)
+    answers = answers.drop("n_tokens", "n_types")
 
     def run(piece: pa.Table, found: pa.Table) -> pa.Table:
         columns = totals.score_piece(piece, found)
