@@ -296,7 +296,6 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     pieces = checkpoint(_pieces_of(rows, kind))
     answers = checkpoint(_asked(pieces, bucket_bits).groupBy("bucket").applyInArrow(
         lambda asked: _answer(asked, filter_bits - bucket_bits), "piece string, bucket int, exact binary, uni binary, bi binary, n_tokens bigint, n_types bigint"))
-    docs.sparkSession.sparkContext._jvm.System.gc()  # frees the disk of the shuffle that the checkpoint replaces
     sums = answers.agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_types").alias("n_types")).first()
     totals = Totals(sums["n_tokens"] or 0, sums["n_types"] or 0)
     answers = answers.drop("n_tokens", "n_types")
