@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scale import shared_folder
-from . import archives, conversations, decontamination, language_model, licenses, line_dedup, quality, repeats, sentence_pieces, simhash, token_counts
+from . import alignment, archives, conversations, decontamination, language_model, licenses, line_dedup, quality, repeats, sentence_pieces, simhash, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,6 +65,12 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), piece_model())
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+    held = alignment.Vocabularies.read(public_tokenizers.path("byte_bpe_50k.json"), piece_model())
+    return alignment.align_documents(table(spark, folder, "documents"), held)
+
+
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     """Damage and repair of every conversation. By crc32(``conv_id:turn``) % 20 a turn is dropped (0), emptied (1), loses its .!? (2),
     stands twice (3) or becomes the user's (4)."""
@@ -82,6 +88,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
+    "op11_alignment": op11_alignment,
     "op12_conversation_repair": op12_conversation_repair,
 }
 
