@@ -157,11 +157,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             weights[at] -= RATE * step / np.sqrt(squares[at] + 0.1)
             bias_square += slip * slip
             bias -= RATE * slip / np.sqrt(bias_square + 0.1)
-    slope, shift = _calibrate(np.array([float(weights[data[i][0]] @ data[i][1]) + bias for i in held]), np.array([data[i][2] for i in held]))
+    slope, shift = calibrate(np.array([float(weights[data[i][0]] @ data[i][1]) + bias for i in held]), np.array([data[i][2] for i in held]))
     return Model(weights, bias, slope, shift)
 
 
-def _calibrate(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
+def calibrate(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic curve by damped Newton steps, with softened targets; (1, 0) where one label is missing."""
     plus, minus = good.sum(), (1 - good).sum()
     if not plus or not minus:

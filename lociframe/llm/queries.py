@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scale import shared_folder
-from . import alignment, archives, conversations, decontamination, language_model, licenses, line_dedup, quality, repeats, sentence_pieces, simhash, token_counts
+from . import alignment, archives, conversations, decontamination, language_model, licenses, line_dedup, quality, repeats, sentence_pieces, simhash, token_counts, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -77,6 +77,12 @@ def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.repair(conversations.damage(table(spark, folder, "conversations")))
 
 
+def op13_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return toxicity.score(docs, toxicity.fit(docs, labels, held_out), held_out)
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_repeats": op2_repeats,
@@ -90,6 +96,7 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_alignment": op11_alignment,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_toxicity": op13_toxicity,
 }
 
 # Base32 of a SHA-1: five hexadecimal digits at a time are four symbols.
