@@ -11,9 +11,9 @@ from ..functions.columns import correlation
 from ..scale import average_rank, exact_quantiles, position, top_k
 
 
-def score_quantiles(df: DataFrame, value: str, limit: int | None = None) -> DataFrame:
+def score_quantiles(df: DataFrame, value: str) -> DataFrame:
     """p10, median and p90 with linear interpolation."""
-    return exact_quantiles(df, value, [0.1, 0.5, 0.9], limit).select(
+    return exact_quantiles(df, value, [0.1, 0.5, 0.9]).select(
         F.col("q0").alias("p10"), F.col("q1").alias("p50"), F.col("q2").alias("p90"))
 
 

@@ -201,30 +201,53 @@ def descending_rank(df: DataFrame, by: Sequence[str], value: str, name: str,
     return null_safe_join(df, ranked, [*by, value])
 
 
-def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], limit: int | None = None) -> DataFrame:
-    """One row, columns q0..qn: exact quantiles with linear interpolation, NULL ignored.
+# Bins of the second histogram, inside one bin of the first.
+FINE_BINS = 1 << 12
 
-    With a ``limit`` the rows are counted, and beyond it quantiles come from positions over many tasks instead of one value map.
+
+def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
+    """One row per group, columns q0..qn: exact quantiles with linear interpolation, NULL values ignored.
+
+    No group is sorted or held in a map. A first histogram counts sixteenths of an octave, a second one cuts the few bins in which a quantile
+    lies into ``FINE_BINS`` parts, and only the distinct values of the parts hit are put in order. All counting is combined on
+    the map side; the rows of the bins hit are counted by value, which spreads a hot group. Without keys there is always one row.
     """
-    present = df.where(F.col(value).isNotNull()).select(value)
-    bound = GROUP_ROWS if limit is None else limit
-    total = present.count() if limit is not None else 0
-    if total <= bound:
-        return present.agg(*[F.percentile(value, F.lit(p)).alias(f"q{i}") for i, p in enumerate(probabilities)])
-    counted = present.groupBy(value).agg(F.count(F.lit(1)).alias("_peers"))
-    ranked = OrderedGroups(counted, [], [F.col(value)], split=True).running("_upto", F.col("_peers")).frame()
-
-    def at(index: int) -> Column:
-        covers = (F.col("_upto") > index) & (F.col("_upto") - F.col("_peers") <= index)
-        return F.max(F.when(covers, F.col(value)))
-
-    columns = []
-    for i, p in enumerate(probabilities):
-        exact = p * (total - 1)
-        low = int(exact)
-        high = min(low + 1, total - 1)
-        columns.append((at(low) + (at(high) - at(low)) * F.lit(exact - low)).alias(f"q{i}"))
-    return ranked.agg(*columns)
+    keys = list(by)
+    number = F.col("_v").cast("double")
+    octave = F.signum(number) * (F.floor(F.log2(F.abs(number)) * 16) + 20_000)
+    binned = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")).withColumn(
+        "_bin", F.when(number == 0, 0).otherwise(octave).cast("bigint"))
+    upto = lambda within, order: F.sum("_n").over(W.partitionBy(*within).orderBy(order))
+    inside = (F.col("_at") >= F.col("_upto") - F.col("_n")) & (F.col("_at") < F.col("_upto"))
+    # A histogram has at most some ten thousand bins a group, so ordering them is cheap.
+    coarse = (binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"), F.min(number).alias("_low"), F.max(number).alias("_high"))
+              .withColumns({"_upto": upto(keys, "_bin"), "_total": F.sum("_n").over(W.partitionBy(*keys))}))
+    exact = [F.lit(float(p)) * (F.col("_total") - 1) for p in probabilities]
+    asked = F.array(*[F.struct(F.lit(2 * i + side).alias("_q"), F.least(F.floor(x) + side, F.col("_total") - 1).alias("_at"))
+                      for i, x in enumerate(exact) for side in (0, 1)])
+    places = coarse.select("*", F.inline(asked)).where(inside).withColumn("_at", F.col("_at") - F.col("_upto") + F.col("_n"))
+    # Two rows for each group and quantile; written once, as several later steps read them.
+    places = checkpoint(places.select(*keys, "_bin", "_low", "_high", "_total", "_q", "_at"))
+    hit = places.select(*keys, "_bin", "_low", "_high").distinct()
+    span = F.col("_high") - F.col("_low")
+    part = F.when(span > 0, F.least(F.lit(FINE_BINS - 1), F.floor((number - F.col("_low")) / span * FINE_BINS))).otherwise(0)
+    counted = checkpoint(null_safe_join(binned, hit, [*keys, "_bin"], "inner").withColumn("_part", part.cast("bigint"))
+                         .groupBy(*keys, "_bin", "_part", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    fine = counted.groupBy(*keys, "_bin", "_part").agg(F.sum("_n").alias("_n")).withColumn("_upto", upto([*keys, "_bin"], "_part"))
+    narrow = null_safe_join(places, fine, [*keys, "_bin"], "inner").where(inside).withColumn("_at", F.col("_at") - F.col("_upto") + F.col("_n"))
+    narrow = checkpoint(narrow.select(*keys, "_bin", "_part", "_total", "_q", "_at"))
+    few = null_safe_join(counted, narrow.select(*keys, "_bin", "_part").distinct(), [*keys, "_bin", "_part"], "inner")
+    few = few.withColumn("_upto", upto([*keys, "_bin", "_part"], "_v"))
+    found = null_safe_join(narrow, few, [*keys, "_bin", "_part"], "inner").where(inside)
+    at = lambda q: F.max(F.when(F.col("_q") == q, F.col("_v").cast("double")))
+    share = lambda p: F.lit(float(p)) * (F.max("_total") - 1) - F.floor(F.lit(float(p)) * (F.max("_total") - 1))
+    columns = [(at(2 * i) + (at(2 * i + 1) - at(2 * i)) * share(p)).alias(f"q{i}") for i, p in enumerate(probabilities)]
+    return found.groupBy(*keys).agg(*columns) if keys else found.agg(*columns)
+
+
+def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float]) -> DataFrame:
+    """One row, columns q0..qn: exact quantiles of the whole table, NULL ignored; the table is never sorted in one task."""
+    return grouped_quantiles(df, [], value, probabilities)
 
 
 def session(cpus: int | str = 8, partitions: int | None = None) -> SparkSession:

@@ -113,11 +113,19 @@ class CopyNumberRun:
     candidates: DataFrame
 
 
-def copy_number(counts: DataFrame, cells: DataFrame, genes: DataFrame, annotation: DataFrame, window_size: int = 100,
-                step: int = 10, min_genes: int = 200, max_mito_pct: float = 20.0, downsample: int | None = None,
+# The two standard resolutions: the whole genome, and small deletions at the price of noise.
+RESOLUTIONS = (cnv_op.Resolution("standard", 100, 10), cnv_op.Resolution("fine", 25, 5))
+
+
+def copy_number(counts: DataFrame, cells: DataFrame, genes: DataFrame, annotation: DataFrame,
+                resolutions: Sequence[cnv_op.Resolution] = RESOLUTIONS, by: Sequence[str] = (), min_genes: int = 200, max_mito_pct: float = 20.0, downsample: int | None = None,
                 z_threshold: float = 1.5, min_windows: int = 3, max_segment_mb: float | None = 10,
                 known: DataFrame | None = None, include_auto: bool = False, bin_width: int = 1 << 20) -> CopyNumberRun:
-    """Counts to windowed signal, deletion segments and candidate genes."""
+    """Counts to windowed signal, deletion segments and candidate genes, at every resolution and for each case.
+
+    ``by`` names the case columns of ``cells``: each case is centred, scaled and segmented by itself.
+    """
+    by = list(by)
     metrics = cell_op.cell_metrics(counts, genes, cells)
     kept = cell_op.cell_qc(metrics, min_genes, max_mito_pct).where("keep")
     if downsample:
@@ -126,14 +134,16 @@ def copy_number(counts: DataFrame, cells: DataFrame, genes: DataFrame, annotatio
     usable = cell_op.keep_cells(counts, kept)
     expr = checkpoint(cell_op.lognorm(usable, cell_op.library_size(usable, kept)).select("cell_id", "gene_id", "value"))
     placed = cnv_op.position_genes(genes, annotation).where("status = 'positioned'")
-    members = checkpoint(cnv_op.gene_windows(cnv_op.exclude_chromosomes(placed), window_size, step))
-    if members.limit(1).count() == 0:
-        raise ValueError(f"INSUFFICIENT_DATA: no chromosome has {window_size} positioned genes")
-    signal = cnv_op.smooth_signal(expr, kept, members, window_size)
-    windows = checkpoint(cnv_op.window_group_signal(signal, cnv_op.window_table(members)))
-    found = cnv_op.deletion_segments(windows, z_threshold, min_windows, order=("win_idx",))
+    placed = checkpoint(cnv_op.exclude_chromosomes(placed))
+    extents = checkpoint(cnv_op.resolution_windows(placed, resolutions))
+    missing = {r.name for r in resolutions} - {r["resolution"] for r in extents.select("resolution").distinct().collect()}
+    if missing:
+        raise ValueError(f"INSUFFICIENT_DATA: no chromosome has enough positioned genes for {sorted(missing)}")
+    signal = cnv_op.smooth_signal(expr, kept, placed, resolutions, by)
+    windows = checkpoint(cnv_op.window_group_signal(signal, extents, by))
+    found = cnv_op.deletion_segments(windows, z_threshold, min_windows, order=("win_idx",), by=[*by, "resolution"])
     segments = checkpoint(cnv_op.segment_size_cap(found, max_segment_mb).where("kept").drop("kept"))
-    auto = segments.withColumn("deletion_id", F.concat_ws("_", F.lit("auto"), "chrom", "start"))
+    auto = segments.withColumn("deletion_id", F.concat_ws("_", F.lit("auto"), *[F.col(c).cast("string") for c in by], "resolution", "chrom", "start"))
     empty = auto.select("deletion_id", "chrom", "start", "end").limit(0)
     origins = cnv_op.candidate_origins(known if known is not None else empty, auto, annotation, include_auto, bin_width)
     return CopyNumberRun(windows, segments, origins, cnv_op.collapse_origins(origins.where("in_candidates")))

@@ -150,7 +150,7 @@ def test_planted_deletion_is_recovered(spark):
     gene_table = spark.createDataFrame([(g, g) for g in genes], GENES)
     annotation = spark.createDataFrame([(g, g, "chr1" if j < 100 else "chr2", 1000 * j, 1000 * j + 900) for j, g in enumerate(genes)],
                                        "gene_id string, gene_name string, chrom string, start bigint, end bigint")
-    run = workflows.copy_number(long(spark, base, genes, names), cells, gene_table, annotation, 25, 5, min_genes=10, include_auto=True, bin_width=1 << 14)
+    run = workflows.copy_number(long(spark, base, genes, names), cells, gene_table, annotation, [cnv.Resolution("standard", 25, 5)], min_genes=10, include_auto=True, bin_width=1 << 14)
     assert run.windows.count() == 16 + 36
     hits = run.segments.where("chrom = 'chr2' AND start <= 209000 AND end >= 160000").collect()
     assert len(hits) == 1 and run.segments.count() == 1
@@ -166,8 +166,10 @@ def test_smoothing_equals_the_dense_calculation(spark):
     cells = spark.createDataFrame([(c, "patient" if i < 3 else "reference") for i, c in enumerate(names)], "cell_id string, group string")
     expr = long(spark, dense, genes, names).withColumnRenamed("count", "value")
     positions = spark.createDataFrame([(g, "chr1", j * 10, j * 10 + 5) for j, g in enumerate(genes)], "gene_id string, chrom string, start bigint, end bigint")
-    members = cnv.gene_windows(positions, 4, 2)
-    got = {(r["cell_id"], r["win_idx"]): r["signal"] for r in cnv.smooth_signal(expr, cells, members, 4, clip=0.8).collect()}
+    ladder = [cnv.Resolution("a", 4, 2), cnv.Resolution("b", 6, 4)]
+    done = cnv.smooth_signal(expr, cells, positions, ladder, clip=0.8).collect()
+    got = {(r["cell_id"], r["win_idx"]): r["signal"] for r in done if r["resolution"] == "a"}
+    assert sum(r["resolution"] == "b" for r in done) == 12
     moved = np.clip(dense - dense[3:].mean(axis=0), -0.8, 0.8)
     windows = np.stack([moved[:, i * 2:i * 2 + 4].mean(axis=1) for i in range(5)], axis=1)
     want = windows - np.median(windows, axis=1, keepdims=True)
@@ -275,3 +277,42 @@ def test_off_target_excludes_the_target(spark):
 def test_constant_side_has_no_correlation(spark):
     df = spark.createDataFrame([(1., 1.), (2., 1.)], "x double, y double")
     assert statistics.spearman(df, "x", "y").collect()[0]["spearman"] is None
+
+
+def test_cases_are_centred_apart(spark):
+    """One case alone equals its rows in the cohort, at every resolution; a case without reference cells has none."""
+    rng = np.random.default_rng(4)
+    genes = [f"g{j:02d}" for j in range(24)]
+    positions = spark.createDataFrame([(g, f"chr{1 + j // 14}", j * 10, j * 10 + 5) for j, g in enumerate(genes)], "gene_id string, chrom string, start bigint, end bigint")
+    ladder = [cnv.Resolution("wide", 6, 3), cnv.Resolution("fine", 3, 3)]
+    cells, frames = [], []
+    for case in ("A", "B", "C"):
+        names = [f"c{i}" for i in range(5)]
+        cells += [(case, c, "patient" if i < 3 or case == "C" else "reference") for i, c in enumerate(names)]
+        frames.append(long(spark, rng.poisson(1.0, size=(5, 24)).astype(float), genes, names).withColumn("case_id", F.lit(case)))
+    cells = spark.createDataFrame(cells, "case_id string, cell_id string, group string")
+    expr = frames[0].union(frames[1]).union(frames[2]).withColumnRenamed("count", "value")
+    windows = cnv.resolution_windows(positions, ladder)
+    keep = lambda df: sorted((r["resolution"], r["chrom"], r["win_idx"], round(r["score"], 9), round(r["ref_score"], 9)) for r in df.collect())
+    whole = cnv.window_group_signal(cnv.smooth_signal(expr, cells, positions, ladder, ["case_id"]), windows, ["case_id"])
+    for case in ("A", "B"):
+        one = cnv.smooth_signal(expr.where(F.col("case_id") == case).drop("case_id"), cells.where(F.col("case_id") == case).drop("case_id"), positions, ladder)
+        assert keep(whole.where(F.col("case_id") == case)) == keep(cnv.window_group_signal(one, windows))
+    assert whole.where("case_id = 'C'").count() == 0
+
+
+def test_segments_and_recovery_by_case_and_resolution(spark):
+    rows = [(case, name, "chr1", k, k * 100, k * 100 + 99, (-5.0 if case == "A" and 10 <= k < 14 else 0.0) + k % 3 * 0.1)
+            for case in ("A", "B") for name in ("x", "y") for k in range(40)]
+    windows = spark.createDataFrame(rows, "case_id string, resolution string, chrom string, win_idx bigint, start bigint, end bigint, score double")
+    segments = cnv.deletion_segments(windows, order=("win_idx",), by=["case_id", "resolution"])
+    assert sorted((r["case_id"], r["resolution"], r["start"], r["end"], r["n_windows"]) for r in segments.collect()) == [("A", "x", 1000, 1399, 4), ("A", "y", 1000, 1399, 4)]
+    known = spark.createDataFrame([("k", "chr1", 1000, 1399), ("far", "chr9", 1, 2)], "interval_id string, chrom string, start bigint, end bigint")
+    genes = spark.createDataFrame([("g", "chr1", 1100, 1200)], "gene_id string, chrom string, start bigint, end bigint")
+    qc = spark.createDataFrame([("A", "g", True, -1.0)], "case_id string, gene_id string, found boolean, log2fc_patient_vs_ref double")
+    markers = spark.createDataFrame([("k", "g")], "interval_id string, gene_id string")
+    got = {(r["interval_id"], r["case_id"], r["resolution"]): (r["cnv_status"], r["expression_status"], r["n_genes_in_expression"])
+           for r in cnv.known_vs_auto(known, genes, segments, windows, qc, markers, by=["case_id", "resolution"]).collect()}
+    assert len(got) == 8
+    assert got["k", "A", "x"] == ("PASS", "PASS", 1) and got["k", "B", "y"] == ("FAIL", "INSUFFICIENT_DATA", 0)
+    assert got["far", "A", "x"] == ("INSUFFICIENT_DATA", "INSUFFICIENT_DATA", 0)

@@ -49,10 +49,26 @@ def test_ranks(skewed, by):
     same(scale.descending_rank(skewed, by, "w", "r", split=False), scale.descending_rank(skewed, by, "w", "r", split=True))
 
 
-def test_quantiles(skewed):
-    plain = scale.exact_quantiles(skewed, "w", [0.1, 0.5, 0.9]).collect()[0]
-    split = scale.exact_quantiles(skewed, "w", [0.1, 0.5, 0.9], limit=10).collect()[0]
-    assert list(plain) == pytest.approx(list(split))
+@pytest.mark.parametrize("by", [["g"], []])
+@pytest.mark.parametrize("value", ["w", "v", "odd"])
+def test_quantiles_by_refined_histograms(skewed, by, value):
+    """Equal to sorting: ties, missing, negative, tiny, huge and repeated values, one group with most rows."""
+    import numpy as np
+    odd = F.when(F.col("id") % 9 == 0, 0.0).when(F.col("id") % 7 == 0, -F.pow(F.lit(10.0), F.col("id") % 300)).otherwise(F.col("id") * 1e-7 - 2e-5)
+    frame = skewed.withColumn("odd", odd)
+    held = {}
+    for r in frame.collect():
+        if r[value] is not None:
+            held.setdefault(tuple(r[c] for c in by), []).append(float(r[value]))
+    got = {tuple(r[c] for c in by): [r["q0"], r["q1"], r["q2"]] for r in scale.grouped_quantiles(frame, by, value, [0.1, 0.5, 1.0]).collect()}
+    assert got.keys() == held.keys()
+    for key, values in held.items():
+        assert got[key] == pytest.approx(list(np.quantile(values, [0.1, 0.5, 1.0])), rel=1e-12)
+
+
+def test_quantiles_of_nothing(skewed):
+    assert [tuple(r) for r in scale.exact_quantiles(skewed.where("false"), "w", [0.5]).collect()] == [(None,)]
+    assert scale.grouped_quantiles(skewed.where("false"), ["g"], "w", [0.5]).collect() == []
 
 
 def test_top_k_beyond_the_map_side_limit(skewed, monkeypatch):
