@@ -125,94 +125,131 @@ def edit_distance(rows: Column, letters: Column, edits: int = EDITS) -> Column:
     return F.when(F.abs(m - n) > edits, F.lit(edits + 1).cast("bigint")).otherwise(F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["d"]))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each line: id, row_key, line_no, line and its id. A NULL text is empty."""
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, row_key and the lines of each row. A NULL text is empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_key"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    return rows.withColumn("line_id", F.xxhash64("line"))
-
-
-def _pick(rows: DataFrame, ids: DataFrame, key: str, n: int) -> DataFrame:
-    """Rows whose ``key`` is among the n distinct ids of column ``picked``."""
-    return rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, F.col(key) == F.col("picked"), "left_semi")
-
-
-def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(a, b): ids of linked distinct lines, each pair once. ``lines`` has columns line and line_id, repeats allowed."""
-    texts = lines.where(F.length("line") >= max(EXACT_BELOW - 1, edits + 1)).where(has_word("line")).select("line_id", "line")
-    counted = texts.groupBy("line_id").agg(F.count("*").alias("times")).where("times > 1")
-    hot = checkpoint(counted.orderBy(F.desc("times"), "line_id").limit(HOT_LINES).select(F.col("line_id").alias("picked")))
-    # At most HOT_LINES ids; hot lines are made distinct before they are cut, the others behind the shuffle on the key.
-    rare = texts.join(F.broadcast(hot), F.col("line_id") == F.col("picked"), "left_anti")
-    once = checkpoint(texts.join(F.broadcast(hot), F.col("line_id") == F.col("picked"), "left_semi").dropDuplicates(["line_id"]))
-
-    def keyed(places: list[tuple[int, int, int]]) -> DataFrame:
-        listed = F.array(*[F.struct(F.lit(s).alias("shorter"), F.lit(k).alias("number"), F.lit(m).alias("move")) for s, k, m in places])
-        both = rare.union(once).select("line_id", "line", F.length("line").alias("n"), letter_counts(F.col("line")).alias("letters"))
-        out = both.select("line_id", "line", "n", "letters", F.inline(listed))
-        other = F.col("n") - F.col("shorter")
-        start, size = _segment(other, F.col("number"), edits)
-        out = out.withColumns({"other": other, "start": start + F.col("move"), "size": size})
-        out = out.where((F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.col("n")) & (F.col("other") > edits))
-        out = out.select(F.xxhash64("other", "number", F.substr("line", "start", "size")).alias("key"), "shorter", "line_id", "letters",
-                         allowed_edits(F.col("n")).alias("most"))
-        return out.repartition("key").dropDuplicates(["key", "shorter", "line_id"])
-
-    index = keyed(_index_places(edits)).select(F.col("key").alias("k"), F.col("line_id").alias("a"), F.col("letters").alias("la"))
-    probes = keyed(_probe_places(edits)).select("key", "shorter", F.col("line_id").alias("b"), F.col("letters").alias("lb"), "most")
-    near = (F.col("key") == F.col("k")) & F.when(F.col("shorter") > 0, F.col("a") != F.col("b")).otherwise(F.col("a") < F.col("b")) & (
-        letters_differ(F.col("la"), F.col("lb")) <= 2 * F.least(F.col("most"), F.lit(edits)))
-    pairs = checkpoint(index.join(probes, near).select("a", "b").distinct())
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("row_key"), F.split(text, "\n", -1).alias("parts"))
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row for each line with a word: id, row_key, line_no, line, line_id and its place in the corpus."""
+    lines = _rows(docs, id_col, text_col).select("id", "row_key", F.posexplode("parts").alias("line_no", "line")).where(has_word("line"))
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key", "line_no")
+    return lines.withColumns({"line_id": F.xxhash64("line"), "place": place})
+
+
+def _among(rows: DataFrame, ids: DataFrame, n: int, how: str = "left_semi") -> DataFrame:
+    """Rows whose line_id is (not) among the n distinct ids of column ``picked``."""
+    return rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, F.col("line_id") == F.col("picked"), how)
+
+
+def _cut(texts: DataFrame, places: list[tuple[int, int, int]], edits: int) -> DataFrame:
+    """A row for each substring of a line that is a segment (``_index_places``) or could equal one of another line (``_probe_places``)."""
+    listed = F.array(*[F.struct(F.lit(s).alias("shorter"), F.lit(k).alias("number"), F.lit(m).alias("move")) for s, k, m in places])
+    out = texts.select("*", F.length("line").alias("n"), letter_counts(F.col("line")).alias("letters")).select("*", F.inline(listed))
+    other = F.col("n") - F.col("shorter")
+    start, size = _segment(other, F.col("number"), edits)
+    out = out.withColumns({"other": other, "start": start + F.col("move"), "size": size})
+    out = out.where((F.col("start") >= 1) & (F.col("start") + F.col("size") - 1 <= F.col("n")) & (F.col("other") > edits))
+    return out.withColumn("key", F.xxhash64("other", "number", F.substr("line", "start", "size")))
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """Of the pairs (a, b) of line ids those within the threshold, with the first places of both lines."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("picked")).distinct()
-    found = _pick(texts, ids, "line_id", ids.count()).dropDuplicates(["line_id"])
-    found = checkpoint(found.select("line_id", F.length("line").alias("n"), padded(F.col("line"), edits).alias("rows"), characters(F.col("line")).alias("letters")))
-    left = found.select(F.col("line_id").alias("a"), F.col("n").alias("na"), "rows")
-    right = found.select(F.col("line_id").alias("b"), F.col("n").alias("nb"), "letters")
+    found = _among(texts, ids, ids.count()).groupBy("line_id").agg(F.min(F.struct("place", "line")).alias("one"))
+    found = checkpoint(found.select("line_id", F.col("one.place").alias("place"), F.length("one.line").alias("n"), padded(F.col("one.line"), edits).alias("rows"),
+                                    characters(F.col("one.line")).alias("letters")))
+    left = found.select(F.col("line_id").alias("a"), F.col("place").alias("first_a"), F.col("n").alias("na"), "rows")
+    right = found.select(F.col("line_id").alias("b"), F.col("place").alias("first_b"), F.col("n").alias("nb"), "letters")
     near = edit_distance(F.col("rows"), F.col("letters"), edits) <= F.least(F.lit(edits), allowed_edits(F.greatest("na", "nb")))
-    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "first_a", "first_b")
+
+
+def later_lines(lines: DataFrame, hot: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(line_id, first): the lines with an earlier line linked to them, and where they stand first.
 
+    ``lines`` comes from ``_lines``; ``hot`` has the most frequent lines' ids (``picked``) and first places.
 
-def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
-    """One row for each line of the distinct (id, text) rows: id, row_key, line_no, kept, near (removed for a line that is not equal) and links."""
+    Round one compares a line only with the earliest line of each bucket of segments that it looks up, one for each key, so a group of near
+    copies costs as many comparisons as it has lines. A line that found an earlier partner there is decided. Round two goes through the
+    whole buckets for pairs of which one line at least is undecided; a decided line stays a partner of the others.
+    """
+    # One occurrence of a hot line is enough; the other lines are each less than a share of HOT_LINES of all lines.
+    usable = lines.where(F.length("line") >= max(EXACT_BELOW - 1, edits + 1))
+    once = usable.join(F.broadcast(hot), (F.col("line_id") == F.col("picked")) & (F.col("place") == F.col("first"))).select("line_id", "line", "place")
+    rare = usable.join(F.broadcast(hot), F.col("line_id") == F.col("picked"), "left_anti").select("line_id", "line", "place")
+    texts = rare.union(once)
+    index = _cut(texts, _index_places(edits), edits).select("key", F.col("line_id").alias("a"), F.col("letters").alias("la"), "place").repartition("key")
+    probes = _cut(texts.select("line_id", "line"), _probe_places(edits), edits).select("key", F.col("line_id").alias("b"), F.col("letters").alias("lb"), "shorter", allowed_edits(F.col("n")).alias("most"))
+    close = (F.col("a") != F.col("b")) & (letters_differ(F.col("la"), F.col("lb")) <= 2 * F.least(F.col("most"), F.lit(edits)))
+    heads = index.groupBy("key").agg(F.min(F.struct("place", "a", "la")).alias("head"), F.min("a").alias("low"), F.max("a").alias("high"))
+    # A bucket that holds the probing line alone has nothing for it.
+    met = probes.join(heads, "key").where((F.col("low") != F.col("high")) | (F.col("low") != F.col("b")))
+    met = checkpoint(met.select("key", "b", "lb", "most", "shorter", F.col("head.a").alias("a"), F.col("head.la").alias("la"), (F.col("low") != F.col("high")).alias("more")))
+
+    def later(pairs: DataFrame) -> DataFrame:
+        # A pair of unequal length is met from the longer line only, so both ends are looked at.
+        linked = _linked(pairs, texts, edits)
+        swapped = F.col("first_b") < F.col("first_a")
+        return linked.select(F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("line_id"), F.greatest("first_a", "first_b").alias("first"))
+
+    decided = checkpoint(later(met.where(close).select("a", "b").distinct()).distinct())
+    done = decided.select(F.col("line_id").alias("d"))
+    open_keys = met.where("more").select("key", "b", "lb", "most", "shorter").distinct().join(done, F.col("b") == F.col("d"), "left").withColumn("sure", F.col("d").isNotNull()).drop("d")
+    # Equally long lines look each other up, so a decided one may rest there.
+    open_keys = checkpoint(open_keys.where("not sure or shorter > 0"))
+    members = index.join(open_keys.select("key").distinct(), "key", "left_semi").select("key", "a", "la").distinct()
+    members = members.join(done, F.col("a") == F.col("d"), "left").withColumn("settled", F.col("d").isNotNull()).drop("d")
+    free = members.where("not settled")
+    rest = open_keys.where("not sure").join(members.drop("settled"), "key").where(close).select("a", "b").union(
+        open_keys.where("sure").join(free.drop("settled"), "key").where(close).select("a", "b"))
+    return checkpoint(decided.union(later(checkpoint(rest.distinct()))).distinct())
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+    """Distinct (id, row_key, line_no, near) of the lines that go; near: because of a line that is not equal.
+
+    Equal rows (id and text) have equal keys and count once. A row with a NULL id stands behind all others.
+    """
     lines = _lines(docs, id_col, text_col)
-    links = checkpoint(line_links(lines, edits))
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key", "line_no")
-    worded = has_word("line")
-    first = lines.where(worded).groupBy("line_id").agg(F.min(place).alias("first"))
-    ids = links.select(F.explode(F.array("a", "b")).alias("picked")).distinct()
-    linked = _pick(first, ids, "line_id", ids.count())
-    both = links.select(F.col("a").alias("one"), F.col("b").alias("other")).union(links.select("b", "a"))
-    near = (both.join(linked.select(F.col("line_id").alias("one"), F.col("first").alias("f1")), "one")
-            .join(linked.select(F.col("line_id").alias("other"), F.col("first").alias("f2")), "other")
-            .groupBy(F.col("one").alias("near_id")).agg(F.max(F.col("f2") < F.col("f1")).alias("later"), F.count("*").alias("links")))
-    decided = first.join(near, F.col("line_id") == F.col("near_id"), "left").select(
-        F.col("line_id").alias("l"), "first", F.coalesce("later", F.lit(False)).alias("later"), F.coalesce("links", F.lit(0)).alias("links"))
-    slim = lines.select("id", "row_key", "line_no", "line_id", worded.alias("worded"))
-    out = slim.join(decided, F.col("worded") & (F.col("line_id") == F.col("l")), "left")
-    at_first = place == F.col("first")
-    return out.select("id", "row_key", "line_no", "worded", (~F.col("worded") | (at_first & ~F.col("later"))).alias("kept"),
-                      (F.col("worded") & F.col("later")).alias("near"), F.coalesce("links", F.lit(0)).alias("links"))
+    repeated = checkpoint(lines.groupBy("line_id").agg(F.count(F.lit(1)).alias("times"), F.min("place").alias("first")).where("times > 1"))
+    hot = checkpoint(repeated.orderBy(F.desc("times"), "line_id").limit(HOT_LINES).select(F.col("line_id").alias("picked"), "first"))
+    later = later_lines(lines, hot, edits)
+    near = repeated.join(later.select(F.col("line_id").alias("l")), F.col("line_id") == F.col("l"), "left").select(
+        F.col("line_id").alias("picked"), F.col("first").alias("at"), F.col("l").isNotNull().alias("near"))
+    slim = lines.select("line_id", "place")
+    # Hot lines are at most HOT_LINES, so theirs is a broadcast join; the rest has no hot key.
+    hot_ids = F.broadcast(hot.select(F.col("picked").alias("h")))
+    cold = slim.join(hot_ids, F.col("line_id") == F.col("h"), "left_anti").join(near.join(hot_ids, F.col("picked") == F.col("h"), "left_anti"), F.col("line_id") == F.col("picked"))
+    warm = slim.join(F.broadcast(near.join(hot_ids, F.col("picked") == F.col("h"), "left_semi")), F.col("line_id") == F.col("picked"))
+    again = cold.union(warm).where(F.col("place") != F.col("at")).select("place", "near")
+    return again.union(later.select("first", F.lit(True))).distinct().select("place.id", "place.row_key", "place.line_no", "near")
+
+
+def _with_removed(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    return docs.join(gone, F.col("id").eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__key")), "left")
 
 
 def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
-    """One row for each distinct (id, text) row: n_lines, n_removed, n_near (removed, and linked to an earlier different line) and n_links."""
-    lines = line_verdicts(docs, id_col, text_col, edits)
-    n_lines = (F.max("line_no") + 1).cast("bigint")
-    each = lambda total: (total * n_lines / F.count("*")).cast("bigint")  # equal rows count once
-    return lines.groupBy("id", "row_key").agg(
-        n_lines.alias("n_lines"), each(F.sum((~F.col("kept")).cast("bigint"))).alias("n_removed"),
-        each(F.sum(F.col("near").cast("bigint"))).alias("n_near"), each(F.sum("links")).alias("n_links")).drop("row_key").withColumnRenamed("id", id_col)
+    """One row for each distinct (id, text) row: n_lines, n_removed and n_near (removed, and linked to an earlier different line)."""
+    whole = _rows(docs, id_col, text_col).select("id", "row_key", F.size("parts").cast("bigint").alias("n_lines")).distinct()
+    gone = removed_lines(docs, id_col, text_col, edits).groupBy(F.col("id").alias("__id"), F.col("row_key").alias("__key")).agg(
+        F.count(F.lit(1)).alias("n_removed"), F.count_if("near").alias("n_near"))
+    none = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return _with_removed(whole, gone).select(F.col("id").alias(id_col), "n_lines", none("n_removed"), none("n_near"))
 
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
-    """The documents without their removed lines, all other columns as they were.
+    """The documents without their removed lines, all other columns as they were; equal rows lose the same lines.
 
-    A document all of whose worded lines are removed goes; one that never had a worded line stays as it is.
+    A document all of whose worded lines are removed goes; one that never had a worded line stays as it is, and so does a NULL text.
     """
-    gone = (line_verdicts(docs, id_col, text_col, edits).groupBy("row_key").agg(
-        F.collect_list(F.when(~F.col("kept"), F.col("line_no"))).alias("__gone"), F.max(F.col("worded") & F.col("kept")).alias("__left"))
-        .where(F.size("__gone") > 0).withColumnRenamed("row_key", "__row"))
-    rows = docs.withColumn("__key", F.xxhash64(id_col, text_col)).join(gone, F.col("__key") == F.col("__row"), "left")
-    rows = rows.where(F.coalesce("__left", F.lit(True)))
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    return rows.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    gone = removed_lines(docs, id_col, text_col, edits).groupBy(F.col("id").alias("__id"), F.col("row_key").alias("__key")).agg(
+        F.collect_set("line_no").alias("__gone"))  # lines of one document
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.withColumns({"__own": F.col(id_col), "__hash": F.xxhash64(F.col(id_col), text)})
+    rows = rows.join(gone, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__key")), "left")
+    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("__gone", i))
+    stays = F.col("__gone").isNull() | F.exists(kept, lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    return rows.where(stays).withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)

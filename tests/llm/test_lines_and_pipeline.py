@@ -41,7 +41,7 @@ def plain_verdicts(rows):
         lines = (t or "").split("\n")
         gone = sum(1 for k, x in enumerate(lines) if x in first and (first[x] != (i is None, i or 0, k) or any(first[y] < first[x] for y in near.get(x, []))))
         close = sum(1 for x in lines if any(first[y] < first[x] for y in near.get(x, [])))
-        out.append((i, len(lines), gone, close, sum(len(near.get(x, [])) for x in lines)))
+        out.append((i, len(lines), gone, close))
     return out
 
 
@@ -54,6 +54,24 @@ def test_lines_against_brute_force(docs, awkward):
     assert line_dedup.summary(docs([])).count() == 0
 
 
+def test_near_copies_compare_linearly(docs, spark):
+    """2,000 lines within two edits of one another: each meets the earliest of its buckets, not all the others."""
+    base = "A long line that stands in very many documents, each time with a small change at %s place."
+    rows = [(i, base % f"{i // 45:02d}"[:1] + chr(97 + i % 26)) for i in range(2000)]
+    got = {r["doc_id"]: (r["n_removed"], r["n_near"]) for r in line_dedup.summary(docs(rows)).collect()}
+    want = {i: (gone, close) for i, _, gone, close in plain_verdicts([r for r in rows if r[0] < 300])}
+    assert all(got[i] == want[i] for i in range(300)) and all(got[i][0] == 1 for i in range(300, 2000))
+
+
+def test_nulls_and_repeated_rows_lose_lines_alike(docs):
+    line = "The very same line of text."
+    rows = [(None, line), (None, line), (1, f"{line}\nmine alone"), (1, f"{line}\nmine alone"), (2, None), (2, ""), (3, f"{line}\nanother one here")]
+    out = line_dedup.remove_lines(docs(rows))
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted(
+        [(1, f"{line}\nmine alone"), (1, f"{line}\nmine alone"), (2, None), (2, ""), (3, "another one here")], key=repr)
+    assert out.columns == docs(rows).columns
+
+
 def test_removed_lines_leave_the_rest(docs):
     rows = [(1, "Alpha beta gamma delta.\nkeep me here"), (2, "Alpha beta gamma delta!\nanother thing"), (3, "Alpha beta gamma delta."), (4, None), (5, "\n \n")]
     got = {r["doc_id"]: r["text"] for r in line_dedup.remove_lines(docs(rows)).collect()}
