@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -192,13 +193,59 @@ def knn_idw(queries: DataFrame, references: DataFrame, k: int = 15, power: float
     return summed.select("query_id", "exact", pick("x").alias("x"), pick("y").alias("y"))
 
 
-def kmeans_groups(vectors: DataFrame, k: int, seed: int = 42, vector: str = "embedding") -> DataFrame:
-    """k groups (2 to 30) with labels ``Computed group i``; fitted by Spark ML."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+# Rounds of assignment and update.
+ROUNDS = 10
+
+
+def kmeans_centers(vectors: DataFrame, k: int, seed: int = 42, vector: str = "embedding", key: str = "cell_id", rounds: int = ROUNDS) -> list[list[float]]:
+    """Centres after a fixed number of rounds; they start at the k vectors whose seeded hash is smallest, so a run repeats on any partitioning.
+
+    A round is one pass: tasks assign their vectors to the nearest centre (of equal ones the first) and send k sums and counts; a centre
+    without vectors stays where it is. At most k (30) vectors reach the driver. Fewer than k vectors give fewer centres.
+    """
     if not 2 <= k <= 30:
         raise ValueError("number of groups must be between 2 and 30")
-    features = vectors.withColumn("_features", array_to_vector(F.col(vector)))
-    model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="_group").fit(features)
-    return model.transform(features).withColumn(
-        "computed_group", F.concat(F.lit("Computed group "), (F.col("_group") + 1).cast("string"))).drop("_features", "_group")
+    held = vectors.where(F.col(vector).isNotNull())
+    first = held.select(vector, F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))).alias("_h"), F.col(key).alias("_k")).orderBy("_h", "_k").limit(k)
+    centers = np.array([r[0] for r in first.collect()], float)
+
+    def round_of(centers: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums, counts = np.zeros_like(centers), np.zeros(len(centers), np.int64)
+            for batch in batches:
+                x = _rows_of(batch.column(0))
+                near = _distances(x, centers).argmin(1)
+                np.add.at(sums, near, x)
+                counts += np.bincount(near, minlength=len(centers))
+            filled = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(filled), pa.array(list(sums[filled]), pa.list_(pa.float64())), pa.array(counts[filled])], names=["g", "s", "n"])
+        return run
+
+    for _ in range(rounds if len(centers) else 0):
+        parts = held.select(F.col(vector).cast("array<double>")).mapInArrow(round_of(centers), "g bigint, s array<double>, n bigint")
+        places = parts.select("g", "n", F.posexplode("s").alias("at", "x"))
+        found = places.groupBy("g").agg(F.sum(F.when(F.col("at") == 0, F.col("n"))).alias("n")).join(
+            places.groupBy("g", "at").agg(F.sum("x").alias("x")).groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("s")), "g")
+        centers = centers.copy()
+        for r in found.collect():
+            centers[r["g"]] = np.array(r["s"]) / r["n"]
+    return centers.tolist()
+
+
+def _rows_of(column: pa.Array) -> np.ndarray:
+    return np.stack(column.to_numpy(zero_copy_only=False)).astype(float) if len(column) else np.zeros((0, 1))
+
+
+def kmeans_groups(vectors: DataFrame, k: int, seed: int = 42, vector: str = "embedding", key: str = "cell_id", rounds: int = ROUNDS) -> DataFrame:
+    """k groups (2 to 30) with labels ``Computed group i``; a NULL vector has none. See ``kmeans_centers``."""
+    centers = np.array(kmeans_centers(vectors, k, seed, vector, key, rounds))
+
+    @F.pandas_udf("int")
+    def nearest(found: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(found), dtype="Int32")
+        there = found.notna().to_numpy()
+        if there.any():
+            out[there] = _distances(_stack(found[there]), centers).argmin(axis=1) + 1
+        return out
+
+    return vectors.withColumn("computed_group", F.concat(F.lit("Computed group "), nearest(vector).cast("string")))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..scale import paired, top_k
 from .cells import expression_by_group, group_gene_means, group_sizes, hvg
@@ -112,13 +113,15 @@ def group_response(response: DataFrame, expr: DataFrame, cells: DataFrame, space
     sides = response.groupBy("pert_id").agg(F.sum(F.col("delta") * F.col("delta")).alias("_dd"))
     grid = paired(sides, sizes, [group])
     norms = weights.groupBy(group).agg(F.sum(F.col("w") * F.col("w")).alias("_ww"))
-    pairs = weights.where("w > 0").join(response.select("pert_id", "gene_id", F.abs("delta").alias("_d")), "gene_id").select(
-        "pert_id", group, "gene_id", (F.col("w") * F.col("_d")).alias("_wd"))
-    shared = pairs.groupBy("pert_id", group).agg(F.sum("_wd").alias("_wd"))
-    best = top_k(pairs, ["pert_id", group], [F.desc("_wd"), F.asc("gene_id")], 3, "_at")
-    drivers = best.groupBy("pert_id", group).agg(F.transform(
+    # A perturbation's rows, at most one a gene, meet once; products with all groups are made, summed and ordered where they are.
+    lists = weights.where("w > 0").groupBy("gene_id").agg(F.collect_list(F.struct(group, "w")).alias("_lists"))
+    met = response.select("pert_id", "gene_id", F.abs("delta").alias("_d")).join(lists, "gene_id").repartition("pert_id")
+    pairs = met.select("pert_id", "gene_id", "_d", F.inline("_lists")).select("pert_id", group, "gene_id", (F.col("w") * F.col("_d")).alias("_wd"))
+    own = W.partitionBy("pert_id", group)
+    best = pairs.withColumns({"_at": F.row_number().over(own.orderBy(F.desc("_wd"), F.asc("gene_id"))), "_sum": F.sum("_wd").over(own)}).where("_at <= 3")
+    drivers = best.groupBy("pert_id", group).agg(F.max("_sum").alias("_wd"), F.transform(
         F.array_sort(F.collect_list(F.struct("_at", "gene_id"))), lambda s: s["gene_id"]).alias("drivers"))
-    joined = grid.join(norms, group, "left").join(shared, ["pert_id", group], "left").join(drivers, ["pert_id", group], "left")
+    joined = grid.join(norms, group, "left").join(drivers, ["pert_id", group], "left")
     nw, nd = F.sqrt(F.coalesce("_ww", F.lit(0.0))), F.sqrt("_dd")
     cosine = F.when((nw > 1e-9) & (nd > 1e-9), F.coalesce("_wd", F.lit(0.0)) / (nw * nd)).otherwise(0.0)
     return joined.select("pert_id", group, "n_cells", cosine.alias("response"), "drivers")

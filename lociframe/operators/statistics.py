@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import correlation
-from ..scale import average_rank, exact_quantiles, position, top_k
+from ..scale import average_rank, checkpoint, exact_quantiles, position, top_k
 
 
 def score_quantiles(df: DataFrame, value: str) -> DataFrame:
@@ -28,10 +28,8 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def _ranked(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:
-    from ..scale import is_hot
-    split = limit is not None and is_hot(df, [], limit)
     for c in columns:
-        df = average_rank(df, [], c, f"_r_{c}", split)
+        df = average_rank(df, [], c, f"_r_{c}", limit=limit)
     return df
 
 
@@ -44,7 +42,7 @@ def spearman(df: DataFrame, x: str, y: str, limit: int | None = None) -> DataFra
 def partial_spearman(df: DataFrame, x: str, y: str, z: str, limit: int | None = None) -> DataFrame:
     """Spearman correlation of the residuals of rank(x) and rank(y) after a line on rank(z)."""
     complete = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()).select(x, y, z)
-    ranked = _ranked(complete, [x, y, z], limit)
+    ranked = checkpoint(_ranked(complete, [x, y, z], limit))  # read by the fit and for the residuals
     fit = ranked.agg(*[f(f"_r_{c}", f"_r_{z}").alias(f"{n}{c}") for c in (x, y) for n, f in (
         ("_slope_", F.regr_slope), ("_icept_", F.regr_intercept))])
     line = lambda c: fit.select(f"_slope_{c}").scalar() * F.col(f"_r_{z}") + fit.select(f"_icept_{c}").scalar()

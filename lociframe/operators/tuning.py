@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,42 +15,52 @@ from .consensus import CASE, adjusted
 
 
 def weight_grid(cfg: Consensus) -> Column:
-    """Array of the grid's raw positions without the all-zero one; any size, no combination is listed on the driver."""
-    size = len(cfg.tuning.grid) ** len(cfg.evidence)
-    every = F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint"))
-    empty = _empty_position(cfg)
-    return every if empty is None else F.filter(every, lambda g: g != empty)
+    """Array of the grid's raw positions with at least one positive weight; any size, no combination is listed on the driver."""
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(len(cfg.tuning.grid) ** len(cfg.evidence) - 1).cast("bigint"))
+    return F.filter(every, lambda g: ~_without_weight(g, cfg)) if _idle(cfg) else every
+
 
+def _idle(cfg: Consensus) -> list[int]:
+    """Digits that stand for a weight that is not positive."""
+    return [i for i, x in enumerate(cfg.tuning.grid) if x <= 0]
 
-def _empty_position(cfg: Consensus) -> int | None:
-    """Position of the combination without a positive weight."""
-    nothing = [i for i, x in enumerate(cfg.tuning.grid) if x <= 0]
-    if len(nothing) > 1:
-        raise ValueError("the grid has several weights that are not positive")
-    if not nothing:
-        return None
-    return sum(nothing[0] * len(cfg.tuning.grid) ** k for k in range(len(cfg.evidence)))
+
+def _digits(position: Column, cfg: Consensus) -> list[Column]:
+    base, n = len(cfg.tuning.grid), len(cfg.evidence)
+    return [(F.floor(position / F.lit(base ** (n - 1 - i))) % base).cast("int") for i in range(n)]
+
+
+def _without_weight(position: Column, cfg: Consensus) -> Column:
+    """Is no weight of the combination positive?"""
+    out = F.lit(True)
+    for digit in _digits(position, cfg):
+        out = out & digit.isin(*_idle(cfg))
+    return out
 
 
 def grid_weights(position: Column, cfg: Consensus) -> list[Column]:
     """Weights of a raw grid position: its digits in base of the grid's size, first evidence first."""
-    base, n = len(cfg.tuning.grid), len(cfg.evidence)
     listed = F.array(*[F.lit(float(x)) for x in cfg.tuning.grid])
-    return [F.get(listed, (F.floor(position / F.lit(base ** (n - 1 - i))) % base).cast("int")) for i in range(n)]
+    return [F.get(listed, digit) for digit in _digits(position, cfg)]
 
 
 def grid_id(position: Column, cfg: Consensus) -> Column:
-    """Number of a combination when the all-zero one is not counted."""
-    empty = _empty_position(cfg)
-    return (position if empty is None else position - (position > empty).cast("bigint")).cast("int")
+    """Number of a combination when those without a positive weight are not counted."""
+    idle, n = _idle(cfg), len(cfg.evidence)
+    if not idle:
+        return position.cast("int")
+    # Skipped positions below this one: they share its first digits, all idle, and have a smaller idle digit next.
+    below, same = F.lit(0).cast("bigint"), F.lit(True)
+    for i, digit in enumerate(_digits(position, cfg)):
+        smaller = sum((F.lit(x) < digit).cast("bigint") for x in idle)
+        below = below + F.when(same, smaller * len(idle) ** (n - 1 - i)).otherwise(0)
+        same = same & digit.isin(*idle)
+    return (position - below).cast("int")
 
 
 def decode_weights(tuned: DataFrame, cfg: Consensus, name: str = "final_grid_id", into: str = "weights") -> DataFrame:
     """Add the array of weights that a grid id stands for; NULL stays NULL."""
-    empty = _empty_position(cfg)
-    position = F.col(name).cast("bigint")
-    if empty is not None:
-        position = position + (position >= empty).cast("bigint")
+    position = F.get(weight_grid(cfg), F.col(name).cast("int"))
     return tuned.withColumn(into, F.when(F.col(name).isNotNull(), F.array(*grid_weights(position, cfg))))
 
 
@@ -58,35 +71,83 @@ def _weighted(values: Sequence[Column], weights: Column, penalty: Column) -> Col
     return total + penalty
 
 
+# Scores compared at once in a task: candidate rows times weight combinations.
+CELLS = 1 << 20
+ROWS = 2048
+
+
+def _dominance(pairs: DataFrame, cfg: Consensus) -> DataFrame:
+    """(target, position, better): how many candidates come before a target under each raw grid position.
+
+    Rows of ``pairs`` hold a candidate (a0.., pen), a target of its case (c0.., cpen, target) and whether the candidate wins ties. A batch is
+    a matrix of candidates; its product with a block of the grid gives all scores, and wins are summed by target before they leave the task.
+    """
+    n, grid = len(cfg.evidence), np.array([float(x) for x in cfg.tuning.grid])
+    size = len(grid) ** n
+
+    def weights(first: int, last: int) -> np.ndarray:
+        at = np.arange(first, last)
+        return np.stack([grid[at // len(grid) ** (n - 1 - i) % len(grid)] for i in range(n)])
+
+    def scores(parts: list[np.ndarray], penalty: np.ndarray, w: np.ndarray) -> np.ndarray:
+        # Added in the order of the evidence, so equal scores are equal bit by bit everywhere.
+        total = np.zeros((len(penalty), w.shape[1]))
+        for i, part in enumerate(parts):
+            total += part[:, None] * w[i]
+        return total + penalty[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), ROWS):
+                held = {c: batch[c].slice(k, ROWS).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+                order = np.argsort(held["target"], kind="stable")
+                held = {c: x[order] for c, x in held.items()}
+                starts = np.flatnonzero(np.append(True, held["target"][1:] != held["target"][:-1]))
+                step = max(1, CELLS // len(order))
+                for first in range(0, size, step):
+                    w = weights(first, min(size, first + step))
+                    mine = scores([held[f"a{i}"] for i in range(n)], held["pen"], w)
+                    theirs = scores([held[f"c{i}"][starts] for i in range(n)], held["cpen"][starts], w)
+                    theirs = np.repeat(theirs, np.diff(np.append(starts, len(order))), axis=0)
+                    better = (mine > theirs) | ((mine == theirs) & held["earlier"].astype(bool)[:, None])
+                    counts = np.add.reduceat(better, starts, axis=0, dtype=np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * w.shape[1]), pa.array(counts.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(held["target"][starts]), pa.repeat(pa.scalar(first, pa.int64()), len(starts)), lists],
+                                                     names=["target", "first", "counts"])
+
+    blocks = pairs.mapInArrow(run, "target bigint, first bigint, counts array<bigint>")
+    each = blocks.select("target", "first", F.posexplode("counts").alias("at", "n"))
+    return each.groupBy("target", (F.col("first") + F.col("at")).alias("position")).agg(F.sum("n").alias("better"))
+
+
 def control_ranks(panel: DataFrame, controls: DataFrame, cfg: Consensus, by: Sequence[str] = CASE,
                   split: bool = False) -> DataFrame:
     """Rank of every present control under every weight combination.
 
-    A rank is one plus the number of better candidates, so this is a plain count with map-side
-    combine: no sort per combination, and a large case is summed by many tasks. Candidates that share a control's
-    symbol are ranked one by one; the best of them stands for the control.
+    A rank is one plus the number of better candidates, counted in blocks (``_dominance``): no sort per combination, no row for each
+    candidate and combination, and a large case is summed by many tasks. Candidates that share a control's symbol are
+    ranked one by one; the best of them stands for the control.
     Returns by, control, grid_id, l1 (distance to default weights), rank.
     """
-    specs = list(cfg.evidence)
+    n = len(cfg.evidence)
     matrix = adjusted(panel, cfg, by, split).select(
-        *by, "hgnc_id", F.upper(F.trim("symbol")).alias("_symbol"), F.col("hpa_penalty").alias("_pen"),
-        *[F.col(f"adj_{s.column}").alias(f"_a{i}") for i, s in enumerate(specs)])
+        *by, F.coalesce("hgnc_id", F.lit("~")).alias("_id"), F.upper(F.trim("symbol")).alias("_symbol"), F.col("hpa_penalty").cast("double").alias("pen"),
+        *[F.col(f"adj_{s.column}").cast("double").alias(f"a{i}") for i, s in enumerate(cfg.evidence)])
     wanted = controls.select(F.upper(F.trim("symbol")).alias("_symbol")).distinct()
-    targets = matrix.join(wanted, "_symbol", "left_semi").select(
-        *by, F.col("_symbol").alias("control"), F.col("hgnc_id").alias("_cid"), F.col("_pen").alias("_cpen"),
-        *[F.col(f"_a{i}").alias(f"_c{i}") for i in range(len(specs))])
-    paired = matrix.drop("_symbol").join(targets, list(by)).withColumn("_g", F.explode(weight_grid(cfg)))
-    paired = paired.withColumn("_w", F.array(*grid_weights(F.col("_g"), cfg)))
-    mine = _weighted([F.col(f"_a{i}") for i in range(len(specs))], F.col("_w"), F.col("_pen"))
-    theirs = _weighted([F.col(f"_c{i}") for i in range(len(specs))], F.col("_w"), F.col("_cpen"))
-    earlier = F.coalesce(F.col("hgnc_id"), F.lit("~")) < F.coalesce(F.col("_cid"), F.lit("~"))
-    better = (mine > theirs) | ((mine == theirs) & earlier)
-    each = paired.groupBy(*by, "control", "_cid", "_g").agg((F.count_if(better) + 1).alias("rank"))
-    best = each.groupBy(*by, "control", "_g").agg(F.min("rank").alias("rank"))
+    targets = checkpoint(matrix.join(wanted, "_symbol", "left_semi").select(
+        *by, F.col("_symbol").alias("control"), F.col("_id").alias("_cid"), F.col("pen").alias("cpen"),
+        *[F.col(f"a{i}").alias(f"c{i}") for i in range(n)]).withColumn("target", F.monotonically_increasing_id()))
+    pairs = matrix.join(targets, list(by)).select("target", "pen", "cpen", (F.col("_id") < F.col("_cid")).alias("earlier"),
+                                                  *[f"{side}{i}" for side in "ac" for i in range(n)])
+    each = _dominance(pairs, cfg)
+    if _idle(cfg):
+        each = each.where(~_without_weight(F.col("position"), cfg))
+    named = each.join(targets.select(*by, "control", "target"), "target")
+    best = named.groupBy(*by, "control", "position").agg((F.min("better") + 1).alias("rank"))
     far = F.lit(0.0)
-    for weight, default in zip(grid_weights(F.col("_g"), cfg), cfg.weights, strict=True):
+    for weight, default in zip(grid_weights(F.col("position"), cfg), cfg.weights, strict=True):
         far = far + F.abs(weight - F.lit(float(default)))
-    return best.select(*by, "control", grid_id(F.col("_g"), cfg).alias("grid_id"), far.alias("l1"), "rank")
+    return best.select(*by, "control", grid_id(F.col("position"), cfg).alias("grid_id"), far.alias("l1"), "rank")
 
 
 def grid_recall(ranks: DataFrame, top_n: int = 10, by: Sequence[str] = CASE) -> DataFrame:
@@ -128,7 +189,7 @@ def loo_tune(ranks: DataFrame, top_n: int = 10, by: Sequence[str] = CASE, cases:
     if cases is not None:
         final = null_safe_join(cases.select(*by).distinct(), final, list(by))
     final = final.withColumn("n_controls", F.coalesce("n_controls", F.lit(0).cast("bigint")))
-    note = F.when(F.col("n_controls") < 3, "need >=3 positive controls present in candidates; tuning skipped")
+    note = F.when(F.col("n_controls") < 3, "skipped_fewer_than_three_controls")
     kept = lambda c: F.when(F.col("n_controls") >= 3, c)
     return final.join(rate, list(by), "left").select(
         *by, "n_controls", kept((-F.col("_f.early")).cast("bigint")).alias("final_grid_id"),
@@ -156,15 +217,12 @@ def missing_controls(ranks: DataFrame, cases: DataFrame, controls: DataFrame, by
 
 
 def sensitivity_scenarios(cfg: Consensus) -> list[tuple[str, int, list[float]]]:
-    """Each weight moved by one (never below zero), without scenarios that change nothing."""
-    scenarios = []
-    for i, s in enumerate(cfg.evidence):
-        for delta in (-1, 1):
-            weights = cfg.weights
-            weights[i] = max(0.0, weights[i] + delta)
-            if weights != cfg.weights:
-                scenarios.append((s.column, delta, weights))
-    return scenarios
+    """Each weight moved down and up by one, floored at zero; moves that the floor undoes are left out."""
+    weights = np.array(cfg.weights, float)
+    moves = np.kron(np.eye(len(weights)), [[-1.0], [1.0]])  # a row for each scenario
+    moved = np.maximum(weights + moves, 0.0)
+    names = [s.column for s in cfg.evidence]
+    return [(names[k // 2], 1 if k % 2 else -1, row.tolist()) for k, row in enumerate(moved) if (row != weights).any()]
 
 
 def weight_sensitivity(panel: DataFrame, cfg: Consensus, by: Sequence[str] = CASE, split: bool = False) -> DataFrame:

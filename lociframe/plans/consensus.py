@@ -285,7 +285,7 @@ ORACLES = {
         fin AS (SELECT case_id, grid_id, n, hits, row_number() OVER (PARTITION BY case_id ORDER BY hits DESC, l1, grid_id) AS pick
           FROM tot JOIN grid USING (grid_id))
         SELECT case_id, coalesce(n, 0) AS n_controls, CASE WHEN n >= 3 THEN grid_id END AS final_grid_id, CASE WHEN n >= 3 THEN round(hits / n, 6) END AS final_recall,
-          round(r, 6) AS loo_hit_rate, CASE WHEN coalesce(n, 0) < 3 THEN 'need >=3 positive controls present in candidates; tuning skipped' END AS note
+          round(r, 6) AS loo_hit_rate, CASE WHEN coalesce(n, 0) < 3 THEN 'skipped_fewer_than_three_controls' END AS note
         FROM cases LEFT JOIN (SELECT * FROM fin WHERE pick = 1) USING (case_id) LEFT JOIN rate USING (case_id)"""),
     "tuned_rank": with_views("normed controls", f"""WITH {GRID}, fin AS (SELECT case_id, grid_id, n, row_number() OVER (PARTITION BY case_id ORDER BY hits DESC, l1, grid_id) AS pick
           FROM tot JOIN grid USING (grid_id)),

@@ -1,4 +1,4 @@
-"""Response queries: every twentieth gene is perturbed, one by one and together."""
+"""Response queries: every gene of the fitted space is perturbed, one by one and all together."""
 
 from __future__ import annotations
 
@@ -12,9 +12,8 @@ from . import bindings as b
 from .bindings import with_views
 from .cells import MOMENTS, expression
 
-# Size of the fitted space; all genes where there are fewer. One gene in twenty is perturbed.
+# Size of the fitted space; all genes where there are fewer.
 SPACE = 5000
-EVERY = 20
 
 
 def _fit(spark, folder):
@@ -22,7 +21,7 @@ def _fit(spark, folder):
     expr = checkpoint(expression(spark, folder))
     moments = checkpoint(cell_op.gene_moments(expr, b.cells(spark, folder), b.cell_genes(spark, folder)))
     space = op.fit_space(moments, SPACE)
-    targets = moments.join(space.select("gene_id"), "gene_id", "left_semi").where(F.col("gene_id") % EVERY == 1).select("gene_id")
+    targets = space.select("gene_id")
     return expr, space, targets
 
 
@@ -97,7 +96,7 @@ QUERIES = {f.__name__: f for f in (
     group_response, group_response_top500, target_group_mean)}
 
 FIT = MOMENTS + f""", space AS (SELECT * FROM mom ORDER BY variance DESC, gene_id LIMIT {SPACE}),
-  ridge AS (SELECT 0.1 * avg(variance) AS r FROM space), tg AS (SELECT gene_id AS t, mean AS tm FROM space WHERE gene_id % {EVERY} = 1),
+  ridge AS (SELECT 0.1 * avg(variance) AS r FROM space), tg AS (SELECT gene_id AS t, mean AS tm FROM space),
   inx AS (SELECT * FROM expr WHERE gene_id IN (SELECT gene_id FROM space)),
   prod AS (SELECT a.gene_id, b.gene_id AS t, sum(a.x * b.x) AS xy FROM inx a JOIN inx b ON a.cell_id = b.cell_id AND b.gene_id IN (SELECT t FROM tg) GROUP BY 1, 2),
   cov AS (SELECT s.gene_id, tg.t, (coalesce(xy, 0) - n_cells * mean * tm) / (n_cells - 1) + CASE WHEN s.gene_id = tg.t THEN r ELSE 0 END AS cov

@@ -91,7 +91,23 @@ MOVED = """mv AS (SELECT cell_id, label, embedding, CASE WHEN label = 0 THEN emb
   cosv AS (SELECT label, a, list_inner_product(p, a) / (sqrt(list_inner_product(p, p)) * sqrt(list_inner_product(a, a)) + 1e-12) AS cosine,
     sqrt(list_inner_product(p, p)) / (sqrt(list_inner_product(a, a)) + 1e-12) AS ratio FROM dirs)"""
 
+ROUNDS = op.ROUNDS
+
+
+def _kmeans_rounds() -> str:
+    """Assignment and update as one pair of expressions for each round."""
+    steps = ["""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, cell_id) - 1 AS g, embedding AS c
+      FROM (SELECT *, md5('42:' || cell_id) AS h FROM vecs ORDER BY h, cell_id LIMIT 8))"""]
+    assign = "SELECT cell_id, embedding, arg_min(g, (list_distance(embedding, c), g)) AS g FROM vecs JOIN c{} ON true GROUP BY cell_id, embedding"
+    for r in range(ROUNDS):
+        steps.append(f"""a{r} AS MATERIALIZED ({assign.format(r)}),
+      c{r + 1} AS MATERIALIZED (SELECT o.g, coalesce(n.c, o.c) AS c FROM c{r} o LEFT JOIN (SELECT g, list(m ORDER BY pos) AS c FROM (SELECT g, pos, avg(x) AS m
+        FROM (SELECT g, unnest(range(0, len(embedding))) AS pos, unnest(embedding) AS x FROM a{r}) GROUP BY 1, 2) GROUP BY 1) n USING (g))""")
+    return ",\n".join(steps) + f", last AS ({assign.format(ROUNDS)})"
+
+
 ORACLES = {
+    "kmeans_groups": with_views("vecs", f"WITH {_kmeans_rounds()} SELECT 'Computed group ' || (g + 1) AS computed_group, count(*) AS n_cells FROM last GROUP BY 1"),
     "group_centroids": with_views("vecs", f"WITH {MOVED} SELECT label, n AS n_cells, pos, round(m, 6) AS v FROM cen"),
     "nearest_centroid": with_views("vecs", f"""WITH {MOVED}, d AS (SELECT cell_id, v.label, list_distance(embedding, c) AS d0, list_distance(after, c) AS d1
           FROM mv JOIN cvec v ON true),

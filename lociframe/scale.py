@@ -85,19 +85,27 @@ def with_group_stats(df: DataFrame, by: Sequence[str], aggregates: dict[str, Col
     return null_safe_join(df, stats, by)
 
 
+def _split(df: DataFrame, by: Sequence[str], split: bool | None, limit: int | None) -> bool:
+    """A given answer, a measured one, or by default: a whole table without keys is spread, groups are not."""
+    if split is None:
+        return not by if limit is None else is_hot(df, by, limit)
+    return split
+
+
 class OrderedGroups:
     """Running totals and positions inside groups, without one task per hot group.
 
     ``order`` must be a total order inside a group (ties give any of the equal rows).
-    ``split=True`` spreads a group over many tasks, ``split=False`` (the default) uses one window per group; measure once per run with
-    ``is_hot`` and pass the answer. Only a given ``limit`` without ``split`` measures here. The rows are the same either way.
+    ``split=True`` spreads a group over many tasks, ``split=False`` (the default where there are keys) uses one window per group; measure once
+    per run with ``is_hot`` and pass the answer. Without keys the whole table is one group and is spread by default. Only a given
+    ``limit`` without ``split`` measures here. The rows are the same either way.
     """
 
     def __init__(self, df: DataFrame, by: Sequence[str], order: Sequence[Column | str],
                  split: bool | None = None, limit: int | None = None):
         self.by = list(by)
         self.order = [F.col(o) if isinstance(o, str) else o for o in order]
-        self.split = limit is not None and is_hot(df, by, limit) if split is None else split
+        self.split = _split(df, by, split, limit)
         if self.split:
             placed = df.repartitionByRange(*[F.col(c) for c in self.by], *self.order)
             df = checkpoint(placed.withColumn("_piece", F.spark_partition_id()))
@@ -174,9 +182,7 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], k: in
 def average_rank(df: DataFrame, by: Sequence[str], value: str, name: str,
                  split: bool | None = None, limit: int | None = None) -> DataFrame:
     """Ascending rank where ties share their mean rank; NULL stays NULL and is not counted."""
-    if split is None:
-        split = limit is not None and is_hot(df, by, limit)
-    if not split:
+    if not _split(df, by, split, limit):
         ordered = W.partitionBy(*by).orderBy(F.asc_nulls_last(value))
         peers = W.partitionBy(*by, value)
         rank = F.rank().over(ordered) + (F.count(value).over(peers) - 1) / 2.0
@@ -191,9 +197,7 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, name: str,
 def descending_rank(df: DataFrame, by: Sequence[str], value: str, name: str,
                     split: bool | None = None, limit: int | None = None) -> DataFrame:
     """Competition rank, largest value first (ties share the lowest rank)."""
-    if split is None:
-        split = limit is not None and is_hot(df, by, limit)
-    if not split:
+    if not _split(df, by, split, limit):
         return df.withColumn(name, F.rank().over(W.partitionBy(*by).orderBy(F.desc(value))).cast("bigint"))
     counted = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_peers"))
     ranked = OrderedGroups(counted, by, [F.desc(value)], split=True).running("_upto", F.col("_peers")).frame()

@@ -148,6 +148,40 @@ def test_weight_grid_has_no_size_limit(spark):
     assert [r["weights"] for r in decoded.orderBy("final_grid_id").collect()] == [r["w"] for r in rows]
 
 
+def test_grids_with_several_idle_weights(spark):
+    """Numbers count combinations with a positive weight only, in order, and decode to their weights."""
+    from itertools import product
+
+    from pyspark.sql import functions as F
+    cfg = Consensus(tuple(Evidence(f"c{i}", 1) for i in range(3)), tuning=Tuning(grid=(0.0, 2.0, -1.0)))
+    want = [list(map(float, w)) for w in product((0.0, 2.0, -1.0), repeat=3) if max(w) > 0]
+    ids = spark.range(1).select(F.explode(tuning.weight_grid(cfg)).alias("g"))
+    rows = ids.select(tuning.grid_id(F.col("g"), cfg).alias("final_grid_id"), F.array(*tuning.grid_weights(F.col("g"), cfg)).alias("w")).collect()
+    assert [r["final_grid_id"] for r in rows] == list(range(len(want))) and [r["w"] for r in rows] == want
+    decoded = tuning.decode_weights(ids.select(tuning.grid_id(F.col("g"), cfg).alias("final_grid_id")), cfg)
+    assert [r["weights"] for r in decoded.orderBy("final_grid_id").collect()] == want
+
+
+def test_control_ranks_over_a_large_grid_equal_counting(spark):
+    """20,001 combinations of one case with ties, counted in blocks, against plain numpy."""
+    import random
+    rng = random.Random(2)
+    rows = [(f"H{i:02d}", f"S{i}", None, rng.choice([None, .1, .2, .4]), rng.choice([.1, .5, 1.0])) for i in range(30)]
+    grid = tuple(range(142))  # 142 x 142 positions
+    cfg = Consensus((Evidence("gnomad_pLI", 1), Evidence("gnomad_LOEUF", 1, "lower_better")), tuning=Tuning(grid=grid))
+    controls = spark.createDataFrame([("S3",), ("S4",), ("S9",)], "symbol string")
+    frame = panel(spark, rows)
+    ranks = tuning.control_ranks(frame, controls, cfg).collect()
+    assert len(ranks) == 3 * (142 * 142 - 1)
+    from lociframe.operators.consensus import adjusted
+    held = {r["hgnc_id"]: (r["adj_gnomad_pLI"], r["adj_gnomad_LOEUF"]) for r in adjusted(frame, cfg).collect()}
+    for r in rng.sample(ranks, 300):
+        w = divmod(r["grid_id"] + 1, 142)
+        score = {h: 0.0 + a * w[0] + b * w[1] + 0.0 for h, (a, b) in held.items()}
+        own = f"H{int(r['control'][1:]):02d}"
+        assert r["rank"] == 1 + sum((s > score[own]) or (s == score[own] and h < own) for h, s in score.items())
+
+
 def test_budget(spark):
     schema = "case_id int, rank int, utr3_bp int, utr3_status string, clinGen_haploinsufficiency_raw double, interval_overlap string"
     ranked = spark.createDataFrame([(1, 1, 30, "ok", 40., "partial"), (1, 2, 29, "ok", None, "full"), (1, 3, None, "incomplete_coding_annotation", 30., "full"),
