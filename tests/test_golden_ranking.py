@@ -323,7 +323,7 @@ def test_plans_build_without_reading_the_candidates(spark):
     from lociframe.plans import registry
     queries = registry.queries()
     tracker = spark.sparkContext.statusTracker()
-    for name in ("consensus_score_rank", "borda_rank", "budget_select", "auroc"):
+    for name in ("consensus_score_rank", "borda_rank", "budget_select"):
         group = f"build-{name}"
         spark.sparkContext.setJobGroup(group, name)
         queries[name](spark, "/root/testdata/sf0.001")
