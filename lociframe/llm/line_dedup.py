@@ -23,7 +23,7 @@ EXACT_BELOW = 5
 HOT_LINES = 10_000
 # Sides of up to this many ids (8 bytes each) are broadcast; larger ones are shuffled.
 BROADCAST_IDS = 500_000
-LETTERS = "etaonisrhl"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\v\f\r"
 
 
@@ -36,20 +36,21 @@ def allowed_edits(longer: Column) -> Column:
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of ten letters, modulo 32, packed into a long: one edit changes them by two at most."""
+    """Counts of the letters a to z, modulo 4, two bits each: one edit moves them by two steps at most."""
     n = F.octet_length(line)
     out = F.lit(0).cast("bigint")
     for k, letter in enumerate(LETTERS):
-        out = out.bitwiseOR(F.shiftleft(((n - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))) % 32).cast("bigint"), 5 * k))
+        out = out.bitwiseOR(F.shiftleft(((n - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))) % 4).cast("bigint"), 2 * k))
     return out
 
 
 def letters_differ(a: Column, b: Column) -> Column:
-    total = F.lit(0)
-    for k in range(len(LETTERS)):
-        d = F.abs(F.shiftrightunsigned(a, 5 * k).bitwiseAND(F.lit(31).cast("bigint")) - F.shiftrightunsigned(b, 5 * k).bitwiseAND(F.lit(31).cast("bigint")))
-        total = total + F.least(d, 32 - d)
-    return total
+    """Steps between two counts, each letter going round the shorter way."""
+    low = F.lit(0x5555555555555555).cast("bigint")
+    other = a.bitwiseXOR(b)
+    odd = other.bitwiseAND(low)
+    two = F.shiftrightunsigned(other, 1).bitwiseAND(low).bitwiseAND(F.bitwise_not(odd))
+    return F.bit_count(odd) + 2 * F.bit_count(two)
 
 
 def _segment(length: Column, number: Column, edits: int) -> tuple[Column, Column]:
@@ -177,16 +178,18 @@ def later_lines(lines: DataFrame, hot: DataFrame, edits: int = EDITS) -> DataFra
     """
     # One occurrence of a hot line is enough; the other lines are each less than a share of HOT_LINES of all lines.
     usable = lines.where(F.length("line") >= max(EXACT_BELOW - 1, edits + 1))
-    once = usable.join(F.broadcast(hot), (F.col("line_id") == F.col("picked")) & (F.col("place") == F.col("first"))).select("line_id", "line", "place")
-    rare = usable.join(F.broadcast(hot), F.col("line_id") == F.col("picked"), "left_anti").select("line_id", "line", "place")
-    texts = rare.union(once)
-    index = _cut(texts, _index_places(edits), edits).select("key", F.col("line_id").alias("a"), F.col("letters").alias("la"), "place").repartition("key")
-    probes = _cut(texts.select("line_id", "line"), _probe_places(edits), edits).select("key", F.col("line_id").alias("b"), F.col("letters").alias("lb"), "shorter", allowed_edits(F.col("n")).alias("most"))
+    texts = usable.join(F.broadcast(hot), F.col("line_id") == F.col("picked"), "left").where("picked is null or place = first").select("line_id", "line", "place")
+    marked = lambda places: _cut(texts, places, edits).withColumn("b", F.col("line_id"))
+    index = marked(_index_places(edits)).select("key", F.col("b").alias("a"), F.col("letters").alias("la"), F.col("place.id").alias("id"))
+    probes = marked(_probe_places(edits)).select("key", "b", F.col("letters").alias("lb"), "shorter", ((F.col("shorter") == 0) & (F.col("move") == 0)).alias("own"),
+                                                 allowed_edits(F.col("n")).alias("most"))
     close = (F.col("a") != F.col("b")) & (letters_differ(F.col("la"), F.col("lb")) <= 2 * F.least(F.col("most"), F.lit(edits)))
-    heads = index.groupBy("key").agg(F.min(F.struct("place", "a", "la")).alias("head"), F.min("a").alias("low"), F.max("a").alias("high"))
-    # A bucket that holds the probing line alone has nothing for it.
-    met = probes.join(heads, "key").where((F.col("low") != F.col("high")) | (F.col("low") != F.col("b")))
-    met = checkpoint(met.select("key", "b", "lb", "most", "shorter", F.col("head.a").alias("a"), F.col("head.la").alias("la"), (F.col("low") != F.col("high")).alias("more")))
+    # The line of the smallest document id stands for a bucket; where no id is known, any.
+    heads = index.groupBy("key").agg(F.coalesce(F.min_by("a", "id"), F.min("a")).alias("a"), F.coalesce(F.min_by("la", "id"), F.min("la")).alias("la"),
+                                     F.min("a").alias("low"), F.max("a").alias("high"))
+    # A bucket that holds the probing line alone has nothing for it. Buckets are many and small, so they are hashed and the probes not sorted.
+    met = probes.join(heads.hint("shuffle_hash"), "key").where((F.col("low") != F.col("high")) | (F.col("low") != F.col("b")))
+    met = checkpoint(met.select("key", "b", "lb", "most", "shorter", "own", "a", "la", (F.col("low") != F.col("high")).alias("more")))
 
     def later(pairs: DataFrame) -> DataFrame:
         # A pair of unequal length is met from the longer line only, so both ends are looked at.
@@ -199,7 +202,8 @@ def later_lines(lines: DataFrame, hot: DataFrame, edits: int = EDITS) -> DataFra
     open_keys = met.where("more").select("key", "b", "lb", "most", "shorter").distinct().join(done, F.col("b") == F.col("d"), "left").withColumn("sure", F.col("d").isNotNull()).drop("d")
     # Equally long lines look each other up, so a decided one may rest there.
     open_keys = checkpoint(open_keys.where("not sure or shorter > 0"))
-    members = index.join(open_keys.select("key").distinct(), "key", "left_semi").select("key", "a", "la").distinct()
+    # The members of a bucket are the lines that look up their own segment there.
+    members = met.where("own and more").select("key", F.col("b").alias("a"), F.col("lb").alias("la")).distinct()
     members = members.join(done, F.col("a") == F.col("d"), "left").withColumn("settled", F.col("d").isNotNull()).drop("d")
     free = members.where("not settled")
     rest = open_keys.where("not sure").join(members.drop("settled"), "key").where(close).select("a", "b").union(
@@ -218,12 +222,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     later = later_lines(lines, hot, edits)
     near = repeated.join(later.select(F.col("line_id").alias("l")), F.col("line_id") == F.col("l"), "left").select(
         F.col("line_id").alias("picked"), F.col("first").alias("at"), F.col("l").isNotNull().alias("near"))
-    slim = lines.select("line_id", "place")
-    # Hot lines are at most HOT_LINES, so theirs is a broadcast join; the rest has no hot key.
-    hot_ids = F.broadcast(hot.select(F.col("picked").alias("h")))
-    cold = slim.join(hot_ids, F.col("line_id") == F.col("h"), "left_anti").join(near.join(hot_ids, F.col("picked") == F.col("h"), "left_anti"), F.col("line_id") == F.col("picked"))
-    warm = slim.join(F.broadcast(near.join(hot_ids, F.col("picked") == F.col("h"), "left_semi")), F.col("line_id") == F.col("picked"))
-    again = cold.union(warm).where(F.col("place") != F.col("at")).select("place", "near")
+    # Hot lines are at most HOT_LINES, so theirs is a broadcast join; their rows take part in the other join under keys of their own.
+    warm = near.join(F.broadcast(hot.select(F.col("picked").alias("h"))), F.col("picked") == F.col("h")).select("h", F.col("at").alias("hot_at"), F.col("near").alias("hot_near"))
+    slim = lines.select("line_id", "place").join(F.broadcast(warm), F.col("line_id") == F.col("h"), "left").where("h is null or place <> hot_at")
+    cold = near.join(F.broadcast(hot.select(F.col("picked").alias("h"))), F.col("picked") == F.col("h"), "left_anti")
+    spread = slim.withColumn("_key", F.when(F.col("h").isNull(), F.col("line_id")).otherwise(F.xxhash64("place")))
+    joined = spread.join(cold, (F.col("_key") == F.col("picked")) & F.col("h").isNull(), "left").where("h is not null or place <> at")
+    again = joined.select("place", F.coalesce("hot_near", "near").alias("near"))
     return again.union(later.select("first", F.lit(True))).distinct().select("place.id", "place.row_key", "place.line_no", "near")
 
 
