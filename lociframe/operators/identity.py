@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import blank_to_null, column, finite, strip_version, unquote
+from ..scale import dictionary_join
 
 
 def alias_key(symbol: Column | str) -> Column:
@@ -41,12 +42,16 @@ def build_alias_map(nomenclature: DataFrame, alias_columns: Sequence[str] = ("pr
             .unionByName(unique.withColumn("kind", F.lit("alias"))))
 
 
-def resolve_symbols(candidates: DataFrame, alias_map: DataFrame, symbol: str = "gene_symbol") -> DataFrame:
-    """Left lookup of symbols; blanks and unknown or ambiguous symbols stay ``unresolved``."""
+def resolve_symbols(candidates: DataFrame, alias_map: DataFrame, symbol: str = "gene_symbol", heavy: DataFrame | None = None) -> DataFrame:
+    """Left lookup of symbols; blanks and unknown or ambiguous symbols stay ``unresolved``.
+
+    Blank symbols take no part in the join. ``heavy`` (``scale.heavy_keys`` of ``alias``) spreads symbols that hold very many rows.
+    """
     keyed = candidates.withColumn("input_symbol", F.coalesce(F.trim(symbol), F.lit("")))
-    keyed = keyed.withColumn("_alias", alias_key("input_symbol"))
+    keyed = keyed.withColumn("_alias", blank_to_null(alias_key("input_symbol")))
     lookup = alias_map.select(F.col("alias").alias("_alias"), F.col("hgnc_id"))
-    resolved = keyed.drop("hgnc_id").join(lookup, "_alias", "left").drop("_alias")
+    heavy = heavy.withColumnRenamed("alias", "_alias") if heavy is not None else None
+    resolved = dictionary_join(keyed.drop("hgnc_id"), lookup, ["_alias"], heavy).drop("_alias")
     return resolved.withColumn("status", F.when(F.col("hgnc_id").isNotNull(), "ok").otherwise("unresolved"))
 
 
@@ -77,15 +82,16 @@ def resolve_gene_ids(labels: DataFrame, nomenclature: DataFrame, alias_map: Data
     text = F.trim(F.col(label))
     kind = F.when(text.startswith("ENSG"), "ensembl").when(text.startswith("HGNC:"), "id").otherwise("symbol")
     key = F.when(text.startswith("ENSG"), strip_version(text)).when(text.startswith("HGNC:"), text).otherwise(alias_key(text))
-    keyed = labels.withColumn("_kind", kind).withColumn("_key", key).join(dictionary, ["_kind", "_key"], "left")
+    keyed = dictionary_join(labels.withColumn("_kind", kind).withColumn("_key", blank_to_null(key)), dictionary, ["_kind", "_key"])
     ids = approved.groupBy("hgnc_id").agg(F.min("gene_id").alias("gene_id"), F.count(F.lit(1)).alias("_n")).where(
         "_n = 1").select(F.col("hgnc_id").alias("_hid"), F.col("hgnc_id"), "gene_id")
     placed = annotation.groupBy("gene_id").agg(
         F.count(F.lit(1)).alias("_positions"), F.first("chrom").alias("chrom"), F.first("start").alias("start"),
         F.first("end").alias("end"))
-    found = keyed.join(ids, "_hid", "left").join(placed, "gene_id", "left")
+    # Labels that resolve to nothing have no id from here on.
+    found = dictionary_join(dictionary_join(keyed, ids, ["_hid"]), placed, ["gene_id"])
     copies = found.where("hgnc_id IS NOT NULL").groupBy(*by, "hgnc_id").agg(F.count(F.lit(1)).alias("_copies"))
-    found = found.join(copies, [*by, "hgnc_id"], "left")
+    found = dictionary_join(found, copies, [*by, "hgnc_id"])
     status = (F.when(F.col("gene_id").isNull(), "unresolved_identity")
               .when(F.coalesce("_positions", F.lit(0)) != 1, "no_unique_position")
               .when(F.col("_copies") > 1, "duplicate_identity").otherwise("ok"))
@@ -102,8 +108,8 @@ def crosswalk_scores(scores: DataFrame, nomenclature: DataFrame, alias_map: Data
                  .where("_ensembl IS NOT NULL AND _id IS NOT NULL")
                  .groupBy("_ensembl").agg(F.min("_id").alias("_min"), F.max("_id").alias("_max")))
     by_symbol = alias_map.select(F.col("alias").alias("_alias"), F.col("hgnc_id").alias("symbol_hgnc_id"))
-    joined = (scores.withColumn("_ensembl", F.trim("ensembl")).withColumn("_alias", alias_key("gene_symbol"))
-              .join(crosswalk, "_ensembl", "left").join(by_symbol, "_alias", "left"))
+    keyed = scores.withColumn("_ensembl", blank_to_null(F.trim("ensembl"))).withColumn("_alias", blank_to_null(alias_key("gene_symbol")))
+    joined = dictionary_join(dictionary_join(keyed, crosswalk, ["_ensembl"]), by_symbol, ["_alias"])
     unique = F.when(F.col("_min") == F.col("_max"), F.col("_min"))
     status = (F.when(F.col("_min").isNull(), "not_in_crosswalk").when(F.col("_min") != F.col("_max"), "ambiguous_crosswalk")
               .when(F.col("symbol_hgnc_id") != F.col("_min"), "symbol_disagreement").otherwise("mapped"))

@@ -70,6 +70,40 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(renamed, condition, how).drop(*[f"__right_{c}" for c in on])
 
 
+def heavy_keys(df: DataFrame, on: Sequence[str], limit: int = GROUP_ROWS) -> DataFrame:
+    """Keys with more than ``limit`` rows; map-side combined, and at most rows / ``limit`` of them."""
+    return df.where(_all_present(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).drop("_n")
+
+
+def _all_present(on: Sequence[str]) -> Column:
+    present = F.lit(True)
+    for c in on:
+        present = present & F.col(c).isNotNull()
+    return present
+
+
+def dictionary_join(left: DataFrame, right: DataFrame, on: Sequence[str], heavy: DataFrame | None = None, salts: int = 64) -> DataFrame:
+    """Left join with a table of few rows a key, safe for a left side of which most rows have no key or one key.
+
+    Rows with a NULL among the keys match nothing; a plain join would send them all to one task, here they are dealt over ``salts``
+    key values of their own. Rows of a key in ``heavy`` (``heavy_keys``) are dealt the same way and their dictionary rows are repeated.
+    """
+    on = list(on)
+    dealt = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
+    loose = ~_all_present(on)
+    if heavy is not None:
+        # Bounded by the rows of the left side over the limit that makes a key heavy.
+        marks = F.broadcast(heavy.select(*on, F.lit(True).alias("_heavy")))
+        left, right = left.join(marks, on, "left"), right.join(marks, on, "left")
+        loose = loose | F.col("_heavy").isNotNull()
+        places = F.when(F.col("_heavy").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        right = right.withColumn("_salt", F.explode(places)).drop("_heavy")
+    else:
+        right = right.withColumn("_salt", F.lit(0))
+    left = left.withColumn("_salt", F.when(loose, dealt).otherwise(0))
+    return left.join(right, [*on, "_salt"], "left").drop("_salt", "_heavy")
+
+
 def with_group_stats(df: DataFrame, by: Sequence[str], aggregates: dict[str, Column], split: bool) -> DataFrame:
     """Attach per-group aggregates to every row.
 

@@ -125,3 +125,39 @@ def test_statistics_split(skewed):
     c = statistics.auroc(df, "id", "w", "w").collect()[0]
     d = statistics.auroc(df, "id", "w", "w", limit=LIMIT).collect()[0]
     assert c["auroc"] == pytest.approx(d["auroc"]) and c["n_positive"] == d["n_positive"] == 60
+
+
+def test_rows_without_a_key_are_dealt_over_tasks(spark):
+    """Nine rows in ten have no key and half of the rest one heavy key: equal to a plain join, no task with more than its share."""
+    rows = [(i, None if i % 10 else "hot" if i % 20 else f"k{i % 70}") for i in range(4000)]
+    left = spark.createDataFrame(rows, "id int, key string").repartition(4)
+    right = spark.createDataFrame([("hot", 1), ("k0", 2), ("k20", 3)], "key string, v int")
+    names = ["spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions"]
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in zip(names, ("false", "-1", "8"), strict=True):
+            spark.conf.set(n, v)
+        plain = left.join(right, ["key"], "left")
+        for heavy in (None, scale.heavy_keys(left, ["key"], 100)):
+            done = scale.dictionary_join(left, right, ["key"], heavy)
+            same(plain, done)
+            sizes = [r["count"] for r in done.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+            assert max(sizes) < 0.25 * 4000 and len(sizes) == 8
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
+def test_permutation_of_a_large_set_equals_sorting(spark):
+    """Half of the pool is marked; every replicate equals the mean of the m smallest hashes."""
+    import hashlib
+    rows = [(i, float(i * i % 97) if i % 11 else None, i % 2 == 0) for i in range(400)]
+    got = statistics.permutation_test(spark.createDataFrame(rows, "k int, v double, m boolean"), "k", "v", "m", n_rep=7, seed=3).collect()[0]
+    means = []
+    for rep in range(7):
+        drawn = sorted(rows, key=lambda r: (hashlib.md5(f"3:{rep}:{r[0]}".encode()).hexdigest(), r[0]))[:200]
+        values = [v for _, v, _ in drawn if v is not None]
+        means.append(sum(values) / len(values))
+    marked = [v for _, v, m in rows if m and v is not None]
+    assert got["observed"] == pytest.approx(sum(marked) / len(marked)) and got["null_mean"] == pytest.approx(sum(means) / 7)
+    assert got["p_value"] == pytest.approx(sum(x >= got["observed"] for x in means) / 7)
