@@ -18,8 +18,15 @@ NO_FLAG = ("", "[]", "{}", "NA", "null")
 
 
 def join_evidence(candidates: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
-    """Left equi-join that keeps every candidate; ``evidence`` must be unique on ``key``."""
-    return candidates.join(evidence, key, "left")
+    """Left equi-join that keeps every candidate; an ``evidence`` table with several rows of one key stops the run, naming the key.
+
+    The check is part of the join's own side: rows meet by key, as the join needs them, and are counted there.
+    """
+    others = [c for c in evidence.columns if c != key]
+    once = evidence.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*others)).alias("_row"))
+    repeated = F.raise_error(F.concat(F.lit(f"duplicate {key} in evidence: "), F.col(key).cast("string"))).cast("boolean")
+    checked = once.where(F.when(F.col("_n") > 1, repeated).otherwise(True)).select(key, *[F.col("_row")[c].alias(c) for c in others])
+    return candidates.join(checked, key, "left")
 
 
 def merge_optional(base: DataFrame, extra: DataFrame, key: str) -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import chrom_name, column
-from ..scale import OrderedGroups
+from ..functions.columns import chrom_name, chrom_rank, column
+from ..scale import OrderedGroups, position
 
 # Names of the two accepted coordinate systems.
 ZERO_BASED = "0-based-half-open"
@@ -116,7 +116,6 @@ def merge_blocks(df: DataFrame, by: Sequence[str], start: str = "start", end: st
     return (numbered.groupBy(*by, "_block").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_block"))
 
 
-def genomic_order(df: DataFrame) -> DataFrame:
-    """Total sort by chromosome rank and start."""
-    from ..functions.columns import chrom_rank
-    return df.orderBy(chrom_rank("chrom"), "start", "gene_id")
+def genomic_order(df: DataFrame, name: str = "genomic_at") -> DataFrame:
+    """1-based place of every gene by chromosome rank, start and id; genes off the main chromosomes come last. Spread over tasks."""
+    return position(df, [], [F.asc_nulls_last(chrom_rank("chrom")), F.asc("start"), F.asc("gene_id")], name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = ("intervals", "identity", "evidence", "consensus", "design", "cells", "cnv", "response", "vectors",
-           "statistics", "quality")
+           "statistics", "quality", "sources")
 
 
 def _merged(attribute: str) -> dict:

@@ -99,7 +99,8 @@ def dictionary_join(left: DataFrame, right: DataFrame, on: Sequence[str], heavy:
         places = F.when(F.col("_heavy").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
         right = right.withColumn("_salt", F.explode(places)).drop("_heavy")
     else:
-        right = right.withColumn("_salt", F.lit(0))
+        # Always 0, but not a literal, which the optimizer would take out of the join keys.
+        right = right.withColumn("_salt", F.pmod(F.xxhash64(*on), F.lit(1)).cast("int"))
     left = left.withColumn("_salt", F.when(loose, dealt).otherwise(0))
     return left.join(right, [*on, "_salt"], "left").drop("_salt", "_heavy")
 

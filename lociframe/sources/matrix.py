@@ -48,12 +48,13 @@ def read_10x(spark: SparkSession, matrix: str, features: str, barcodes: str, str
     check(genes, [unique("gene_id"), *non_empty("gene_id", "symbol")], "idx")
     check(cells, [unique("barcode"), *non_empty("barcode")], "idx")
 
-    lines = spark.read.text(matrix).select(F.trim(F.col("value")).alias("value"), F.col("_metadata.file_block_start").alias("block"))
+    lines = spark.read.text(matrix).select(F.trim(F.col("value")).alias("value"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_path").alias("file"))
     banner = lines.where("block = 0 AND value LIKE '\\%\\%MatrixMarket%'").first()
     if banner is None or "coordinate" not in banner["value"].lower() or "general" not in banner["value"].lower():
         raise ValueError(f"{matrix}: expected a general coordinate MatrixMarket file")
-    body = lines.where("value <> '' AND NOT value LIKE '\\%%'").select("value", "block", F.monotonically_increasing_id().alias("at"))
-    size_line = body.where("block = 0").agg(F.min_by("value", "at").alias("v"), F.min("at").alias("at")).first()
+    body = lines.where("value <> '' AND NOT value LIKE '\\%%'").select("value", "block", "file", F.monotonically_increasing_id().alias("at"))
+    # The size line follows the banner; further files hold entries only.
+    size_line = body.where((F.col("block") == 0) & (F.col("file") == banner["file"])).agg(F.min_by("value", "at").alias("v"), F.min("at").alias("at")).first()
     if size_line["v"] is None:
         raise ValueError(f"{matrix}: missing size line")
     n_genes, n_cells, n_entries = (int(x) for x in size_line["v"].split())

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +17,16 @@ def write_evidence(df: DataFrame, path: str, buckets: int = 64, mode: str = "err
     df.withColumn("case_bucket", bucket).write.mode(mode).partitionBy("case_bucket").parquet(path)
 
 
+def read_cases(spark: SparkSession, path: str, cases: Sequence, buckets: int = 64) -> DataFrame:
+    """Evidence of some cases: only the folders of their buckets are listed and read. ``buckets`` is that of ``write_evidence``."""
+    kind = spark.read.parquet(path).schema["case_id"].dataType
+    wanted = spark.createDataFrame([(c,) for c in cases], T.StructType([T.StructField("case_id", kind)]))
+    # As many rows as cases are asked for.
+    places = [r[0] for r in wanted.select(F.pmod(F.xxhash64("case_id"), F.lit(buckets))).distinct().collect()]
+    rows = spark.read.parquet(path).where(F.col("case_bucket").isin(places))
+    return rows.join(F.broadcast(wanted), "case_id", "left_semi").drop("case_bucket")
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text, for text sinks."""
     nested = (T.ArrayType, T.MapType, T.StructType)

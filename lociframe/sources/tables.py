@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from ..functions.columns import CHROMOSOMES, blank_to_null, chrom_rank, nullify, number, strip_version
 from ..operators.evidence import SNAPSHOT_RECORD
@@ -21,23 +22,21 @@ GTF_COLUMNS = ("seqname", "source", "feature", "start", "end", "score", "strand"
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one text file with their 0-based number (byte-order mark removed).
+    """Lines of text files with their 0-based number (byte-order mark removed): ``line`` over all files in order of their
+    paths, ``in_file`` inside each.
 
-    The number is the position inside the scan partition plus the sizes of the earlier partitions;
-    only one count per partition reaches the driver.
+    A scan reads files in blocks. The number is the position inside the block plus the sizes of the earlier blocks; a table of block
+    sizes, one row for each, is joined, so any number of files and blocks is one scan and nothing reaches the driver.
     """
-    lines = spark.read.text(path).select(
-        "value", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
-    sizes = {r["_part"]: r["count"] for r in lines.groupBy("_part").count().collect()}
-    offsets, total = [], 0
-    for part in range(max(sizes, default=-1) + 1):
-        offsets.append(F.lit(total).cast("bigint"))
-        total += sizes.get(part, 0)
-    if not offsets:
-        return lines.select("value", F.col("_at").alias("line"))
-    local = F.col("_at") - F.shiftleft(F.col("_part").cast("bigint"), 33)
-    return lines.select(F.regexp_replace("value", "^\ufeff|\r$", "").alias("value"),
-                        (local + F.array(*offsets)[F.col("_part")]).alias("line"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                                         F.monotonically_increasing_id().alias("_at"))
+    blocks = lines.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = lambda window: F.coalesce(F.sum("_n").over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # One row for each block of a file, so ordering them is cheap.
+    blocks = blocks.withColumns({"_before": earlier(W.orderBy("_file", "_block")), "_in_file": earlier(W.partitionBy("_file").orderBy("_block"))}).drop("_n")
+    joined = lines.join(F.broadcast(blocks), ["_file", "_block"])
+    local = F.col("_at") - F.col("_first")
+    return joined.select(F.regexp_replace("value", "^\ufeff|\r$", "").alias("value"), (local + F.col("_before")).alias("line"), (local + F.col("_in_file")).alias("in_file"))
 
 
 def _spread(df: DataFrame, partitions: int | None) -> DataFrame:
@@ -149,7 +148,7 @@ def read_legacy_constraint_tsv(spark: SparkSession, path: str) -> DataFrame:
         if name not in header:
             raise ValueError(f"{path}: missing required column: {name}")
     cell = lambda name: F.try_element_at("cells", F.lit(header.index(name) + 1))
-    rows = lines.where("line > 0 AND trim(value) <> ''").select(F.split("value", "\t", -1).alias("cells"), "line")
+    rows = lines.where("in_file > 0 AND trim(value) <> ''").select(F.split("value", "\t", -1).alias("cells"), "line")
     return rows.select(F.trim(cell("gene_symbol")).alias("gene_symbol"), nullify(cell("pli"), ["", "NA"]).alias("pli"),
                        nullify(cell("oe_lof_upper"), ["", "NA"]).alias("oe_lof_upper"), F.col("line").alias("source_line"))
 
@@ -236,7 +235,7 @@ def read_interval_table(spark: SparkSession, path: str, fmt: str, coordinates: s
         header = [c.strip() for c in _first_line(spark, path).split(sep)]
         if len(set(header)) != len(header) or not set(columns) <= set(header):
             raise ValueError(f"duplicate or missing columns: {header}")
-        rows = numbered_lines(spark, path).where("line > 0 AND trim(value) <> ''")
+        rows = numbered_lines(spark, path).where("in_file > 0 AND trim(value) <> ''")
         cells = rows.select("line", F.from_csv("value", ", ".join(f"_c{i} STRING" for i in range(len(header))),
                                                {"sep": sep}).alias("cells"))
         raw = cells.select(F.col("line").cast("string").alias("case_id"), *[

@@ -221,3 +221,43 @@ def test_line_numbers_across_scan_partitions(spark, tmp_path):
         assert lines.agg(F.countDistinct("line")).first()[0] == 5000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_lines_of_several_files_and_blocks(spark, tmp_path):
+    """Numbers run on from file to file in order of their names, whatever blocks a scan cuts them into."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    texts = {f"part-{k}": [f"{k}:{i}:" + "x" * (i % 7) for i in range(40 + 90 * (k % 2))] for k in range(4)}
+    for name, lines in texts.items():
+        write(folder / name, "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        got = sorted((r["line"], r["in_file"], r["value"]) for r in tables.numbered_lines(spark, str(folder)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    flat = [(i, line) for name in sorted(texts) for i, line in enumerate(texts[name])]
+    assert got == [(n, i, line) for n, (i, line) in enumerate(flat)]
+
+
+def test_evidence_of_few_cases_reads_few_folders(spark, tmp_path):
+    path = str(tmp_path / "evidence")
+    frame = spark.range(200).select((F.col("id") % 40).alias("case_id"), F.col("id").alias("gene_id"))
+    sinks.write_evidence(frame, path)
+    found = sinks.read_cases(spark, path, [3])
+    assert sorted(r["gene_id"] for r in found.collect()) == [3, 43, 83, 123, 163] and found.columns == ["gene_id", "case_id"] or found.columns == ["case_id", "gene_id"]
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "case_bucket" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+    assert len(found.inputFiles()) > 0
+
+
+def test_duplicate_evidence_stops_the_join(spark):
+    from lociframe.operators.evidence import join_evidence
+    genes = spark.createDataFrame([("a",), ("b",), (None,)], "g string")
+    good = spark.createDataFrame([("a", 1.0), (None, 2.0), (None, 3.0)], "g string, v double")
+    assert sorted(((r["g"], r["v"]) for r in join_evidence(genes, good, "g").collect()), key=repr) == sorted([("a", 1.0), ("b", None), (None, None)], key=repr)
+    twice = good.union(spark.createDataFrame([("b", 1.0), ("b", 2.0)], "g string, v double"))
+    joined = join_evidence(genes, twice, "g")
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(g") <= 3
+    with pytest.raises(Exception, match="duplicate g in evidence: b"):
+        joined.collect()
