@@ -147,7 +147,7 @@ def _among(rows: DataFrame, ids: DataFrame, n: int, how: str = "left_semi") -> D
 def _cut(texts: DataFrame, places: list[tuple[int, int, int]], edits: int) -> DataFrame:
     """A row for each substring of a line that is a segment (``_index_places``) or could equal one of another line (``_probe_places``)."""
     listed = F.array(*[F.struct(F.lit(s).alias("shorter"), F.lit(k).alias("number"), F.lit(m).alias("move")) for s, k, m in places])
-    out = texts.select("*", F.length("line").alias("n"), letter_counts(F.col("line")).alias("letters")).select("*", F.inline(listed))
+    out = texts.select("*", F.length("line").alias("n")).select("*", F.inline(listed))
     other = F.col("n") - F.col("shorter")
     start, size = _segment(other, F.col("number"), edits)
     out = out.withColumns({"other": other, "start": start + F.col("move"), "size": size})
@@ -155,16 +155,14 @@ def _cut(texts: DataFrame, places: list[tuple[int, int, int]], edits: int) -> Da
     return out.withColumn("key", F.xxhash64("other", "number", F.substr("line", "start", "size")))
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """Of the pairs (a, b) of line ids those within the threshold, with the first places of both lines."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("picked")).distinct()
-    found = _among(texts, ids, ids.count()).groupBy("line_id").agg(F.min(F.struct("place", "line")).alias("one"))
-    found = checkpoint(found.select("line_id", F.col("one.place").alias("place"), F.length("one.line").alias("n"), padded(F.col("one.line"), edits).alias("rows"),
-                                    characters(F.col("one.line")).alias("letters")))
-    left = found.select(F.col("line_id").alias("a"), F.col("place").alias("first_a"), F.col("n").alias("na"), "rows")
-    right = found.select(F.col("line_id").alias("b"), F.col("place").alias("first_b"), F.col("n").alias("nb"), "letters")
+def _linked(pairs: DataFrame, known: DataFrame, edits: int) -> DataFrame:
+    """Of the pairs (a, b) of line ids those within the threshold, with the first places of both lines, which are in ``known``."""
+    left = known.select(F.col("line_id").alias("a"), F.col("place").alias("first_a"), F.length("line").alias("na"), padded(F.col("line"), edits).alias("rows"))
+    right = known.select(F.col("line_id").alias("b"), F.col("place").alias("first_b"), F.length("line").alias("nb"), characters(F.col("line")).alias("letters"))
+    # The arrays are made below the joins, so the distance reads stored ones at every step.
+    both = pairs.join(left, "a").join(right, "b")
     near = edit_distance(F.col("rows"), F.col("letters"), edits) <= F.least(F.lit(edits), allowed_edits(F.greatest("na", "nb")))
-    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "first_a", "first_b")
+    return both.where(near).select("a", "b", "first_a", "first_b")
 
 
 def later_lines(lines: DataFrame, hot: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -180,20 +178,24 @@ def later_lines(lines: DataFrame, hot: DataFrame, edits: int = EDITS) -> DataFra
     usable = lines.where(F.length("line") >= max(EXACT_BELOW - 1, edits + 1))
     texts = usable.join(F.broadcast(hot), F.col("line_id") == F.col("picked"), "left").where("picked is null or place = first").select("line_id", "line", "place")
     marked = lambda places: _cut(texts, places, edits).withColumn("b", F.col("line_id"))
-    index = marked(_index_places(edits)).select("key", F.col("b").alias("a"), F.col("letters").alias("la"), F.col("place.id").alias("id"))
-    probes = marked(_probe_places(edits)).select("key", "b", F.col("letters").alias("lb"), "shorter", ((F.col("shorter") == 0) & (F.col("move") == 0)).alias("own"),
-                                                 allowed_edits(F.col("n")).alias("most"))
-    close = (F.col("a") != F.col("b")) & (letters_differ(F.col("la"), F.col("lb")) <= 2 * F.least(F.col("most"), F.lit(edits)))
+    index = marked(_index_places(edits)).select("key", F.col("b").alias("a"), F.col("place.id").alias("id"))
+    probes = marked(_probe_places(edits)).select("key", "b", "shorter", ((F.col("shorter") == 0) & (F.col("move") == 0)).alias("own"))
     # The line of the smallest document id stands for a bucket; where no id is known, any.
-    heads = index.groupBy("key").agg(F.coalesce(F.min_by("a", "id"), F.min("a")).alias("a"), F.coalesce(F.min_by("la", "id"), F.min("la")).alias("la"),
-                                     F.min("a").alias("low"), F.max("a").alias("high"))
+    heads = index.groupBy("key").agg(F.coalesce(F.min_by("a", "id"), F.min("a")).alias("a"), F.min("a").alias("low"), F.max("a").alias("high"))
     # A bucket that holds the probing line alone has nothing for it. Buckets are many and small, so they are hashed and the probes not sorted.
     met = probes.join(heads.hint("shuffle_hash"), "key").where((F.col("low") != F.col("high")) | (F.col("low") != F.col("b")))
-    met = checkpoint(met.select("key", "b", "lb", "most", "shorter", "own", "a", "la", (F.col("low") != F.col("high")).alias("more")))
+    met = checkpoint(met.select("key", "b", "shorter", "own", "a", (F.col("low") != F.col("high")).alias("more")))
+    # Only lines that met a bucket are read again: their text, first place and letters.
+    ids = checkpoint(met.select(F.explode(F.array("a", "b")).alias("picked")).distinct())
+    known = _among(texts, ids, ids.count()).groupBy("line_id").agg(F.min(F.struct("place", "line")).alias("one"))
+    known = checkpoint(known.select("line_id", "one.place", "one.line", letter_counts(F.col("one.line")).alias("letters")))
+    letters = lambda line, counts, most: known.select(F.col("line_id").alias(line), F.col("letters").alias(counts), allowed_edits(F.length("line")).alias(most))
+    met = checkpoint(met.join(letters("a", "la", "_most"), "a").drop("_most").join(letters("b", "lb", "most"), "b"))
+    close = (F.col("a") != F.col("b")) & (letters_differ(F.col("la"), F.col("lb")) <= 2 * F.least(F.col("most"), F.lit(edits)))
 
     def later(pairs: DataFrame) -> DataFrame:
         # A pair of unequal length is met from the longer line only, so both ends are looked at.
-        linked = _linked(pairs, texts, edits)
+        linked = _linked(pairs, known, edits)
         swapped = F.col("first_b") < F.col("first_a")
         return linked.select(F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("line_id"), F.greatest("first_a", "first_b").alias("first"))
 
