@@ -99,11 +99,29 @@ def adjusted(df: DataFrame, cfg: Consensus, by: Sequence[str] = CASE, split: boo
     return df.withColumns(columns).withColumn("hpa_penalty", organ_penalty(df, cfg.penalty)).drop("_recessive")
 
 
-def consensus_score(df: DataFrame, cfg: Consensus, by: Sequence[str] = CASE, split: bool = False) -> DataFrame:
-    """Add norm_*, contrib_*, hpa_penalty, consensus_score, evidence_status and dosage_conflict."""
+def case_weights(df: DataFrame, cfg: Consensus, by: Sequence[str], chosen: DataFrame | None) -> DataFrame:
+    """Add ``weights``: the array chosen for the row's case (``chosen``: by, weights), else the default weights. Nothing without ``chosen``."""
+    if chosen is None:
+        return df
+    default = F.array(*[F.lit(float(w)) for w in cfg.weights])
+    joined = null_safe_join(df, chosen.select(*by, F.col("weights").alias("_w")), list(by))
+    return joined.withColumn("weights", F.coalesce("_w", default)).drop("_w")
+
+
+def weight_of(df: DataFrame, cfg: Consensus, name: str) -> Column:
+    """Weight of an evidence column: that of the row's case where ``case_weights`` gave one."""
+    at = [s.column for s in cfg.evidence].index(name)
+    return F.get("weights", F.lit(at)) if "weights" in df.columns else F.lit(float(cfg.weights[at]))
+
+
+def consensus_score(df: DataFrame, cfg: Consensus, by: Sequence[str] = CASE, split: bool = False, chosen: DataFrame | None = None) -> DataFrame:
+    """Add norm_*, contrib_*, hpa_penalty, consensus_score, evidence_status and dosage_conflict.
+
+    ``chosen`` (by, weights) has weights of their own for some cases, as ``tuning.decode_weights`` gives them.
+    """
     specs = [s for s in cfg.evidence if s.column in df.columns]
-    scored = adjusted(df, cfg, by, split)
-    contributions = {f"contrib_{s.column}": F.col(f"adj_{s.column}") * F.lit(float(s.weight)) for s in specs}
+    scored = case_weights(adjusted(df, cfg, by, split), cfg, by, chosen)
+    contributions = {f"contrib_{s.column}": F.col(f"adj_{s.column}") * weight_of(scored, cfg, s.column) for s in specs}
     total = F.lit(0.0)
     for s in specs:
         total = total + F.col(f"contrib_{s.column}")
@@ -123,9 +141,9 @@ def score_order() -> list[Column]:
     return [F.desc("consensus_score"), F.asc_nulls_last("hgnc_id")]
 
 
-def consensus_rank(df: DataFrame, cfg: Consensus, by: Sequence[str] = CASE, split: bool = False) -> DataFrame:
+def consensus_rank(df: DataFrame, cfg: Consensus, by: Sequence[str] = CASE, split: bool = False, chosen: DataFrame | None = None) -> DataFrame:
     """Score every candidate and number them 1..n per case; all candidates are kept."""
-    return position(consensus_score(df, cfg, by, split), by, score_order(), "rank", split)
+    return position(consensus_score(df, cfg, by, split, chosen), by, score_order(), "rank", split)
 
 
 def evidence_gate(scored: DataFrame, cfg: Consensus, by: Sequence[str] = CASE) -> DataFrame:
@@ -153,7 +171,7 @@ def borda(scored: DataFrame, cfg: Consensus, by: Sequence[str] = CASE, split: bo
     for s in specs:
         worst_first = F.col(f"_n_{s.column}") + 1 - F.col(f"_r_{s.column}")
         earned = F.coalesce(F.col("_n") - worst_first, fill)
-        points = points + F.when(F.col(f"_n_{s.column}") > 0, F.lit(float(s.weight)) * earned).otherwise(0.0)
+        points = points + F.when(F.col(f"_n_{s.column}") > 0, weight_of(df, cfg, s.column) * earned).otherwise(0.0)
     df = df.withColumn("borda_score", points)
     df = descending_rank(df, by, "borda_score", "borda_rank", split)
     return df.drop("_n", *stats, *[f"_r_{s.column}" for s in specs])
@@ -205,8 +223,9 @@ def sparse_evidence_warnings(ranked: DataFrame, by: Sequence[str] = CASE, dosage
                              min_coverage: float = 0.2, max_genes: int = 20) -> DataFrame:
     """Per case: low dosage coverage, no dosage coverage, and many genes with similar top scores."""
     at = lambda k: F.max(F.when(F.col("rank") == k, F.col("consensus_score")))
+    covered = F.col(dosage).isNotNull() if dosage in ranked.columns else F.lit(False)  # no dosage source at all
     stats = ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_genes"), F.avg(F.col(dosage).isNotNull().cast("double")).alias("dosage_coverage"),
+        F.count(F.lit(1)).alias("n_genes"), F.avg(covered.cast("double")).alias("dosage_coverage"),
         (at(1) - at(3)).alias("top3_gap"), F.stddev_samp("consensus_score").alias("score_sd"))
     similar = (F.col("n_genes") > max_genes) & F.coalesce(F.col("top3_gap") < F.col("score_sd"), F.lit(False))
     names = F.array_compact(F.array(

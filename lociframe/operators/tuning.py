@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Consensus
 from ..scale import checkpoint, null_safe_join, position
-from .consensus import CASE, adjusted
+from .consensus import CASE, adjusted, case_weights
 
 
 def weight_grid(cfg: Consensus) -> Column:
@@ -216,37 +216,38 @@ def missing_controls(ranks: DataFrame, cases: DataFrame, controls: DataFrame, by
     return asked.join(ranks.select(*by, "control").distinct(), [*by, "control"], "left_anti")
 
 
-def sensitivity_scenarios(cfg: Consensus) -> list[tuple[str, int, list[float]]]:
-    """Each weight moved down and up by one, floored at zero; moves that the floor undoes are left out."""
-    weights = np.array(cfg.weights, float)
-    moves = np.kron(np.eye(len(weights)), [[-1.0], [1.0]])  # a row for each scenario
-    moved = np.maximum(weights + moves, 0.0)
-    names = [s.column for s in cfg.evidence]
-    return [(names[k // 2], 1 if k % 2 else -1, row.tolist()) for k, row in enumerate(moved) if (row != weights).any()]
+def weight_sensitivity(panel: DataFrame, cfg: Consensus, by: Sequence[str] = CASE, split: bool = False, chosen: DataFrame | None = None) -> DataFrame:
+    """Per (case, evidence, delta): largest rank shift and number of genes that enter the top three.
 
-
-def weight_sensitivity(panel: DataFrame, cfg: Consensus, by: Sequence[str] = CASE, split: bool = False) -> DataFrame:
-    """Per (case, evidence, delta): largest rank shift and number of genes that enter the top three."""
-    entries = [("", 0, cfg.weights), *sensitivity_scenarios(cfg)]
-    scenario = F.array(*[F.struct(F.lit(i).alias("scenario"), F.array(*[F.lit(x) for x in w]).alias("w"))
-                         for i, (_, _, w) in enumerate(entries)])
-    matrix = adjusted(panel, cfg, by, split).select(
-        *by, "hgnc_id", "symbol", "hpa_penalty", *[F.col(f"adj_{s.column}").alias(f"_a{i}") for i, s in enumerate(cfg.evidence)])
-    score = _weighted([F.col(f"_a{i}") for i in range(len(cfg.evidence))], F.col("_s.w"), F.col("hpa_penalty"))
-    runs = matrix.withColumn("_s", F.explode(scenario)).select(
-        *by, "hgnc_id", "symbol", F.col("_s.scenario").alias("scenario"), score.alias("_score"))
-    ranked = position(runs, [*by, "scenario"], [F.desc("_score"), F.asc_nulls_last("hgnc_id"), F.asc("symbol")], "_rank", split)
+    Each weight of a case, its own where ``chosen`` has some, moves down and up by one and is floored at zero; moves that the floor undoes
+    have no row. Rows are told apart by a number of their own, so genes without an id stay separate.
+    """
+    k = len(cfg.evidence)
+    default = F.array(*[F.lit(float(w)) for w in cfg.weights])
+    matrix = case_weights(adjusted(panel, cfg, by, split), cfg, by, chosen)
+    matrix = matrix.withColumn("_own", F.col("weights") if chosen is not None else default).select(
+        *by, "hgnc_id", "symbol", "_own", "hpa_penalty", *[F.col(f"adj_{s.column}").alias(f"_a{i}") for i, s in enumerate(cfg.evidence)])
+    matrix = checkpoint(matrix.withColumn("_row", F.monotonically_increasing_id()))
+    # Scenario 0 changes nothing; 2 i + 1 and 2 i + 2 move weight i down and up.
+    moves = [(0, 0)] + [(i, d) for i in range(k) for d in (-1, 1)]
+    listed = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(i).alias("_at"), F.lit(d).alias("_by")) for n, (i, d) in enumerate(moves)])
+    runs = matrix.select("*", F.inline(listed))
+    moved = F.transform("_own", lambda w, i: F.when(i == F.col("_at"), F.greatest(w + F.col("_by"), F.lit(0.0))).otherwise(w))
+    runs = runs.withColumn("_w", moved)
+    score = _weighted([F.col(f"_a{i}") for i in range(k)], F.col("_w"), F.col("hpa_penalty"))
+    runs = runs.select(*by, "_row", "hgnc_id", "symbol", "scenario", (F.col("_w") != F.col("_own")).alias("_changed"), score.alias("_score"))
+    ranked = position(runs, [*by, "scenario"], [F.desc("_score"), F.asc_nulls_last("hgnc_id"), F.asc("symbol"), F.asc("_row")], "_rank", split)
     # One row per gene with its rank in every scenario, then one aggregate per case.
-    at = [F.max(F.when(F.col("scenario") == i, F.col("_rank"))).alias(f"_r{i}") for i in range(len(entries))]
-    wide = ranked.groupBy(*by, "hgnc_id", "symbol").agg(*at)
+    at = [F.max(F.when(F.col("scenario") == n, F.col("_rank"))).alias(f"_r{n}") for n in range(len(moves))]
+    does = [F.bool_or((F.col("scenario") == n) & F.col("_changed")).alias(f"_c{n}") for n in range(1, len(moves))]
+    wide = ranked.groupBy(*by, "_row").agg(*at, *does)
     effects = []
-    for i in range(1, len(entries)):
-        effects.append(F.max(F.abs(F.col(f"_r{i}") - F.col("_r0"))).alias(f"_shift{i}"))
-        effects.append(F.count_if((F.col(f"_r{i}") <= 3) & (F.col("_r0") > 3)).alias(f"_new{i}"))
-    rows = F.array(*[F.struct(F.lit(name).alias("evidence"), F.lit(delta).cast("bigint").alias("delta"),
-                              F.col(f"_shift{i}").alias("max_rank_shift"), F.col(f"_new{i}").alias("top3_genes_changed"))
-                     for i, (name, delta, _) in enumerate(entries) if i])
-    return wide.groupBy(*by).agg(*effects).select(*by, F.inline(rows))
+    for n in range(1, len(moves)):
+        effects += [F.max(F.abs(F.col(f"_r{n}") - F.col("_r0"))).alias(f"_shift{n}"), F.count_if((F.col(f"_r{n}") <= 3) & (F.col("_r0") > 3)).alias(f"_new{n}"),
+                    F.bool_or(f"_c{n}").alias(f"_does{n}")]
+    rows = F.array(*[F.struct(F.lit(cfg.evidence[i].column).alias("evidence"), F.lit(d).cast("bigint").alias("delta"), F.col(f"_shift{n}").alias("max_rank_shift"),
+                              F.col(f"_new{n}").alias("top3_genes_changed"), F.col(f"_does{n}").alias("_does")) for n, (i, d) in enumerate(moves) if n])
+    return wide.groupBy(*by).agg(*effects).select(*by, F.inline(rows)).where("_does").drop("_does")
 
 
 def robustness(sensitivity: DataFrame, by: Sequence[str] = CASE) -> DataFrame:

@@ -137,6 +137,27 @@ def tuned_rank(spark, folder):
     return done.select("case_id", "gene_id", "tuned", fixed("tuned_score").alias("tuned_score"), "tuned_rank")
 
 
+def _wanted(spark, folder):
+    """Every control symbol is asked for in every third case, and two that no case has."""
+    extra = b.cases(spark, folder).select("case_id", F.explode(F.array(F.lit("ABSENT1"), F.lit(" absent2 "))).alias("symbol"))
+    inside = b.candidates(spark, folder).select("case_id", "symbol").join(b.controls(spark, folder), "symbol", "left_semi").select("case_id", "symbol")
+    return inside.union(extra)
+
+
+def missing_controls(spark, folder):
+    ranks = _ranks(spark, folder)
+    return tune.missing_controls(ranks, b.cases(spark, folder), _wanted(spark, folder))
+
+
+def screen_cohort(spark, folder):
+    """The whole run: gated cases, weights tuned on each case's controls, consensus and Borda ranks."""
+    from ..workflows import screen_cohort as run
+    from .design import _features as features
+    panel = b.panel(spark, folder).drop("recessive")
+    done = run(panel, features(spark, folder), panel, controls=_wanted(spark, folder))
+    return done.ranked.select("case_id", "gene_id", "rank", fixed("consensus_score").alias("consensus_score"), F.get("weights", F.lit(0)).alias("first_weight"))
+
+
 def weight_sensitivity(spark, folder):
     return tune.weight_sensitivity(_plain(spark, folder), SCREENING)
 
@@ -179,7 +200,7 @@ def sparse_evidence_warnings(spark, folder):
 QUERIES = {f.__name__: f for f in (
     normalize_raw, normalize_zscore, normalize_rank, normalize_ordinal, consensus_score_rank, consensus_penalty,
     evidence_status_gate, borda_rank, rank_agreement, budget_select, evidence_notes, run_summary, summary_projection,
-    weight_grid_recall, loo_folds, loo_tune, tuned_rank, weight_sensitivity, weight_robustness, control_check, control_summary,
+    weight_grid_recall, loo_folds, loo_tune, tuned_rank, missing_controls, screen_cohort, weight_sensitivity, weight_robustness, control_check, control_summary,
     validation_panel, validation_pass, sparse_evidence_warnings)}
 
 NORMS = """SELECT case_id, gene_id, round(n_hi, 6) AS "norm_clinGen_hi_score", round(n_loeuf, 6) AS "norm_gnomad_LOEUF",
@@ -293,6 +314,14 @@ ORACLES = {
         s AS (SELECT o.case_id, o.gene_id, o.hgnc_id, w.a IS NOT NULL AS tuned, coalesce(n_hi, 0) * coalesce(w.a, 3) + coalesce(n_loeuf, 0) * coalesce(w.b, 2)
           + coalesce(n_pli, 0) * coalesce(w.c, 2) AS score FROM normed o LEFT JOIN w USING (case_id))
         SELECT case_id, gene_id, tuned, round(score, 6) AS tuned_score, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, hgnc_id) AS tuned_rank FROM s"""),
+    "missing_controls": """SELECT s_suppkey AS case_id, unnest(['ABSENT1', 'ABSENT2']) AS control FROM supplier""",
+    "screen_cohort": with_views("normed controls", f"""WITH {GRID}, fin AS (SELECT case_id, grid_id, n, row_number() OVER (PARTITION BY case_id ORDER BY hits DESC, l1, grid_id) AS pick
+          FROM tot JOIN grid USING (grid_id)),
+        w AS (SELECT case_id, a, b, c FROM fin JOIN grid USING (grid_id) WHERE pick = 1 AND n >= 3),
+        gate AS (SELECT case_id FROM normed GROUP BY 1 HAVING avg((n_hi IS NULL AND n_loeuf IS NULL AND n_pli IS NULL)::INT) <= 0.5),
+        s AS (SELECT o.case_id, o.gene_id, o.hgnc_id, coalesce(w.a, 3)::DOUBLE AS first_weight, coalesce(n_hi, 0) * coalesce(w.a, 3) + coalesce(n_loeuf, 0) * coalesce(w.b, 2)
+          + coalesce(n_pli, 0) * coalesce(w.c, 2) AS score FROM normed o JOIN gate USING (case_id) LEFT JOIN w USING (case_id))
+        SELECT case_id, gene_id, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, hgnc_id) AS rank, round(score, 6) AS consensus_score, first_weight FROM s"""),
     "weight_sensitivity": with_views("normed", f"WITH {SENS} SELECT * FROM sens"),
     "weight_robustness": with_views("normed", f"""WITH {SENS}, g AS (SELECT case_id, count(*) AS n_perturbations, max(max_rank_shift) AS max_rank_shift,
           count(*) FILTER (top3_genes_changed > 0) AS n_causing_top3_change FROM sens GROUP BY 1)

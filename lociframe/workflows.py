@@ -18,13 +18,14 @@ from .operators import cells as cell_op
 from .operators import cnv as cnv_op
 from .operators import evidence as ev
 from .operators import response as response_op
-from .operators.consensus import consensus_rank
+from .operators import tuning
+from .operators.consensus import borda, consensus_rank, consensus_score, evidence_gate, rank_agreement, sparse_evidence_warnings
 from .operators.design import transcript_design
 from .operators.expectations import check, one_of, unique
 from .operators.identity import alias_key, build_alias_map, resolve_gene_ids
 from .operators.intervals import genes_in_intervals
 from .operators.selection import budget_select
-from .scale import checkpoint, is_hot
+from .scale import checkpoint, is_hot, null_safe_join
 
 BUILD = "GRCh38"
 
@@ -92,17 +93,61 @@ def collect_evidence(candidates: DataFrame, nomenclature: DataFrame, curation: D
     return df
 
 
-def screen(candidates: DataFrame, features: DataFrame, evidence: DataFrame, cfg: Consensus = SCREENING,
-           capacity: int = MODULE_BUDGET_BP, module_size: int = MODULE_BP) -> DataFrame:
-    """Rank every case and select within its budget.
+@dataclass(frozen=True)
+class ScreenRun:
+    """A screened cohort. Cases that fail the missing-rate gate are in ``gate`` (rejected) and nowhere else.
 
-    Whether a case is too large for one task is measured once on the candidates and reused.
+    ``tuning`` and ``missing_controls`` are None without controls, ``sensitivity`` and ``robustness`` where they were not asked for.
+    """
+    gate: DataFrame
+    ranked: DataFrame
+    selected: DataFrame
+    agreement: DataFrame
+    warnings: DataFrame
+    tuning: DataFrame | None = None
+    missing_controls: DataFrame | None = None
+    sensitivity: DataFrame | None = None
+    robustness: DataFrame | None = None
+
+
+def screen_cohort(candidates: DataFrame, features: DataFrame, evidence: DataFrame, cfg: Consensus = SCREENING, capacity: int = MODULE_BUDGET_BP,
+                  module_size: int = MODULE_BP, controls: DataFrame | None = None, tune: bool = True, sensitivity: bool = False) -> ScreenRun:
+    """Gate, weights tuned on the controls, consensus and Borda ranks, budget selection, sensitivity and warnings of every case.
+
+    ``controls``: case_id, symbol. Weights are tuned for each case on its own controls; a case with fewer than three present ones keeps
+    the default weights. Sensitivity moves the weights in use. Whether a case is too large for one task is measured once.
     """
-    split = is_hot(candidates, ["case_id"])
-    genes = candidates.select("gene_id").distinct()
-    design = transcript_design(features, genes)
-    ranked = consensus_rank(evidence, cfg, split=split)
-    return budget_select(ranked.join(design, "gene_id", "left"), capacity, module_size, split=split)
+    by = ["case_id"]
+    split = is_hot(candidates, by)
+    repeated = evidence.where("hgnc_id IS NOT NULL").groupBy(*by, "hgnc_id").count().where("count > 1").orderBy(*by, "hgnc_id").limit(10).collect()
+    if repeated:
+        raise ValueError(f"duplicate identity in a case: {[(r['case_id'], r['hgnc_id']) for r in repeated]}")
+    gate = checkpoint(evidence_gate(consensus_score(evidence, cfg, by, split), cfg, by))
+    usable = checkpoint(null_safe_join(evidence, gate.where("not rejected").select(*by, F.lit(True).alias("_passed")), by).where("_passed").drop("_passed"))
+    tuned = chosen = absent = None
+    if controls is not None:
+        cases = usable.select(*by).distinct()
+        # All symbols are ranked once; a case keeps the ranks of its own controls.
+        ranks = tuning.control_ranks(usable, controls.select("symbol"), cfg, by, split)
+        asked = controls.select(*by, F.upper(F.trim("symbol")).alias("control")).distinct()
+        ranks = checkpoint(ranks.join(asked, [*by, "control"], "left_semi"))
+        absent = tuning.missing_controls(ranks, cases, controls, by)
+        if tune:
+            tuned = checkpoint(tuning.loo_tune(ranks, cfg.tuning.top_n, by, cases))
+            chosen = tuning.decode_weights(tuned.where("final_grid_id IS NOT NULL"), cfg).select(*by, "weights")
+    ranked = consensus_rank(usable, cfg, by, split, chosen)
+    ranked = checkpoint(borda(ranked, cfg, by, split))
+    design = transcript_design(features, candidates.select("gene_id").distinct())
+    selected = budget_select(ranked.join(design, "gene_id", "left"), capacity, module_size, split=split)
+    moved = checkpoint(tuning.weight_sensitivity(usable, cfg, by, split, chosen)) if sensitivity else None
+    return ScreenRun(gate, ranked, selected, rank_agreement(ranked, "consensus_score", "borda_score", by, split), sparse_evidence_warnings(ranked, by), tuned, absent,
+                     moved, tuning.robustness(moved, by) if sensitivity else None)
+
+
+def screen(candidates: DataFrame, features: DataFrame, evidence: DataFrame, cfg: Consensus = SCREENING,
+           capacity: int = MODULE_BUDGET_BP, module_size: int = MODULE_BP) -> DataFrame:
+    """Rank every case with the default weights and select within its budget; see ``screen_cohort`` for the whole run."""
+    return screen_cohort(candidates, features, evidence, cfg, capacity, module_size).selected
 
 
 @dataclass(frozen=True)

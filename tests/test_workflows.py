@@ -84,3 +84,35 @@ def test_unknown_dosage_category_is_an_error(spark, reference):
                                            "`lof.oe_ci.upper` string, constraint_flags string, gene_flags string")
     with pytest.raises(ValueError):
         workflows.collect_evidence(candidates, nomenclature, curation, constraint)
+
+
+def test_screen_cohort_gates_tunes_and_reports(spark):
+    """A case without evidence is rejected; weights in use, sensitivity and missing controls follow each case."""
+    from pyspark.sql import functions as F
+
+    from lociframe.config import Consensus, Evidence, Tuning
+    from lociframe.operators import tuning
+    cfg = Consensus((Evidence("gnomad_pLI", 1), Evidence("gnomad_LOEUF", 2, "lower_better")), tuning=Tuning(grid=(0, 1, 2), top_n=3))
+    rows = [("one", f"H{i:02d}", f"E{i}", f"S{i}", i / 20, i / 20) for i in range(20)]
+    rows += [("bare", f"H{i:02d}", f"E{i}", f"S{i}", None, None) for i in range(5)]
+    panel = spark.createDataFrame(rows, "case_id string, hgnc_id string, gene_id string, symbol string, gnomad_pLI double, gnomad_LOEUF double").withColumn(
+        "interval_overlap", F.lit("full"))
+    controls = spark.createDataFrame([("one", "S19"), ("one", " s18"), ("one", "S17"), ("one", "NOT"), ("bare", "S1")], "case_id string, symbol string")
+    run = workflows.screen_cohort(panel, utr_features(spark), panel, cfg, controls=controls, sensitivity=True)
+    assert {r["case_id"]: r["rejected"] for r in run.gate.collect()} == {"one": False, "bare": True}
+    assert {r["case_id"] for r in run.ranked.collect()} == {"one"}
+    # High pLI marks the controls, so LOEUF, which is against them, loses its weight.
+    top = {r["symbol"]: r["rank"] for r in run.ranked.collect()}
+    assert [top[s] for s in ("S19", "S18", "S17")] == [1, 2, 3]
+    weights = {tuple(r["weights"]) for r in run.ranked.collect()}
+    assert weights == {(1.0, 0.0)}
+    assert [(r["case_id"], r["control"]) for r in run.missing_controls.collect()] == [("one", "NOT")]
+    moves = {(r["evidence"], r["delta"]) for r in run.sensitivity.collect()}
+    assert moves == {("gnomad_pLI", -1), ("gnomad_pLI", 1), ("gnomad_LOEUF", 1)}  # zero cannot go down
+    assert run.tuning.collect()[0]["final_recall"] == 1.0 and run.robustness.collect()[0]["n_perturbations"] == 3
+    plain = workflows.screen_cohort(panel, utr_features(spark), panel, cfg)
+    assert plain.tuning is None and plain.sensitivity is None and "weights" not in plain.ranked.columns
+    assert tuning.weight_sensitivity(panel.where("case_id = 'one'"), cfg).count() == 4
+    twice = panel.union(panel.limit(1))
+    with pytest.raises(ValueError, match="duplicate identity"):
+        workflows.screen_cohort(panel, utr_features(spark), twice, cfg)
