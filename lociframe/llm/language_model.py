@@ -1,7 +1,7 @@
 """Score texts with a bigram model whose counts live in a log-frequency Bloom filter.
 
-Texts are handled in pieces of about 8 MB. A piece sends each bucket of hashes its distinct unigrams and bigrams once, with how often they
-stand in its training texts. The bucket merges the counts of all pieces and answers each piece in its turn. It also fills one slice of the filter: a count is put in as the levels 1..q of its logarithm, so a lookup probes level
+Texts are handled in pieces of about 8 MB. A piece sends each bucket of hashes its distinct unigrams and bigrams once, as compressed steps of
+rising hashes, with how often they stand in its training texts. The bucket merges the counts of all pieces and answers each piece in its turn. It also fills one slice of the filter: a count is put in as the levels 1..q of its logarithm, so a lookup probes level
 after level until one is missing. A slice is as large as its inserts ask for (at most ``MOST_FULL``), so every count is in it
 whatever the corpus; slices stay rows by bucket and are never gathered.
 
@@ -133,10 +133,25 @@ def bigram_hashes(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return arrow_text.mix(arrow_text.mix(before) + tokens)
 
 
-def _blobs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """One binary value for each stretch of ``values``."""
-    offsets = (bounds * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+def _squeezed(values: np.ndarray, bounds: np.ndarray, rising: bool) -> pa.Array:
+    """Compressed byte planes for each stretch; of rising values the steps, whose high bytes are mostly zero."""
+    out = []
+    for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        part = values[first:last]
+        if rising:
+            part = np.diff(part, prepend=values.dtype.type(0))
+        planes = np.ascontiguousarray(part).view(np.uint8).reshape(-1, values.itemsize).T
+        out.append(zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1) if last > first else b"")
+    return pa.array(out, pa.binary())
+
+
+def _released(packed: bytes, kind: type, rising: bool) -> np.ndarray:
+    if not packed:
+        return np.zeros(0, kind)
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(size, -1)
+    values = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(values, dtype=kind) if rising else values
 
 
 def _merge(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +177,8 @@ def _merged(rows: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     """(distinct training unigrams, their counts, filter slice) of one bucket."""
     counts = []
     for name in ("uni", "bi"):
-        keys, n = (np.concatenate([np.frombuffer(x, kind) for x in rows[column].to_pylist()]) for column, kind in ((name, np.uint64), (name + "_n", np.uint32)))
+        keys, n = (np.concatenate([_released(x, kind, rising) for x in rows[column].to_pylist()])
+                   for column, kind, rising in ((name, np.uint64, True), (name + "_n", np.uint32, False)))
         counts.append(_merge(keys[n > 0], n[n > 0].astype(np.int64)))
     return *counts[0], fill_slice(*counts, slice_bits_for(counts[0][1], counts[1][1], least))
 
@@ -226,7 +242,7 @@ def _asked(pieces: DataFrame, bucket_bits: int) -> DataFrame:
                 columns = []
                 for keys, numbers in ((kinds, which), (pairs, which_pair)):
                     bounds = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-                    columns += [_blobs(keys, bounds), _blobs(np.bincount(numbers[trains], minlength=len(keys)).astype(np.uint32), bounds)]
+                    columns += [_squeezed(keys, bounds, True), _squeezed(np.bincount(numbers[trains], minlength=len(keys)).astype(np.uint32), bounds, False)]
                 rows = pa.RecordBatch.from_arrays([pa.repeat(batch["piece"][i], buckets), pa.array(np.arange(buckets, dtype=np.int32)), *columns],
                                                   names=["piece", "bucket", "uni", "uni_n", "bi", "bi_n"])
                 yield rows.filter(pc.greater(pc.add(pc.binary_length(rows["uni"]), pc.binary_length(rows["bi"])), 0))
@@ -239,7 +255,7 @@ def _answer(asked: pa.Table, least: int) -> pa.Table:
     """Filter levels of what pieces ask one bucket and exact counts of the unigrams; totals of the bucket stand in its first row."""
     keys, n, bits = _merged(asked, least)
     held = Filter(bits, 0, (len(bits) * 8).bit_length() - 1)
-    uni, bi = ([np.frombuffer(x, np.uint64) for x in asked[name].to_pylist()] for name in ("uni", "bi"))
+    uni, bi = ([_released(x, np.uint64, True) for x in asked[name].to_pylist()] for name in ("uni", "bi"))
     hashes = np.concatenate(uni)
     exact = np.zeros(len(hashes), np.int64)
     if len(keys):
@@ -247,8 +263,8 @@ def _answer(asked: pa.Table, least: int) -> pa.Table:
         exact = np.where(keys[at] == hashes, n[at], 0)
     uni_bounds, bi_bounds = (np.cumsum([0, *map(len, parts)]) for parts in (uni, bi))
     first = np.arange(len(asked)) == 0
-    return pa.table([asked["piece"], asked["bucket"], _blobs(exact, uni_bounds), _blobs(held.levels(hashes).astype(np.uint8), uni_bounds),
-                     _blobs(held.levels(np.concatenate(bi)).astype(np.uint8), bi_bounds), pa.array(first * int(n.sum())), pa.array(first * len(keys))],
+    return pa.table([asked["piece"], asked["bucket"], _squeezed(exact, uni_bounds, False), _squeezed(held.levels(hashes).astype(np.uint8), uni_bounds, False),
+                     _squeezed(held.levels(np.concatenate(bi)).astype(np.uint8), bi_bounds, False), pa.array(first * int(n.sum())), pa.array(first * len(keys))],
                     names=["piece", "bucket", "exact", "uni", "bi", "n_tokens", "n_types"])
 
 
@@ -266,7 +282,8 @@ class Totals:
         starts = np.cumsum(n_tokens) - n_tokens
         kinds, which, opens, _, which_pair = _grams(piece["kinds"][0].as_py(), piece["which"][0].as_py(), n_tokens)
         answers = answers.sort_by("bucket")
-        exact, uni, bi = (np.frombuffer(b"".join(answers[name].to_pylist()), kind) for name, kind in (("exact", np.int64), ("uni", np.uint8), ("bi", np.uint8)))
+        exact, uni, bi = (np.concatenate([_released(x, kind, False) for x in answers[name].to_pylist()])
+                          for name, kind in (("exact", np.int64), ("uni", np.uint8), ("bi", np.uint8)))
         count = COUNT_OF[uni]
         begins = count[np.searchsorted(kinds, END)]  # as many texts begin as end
         c_word = count[which]
