@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 from lociframe.operators import identity
 from lociframe.sources import matrix, sinks, tables
 
+# Invented genes: a versioned id, a biotype under its other name, another biotype, a contig that is not kept, repeated tags.
 GTF = "\n".join([
-    "##description: test",
-    'chr7\tX\tgene\t5000\t6000\t.\t+\t.\tgene_id "ENSG3.4"; gene_type "protein_coding"; gene_name "GTF2I";',
-    'chr7\tX\tgene\t1000\t2000\t.\t-\t.\tgene_id "ENSG2.1"; gene_biotype "protein_coding"; gene_name "ELN";',
-    'chr1\tX\tgene\t100\t200\t.\t+\t.\tgene_id "ENSG1.9"; gene_type "protein_coding"; gene_name "AAA";',
-    'chr1\tX\tgene\t300\t400\t.\t+\t.\tgene_id "ENSG9"; gene_type "lncRNA"; gene_name "LNC1";',
-    'chrM\tX\tgene\t1\t9\t.\t+\t.\tgene_id "ENSG8"; gene_type "protein_coding"; gene_name "MTX";',
-    'chr1\tX\ttranscript\t100\t200\t.\t+\t.\tgene_id "ENSG1.9"; transcript_id "T1"; tag "basic"; tag "MANE_Select";',
-    'chr1\tX\texon\t100\t200\t.\t+\t.\tgene_id "ENSG1.9"; transcript_id "T1";',
+    "##provider: nobody",
+    'chr9\tT\tgene\t81500\t90210\t.\t-\t.\tgene_id "ENSG70021.11"; gene_type "protein_coding"; gene_name "QORV4";',
+    'chr9\tT\tgene\t4400\t7310\t.\t+\t.\tgene_id "ENSG70044.2"; gene_biotype "protein_coding"; gene_name "TELM";',
+    'chr2\tT\tgene\t650\t1270\t.\t+\t.\tgene_id "ENSG70003.5"; gene_type "protein_coding"; gene_name "BRUX1";',
+    'chr2\tT\tgene\t2000\t2750\t.\t-\t.\tgene_id "ENSG70090"; gene_type "miRNA"; gene_name "SILQ";',
+    'chrM\tT\tgene\t12\t88\t.\t+\t.\tgene_id "ENSG70091"; gene_type "protein_coding"; gene_name "MOTO";',
+    'chr2\tT\ttranscript\t650\t1270\t.\t+\t.\tgene_id "ENSG70003.5"; transcript_id "BX-1"; tag "basic"; tag "MANE_Select";',
+    'chr2\tT\texon\t650\t1270\t.\t+\t.\tgene_id "ENSG70003.5"; transcript_id "BX-1";',
 ]) + "\n"
 
 
@@ -34,13 +35,13 @@ def test_gtf_genes_plain_and_gz(spark, tmp_path):
     for path in (plain, str(zipped)):
         genes = tables.read_gtf_genes(spark, path).collect()
         assert [(g["gene_name"], g["gene_id"], g["start"]) for g in genes] == [
-            ("AAA", "ENSG1", 100), ("ELN", "ENSG2", 1000), ("GTF2I", "ENSG3", 5000)]
+            ("BRUX1", "ENSG70003", 650), ("TELM", "ENSG70044", 4400), ("QORV4", "ENSG70021", 81500)]
     assert tables.read_gtf_genes(spark, plain, gene_types=None).count() == 4
 
 
 def test_gtf_features_keep_repeated_tags(spark, tmp_path):
     path = write(tmp_path / "a.gtf", GTF)
-    genes = spark.createDataFrame([("ENSG1",)], "gene_id string")
+    genes = spark.createDataFrame([("ENSG70003",)], "gene_id string")
     got = {r["feature"]: r["tags"] for r in tables.read_gtf_features(spark, path, genes).collect()}
     assert got == {"transcript": ["basic", "MANE_Select"], "exon": []}
 
@@ -68,16 +69,17 @@ def test_constraint_and_tissue(spark, tmp_path):
 
 
 def test_alias_table_padded_and_quoted(spark, tmp_path, rows):
-    text = ' hgnc_id \t symbol \tprev_symbol\talias_symbol\nHGNC:1 \t NEW\t OLD;OLDER \tSHARED,OTHER\nHGNC:2\tOTHER\tOLDER2\tSHARED\n'
+    # Padding in headers and cells, an alias that is another record's symbol, one that two records claim.
+    text = ' hgnc_id \t symbol \tprev_symbol\talias_symbol\nHGNC:31 \t FENK\t FNX;FN-0 \tTWICE,GALD\nHGNC:45\tGALD\tGLD9\tTWICE\n'
     table = tables.read_alias_table(spark, write(tmp_path / "h.tsv", text))
     got = dict(rows(identity.build_alias_map(table), "alias", "hgnc_id"))
-    assert got == {"new": "HGNC:1", "other": "HGNC:2", "old": "HGNC:1", "older": "HGNC:1", "older2": "HGNC:2"}
+    assert got == {"fenk": "HGNC:31", "gald": "HGNC:45", "fnx": "HGNC:31", "fn-0": "HGNC:31", "gld9": "HGNC:45"}
 
 
 def test_legacy_constraint_lines(spark, tmp_path):
-    path = write(tmp_path / "l.tsv", "gene\tpLI\toe_lof_upper\nWHSC1\t0.9\tNA\nNSD2\t0.1\t0.5\n")
+    path = write(tmp_path / "l.tsv", "gene\tpLI\toe_lof_upper\nPRAV\t0.72\tNA\nOBLI\t0.33\t0.61\n")
     got = sorted(tuple(r) for r in tables.read_legacy_constraint_tsv(spark, path).fillna("-").collect())
-    assert got == [("NSD2", "0.1", "0.5", 2), ("WHSC1", "0.9", "-", 1)]
+    assert got == [("OBLI", "0.33", "0.61", 2), ("PRAV", "0.72", "-", 1)]
 
 
 def test_interval_formats_agree(spark, tmp_path):
