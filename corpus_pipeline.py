@@ -44,7 +44,7 @@ STAGES = [
     ("pieces", pieces),
 ]
 
-# The classifier and the piece encoder have no SQL form; the tests hold the whole run against brute force.
+# The classifier and the piece encoder have no SQL form; the tests hold each stage's operator against brute force, not the whole run.
 ORACLE_SQL = None
 
 

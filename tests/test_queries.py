@@ -30,16 +30,13 @@ QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"kmeans_groups"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, FOLDER)
     got = [tuple(r) for r in df.collect()]
-    if name not in ORACLES:
-        assert got
-        return
     cursor = con.execute(ORACLES[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(columns) == sorted(df.columns)
