@@ -64,7 +64,8 @@ def recall_at_k(df: DataFrame, key: str, effect: str, score: str, ks: Sequence[i
     for name, value in (("_e", effect), ("_s", score)):
         top = df.orderBy(F.desc_nulls_last(value), F.asc(key)).limit(biggest).select(key, value)
         top = position(top, [], [F.desc_nulls_last(value), F.asc(key)], name, split=False).select(key, name)
-        numbered = top if numbered is None else numbered.join(top, key)
+        # A key of one list alone stays: where no key is in both, every k still has its row.
+        numbered = top if numbered is None else numbered.join(top, key, "full")
     wanted = F.explode(F.array(*[F.lit(k) for k in ks]))
     hits = numbered.withColumn("k", wanted).groupBy("k").agg(
         F.count_if((F.col("_e") <= F.col("k")) & (F.col("_s") <= F.col("k"))).alias("hits"))

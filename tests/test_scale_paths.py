@@ -161,3 +161,9 @@ def test_permutation_of_a_large_set_equals_sorting(spark):
     marked = [v for _, v, m in rows if m and v is not None]
     assert got["observed"] == pytest.approx(sum(marked) / len(marked)) and got["null_mean"] == pytest.approx(sum(means) / 7)
     assert got["p_value"] == pytest.approx(sum(x >= got["observed"] for x in means) / 7)
+
+
+def test_recall_without_a_common_key_is_zero(spark):
+    rows = [(i, float(i), float(-i)) for i in range(20)]
+    done = statistics.recall_at_k(spark.createDataFrame(rows, "k int, e double, s double"), "k", "e", "s", [2, 5])
+    assert sorted(tuple(r) for r in done.collect()) == [(2, 0.0), (5, 0.0)]
