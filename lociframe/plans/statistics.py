@@ -11,9 +11,9 @@ from .bindings import with_views
 from .cells import condition_text
 
 
-def _features(spark, folder):
-    lines = b.table(spark, folder, "lineitem").groupBy("l_partkey").agg(
-        F.avg("l_extendedprice").alias("attr"), F.sum("l_quantity").alias("expr"))
+def _features(spark, folder, price=None):
+    price = F.avg("l_extendedprice") if price is None else price
+    lines = b.table(spark, folder, "lineitem").groupBy("l_partkey").agg(price.alias("attr"), F.sum("l_quantity").alias("expr"))
     part = b.table(spark, folder, "part")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return part.join(lines, part.p_partkey == lines.l_partkey, "left").select(
@@ -40,8 +40,14 @@ def pearson(spark, folder):
     return op.pearson(_features(spark, folder), "attr", "effect").withColumn("pearson", fixed("pearson"))
 
 
+def _price_in_cents():
+    """Mean price rounded to cents from whole cents: a mean of doubles falls on either side of half a cent, by the order of its lines."""
+    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
+    return F.call_function("div", F.sum(cents) * 2 + F.count(cents), F.count(cents) * 2) / 100
+
+
 def partial_spearman(spark, folder):
-    done = op.partial_spearman(_features(spark, folder), "attr", "expr", "effect")
+    done = op.partial_spearman(_features(spark, folder, _price_in_cents()), "attr", "expr", "effect")
     return done.withColumn("partial_spearman", fixed("partial_spearman"))
 
 
@@ -132,12 +138,17 @@ QUERIES = {f.__name__: f for f in (
 FEATURES = """feat AS (SELECT p_partkey AS gene_id, round(coalesce(a, 0), 2) AS attr, coalesce(q, 0) AS expr, p_retailprice + p_size AS effect FROM part
     LEFT JOIN (SELECT l_partkey, avg(l_extendedprice) AS a, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_partkey = p_partkey)"""
 
+# Means in whole cents do not depend on the order in which prices are added.
+CENTS = FEATURES.replace("avg(l_extendedprice) AS a", """(2 * sum(floor(l_extendedprice * 100 + 0.5)::BIGINT) + count(l_extendedprice))
+      // (2 * count(l_extendedprice)) / 100 AS a""")
+
 
 def _rank(value, source_key=""):
     return f"rank() OVER (ORDER BY {value}) + (count(*) OVER (PARTITION BY {value}) - 1) / 2"
 
 
-RANKS = FEATURES + f""", rk AS (SELECT *, {_rank('attr')} AS ra, {_rank('expr')} AS rx, {_rank('effect')} AS re FROM feat)"""
+RANKED = f""", rk AS (SELECT *, {_rank('attr')} AS ra, {_rank('expr')} AS rx, {_rank('effect')} AS re FROM feat)"""
+RANKS, CENTS_RANKS = FEATURES + RANKED, CENTS + RANKED
 
 ATTR = """att AS (SELECT cell_id, label, CASE WHEN label < 5 THEN 'MS' ELSE 'normal' END AS grp, unnest(range(0, len(embedding))) AS feature,
     unnest(embedding) AS value FROM vecs), lm AS (SELECT label, feature, avg(value) AS value FROM att GROUP BY 1, 2)"""
@@ -154,7 +165,7 @@ ORACLES = {
         round(quantile_cont(l_extendedprice, 0.9), 6) AS p90 FROM lineitem""",
     "spearman": f"WITH {RANKS} SELECT count(*) AS n, round(corr(ra, re), 6) AS spearman FROM rk",
     "pearson": f"WITH {FEATURES} SELECT count(*) AS n, round(corr(attr, effect), 6) AS pearson FROM feat",
-    "partial_spearman": f"""WITH {RANKS}, fit AS (SELECT regr_slope(ra, re) AS sa, regr_intercept(ra, re) AS ia, regr_slope(rx, re) AS sx, regr_intercept(rx, re) AS ix FROM rk),
+    "partial_spearman": f"""WITH {CENTS_RANKS}, fit AS (SELECT regr_slope(ra, re) AS sa, regr_intercept(ra, re) AS ia, regr_slope(rx, re) AS sx, regr_intercept(rx, re) AS ix FROM rk),
         res AS (SELECT round(ra - (sa * re + ia), 9) AS x, round(rx - (sx * re + ix), 9) AS y FROM rk, fit),
         rr AS (SELECT {_rank('x')} AS x, {_rank('y')} AS y FROM res) SELECT count(*) AS n, round(corr(x, y), 6) AS partial_spearman FROM rr""",
     "recall_at_k": f"""WITH {FEATURES}, p AS (SELECT row_number() OVER (ORDER BY effect DESC, gene_id) AS a, row_number() OVER (ORDER BY expr DESC, gene_id) AS b FROM feat)

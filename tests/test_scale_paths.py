@@ -167,3 +167,24 @@ def test_recall_without_a_common_key_is_zero(spark):
     rows = [(i, float(i), float(-i)) for i in range(20)]
     done = statistics.recall_at_k(spark.createDataFrame(rows, "k int, e double, s double"), "k", "e", "s", [2, 5])
     assert sorted(tuple(r) for r in done.collect()) == [(2, 0.0), (5, 0.0)]
+
+
+def test_partial_spearman_does_not_depend_on_the_order_of_lines(spark, tmp_path):
+    """Half a cent: the mean of these prices, added as doubles in two orders, falls on both sides of it."""
+    from lociframe.plans import statistics as plan
+    duckdb = pytest.importorskip("duckdb")
+    prices = [104110.9, 63417.33, 75322.55, 43664.54, 104643.58, 10672.42, 9634.97, 53849.75]
+    other = [53849.75, 43664.54, 10672.42, 104643.58, 104110.9, 63417.33, 9634.97, 75322.55]
+    parts = spark.createDataFrame([(1, 2.0, 0), (2, 1.0, 0), (3, 8.0, 0), (4, 5.0, 0), (5, 9.0, 0)], "p_partkey long, p_retailprice double, p_size long")
+    results = set()
+    for name, order in (("a", prices), ("b", other)):
+        folder = tmp_path / name
+        rows = [(1, p, 4.0 / 8) for p in order] + [(2, 58164.51, 9.0), (3, 70000.0, 3.0), (4, 100.0, 6.0), (5, 58164.5, 8.0)]
+        parts.coalesce(1).write.parquet(str(folder / "part.parquet"))
+        spark.createDataFrame(rows, "l_partkey long, l_extendedprice double, l_quantity double").coalesce(1).write.parquet(str(folder / "lineitem.parquet"))
+        results.add(tuple(plan.partial_spearman(spark, str(folder)).collect()[0]))
+        con = duckdb.connect()
+        for table in ("part", "lineitem"):
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+        results.add(con.execute(plan.ORACLES["partial_spearman"]).fetchone())
+    assert len(results) == 1
