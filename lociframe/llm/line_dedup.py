@@ -165,14 +165,10 @@ def _linked(pairs: DataFrame, known: DataFrame, edits: int) -> DataFrame:
     return both.where(near).select("a", "b", "first_a", "first_b")
 
 
-def later_lines(lines: DataFrame, hot: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(line_id, first): the lines with an earlier line linked to them, and where they stand first.
+def _meetings(lines: DataFrame, hot: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
+    """(met, known): the buckets of segments in which a line b met another one, with the bucket's earliest line a, and the lines that met any.
 
     ``lines`` comes from ``_lines``; ``hot`` has the most frequent lines' ids (``picked``) and first places.
-
-    Round one compares a line only with the earliest line of each bucket of segments that it looks up, one for each key, so a group of near
-    copies costs as many comparisons as it has lines. A line that found an earlier partner there is decided. Round two goes through the
-    whole buckets for pairs of which one line at least is undecided; a decided line stays a partner of the others.
     """
     # One occurrence of a hot line is enough; the other lines are each less than a share of HOT_LINES of all lines.
     usable = lines.where(F.length("line") >= max(EXACT_BELOW - 1, edits + 1))
@@ -190,8 +186,44 @@ def later_lines(lines: DataFrame, hot: DataFrame, edits: int = EDITS) -> DataFra
     known = _among(texts, ids, ids.count()).groupBy("line_id").agg(F.min(F.struct("place", "line")).alias("one"))
     known = checkpoint(known.select("line_id", "one.place", "one.line", letter_counts(F.col("one.line")).alias("letters")))
     letters = lambda line, counts, most: known.select(F.col("line_id").alias(line), F.col("letters").alias(counts), allowed_edits(F.length("line")).alias(most))
-    met = checkpoint(met.join(letters("a", "la", "_most"), "a").drop("_most").join(letters("b", "lb", "most"), "b"))
-    close = (F.col("a") != F.col("b")) & (letters_differ(F.col("la"), F.col("lb")) <= 2 * F.least(F.col("most"), F.lit(edits)))
+    return checkpoint(met.join(letters("a", "la", "_most"), "a").drop("_most").join(letters("b", "lb", "most"), "b")), known
+
+
+def _close(edits: int) -> Column:
+    return (F.col("a") != F.col("b")) & (letters_differ(F.col("la"), F.col("lb")) <= 2 * F.least(F.col("most"), F.lit(edits)))
+
+
+def _members(met: DataFrame) -> DataFrame:
+    """The lines of the buckets with more than one: those that look up their own segment there."""
+    return met.where("own and more").select("key", F.col("b").alias("a"), F.col("lb").alias("la")).distinct()
+
+
+def line_links(lines: DataFrame, hot: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(line_id, first, links, later): the lines linked to others, where they stand first, to how many other lines, and whether to an earlier one.
+
+    Arguments as for ``later_lines``. Counting needs every pair of lines that share a bucket, so a group of near copies costs the square of its lines.
+    """
+    met, known = _meetings(lines, hot, edits)
+    asked = met.where("more").select("key", "b", "lb", "most").distinct()
+    pairs = met.where("not more").where(_close(edits)).select("a", "b").union(asked.join(_members(met), "key").where(_close(edits)).select("a", "b"))
+    pairs = checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    linked = checkpoint(_linked(pairs, known, edits))
+    side = lambda line, first, other: linked.select(F.col(line).alias("line_id"), F.col(first).alias("first"), (F.col(other) < F.col(first)).alias("later"))
+    both = side("a", "first_a", "first_b").union(side("b", "first_b", "first_a"))
+    return checkpoint(both.groupBy("line_id").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("links"), F.bool_or("later").alias("later")))
+
+
+def later_lines(lines: DataFrame, hot: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(line_id, first): the lines with an earlier line linked to them, and where they stand first.
+
+    ``lines`` comes from ``_lines``; ``hot`` has the most frequent lines' ids (``picked``) and first places.
+
+    Round one compares a line only with the earliest line of each bucket of segments that it looks up, one for each key, so a group of near
+    copies costs as many comparisons as it has lines. A line that found an earlier partner there is decided. Round two goes through the
+    whole buckets for pairs of which one line at least is undecided; a decided line stays a partner of the others.
+    """
+    met, known = _meetings(lines, hot, edits)
+    close = _close(edits)
 
     def later(pairs: DataFrame) -> DataFrame:
         # A pair of unequal length is met from the longer line only, so both ends are looked at.
@@ -204,9 +236,7 @@ def later_lines(lines: DataFrame, hot: DataFrame, edits: int = EDITS) -> DataFra
     open_keys = met.where("more").select("key", "b", "lb", "most", "shorter").distinct().join(done, F.col("b") == F.col("d"), "left").withColumn("sure", F.col("d").isNotNull()).drop("d")
     # Equally long lines look each other up, so a decided one may rest there.
     open_keys = checkpoint(open_keys.where("not sure or shorter > 0"))
-    # The members of a bucket are the lines that look up their own segment there.
-    members = met.where("own and more").select("key", F.col("b").alias("a"), F.col("lb").alias("la")).distinct()
-    members = members.join(done, F.col("a") == F.col("d"), "left").withColumn("settled", F.col("d").isNotNull()).drop("d")
+    members = _members(met).join(done, F.col("a") == F.col("d"), "left").withColumn("settled", F.col("d").isNotNull()).drop("d")
     free = members.where("not settled")
     rest = open_keys.where("not sure").join(members.drop("settled"), "key").where(close).select("a", "b").union(
         open_keys.where("sure").join(free.drop("settled"), "key").where(close).select("a", "b"))
@@ -219,9 +249,17 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Equal rows (id and text) have equal keys and count once. A row with a NULL id stands behind all others.
     """
     lines = _lines(docs, id_col, text_col)
+    repeated, hot = _repeated(lines)
+    return _removed(lines, repeated, hot, later_lines(lines, hot, edits))
+
+
+def _repeated(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines that stand more than once, and the most frequent of them."""
     repeated = checkpoint(lines.groupBy("line_id").agg(F.count(F.lit(1)).alias("times"), F.min("place").alias("first")).where("times > 1"))
-    hot = checkpoint(repeated.orderBy(F.desc("times"), "line_id").limit(HOT_LINES).select(F.col("line_id").alias("picked"), "first"))
-    later = later_lines(lines, hot, edits)
+    return repeated, checkpoint(repeated.orderBy(F.desc("times"), "line_id").limit(HOT_LINES).select(F.col("line_id").alias("picked"), "first"))
+
+
+def _removed(lines: DataFrame, repeated: DataFrame, hot: DataFrame, later: DataFrame) -> DataFrame:
     near = repeated.join(later.select(F.col("line_id").alias("l")), F.col("line_id") == F.col("l"), "left").select(
         F.col("line_id").alias("picked"), F.col("first").alias("at"), F.col("l").isNotNull().alias("near"))
     # Hot lines are at most HOT_LINES, so theirs is a broadcast join; their rows take part in the other join under keys of their own.
@@ -234,17 +272,42 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return again.union(later.select("first", F.lit(True))).distinct().select("place.id", "place.row_key", "place.line_no", "near")
 
 
+def _link_sums(lines: DataFrame, hot: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, row_key, n_links) of the rows with linked lines. Every place of a line counts its links."""
+    links = links.select(F.col("line_id").alias("picked"), "links")
+    # At most HOT_LINES rows; their lines take part in the other join under keys of their own.
+    warm = hot.select("picked").join(links, "picked", "left").select(F.col("picked").alias("h"), F.coalesce("links", F.lit(0)).alias("hot_links"))
+    rows = lines.select("id", "row_key", "line_id", "place").join(F.broadcast(warm), F.col("line_id") == F.col("h"), "left")
+    rows = rows.withColumn("_key", F.when(F.col("h").isNull(), F.col("line_id")).otherwise(F.xxhash64("place")))
+    every = rows.join(links, (F.col("_key") == F.col("picked")) & F.col("h").isNull(), "left")
+    return every.groupBy("id", "row_key").agg(F.sum(F.coalesce("hot_links", "links", F.lit(0))).alias("n_links"))
+
+
 def _with_removed(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone, F.col("id").eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__key")), "left")
 
 
-def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
-    """One row for each distinct (id, text) row: n_lines, n_removed and n_near (removed, and linked to an earlier different line)."""
+def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, links: bool = False) -> DataFrame:
+    """One row for each distinct (id, text) row: n_lines, n_removed and n_near (removed, and linked to an earlier different line).
+
+    ``links=True`` adds n_links, the number of other lines that its lines are linked to, each place of a line counted.
+    """
     whole = _rows(docs, id_col, text_col).select("id", "row_key", F.size("parts").cast("bigint").alias("n_lines")).distinct()
-    gone = removed_lines(docs, id_col, text_col, edits).groupBy(F.col("id").alias("__id"), F.col("row_key").alias("__key")).agg(
+    lines = _lines(docs, id_col, text_col)
+    repeated, hot = _repeated(lines)
+    if links:
+        found = line_links(lines, hot, edits)
+        later = found.where("later").select("line_id", "first")
+    else:
+        later = later_lines(lines, hot, edits)
+    gone = _removed(lines, repeated, hot, later).groupBy(F.col("id").alias("__id"), F.col("row_key").alias("__key")).agg(
         F.count(F.lit(1)).alias("n_removed"), F.count_if("near").alias("n_near"))
-    none = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
-    return _with_removed(whole, gone).select(F.col("id").alias(id_col), "n_lines", none("n_removed"), none("n_near"))
+    counts = ["n_removed", "n_near"]
+    done = _with_removed(whole, gone)
+    if links:
+        sums = _link_sums(lines, hot, found).select(F.col("id").alias("__id"), F.col("row_key").alias("__key"), "n_links")
+        done, counts = _with_removed(done.drop("__id", "__key"), sums), [*counts, "n_links"]
+    return done.select(F.col("id").alias(id_col), "n_lines", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counts])
 
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:

@@ -54,6 +54,19 @@ def test_lines_against_brute_force(docs, awkward):
     assert line_dedup.summary(docs([])).count() == 0
 
 
+def test_query_counts_all_links(spark, tmp_path, awkward):
+    """Rows, links included, as the SQL twin has them: groups of near copies, lines that stand often, two lengths."""
+    duckdb = pytest.importorskip("duckdb")
+    base = "A line of which many documents hold a copy, place %s."
+    rows = [*[r for r in awkward if r[0] is not None], *[(100 + i, f"{base % chr(97 + i % 26)}\n{base % (i % 9)}!\n{base % 'a'}\nAbcde\nAbcd") for i in range(60)]]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    df = queries.op6_line_dedup(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in df.collect()) == sorted(con.execute(queries.LINES).fetchall())
+    assert df.columns[-1] == "n_links" and df.agg(F.max("n_links")).first()[0] > 100
+
+
 def test_near_copies_compare_linearly(docs, spark):
     """2,000 lines within two edits of one another: each meets the earliest of its buckets, not all the others."""
     base = "A long line that stands in very many documents, each time with a small change at %s place."
