@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.columns import correlation
-from ..scale import average_rank, checkpoint, exact_quantiles, position, top_k
+from ..scale import average_rank, checkpoint, exact_quantiles, position, task_count, top_k
 
 
 def score_quantiles(df: DataFrame, value: str) -> DataFrame:
@@ -152,17 +152,25 @@ def _shuffle_key(rep: str, key: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(rep).cast("string"), F.col(key).cast("string")))
 
 
+# Draws that one task hashes.
+DRAWS = 8_000_000
+
+
 def permutation_test(pool: DataFrame, key: str, value: str, marker: str, n_rep: int = 200, seed: int = 0) -> DataFrame:
     """Mean value of the marked set against ``n_rep`` random sets of the same size m from the pool.
 
     The draw is the m smallest seeded hashes, so every replicate is reproducible. A histogram of each replicate's hashes by their first
-    three digits gives the bin that the m-th falls into: bins below it are taken as their sums, and only that bin, one row in
-    4,096, is put in order. A set of half the pool costs no more than a small one.
+    two digits gives the bin that the m-th falls into: bins below it are taken as their sums, and only that bin, one row in
+    256, is put in order. A set of half the pool costs no more than a small one. The pool is written once and dealt over as many tasks
+    as its draws ask for: a small pool would lie in one partition, and all its draws with it.
     """
+    spark = pool.sparkSession
+    pool = checkpoint(pool.select(key, value, marker))
+    pool = pool.repartition(task_count(spark, pool.count() * n_rep, DRAWS), key)
     observed = pool.where(marker).agg(F.count(F.lit(1)).alias("m"), F.avg(value).alias("v"))
     wanted, mean = observed.select("m").scalar(), observed.select("v").scalar()
     draws = pool.select(key, value).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1)))).withColumn("_h", _shuffle_key("_rep", key, seed))
-    draws = draws.withColumn("_bin", F.conv(F.substr("_h", F.lit(1), F.lit(3)), 16, 10).cast("int"))
+    draws = draws.withColumn("_bin", F.substr("_h", F.lit(1), F.lit(2)))  # digits in lower case order like their numbers
     bins = draws.groupBy("_rep", "_bin").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"), F.count(value).alias("_c"))
     bins = bins.withColumn("_upto", F.sum("_n").over(W.partitionBy("_rep").orderBy("_bin"))).withColumn("_need", wanted - F.col("_upto") + F.col("_n"))
     whole = bins.where(F.col("_n") <= F.col("_need")).select("_rep", "_s", "_c")

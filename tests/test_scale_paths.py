@@ -188,3 +188,15 @@ def test_partial_spearman_does_not_depend_on_the_order_of_lines(spark, tmp_path)
             con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
         results.add(con.execute(plan.ORACLES["partial_spearman"]).fetchone())
     assert len(results) == 1
+
+
+def test_permutation_draws_are_dealt_over_tasks(spark, monkeypatch):
+    """A pool of one partition does not leave all its draws to one task."""
+    seen = []
+    keep = statistics.checkpoint
+    monkeypatch.setattr(statistics, "checkpoint", lambda df: seen.append(df.columns) or keep(df))
+    monkeypatch.setattr(statistics, "DRAWS", 100)
+    pool = spark.createDataFrame([(i, float(i % 7), i % 3 == 0) for i in range(60)], "k int, v double, m boolean").coalesce(1)
+    done = statistics.permutation_test(pool, "k", "v", "m", n_rep=20, seed=3)
+    # 1,200 draws, 100 a task; the pool is written once, not made anew for each scan.
+    assert "REPARTITION_BY_NUM" in done._jdf.queryExecution().executedPlan().toString() and seen == [["k", "v", "m"]]
