@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import design as op
 from ..operators.intervals import merge_blocks
+from ..scale import task_count
 from . import bindings as b
 
 
@@ -21,6 +22,9 @@ def _features(spark, folder):
     # One pass over the lines: each gives an exon and, by its flags, a CDS or a stop codon.
     rows = F.array_compact(F.array(block("exon", stop), F.when(is_cds, block("CDS", stop)),
                                    F.when(F.col("l_returnflag") == "R", block("stop_codon", start + 2))))
+    # The join, the blocks and the summaries of a transcript are sorted in one task, so a task gets a bounded number of lines (counted from the file footers).
+    n = task_count(spark, lines.count())
+    lines, orders = lines.repartition(n, "l_orderkey"), orders.repartition(n, "o_orderkey")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.col("o_custkey").alias("gene_id"), F.col("l_orderkey").alias("transcript_id"),
         F.when(F.col("o_orderstatus") == "F", "+").otherwise("-").alias("strand"), tags.alias("tags"), F.inline(rows))

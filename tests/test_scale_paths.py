@@ -200,3 +200,13 @@ def test_permutation_draws_are_dealt_over_tasks(spark, monkeypatch):
     done = statistics.permutation_test(pool, "k", "v", "m", n_rep=20, seed=3)
     # 1,200 draws, 100 a task; the pool is written once, not made anew for each scan.
     assert "REPARTITION_BY_NUM" in done._jdf.queryExecution().executedPlan().toString() and seen == [["k", "v", "m"]]
+
+
+def test_transcript_tasks_follow_the_number_of_lines(spark, monkeypatch):
+    from lociframe.plans import design
+    asked = []
+    monkeypatch.setattr(design, "task_count", lambda session, rows: asked.append(rows) or 37)
+    folder = "/root/testdata/sf0.001"
+    assert design._features(spark, folder).rdd.getNumPartitions() == 37
+    assert asked == [spark.read.parquet(f"{folder}/lineitem.parquet").count()]
+    assert scale.task_count(spark, 90_000_001) == 91 and scale.task_count(spark, 5) == int(spark.conf.get("spark.sql.shuffle.partitions"))
