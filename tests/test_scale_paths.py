@@ -210,3 +210,10 @@ def test_transcript_tasks_follow_the_number_of_lines(spark, monkeypatch):
     assert design._features(spark, folder).rdd.getNumPartitions() == 37
     assert asked == [spark.read.parquet(f"{folder}/lineitem.parquet").count()]
     assert scale.task_count(spark, 90_000_001) == 91 and scale.task_count(spark, 5) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_neighbour_search_asks_for_every_fiftieth_row(spark):
+    from lociframe.plans import vectors
+    folder = "/root/testdata/sf0.01"
+    ids = [r[0] for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id").collect()]
+    assert sorted(r["query_id"] for r in vectors.knn_idw(spark, folder).collect()) == sorted(i for i in ids if i % 50 == 0)
