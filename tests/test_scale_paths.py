@@ -217,3 +217,10 @@ def test_neighbour_search_asks_for_every_fiftieth_row(spark):
     folder = "/root/testdata/sf0.01"
     ids = [r[0] for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id").collect()]
     assert sorted(r["query_id"] for r in vectors.knn_idw(spark, folder).collect()) == sorted(i for i in ids if i % 50 == 0)
+
+
+def test_dense_window_blocks_are_not_shuffled(spark):
+    from lociframe.plans import cnv
+    plan = cnv.window_smooth_signal(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    windows, dense = plan.split("Generate inline")[:2]
+    assert "Exchange" not in windows and "Exchange" not in dense
