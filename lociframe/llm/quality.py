@@ -161,17 +161,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(weights, bias, slope, shift)
 
 
-def calibrate(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve by damped Newton steps, with softened targets; (1, 0) where one label is missing."""
-    plus, minus = good.sum(), (1 - good).sum()
+def calibrate(margin: np.ndarray, good: np.ndarray, rows: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and shift of a logistic curve by damped Newton steps, with softened targets; (1, 0) where one label is missing.
+
+    An entry stands for one row, or for ``rows`` of them.
+    """
+    rows = np.ones(len(margin)) if rows is None else rows
+    plus, minus = (rows * good).sum(), (rows * (1 - good)).sum()
     if not plus or not minus:
         return 1.0, 0.0
     target = np.where(good > 0, (plus + 1) / (plus + 2), 1 / (minus + 2))
     x = np.stack([margin, np.ones(len(margin))], 1)
-    at = np.array([1 / max(np.median(np.abs(margin)), 1e-6), 0.0])  # where the curve is not yet flat
+    order = np.argsort(np.abs(margin))
+    upto = np.cumsum(rows[order])
+    middle = np.abs(margin)[order][np.searchsorted(upto, [(upto[-1] - 1) // 2, upto[-1] // 2], "right")].mean()
+    at = np.array([1 / max(middle, 1e-6), 0.0])  # where the curve is not yet flat
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ at, -60, 60)))
-        at = at - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - target)) * 0.5
+        at = at - np.linalg.solve((x * (rows * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (rows * (p - target))) * 0.5
     return float(at[0]), float(at[1])
 
 
