@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -183,14 +186,93 @@ def permutation_test(pool: DataFrame, key: str, value: str, marker: str, n_rep:
                     F.avg((F.col("_v") >= mean).cast("double")).alias("p_value"))
 
 
+# Draws that one task puts in order, and rows of the pool that are hashed at once.
+ORDERED, HASHED = 4_000_000, 1 << 15
+
+
+def _packed_draws(pool: DataFrame, n_rep: int, seed: int, n_bins: int, record: np.dtype) -> DataFrame:
+    """(rep, bin, packed): the draws of each replicate by the leading bits of their hashes, as digest and twice the rank of y (0: none)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ranks = [], []
+        for batch in batches:
+            # The same texts as those of ``_shuffle_key``, whose separator is missing where the key is NULL.
+            keys += [b"" if k is None else b":" + k.encode() for k in batch["_key"].to_pylist()]
+            ranks.append(np.nan_to_num(batch["_y"].to_numpy(zero_copy_only=False) * 2))
+            if len(keys) >= HASHED:
+                yield from pack(keys, np.concatenate(ranks))
+                keys, ranks = [], []
+        if keys:
+            yield from pack(keys, np.concatenate(ranks))
+
+    def pack(keys: list[bytes], ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = np.empty(len(keys), record)
+        for rep in range(n_rep):
+            head = f"{seed}:{rep}".encode()
+            digest = np.frombuffer(b"".join([hashlib.md5(head + k, usedforsecurity=False).digest() for k in keys]), ">u8").reshape(-1, 2)
+            rows["high"], rows["low"], rows["y"] = digest[:, 0], digest[:, 1], ranks
+            place = (rows["high"] >> np.uint64(32)) * np.uint64(n_bins) >> np.uint64(32)
+            order = np.argsort(place, kind="stable")
+            bins, first = np.unique(place[order], return_index=True)
+            ends = np.append(first, len(keys)).astype(np.int32) * np.int32(record.itemsize)
+            packed = pa.Array.from_buffers(pa.binary(), len(bins), [None, pa.py_buffer(ends), pa.py_buffer(rows[order].tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bins), rep, np.int32)), pa.array(bins.astype(np.int32)), packed], names=["rep", "bin", "packed"])
+
+    return pool.select("_key", "_y").mapInArrow(run, "rep int, bin int, packed binary")
+
+
 def shuffled_spearman(df: DataFrame, key: str, x: str, y: str, n_rep: int = 200, seed: int = 0,
                       limit: int | None = None) -> DataFrame:
-    """Mean and sd of the Spearman correlation when x is shuffled against y."""
+    """Mean and sd of the Spearman correlation when x is shuffled against y.
+
+    The order of a replicate is that of its seeded hashes. Its draws meet by the leading bits of their hashes, packed (20 bytes a draw), in one
+    shuffle. Counts of the bins give the places where each begins; as hashes are even, a bin covers nearly the same places in all replicates, so
+    the x of these places travel to it once. Draws are put in order, met with x and summed where they are.
+    """
+    spark = df.sparkSession
     ranked = position(_ranked(df.select(key, x, y), [x, y], limit), [], [F.asc(key)], "_at", limit=limit)
-    reps = ranked.select(key, f"_r_{y}").withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
-    mixed = position(reps.withColumn("_h", _shuffle_key("_rep", key, seed)), ["_rep"], ["_h", key], "_at", limit=limit)
-    null = mixed.join(ranked.select("_at", F.col(f"_r_{x}").alias("_x")), "_at").groupBy("_rep").agg(
-        correlation("_x", f"_r_{y}").alias("_c"))
+    ranked = checkpoint(ranked.select(F.col(key).cast("string").alias("_key"), F.col(f"_r_{x}").alias("_x"), F.col(f"_r_{y}").alias("_y"), "_at"))
+    whole = ranked.agg(F.count(F.lit(1)).alias("n"), (F.stddev_pop("_x") * F.stddev_pop("_y")).alias("spread")).first()
+    n, middle = whole["n"], (whole["n"] + 1) / 2
+    n_bins = task_count(spark, n * n_rep, ORDERED)
+    record = np.dtype([("high", "<u8"), ("low", "<u8"), ("y", "<u4" if 2 * n < 1 << 32 else "<u8")])
+    dealt = ranked.repartition(task_count(spark, n * n_rep, DRAWS), "_at")
+    # Counts and the draws themselves read the same shuffle.
+    draws = _packed_draws(dealt, n_rep, seed, n_bins, record).repartition(n_bins, "bin")
+    counts = draws.groupBy("rep", "bin").agg((F.sum(F.length("packed")) / record.itemsize).cast("bigint").alias("_n"))
+    starts = counts.withColumn("_start", F.sum("_n").over(W.partitionBy("rep").orderBy("bin")) - F.col("_n"))
+    wide = max(1, n // n_bins)
+    block = lambda c: F.floor(F.col(c) / wide)
+    ranges = starts.groupBy("bin").agg((F.min("_start") + 1).alias("_from"), F.max(F.col("_start") + F.col("_n")).alias("_to"))
+    ranges = ranges.withColumn("_block", F.explode(F.sequence(block("_from"), block("_to"))))
+    places = ranked.select("_at", "_x", block("_at").alias("_block")).join(ranges, "_block").where(F.col("_at").between(F.col("_from"), F.col("_to")))
+    needed = places.select(F.col("bin").alias("_bin"), F.lit(None).cast("int").alias("rep"), "_at", "_x").union(
+        starts.select("bin", "rep", "_start", F.lit(None).cast("double")))
+
+    def merge(left: pa.Table, right: pa.Table) -> pa.Table:
+        is_x = right["rep"].is_null().to_numpy()
+        at, value = right["_at"].to_numpy()[is_x], right["_x"].to_numpy()[is_x] - middle
+        value = value[np.argsort(at)]
+        begin = dict(zip(right["rep"].to_numpy()[~is_x].astype(int).tolist(), right["_at"].to_numpy()[~is_x].tolist(), strict=True))
+        found: dict[int, list[bytes]] = {}
+        for rep, packed in zip(left["rep"].to_pylist(), left["packed"].to_pylist(), strict=True):
+            found.setdefault(rep, []).append(packed)
+        sums = []
+        for rep, packed in found.items():
+            rows = np.frombuffer(b"".join(packed), record)
+            order = np.argsort(rows["high"])
+            if (np.diff(rows["high"][order]) == 0).any():
+                order = np.lexsort((rows["y"], rows["low"], rows["high"]))  # equal digests: rows of one key, in any order
+            own_y = rows["y"][order].astype(np.float64)
+            own_x = value[begin[rep] - int(at.min()) + 1:][:len(rows)]
+            both = (own_y > 0) & ~np.isnan(own_x)
+            own_x, own_y = own_x[both], own_y[both] / 2 - middle
+            sums.append((rep, len(own_x), own_x.sum(), own_y.sum(), own_x @ own_y))
+        return pa.table({c: pa.array([r[i] for r in sums], pa.float64() if i > 1 else pa.int64()) for i, c in enumerate(("rep", "n", "sx", "sy", "sxy"))})
+
+    sums = draws.groupBy("bin").cogroup(needed.groupBy("_bin")).applyInArrow(merge, "rep bigint, n bigint, sx double, sy double, sxy double")
+    pairs = F.nullif(F.sum("n"), F.lit(0))
+    covariance = F.sum("sxy") / pairs - F.sum("sx") / pairs * (F.sum("sy") / pairs)
+    null = sums.groupBy("rep").agg(F.try_divide(covariance, F.nullif(F.lit(whole["spread"]).cast("double"), F.lit(0.0))).alias("_c"))
     return null.agg(F.count(F.lit(1)).alias("n_rep"), F.avg("_c").alias("null_mean"), F.stddev_pop("_c").alias("null_sd"))
 
 

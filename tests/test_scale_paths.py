@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +225,28 @@ def test_dense_window_blocks_are_not_shuffled(spark):
     plan = cnv.window_smooth_signal(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     windows, dense = plan.split("Generate inline")[:2]
     assert "Exchange" not in windows and "Exchange" not in dense
+
+
+def test_shuffled_spearman_by_hand_and_its_bytes(spark):
+    """Equal to a plain calculation, also with ties, NULL values and one NULL key; about 20 bytes a draw are shuffled, not a row."""
+    import hashlib
+    rows = [(None if i == 7 else i, None if i % 31 == 3 else float(i * 37 % 101), None if i % 17 == 2 else float(i * i % 53)) for i in range(600)]
+    df = spark.createDataFrame(rows, "k long, x double, y double").repartition(3)
+    got = statistics.shuffled_spearman(df, "k", "x", "y", n_rep=9, seed=4).collect()[0]
+    rank = lambda values: [None if v is None else sum(w < v for w in values if w is not None) + (sum(w == v for w in values) + 1) / 2 for v in values]
+    rx, ry = rank([r[1] for r in rows]), rank([r[2] for r in rows])
+    by_key = sorted(range(600), key=lambda i: -1 if rows[i][0] is None else rows[i][0])
+    spread = np.std([v for v in rx if v is not None]) * np.std([v for v in ry if v is not None])
+    found = []
+    for rep in range(9):
+        mixed = sorted(range(600), key=lambda i: hashlib.md5(":".join(["4", str(rep)] + ([] if rows[i][0] is None else [str(rows[i][0])])).encode()).hexdigest())
+        pairs = np.array([(rx[a], ry[b]) for a, b in zip(by_key, mixed, strict=True) if rx[a] is not None and ry[b] is not None])
+        found.append(np.cov(pairs.T, ddof=0)[0, 1] / spread)
+    assert got["n_rep"] == 9 and got["null_mean"] == pytest.approx(np.mean(found)) and got["null_sd"] == pytest.approx(np.std(found))
+
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    large = spark.range(20_000).select("id", (F.col("id") * 37 % 1009).cast("double").alias("x"), (F.col("id") * 11 % 503).cast("double").alias("y"))
+    statistics.shuffled_spearman(large, "id", "x", "y", n_rep=100).collect()
+    assert 0 < written() - before < 28 * 20_000 * 100
+    assert tuple(statistics.shuffled_spearman(large.where("id < 0"), "id", "x", "y", n_rep=3).collect()[0]) == (0, None, None)
