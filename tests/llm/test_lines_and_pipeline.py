@@ -148,3 +148,24 @@ def test_query_against_sql(spark, name):
     got = queries.QUERIES[name](spark, FOLDER)
     assert sorted(got.columns) == sorted(columns)
     assert sorted((tuple(r) for r in got.select(*columns).collect()), key=repr) == want
+
+
+def test_memory_of_a_large_batch_is_bounded():
+    """Classifier rules and fingerprints of 8 MB of texts in one batch: slices keep the arrays of a worker small."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lociframe.llm import arrow_text, quality, simhash
+    rng = np.random.default_rng(1)
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(f"w{k}" for k in rng.integers(0, 3000, 700)) for _ in range(2400)]})
+    model = quality.Model(np.zeros(quality.DIMENSIONS, np.float32), 0.0, 1.0, 0.0)
+    arrow_text._powers.cache_clear()
+    for work in (lambda d, o: quality._verdicts(model, d, o), simhash.fingerprints_of):
+        tracemalloc.start()
+        for _, data, offsets in arrow_text.pieces(batch, "text"):
+            work(data, offsets)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60_000_000
