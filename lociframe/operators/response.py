@@ -23,8 +23,8 @@ def fit_space(moments: DataFrame, k: int | None = None, reg: float = 0.1) -> Dat
     return space.withColumn("ridge", F.lit(float(reg)) * space.agg(F.avg("variance")).scalar())
 
 
-def covariance_columns(expr: DataFrame, space: DataFrame, targets: DataFrame, value: str = "value") -> DataFrame:
-    """Sample covariance (ddof 1, ridge on the diagonal) of every space gene with each target gene.
+def covariance_columns(expr: DataFrame, space: DataFrame, targets: DataFrame, value: str = "value", genes: DataFrame | None = None) -> DataFrame:
+    """Sample covariance (ddof 1, ridge on the diagonal) of every space gene, or of those among ``genes``, with each target gene.
 
     Each cell carries its few target values as one short list, so the expansion per cell is
     non-zeros x targets and is summed map-side; gene pairs that never co-occur follow from the means.
@@ -34,9 +34,11 @@ def covariance_columns(expr: DataFrame, space: DataFrame, targets: DataFrame, va
     inside = expr.join(space.select("gene_id"), "gene_id", "left_semi").select("cell_id", "gene_id", F.col(value).alias("_x"))
     per_cell = inside.join(wanted, "gene_id", "left_semi").groupBy("cell_id").agg(
         F.collect_list(F.struct(F.col("gene_id").alias("target_id"), F.col("_x").alias("_y"))).alias("_t"))
-    products = (inside.join(per_cell, "cell_id").select("gene_id", "_x", F.inline("_t"))
+    asked = space if genes is None else space.join(genes.select("gene_id").distinct(), "gene_id", "left_semi")
+    rows = inside if genes is None else inside.join(genes.select("gene_id").distinct(), "gene_id", "left_semi")
+    products = (rows.join(per_cell, "cell_id").select("gene_id", "_x", F.inline("_t"))
                 .groupBy("gene_id", "target_id").agg(F.sum(F.col("_x") * F.col("_y")).alias("_xy")))
-    grid = paired(space.select("gene_id", "n_cells", "mean", "ridge"), listed, ["target_id"])
+    grid = paired(asked.select("gene_id", "n_cells", "mean", "ridge"), listed, ["target_id"])
     joined = grid.join(products, ["gene_id", "target_id"], "left")
     n = F.col("n_cells")
     cov = (F.coalesce("_xy", F.lit(0.0)) - n * F.col("mean") * F.col("_tm")) / F.greatest(n - 1, F.lit(1))
@@ -135,11 +137,15 @@ def target_group_mean(shifts: DataFrame, expr: DataFrame, cells: DataFrame, grou
     return shifts.select("pert_id", "gene_id").join(table.select("gene_id", group, F.col("mean").alias("target_expr")), "gene_id")
 
 
-def group_response_top_expressed(response: DataFrame, expr: DataFrame, cells: DataFrame, space: DataFrame, k: int = 500,
-                                 group: str = "cell_type", min_cells: int = 5, value: str = "value") -> DataFrame:
-    """Older variant: mean |delta| over the group's k highest-expressed genes."""
+def top_expressed(expr: DataFrame, cells: DataFrame, space: DataFrame, k: int = 500, group: str = "cell_type", min_cells: int = 5,
+                  value: str = "value") -> DataFrame:
+    """The k genes of highest mean in every group: group, gene_id, n_cells."""
     inside = expr.join(space.select("gene_id"), "gene_id", "left_semi")
     table = expression_by_group(inside, cells, space, group, min_cells, value)
-    top = top_k(table, [group], [F.desc("mean"), F.asc("gene_id")], k, "_at").select(group, "gene_id", "n_cells")
+    return top_k(table, [group], [F.desc("mean"), F.asc("gene_id")], k, "_at").select(group, "gene_id", "n_cells")
+
+
+def group_response_top_expressed(response: DataFrame, top: DataFrame, group: str = "cell_type") -> DataFrame:
+    """Older variant: mean |delta| over the group's ``top_expressed`` genes. Of the response only the rows of these genes are read."""
     return top.join(response.select("pert_id", "gene_id", "delta"), "gene_id").groupBy("pert_id", group, "n_cells").agg(
         F.avg(F.abs("delta")).alias("response"))

@@ -80,8 +80,11 @@ def group_response(spark, folder):
 
 
 def group_response_top500(spark, folder):
-    response, _, expr, space = _response(spark, folder)
-    done = op.group_response_top_expressed(response, expr, b.cells(spark, folder), space, 500)
+    expr, space, targets = _fit(spark, folder)
+    # The response of genes in no group's top would not be read; that of the others is read once, so it is not written.
+    top = checkpoint(op.top_expressed(expr, b.cells(spark, folder), space, 500))
+    response = op.linear_response(op.covariance_columns(expr, space, targets, genes=top), _shifts(space, targets), space)
+    done = op.group_response_top_expressed(response, top)
     return done.select("pert_id", "cell_type", "n_cells", fixed("response").alias("response"))
 
 

@@ -316,3 +316,21 @@ def test_segments_and_recovery_by_case_and_resolution(spark):
     assert len(got) == 8
     assert got["k", "A", "x"] == ("PASS", "PASS", 1) and got["k", "B", "y"] == ("FAIL", "INSUFFICIENT_DATA", 0)
     assert got["far", "A", "x"] == ("INSUFFICIENT_DATA", "INSUFFICIENT_DATA", 0)
+
+
+def test_top_expressed_response_needs_only_the_top_genes(spark):
+    """Covariance rows of the genes in some group's top give the same means as the whole response."""
+    rng = np.random.default_rng(8)
+    genes, names = [f"g{j}" for j in range(9)], [f"c{i}" for i in range(24)]
+    expr = long(spark, rng.poisson(1.0, size=(24, 9)).astype(float), genes, names).withColumnRenamed("count", "value")
+    cells = spark.createDataFrame([(c, "ab"[i % 2]) for i, c in enumerate(names)], "cell_id string, cell_type string")
+    space = response.fit_space(op.gene_moments(expr, cells, spark.createDataFrame([(g,) for g in genes], "gene_id string")))
+    top = response.top_expressed(expr, cells, space, 3)
+    whole = response.covariance_columns(expr, space, space)
+    few = response.covariance_columns(expr, space, space, genes=top)
+    chosen = {r["gene_id"] for r in top.collect()}
+    assert 3 <= len(chosen) < 9 and top.count() == 6
+    assert {r["gene_id"] for r in few.collect()} == chosen and few.count() == 9 * len(chosen)
+    shifts = response.perturbation_shift(space.select("gene_id", F.col("gene_id").alias("pert_id"), F.lit("ko").alias("direction")), space)
+    means = [{(r["pert_id"], r["cell_type"]): r["response"] for r in response.group_response_top_expressed(response.linear_response(c, shifts, space), top).collect()} for c in (whole, few)]
+    assert len(means[0]) == 18 and means[0] == pytest.approx(means[1])
