@@ -23,6 +23,8 @@ from ..scale import checkpoint
 from .quality import calibrate
 
 PART_ROWS = 8192  # labelled rows that one task trains on, about
+# Bits of the map that tells which texts may have a label: at least and at most so many, BITS_PER_ROW for each labelled row between them.
+LEAST_BITS, MOST_BITS, BITS_PER_ROW = 1 << 23, 1 << 27, 16
 ROUNDS = 2  # passes over all parts after the start
 SLICES = 64  # of the numbers of a network, for averaging
 # Margins and scores are counted by steps of this size, so that no list of rows reaches the driver or one task.
@@ -216,29 +218,49 @@ def best_threshold(scores: np.ndarray, toxic: np.ndarray, rows: np.ndarray | Non
     return float((low[order[k]] + below) / 2)
 
 
+def _maybe_labelled(rows: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+    """The rows whose id falls on a set bit of a map of the ``n`` chosen ids: all labelled ones and few others, told apart by the join that follows."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_ROW * n).bit_length()))
+
+    def hashed(c: str) -> Column:
+        return F.pmod(F.xxhash64(c, F.lit("bit")), F.lit(size))
+
+    # At most ``MOST_BITS`` / 8 bytes, whatever the number of ids.
+    bits = (chosen.groupBy(F.bitmap_bucket_number(hashed("label_id")).alias("_bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(hashed("label_id"))).alias("_bits")))
+    place = F.bitmap_bit_position(hashed("id"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn("_bucket", F.bitmap_bucket_number(hashed("id"))).join(F.broadcast(bits), "_bucket")
+    return marked.where(F.getbit(byte, (place % 8).cast("int")) == 1).drop("_bucket", "_bits")
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str, text_col: str, label_col: str, lang_col: str | None) -> DataFrame:
-    """(id, toxic, lang, part, tuning, packed text) of every labelled row that is not held out, written once, one part in each partition."""
+    """(id, toxic, lang, part, tuning, packed text) of every labelled row that is not held out, written once, one part in each partition.
+
+    Texts without a label do not travel, the others are packed before they meet their labels.
+    """
     chosen = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).where(~F.coalesce(held_out, F.lit(False)))
               .groupBy(F.col(id_col).alias("label_id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).alias("toxic")))
-    n_parts = max(1, -(-chosen.count() // PART_ROWS))
-    dealt = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("part")), F.lit(n_parts)).cast("int")
+    n = chosen.count()
+    n_parts = max(1, -(-n // PART_ROWS))
+    text_id = F.col("id").cast("string")
+    dealt = F.pmod(F.xxhash64(text_id, F.lit("part")), F.lit(n_parts)).cast("int")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zipped = zstandard.ZstdCompressor()
         for batch in batches:
             for part, data, offsets in arrow_text.pieces(batch, "text"):
                 held = [zipped.compress(data[offsets[i]:offsets[i + 1]].tobytes()) for i in range(len(part))]
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in ("id", "toxic", "lang", "part", "tuning")), pa.array(held, pa.binary())],
-                                                 names=["id", "toxic", "lang", "part", "tuning", "packed"])
+                yield pa.RecordBatch.from_arrays([part["id"], part["lang"], pa.array(held, pa.binary())], names=["id", "lang", "packed"])
 
+    kind = docs.schema[id_col].dataType
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang"))
-            .join(chosen, F.col("id") == F.col("label_id")))
-    text_id = F.col("id").cast("string")
-    rows = rows.select(text_id.alias("id"), "toxic", "lang", "text", dealt.alias("part"),
-                       (F.pmod(F.xxhash64(text_id, F.lit("tuning")), F.lit(4)) == 0).alias("tuning"))
-    packed = rows.mapInArrow(pack, "id string, toxic boolean, lang string, part int, tuning boolean, packed binary")
-    return checkpoint(packed.repartitionById(n_parts, F.col("part")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang")).where("id IS NOT NULL")
+    if kind == labels.schema[id_col].dataType:  # ids of two types may be equal with unequal hashes
+        rows = _maybe_labelled(rows, chosen, n)
+    rows = rows.mapInArrow(pack, f"id {kind.simpleString()}, lang string, packed binary").join(chosen, F.col("id") == F.col("label_id"))
+    rows = rows.select(text_id.alias("id"), "toxic", "lang", dealt.alias("part"), (F.pmod(F.xxhash64(text_id, F.lit("tuning")), F.lit(4)) == 0).alias("tuning"), "packed")
+    return checkpoint(rows.repartitionById(n_parts, F.col("part")))
 
 
 def _words(packed: bytes) -> np.ndarray:

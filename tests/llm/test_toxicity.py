@@ -106,3 +106,27 @@ def test_every_labelled_row_is_learned_from(spark, monkeypatch):
     assert all((a.tables != b.tables).any() for a, b in zip(one.members, two.members, strict=True))
     assert one.slope != two.slope and set(one.thresholds) == {"en"}
     assert [r["predicted"] for r in toxicity.score(frame, one, held()).where("doc_id < 10").orderBy("doc_id").collect()] == [1, 0, 0, 0, 0] * 2
+
+
+def test_texts_without_a_label_do_not_travel(spark, monkeypatch):
+    """Where labels are too many to be broadcast, only packed texts meet them, and of the others few."""
+    written, before = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(toxicity, "checkpoint", lambda df: written.append(df) or df)
+    frame = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    labels = frame.where("doc_id % 3 = 0").select("doc_id", F.lit(1).alias("toxic"))
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rows = toxicity._labelled(frame, labels, held(), "doc_id", "text", "toxic", "lang")
+        want = {i for i in range(0, 60_000, 3) if zlib.crc32(str(i).encode()) % 3 != 1}
+        assert {int(r["id"]) for r in rows.select("id").collect()} == want and rows.count() == len(want)
+        join = written[0]._jdf.queryExecution().optimizedPlan()
+        while join.nodeName() != "Join":
+            join = join.children().apply(0)
+        side = join.children().apply(0)
+        assert "packed" in side.output().toString() and "text" not in side.output().toString()
+        chosen = labels.where(~held()).select(F.col("doc_id").alias("label_id"))
+        kept = toxicity._maybe_labelled(frame.select(F.col("doc_id").alias("id"), "text"), chosen, len(want))
+        found = {r["id"] for r in kept.select("id").collect()}
+        assert want <= found and len(found - want) < 500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
