@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import GROUP_ROWS, checkpoint
+from ..scale import GROUP_ROWS, checkpoint, dealt
 from .intervals import merge_blocks
 
 KEY = ("gene_id", "transcript_id")
@@ -64,14 +64,18 @@ def utr3_lengths(features: DataFrame, transcripts: DataFrame, key: Sequence[str]
 
 def transcript_design(features: DataFrame, candidates: DataFrame, split: bool | None = None) -> DataFrame:
     """Add transcript_id, transcript_choice, utr3_bp and utr3_status to candidates (one row each)."""
-    wanted = features.join(candidates.select("gene_id").distinct(), "gene_id", "left_semi")
-    transcripts = checkpoint(transcript_summary(wanted))  # one row per transcript, read three times below
+    # Summaries come before genes are chosen: no feature row travels by gene, and where the features lie by transcript none travels at all.
+    summaries = checkpoint(transcript_summary(features))  # one row per transcript
+    size = summaries.agg(F.count(F.lit(1)).alias("n"), F.sum("n_exons").alias("exons"), F.max("n_exons").alias("most")).first()
     if split is None:  # the exon counts are at hand, so the exon rows need not be counted again
-        split = (transcripts.agg(F.max("n_exons").alias("n")).first()["n"] or 0) > GROUP_ROWS
+        split = (size["most"] or 0) > GROUP_ROWS
+    genes = dealt(candidates.select("gene_id").distinct(), size["n"], ["gene_id"])
+    transcripts = checkpoint(dealt(summaries, size["n"], ["gene_id"]).join(genes, "gene_id", "left_semi"))  # read three times below
     chosen = choose_transcript(transcripts)
     picked = chosen.where("transcript_id IS NOT NULL").select(*KEY)
     # Only the chosen transcript's exons are merged.
-    lengths = utr3_lengths(wanted.join(picked, list(KEY), "left_semi"), transcripts.join(picked, list(KEY), "left_semi"), split=split)
+    exons = dealt(features.where("feature = 'exon'"), size["exons"] or 0, KEY).join(dealt(picked, size["exons"] or 0, KEY), list(KEY), "left_semi")
+    lengths = utr3_lengths(exons, dealt(transcripts.join(picked, list(KEY), "left_semi"), size["exons"] or 0, KEY), split=split)
     designed = candidates.join(chosen, "gene_id", "left").join(lengths, list(KEY), "left")
     status = (F.when(F.col("transcript_id").isNull(), "ambiguous_or_missing_transcript")
               .when(F.col("utr3_bp").isNull(), "incomplete_coding_annotation").otherwise("ok"))

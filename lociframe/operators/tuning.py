@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Consensus
-from ..scale import checkpoint, null_safe_join, position
+from ..scale import checkpoint, dealt, null_safe_join, position
 from .consensus import CASE, adjusted, case_weights
 
 
@@ -77,7 +77,7 @@ ROWS = 2048
 
 
 def _dominance(pairs: DataFrame, cfg: Consensus) -> DataFrame:
-    """(target, position, better): how many candidates come before a target under each raw grid position.
+    """(target, first, counts): how many candidates of a batch come before a target under each raw grid position from ``first`` on.
 
     Rows of ``pairs`` hold a candidate (a0.., pen), a target of its case (c0.., cpen, target) and whether the candidate wins ties. A batch is
     a matrix of candidates; its product with a block of the grid gives all scores, and wins are summed by target before they leave the task.
@@ -115,9 +115,7 @@ def _dominance(pairs: DataFrame, cfg: Consensus) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(held["target"][starts]), pa.repeat(pa.scalar(first, pa.int64()), len(starts)), lists],
                                                      names=["target", "first", "counts"])
 
-    blocks = pairs.mapInArrow(run, "target bigint, first bigint, counts array<bigint>")
-    each = blocks.select("target", "first", F.posexplode("counts").alias("at", "n"))
-    return each.groupBy("target", (F.col("first") + F.col("at")).alias("position")).agg(F.sum("n").alias("better"))
+    return pairs.mapInArrow(run, "target bigint, first bigint, counts array<bigint>")
 
 
 def control_ranks(panel: DataFrame, controls: DataFrame, cfg: Consensus, by: Sequence[str] = CASE,
@@ -139,11 +137,14 @@ def control_ranks(panel: DataFrame, controls: DataFrame, cfg: Consensus, by: Seq
         *[F.col(f"a{i}").alias(f"c{i}") for i in range(n)]).withColumn("target", F.monotonically_increasing_id()))
     pairs = matrix.join(targets, list(by)).select("target", "pen", "cpen", (F.col("_id") < F.col("_cid")).alias("earlier"),
                                                   *[f"{side}{i}" for side in "ac" for i in range(n)])
-    each = _dominance(pairs, cfg)
+    # Blocks of counts travel, one task's number of ranks is bounded, and a control's ranks are made where its blocks meet.
+    rows, key = targets.count() * len(cfg.tuning.grid) ** n, [*by, "control"]
+    named = dealt(_dominance(pairs, cfg), rows, ["target"]).join(dealt(targets.select(*key, "target"), rows, ["target"]), "target")
+    each = dealt(named, rows, key).select(*key, "target", "first", F.posexplode("counts").alias("at", "n"))
+    each = each.groupBy(*key, "target", (F.col("first") + F.col("at")).alias("position")).agg(F.sum("n").alias("better"))
     if _idle(cfg):
         each = each.where(~_without_weight(F.col("position"), cfg))
-    named = each.join(targets.select(*by, "control", "target"), "target")
-    best = named.groupBy(*by, "control", "position").agg((F.min("better") + 1).alias("rank"))
+    best = each.groupBy(*key, "position").agg((F.min("better") + 1).alias("rank"))
     far = F.lit(0.0)
     for weight, default in zip(grid_weights(F.col("position"), cfg), cfg.weights, strict=True):
         far = far + F.abs(weight - F.lit(float(default)))
@@ -156,17 +157,18 @@ def grid_recall(ranks: DataFrame, top_n: int = 10, by: Sequence[str] = CASE) ->
                                              F.avg((F.col("rank") <= top_n).cast("double")).alias("recall"))
 
 
-def loo_folds(ranks: DataFrame, top_n: int = 10, by: Sequence[str] = CASE) -> DataFrame:
+def loo_folds(ranks: DataFrame, top_n: int = 10, by: Sequence[str] = CASE, rows: int = 0) -> DataFrame:
     """Leave-one-out folds: weights chosen on the other controls, rank of the held-out one.
 
     Highest training recall, then smallest L1 distance to the default weights, then grid order;
-    cases with fewer than three present controls are skipped.
+    cases with fewer than three present controls are skipped. ``rows``, the number of ranks where it is known, bounds what a task holds.
     """
+    ranks = dealt(ranks, rows, [*by, "grid_id"])
     hits = ranks.groupBy(*by, "grid_id").agg(F.count_if(F.col("rank") <= top_n).alias("_hits"),
                                              F.count(F.lit(1)).alias("_n")).where("_n >= 3")
     fold = ranks.join(hits, [*by, "grid_id"])
     train = F.col("_hits") - (F.col("rank") <= top_n).cast("bigint")
-    best = fold.groupBy(*by, "control").agg(
+    best = dealt(fold, rows, [*by, "control"]).groupBy(*by, "control").agg(
         F.max(F.struct(train.alias("hits"), (-F.col("l1")).alias("near"), (-F.col("grid_id")).alias("early"),
                        F.col("rank").alias("rank"), F.col("_n").alias("n"))).alias("_b"))
     return best.select(*by, F.col("control").alias("held_out"), (F.col("_b.hits") / (F.col("_b.n") - 1)).alias("train_recall"),
@@ -180,8 +182,9 @@ def loo_tune(ranks: DataFrame, top_n: int = 10, by: Sequence[str] = CASE, cases:
     ``cases`` lists all cases: those without a present control are reported as skipped instead of being absent.
     """
     ranks = checkpoint(ranks)  # read by every fold and by the final choice
-    rate = loo_folds(ranks, top_n, by).groupBy(*by).agg(F.avg(F.col("in_top_n").cast("double")).alias("loo_hit_rate"))
-    recall = ranks.groupBy(*by, "grid_id", "l1").agg(F.avg((F.col("rank") <= top_n).cast("double")).alias("_recall"),
+    rows = ranks.count()
+    rate = loo_folds(ranks, top_n, by, rows).groupBy(*by).agg(F.avg(F.col("in_top_n").cast("double")).alias("loo_hit_rate"))
+    recall = dealt(ranks, rows, [*by, "grid_id"]).groupBy(*by, "grid_id", "l1").agg(F.avg((F.col("rank") <= top_n).cast("double")).alias("_recall"),
                                                      F.count(F.lit(1)).alias("_n"))
     final = recall.groupBy(*by).agg(F.max(F.struct(
         F.col("_recall").alias("recall"), (-F.col("l1")).alias("near"), (-F.col("grid_id")).alias("early"))).alias("_f"),

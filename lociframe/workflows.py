@@ -19,15 +19,17 @@ from .operators import cnv as cnv_op
 from .operators import evidence as ev
 from .operators import response as response_op
 from .operators import tuning
-from .operators.consensus import borda, consensus_rank, consensus_score, evidence_gate, rank_agreement, sparse_evidence_warnings
+from .operators.consensus import borda, consensus_score, evidence_gate, rank_agreement, score_order, sparse_evidence_warnings
 from .operators.design import transcript_design
 from .operators.expectations import check, one_of, unique
 from .operators.identity import alias_key, build_alias_map, resolve_gene_ids
 from .operators.intervals import genes_in_intervals
 from .operators.selection import budget_select
-from .scale import checkpoint, is_hot, null_safe_join
+from .scale import GROUP_ROWS, checkpoint, dealt, null_safe_join, position
 
 BUILD = "GRCh38"
+# Candidate rows of one task of a screening run, which sorts them some ten times.
+SCREEN_ROWS = 100_000
 
 
 def build_candidates(annotation: DataFrame, nomenclature: DataFrame, *, intervals: DataFrame | None = None,
@@ -118,12 +120,18 @@ def screen_cohort(candidates: DataFrame, features: DataFrame, evidence: DataFram
     the default weights. Sensitivity moves the weights in use. Whether a case is too large for one task is measured once.
     """
     by = ["case_id"]
-    split = is_hot(candidates, by)
+    sizes = candidates.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("rows")).first()
+    split = (sizes["most"] or 0) > GROUP_ROWS
+
+    def spread(df: DataFrame) -> DataFrame:
+        """Cases over tasks by the number of rows; a case too large for one task is spread by its operators."""
+        return df if split else dealt(df, sizes["rows"] or 0, by, SCREEN_ROWS)
+
     repeated = evidence.where("hgnc_id IS NOT NULL").groupBy(*by, "hgnc_id").count().where("count > 1").orderBy(*by, "hgnc_id").limit(10).collect()
     if repeated:
         raise ValueError(f"duplicate identity in a case: {[(r['case_id'], r['hgnc_id']) for r in repeated]}")
-    gate = checkpoint(evidence_gate(consensus_score(evidence, cfg, by, split), cfg, by))
-    usable = checkpoint(null_safe_join(evidence, gate.where("not rejected").select(*by, F.lit(True).alias("_passed")), by).where("_passed").drop("_passed"))
+    gate = checkpoint(evidence_gate(consensus_score(spread(evidence), cfg, by, split), cfg, by))
+    usable = checkpoint(spread(null_safe_join(evidence, gate.where("not rejected").select(*by, F.lit(True).alias("_passed")), by).where("_passed").drop("_passed")))
     tuned = chosen = absent = None
     if controls is not None:
         cases = usable.select(*by).distinct()
@@ -135,7 +143,8 @@ def screen_cohort(candidates: DataFrame, features: DataFrame, evidence: DataFram
         if tune:
             tuned = checkpoint(tuning.loo_tune(ranks, cfg.tuning.top_n, by, cases))
             chosen = tuning.decode_weights(tuned.where("final_grid_id IS NOT NULL"), cfg).select(*by, "weights")
-    ranked = consensus_rank(usable, cfg, by, split, chosen)
+    # The weights join by case, NULL included, which may deal the rows anew.
+    ranked = position(spread(consensus_score(usable, cfg, by, split, chosen)), by, score_order(), "rank", split)
     ranked = checkpoint(borda(ranked, cfg, by, split))
     design = transcript_design(features, candidates.select("gene_id").distinct())
     selected = budget_select(ranked.join(design, "gene_id", "left"), capacity, module_size, split=split)

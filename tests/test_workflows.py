@@ -116,3 +116,34 @@ def test_screen_cohort_gates_tunes_and_reports(spark):
     twice = panel.union(panel.limit(1))
     with pytest.raises(ValueError, match="duplicate identity"):
         workflows.screen_cohort(panel, utr_features(spark), twice, cfg)
+
+
+def test_screen_cohort_bounds_the_rows_of_a_task(spark, monkeypatch):
+    """More rows make more tasks, in ranking, tuning and transcript choice, and the same results."""
+    from lociframe import scale
+    from lociframe.config import Consensus, Evidence, Tuning
+    from lociframe.operators import design, tuning
+    cfg = Consensus((Evidence("gnomad_pLI", 1), Evidence("gnomad_LOEUF", 2, "lower_better")), tuning=Tuning(grid=(0, 1, 2), top_n=3))
+    rows = [(None if c == 12 else f"c{c}", f"H{i:02d}", f"E{i}", f"S{i}", (i * (c + 3) % 17) / 20, (i * 7 % 11) / 20) for c in range(13) for i in range(20)]
+    panel = spark.createDataFrame(rows, "case_id string, hgnc_id string, gene_id string, symbol string, gnomad_pLI double, gnomad_LOEUF double").withColumn(
+        "interval_overlap", F.lit("full"))
+    controls = panel.where("symbol IN ('S19', 'S18', 'S7', 'S3')").select("case_id", "symbol")
+    lines = [(f"E{i}", f"T{i}{k}", f, s, s + 30 * (i % 3 + 1), "+", ["MANE_Select"] if k else ["basic"]) for i in range(20) for k in range(2)
+             for f, s in (("exon", 100), ("exon", 300), ("CDS", 110), ("stop_codon", 301))]
+    features = spark.createDataFrame(lines, "gene_id string, transcript_id string, feature string, start bigint, end bigint, strand string, tags array<string>")
+
+    def results():
+        run = workflows.screen_cohort(panel, features, panel, cfg, controls=controls)
+        parts = [sorted(map(repr, (tuple(r) for r in df.select(*sorted(df.columns)).collect()))) for df in (run.gate, run.ranked, run.selected, run.tuning, run.missing_controls)]
+        return run, parts
+
+    run, plain = results()
+    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert run.ranked.rdd.getNumPartitions() <= session and len(plain[1]) == 260
+    few = lambda df, rows, by, each=0: scale.dealt(df, rows, by, 15)
+    for module in (workflows, tuning, design):
+        monkeypatch.setattr(module, "dealt", few, raising=False)
+    dealt, same = results()
+    assert dealt.ranked.rdd.getNumPartitions() > session and same == plain
+    ranks = tuning.control_ranks(panel, controls, cfg)
+    assert ranks.rdd.getNumPartitions() > session
