@@ -250,3 +250,25 @@ def test_shuffled_spearman_by_hand_and_its_bytes(spark):
     statistics.shuffled_spearman(large, "id", "x", "y", n_rep=100).collect()
     assert 0 < written() - before < 28 * 20_000 * 100
     assert tuple(statistics.shuffled_spearman(large.where("id < 0"), "id", "x", "y", n_rep=3).collect()[0]) == (0, None, None)
+
+
+def test_neighbour_search_asks_for_every_row(spark):
+    from lociframe.plans import vectors
+    folder = "/root/testdata/sf0.001"
+    ids = [r[0] for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id").collect()]
+    assert sorted(r["query_id"] for r in vectors.knn_idw(spark, folder).collect()) == sorted(ids)
+    assert "% 50" not in vectors.ORACLES["knn_idw"]
+
+
+def test_nearest_rows_of_a_block_equal_brute_force():
+    """Ties, copies and scales where the matrix product alone is not exact."""
+    from lociframe.operators import embeddings
+    rng = np.random.default_rng(1)
+    for scale_of in (1e-6, 1.0, 1e6):
+        b = rng.integers(0, 3, size=(50, 4)) * scale_of + rng.integers(0, 2, size=(50, 1)) * 1e-9
+        a = np.vstack([rng.normal(size=(20, 4)), b[:5]])
+        d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+        row, col, found = embeddings._nearest(a, b, 7)
+        assert (row == np.repeat(np.arange(25), 7)).all() and np.allclose(found, np.sort(d, axis=1)[:, :7].ravel(), rtol=1e-12, atol=0)
+        assert (found.reshape(25, 7)[20:, 0] == 0).all() and len(set(zip(row, col, strict=True))) == 25 * 7
+    assert embeddings._packed(np.zeros((3, 2)), np.array([2.0, 2.0, 9.0]), 4).tolist() == [0, 0, 1]
