@@ -193,8 +193,7 @@ def copy_number(counts: DataFrame, cells: DataFrame, genes: DataFrame, annotatio
     missing = {r.name for r in resolutions} - {r["resolution"] for r in extents.select("resolution").distinct().collect()}
     if missing:
         raise ValueError(f"INSUFFICIENT_DATA: no chromosome has enough positioned genes for {sorted(missing)}")
-    signal = cnv_op.smooth_signal(expr, kept, placed, resolutions, by)
-    windows = checkpoint(cnv_op.window_group_signal(signal, extents, by))
+    windows = checkpoint(cnv_op.smooth_group_signal(expr, kept, placed, resolutions, extents, by))
     found = cnv_op.deletion_segments(windows, z_threshold, min_windows, order=("win_idx",), by=[*by, "resolution"])
     segments = checkpoint(cnv_op.segment_size_cap(found, max_segment_mb).where("kept").drop("kept"))
     auto = segments.withColumn("deletion_id", F.concat_ws("_", F.lit("auto"), *[F.col(c).cast("string") for c in by], "resolution", "chrom", "start"))

@@ -334,3 +334,38 @@ def test_top_expressed_response_needs_only_the_top_genes(spark):
     shifts = response.perturbation_shift(space.select("gene_id", F.col("gene_id").alias("pert_id"), F.lit("ko").alias("direction")), space)
     means = [{(r["pert_id"], r["cell_type"]): r["response"] for r in response.group_response_top_expressed(response.linear_response(c, shifts, space), top).collect()} for c in (whole, few)]
     assert len(means[0]) == 18 and means[0] == pytest.approx(means[1])
+
+
+def test_group_signal_needs_no_row_for_each_cell_and_window(spark, monkeypatch):
+    """Equal to the means of the signal rows, over parts and steps of few cells, and to a dense calculation; tasks return sums only."""
+    from lociframe.plans import cnv as plans
+    monkeypatch.setattr(cnv, "PART_CELLS", 3)
+    monkeypatch.setattr(cnv, "STEP_VALUES", 10)
+    rng = np.random.default_rng(8)
+    genes, names = [f"g{j:02d}" for j in range(23)], [f"c{i}" for i in range(11)]
+    where = lambda j: f"chr{1 + (j > 12) + (j > 20)}"  # the last chromosome has too few genes for a window
+    positions = spark.createDataFrame([(g, where(j), j * 10, j * 10 + 5) for j, g in enumerate(genes)], "gene_id string, chrom string, start bigint, end bigint")
+    ladder = [cnv.Resolution("wide", 4, 2), cnv.Resolution("fine", 3, 1)]
+    dense = rng.poisson(0.4, size=(2, 11, 23)).astype(float)
+    of = lambda i: "reference" if i < 4 else "patient" if i < 9 else "other"
+    cells = spark.createDataFrame([(case, c, of(i)) for case in ("A", "B", None) for i, c in enumerate(names)], "case_id string, cell_id string, group string")
+    expr = long(spark, dense[0], genes, names).withColumn("case_id", F.lit("A")).union(
+        long(spark, dense[1], genes, names).withColumn("case_id", F.lit("B"))).withColumnRenamed("count", "value")
+    windows = cnv.resolution_windows(positions, ladder)
+    for extra in ({}, {"clip": 0.7, "noise_sd": 0.5}):
+        signal = cnv.smooth_signal(expr, cells, positions, ladder, ["case_id"], **extra)
+        keep = lambda df: sorted((r["case_id"], r["resolution"], r["chrom"], r["win_idx"], r["start"], round(r["score"], 9), round(r["ref_score"], 9)) for r in df.collect())
+        got = keep(cnv.smooth_group_signal(expr, cells, positions, ladder, windows, ["case_id"], **extra))
+        assert got == keep(cnv.window_group_signal(signal, windows, ["case_id"])) and {r[0] for r in got} == {"A", "B"}
+    rows = {(r["case_id"], r["cell_id"], r["chrom"], r["win_idx"]): r["signal"] for r in
+            cnv.smooth_signal(expr, cells, positions, ladder, ["case_id"]).where("resolution = 'fine'").collect()}
+    for k, case in enumerate("AB"):
+        moved = dense[k] - dense[k][:4].mean(axis=0)
+        at = [("chr1", i, i) for i in range(11)] + [("chr2", i, 13 + i) for i in range(6)]
+        means = np.stack([moved[:, j:j + 3].mean(axis=1) for _, _, j in at], axis=1)
+        want = means - np.median(means, axis=1, keepdims=True)
+        for i, c in enumerate(names):
+            assert [rows[(case, c, chrom, w)] for chrom, w, _ in at] == pytest.approx(want[i].tolist(), abs=1e-12)
+    assert len(rows) == 2 * 11 * 17
+    plan = plans.window_group_signal(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "median" not in plan and "percentile" not in plan
