@@ -8,7 +8,8 @@ measured, and a stack scan builds the interval tree of common prefixes: an inter
 maximal repeat inside its context, with all its occurrences. A repeat longer than a context shows up at each of its anchors; the
 merged spans are the whole passage.
 
-Equal contexts of one task travel once, with 20 bytes for each place they stand at.
+Equal contexts of one task travel once, with 20 bytes for each place they stand at. A bucket grows with the texts; its task works on one
+part at a time, anchors with the same next bits of their hash, so its arrays do not.
 """
 
 from __future__ import annotations
@@ -35,6 +36,9 @@ FLUSH_BYTES = 6 << 20
 SLICE_BYTES = 1 << 20
 # Longer texts are read in stretches that overlap by LEAST - 1 bytes.
 STRETCH = 32 << 20
+# Bits of the hash after the bucket's that cut it into parts, and windows that parts worked on at once have together.
+FINE_BITS = 8
+PART_WINDOWS = 250_000
 _PLACE = np.uint64(27)
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 UNORDERED = np.iinfo(np.int64).max  # a NULL id is larger than all others
@@ -164,9 +168,10 @@ def contexts(rows: DataFrame, bits: np.ndarray, bucket_bits: int, filter_bits: i
             texts, lengths, hashes, marks, before, ids, keys, places = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             starts = np.cumsum(lengths) - lengths
-            bucket = (hashes >> np.uint64(64 - bucket_bits)).astype(np.int64)
-            order = np.lexsort((marks, bucket))
-            new = np.append(True, (marks[order][1:] != marks[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])) if len(order) else np.zeros(0, bool)
+            fine = (hashes >> np.uint64(64 - bucket_bits - FINE_BITS)).astype(np.int64)
+            bucket = fine >> FINE_BITS
+            order = np.lexsort((marks, fine))
+            new = np.append(True, (marks[order][1:] != marks[order][:-1]) | (fine[order][1:] != fine[order][:-1])) if len(order) else np.zeros(0, bool)
             first = order[np.flatnonzero(new)]
             group = np.cumsum(new) - 1
             n_places = np.bincount(group, minlength=len(first)) if len(first) else np.zeros(0, int)
@@ -174,6 +179,7 @@ def contexts(rows: DataFrame, bits: np.ndarray, bucket_bits: int, filter_bits: i
             low = np.minimum.reduceat(before[order], np.flatnonzero(new)) if len(first) else before
             high = np.maximum.reduceat(before[order], np.flatnonzero(new)) if len(first) else before
             kept_before = np.where(low == high, low, 256).astype("<i2")
+            fine = (fine[first] & ((1 << FINE_BITS) - 1)).astype(np.uint8)
             by_piece, by_place = _cut(bucket[first], bucket_bits), _cut(bucket[order], bucket_bits)
             pack = zstandard.ZstdCompressor(level=3).compress
             out = []
@@ -182,11 +188,11 @@ def contexts(rows: DataFrame, bits: np.ndarray, bucket_bits: int, filter_bits: i
                 s, e = by_place[b], by_place[b + 1]
                 o = order[s:e]
                 text = b"".join(texts[starts[i]:starts[i] + lengths[i]].tobytes() for i in first[p:q].tolist())
-                out.append({"bucket": b, "text": pack(text), "lengths": lengths[first[p:q]].astype("<i4").tobytes(),
+                out.append({"bucket": b, "text": pack(text), "fine": pack(fine[p:q].tobytes()), "lengths": lengths[first[p:q]].astype("<i4").tobytes(),
                             "before": kept_before[p:q].tobytes(), "n_places": n_places[p:q].astype("<i4").tobytes(),
                             "ids": pack(ids[o].tobytes()), "keys": keys[o].tobytes(), "places": pack(places[o].astype("<i4").tobytes())})
             return pa.RecordBatch.from_pylist(out, pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in
-                                              ("text", "lengths", "before", "n_places", "ids", "keys", "places")]]))
+                                              ("text", "fine", "lengths", "before", "n_places", "ids", "keys", "places")]]))
 
         total = 0
         for batch in batches:
@@ -211,23 +217,46 @@ def contexts(rows: DataFrame, bits: np.ndarray, bucket_bits: int, filter_bits: i
         if held:
             yield flush()
 
-    return rows.mapInArrow(send, "bucket int, text binary, lengths binary, before binary, n_places binary, ids binary, keys binary, places binary")
+    return rows.mapInArrow(send, "bucket int, text binary, fine binary, lengths binary, before binary, n_places binary, ids binary, keys binary, places binary")
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... of each range, one after another."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def parts(table: pa.Table) -> Iterator[Bucket]:
+    """The contexts of a bucket, those with one anchor together, at most PART_WINDOWS windows at once (more where one part of the hash has them)."""
+    def column(name: str, kind: str) -> np.ndarray:
+        return np.frombuffer(b"".join(table[name].to_pylist()), kind)
+    unpack = zstandard.ZstdDecompressor().decompress
+    unpacked = lambda name, kind: np.frombuffer(b"".join(map(unpack, table[name].to_pylist())), kind)
+    text, fine, length = unpacked("text", np.uint8), unpacked("fine", np.uint8), column("lengths", "<i4").astype(np.int64)
+    before, n_places = column("before", "<i2"), column("n_places", "<i4").astype(np.int64)
+    ids, keys, places = unpacked("ids", "<i8"), column("keys", "<i8"), unpacked("places", "<i4")
+    begin, first = np.cumsum(length) - length, np.cumsum(n_places) - n_places
+    order = np.argsort(fine, kind="stable")
+    windows = np.bincount(fine, weights=length - LEAST + 1, minlength=1 << FINE_BITS)
+    sizes = np.bincount(fine, minlength=1 << FINE_BITS)
+    ends, held = [], 0
+    for at, n in zip(np.cumsum(np.bincount(fine, minlength=1 << FINE_BITS)).tolist(), windows.tolist(), strict=True):
+        if ends and held + n <= PART_WINDOWS:
+            ends[-1], held = at, held + n
+        else:
+            ends, held = [*ends, at], n
+    for some in np.split(order, ends[:-1]):
+        if len(some):
+            stands = _ranges(first[some], n_places[some])
+            yield Bucket(text[_ranges(begin[some], length[some])], length[some], before[some], n_places[some], ids[stands], keys[stands], places[stands])
 
 
 class Bucket:
-    """Distinct contexts of a bucket, the suffix array of their windows and its interval tree."""
-
-    def __init__(self, table: pa.Table):
-        def column(name: str, kind: str) -> np.ndarray:
-            return np.frombuffer(b"".join(table[name].to_pylist()), kind)
-        unpack = zstandard.ZstdDecompressor().decompress
-        unpacked = lambda name, kind: np.frombuffer(b"".join(map(unpack, table[name].to_pylist())), kind)
-        self.text = unpacked("text", np.uint8)
-        self.length = column("lengths", "<i4").astype(np.int64)
+    """Distinct contexts of whole anchors, the suffix array of their windows and its interval tree."""
+
+    def __init__(self, text: np.ndarray, length: np.ndarray, before: np.ndarray, n_places: np.ndarray, ids: np.ndarray, keys: np.ndarray, places: np.ndarray):
+        self.text, self.length, self.before = text, length, before
         self.begin = np.cumsum(self.length) - self.length
-        self.before = column("before", "<i2")
-        n_places = column("n_places", "<i4")
-        self.ids, self.keys, self.places = unpacked("ids", "<i8"), column("keys", "<i8"), unpacked("places", "<i4").astype(np.int64)
+        self.ids, self.keys, self.places = ids, keys, places.astype(np.int64)
         self.context_of = np.repeat(np.arange(len(self.length)), n_places)
         self.least_id = np.minimum.reduceat(self.ids, np.cumsum(n_places) - n_places)
         self.n_places = n_places
@@ -316,19 +345,30 @@ class Bucket:
         keep = (changes[high + 1] > changes[low + 1]) | (follows[low] == 256)
         return [g for g, k in zip(self.groups, keep.tolist(), strict=True) if k]
 
-    def covered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row key, first byte, end) of the bytes of each place that an earlier document has too."""
+    def covered(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row key, first byte, end) of the bytes of each place that an earlier document has too, of bounded runs of places."""
         windows = (self.length - LEAST + 1)[self.context_of]
-        place = np.repeat(np.arange(len(windows)), windows)
-        at = np.arange(len(place)) - np.repeat(np.cumsum(windows) - windows, windows)
-        hit = self.least[self.first[self.context_of][place] + at] < self.ids[place]
-        place, at = place[hit], at[hit]
-        if not len(place):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        new = np.append(True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1))
-        s = np.flatnonzero(new)
-        e = np.append(s[1:], len(place)) - 1
-        return self.keys[place[s]], self.places[place[s]] + at[s], self.places[place[s]] + at[e] + LEAST
+        upto = np.cumsum(windows)
+        low = 0
+        while low < len(windows):
+            high = max(low + 1, int(np.searchsorted(upto, upto[low] - windows[low] + PART_WINDOWS, "right")))
+            place = np.repeat(np.arange(low, high), windows[low:high])
+            at = _ranges(np.zeros(high - low, np.int64), windows[low:high])
+            hit = self.least[self.first[self.context_of][place] + at] < self.ids[place]
+            place, at = place[hit], at[hit]
+            low = high
+            if len(place):
+                new = np.append(True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1))
+                s = np.flatnonzero(new)
+                e = np.append(s[1:], len(place)) - 1
+                yield self.keys[place[s]], self.places[place[s]] + at[s], self.places[place[s]] + at[e] + LEAST
+
+
+def covered_spans(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The covered bytes of a bucket's places, from one part after another."""
+    for bucket in parts(table):
+        for key, start, end in bucket.covered():
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(start), pa.array(end)], names=["covered_key", "s", "e"])
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -345,8 +385,7 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = _rows(docs, id_col, text_col)
     sent = contexts(rows, shared_anchors(rows, bucket_bits, filter_bits), bucket_bits, filter_bits)
 
-    def groups(table: pa.Table) -> pa.Table:
-        b = Bucket(table)
+    def listed(b: Bucket) -> list[dict]:
         first_place = np.cumsum(b.n_places) - b.n_places
         # (length, byte of the text, contexts and the place in them) of intervals, and of whole contexts that stand at several places.
         found = [(length, b.order[low:high + 1].tolist()) for length, low, high in b.diverse()]
@@ -363,7 +402,11 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             at = b.begin[suffixes[0][0]] + suffixes[0][1]
             passage = b.text[at:at + length].tobytes()
             out.append({"group_id": hashlib.sha1(passage).hexdigest(), "length": length, "passage": passage, "occurrences": members})
+        return out
+
+    def groups(table: pa.Table) -> pa.Table:
         kind = pa.list_(pa.struct([("row_key", pa.int64()), ("id", pa.int64()), ("start", pa.int64())]))
+        out = [group for bucket in parts(table) for group in listed(bucket)]
         return pa.Table.from_pylist(out, pa.schema([("group_id", pa.string()), ("length", pa.int64()), ("passage", pa.binary()), ("occurrences", kind)]))
 
     return sent.groupBy("bucket").applyInArrow(
@@ -380,8 +423,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = contexts(rows, shared_anchors(rows, bucket_bits, filter_bits), bucket_bits, filter_bits)
 
     def cover(table: pa.Table) -> pa.Table:
-        key, start, end = Bucket(table).covered()
-        return pa.table({"covered_key": key, "s": start, "e": end})
+        return pa.Table.from_batches(covered_spans(table), pa.schema([("covered_key", pa.int64()), ("s", pa.int64()), ("e", pa.int64())]))
 
     covered = (sent.groupBy("bucket").applyInArrow(cover, "covered_key bigint, s bigint, e bigint")
                .groupBy("covered_key").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans")))

@@ -357,3 +357,21 @@ def test_slices_cover_every_text_once():
     for part, data, offsets in arrow_text.pieces(batch, "text", 1000):
         out += [bytes(data[offsets[i]:offsets[i + 1]]).decode() for i in range(len(part))]
     assert out == [t or "" for t in texts[1:]]
+
+
+def test_repeats_work_on_a_bounded_part_of_a_bucket(docs, monkeypatch):
+    """The arrays of a task do not grow with its bucket, and the bytes removed are the same."""
+    rng = np.random.default_rng(6)
+    passages = ["".join(rng.choice(list("abcdef "), 120)) for _ in range(30)]
+    rows = docs([(i, " ".join(passages[k] for k in rng.integers(0, 30, 4))) for i in range(60)])
+    whole = sorted(map(tuple, repeats.digests(repeats.remove_repeats(rows, bucket_bits=1, filter_bits=16)).collect()))
+    assert sum(r[2] for r in whole) > 10_000
+    sent = repeats.contexts(repeats._rows(rows, "doc_id", "text"), np.full(1 << 13, 255, np.uint8), 1, 16).where("bucket = 0").toArrow()
+    spans = lambda: sorted(s for batch in repeats.covered_spans(sent) for s in zip(*batch.to_pydict().values(), strict=True))
+    once = spans()
+    monkeypatch.setattr(repeats, "PART_WINDOWS", 300)
+    found = list(repeats.parts(sent))
+    windows = [len(b.least) for b in found]
+    assert len(found) > 10 and sum(windows) > 3_000 and max(windows) < 600 and spans() == once
+    for b in found:
+        assert all(len(key) <= 300 for key, _, _ in b.covered())
