@@ -369,3 +369,15 @@ def test_group_signal_needs_no_row_for_each_cell_and_window(spark, monkeypatch):
     assert len(rows) == 2 * 11 * 17
     plan = plans.window_group_signal(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "median" not in plan and "percentile" not in plan
+
+
+def test_window_signal_is_rounded_without_decimals(spark):
+    """Six digits as from a decimal rounding, ties of halves aside; a row costs no decimal."""
+    from lociframe.functions.columns import fixed, rounded
+    from lociframe.plans import cnv as plans
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(float(x),) for x in [*rng.normal(size=500), -1e-9, 0.0, 123456.1234567]] + [(None,)], "x double")
+    got = df.select(rounded("x").alias("a"), fixed("x").alias("b")).collect()
+    assert all(r["a"] == r["b"] and str(r["a"]) != "-0.0" for r in got)
+    plan = plans.window_smooth_signal(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "rint" in plan.lower() and "round(signal" not in plan and "MapInArrow" in plan
